@@ -98,14 +98,15 @@ def classification_report(df: DataFrame, actual: str, predicted: str, labels, na
     rows = stats.select(name_map[F.col("class")].alias("row"), "precision", "recall", "f1",
                         F.col("support").cast("long").alias("support"))
     summ = _summary(stats)
+    def item(name, p, r, f):
+        return F.struct(F.lit(name).alias("row"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1"), F.col("n").alias("support"))
+
+    none = F.lit(None)
     extra = summ.select(F.inline(F.array(
-        F.struct(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), F.col("accuracy").alias("f1"),
-                 F.col("n").alias("support")),
-        F.struct(F.lit("macro avg").alias("row"), F.col("precision_macro"), F.col("recall_macro"),
-                 F.col("f1_macro"), F.col("n")),
-        F.struct(F.lit("weighted avg").alias("row"), F.col("precision_weighted"), F.col("recall_weighted"),
-                 F.col("f1_weighted"), F.col("n")))))
+        item("accuracy", none, none, F.col("accuracy")),
+        item("macro avg", F.col("precision_macro"), F.col("recall_macro"), F.col("f1_macro")),
+        item("weighted avg", F.col("precision_weighted"), F.col("recall_weighted"), F.col("f1_weighted")))))
     return rows.unionByName(extra)
 
 

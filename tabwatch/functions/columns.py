@@ -77,3 +77,15 @@ def hash_order(seed, key_cols) -> Column:
 def hash_unit(h) -> Column:
     """First 32 bits of an md5 hex string as a number in [0, 2^32)."""
     return F.conv(F.substring(col_(h), 1, 8), 16, 10).cast("long")
+
+
+def round_half_away(c, digits: int = 6) -> Column:
+    """Round the binary double half away from zero: sign(x) * floor(|x| * 10^d + 0.5) / 10^d.
+
+    ``F.round`` rounds the decimal text of the double (HALF_UP), so a value such as
+    333/640 = 0.5203125 rounds differently from engines that round the binary value.
+    This form is bit-identical with SQL ``round`` in DuckDB.
+    """
+    c = col_(c)
+    scale = float(10 ** digits)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale

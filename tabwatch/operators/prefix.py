@@ -15,20 +15,46 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
+LINEAR_SEARCH_MAX = 64   # up to this many edges a linear scan beats the binary search
+MAX_BUCKETS = 16384
 
 
-def _bucket_count(df: DataFrame, buckets: int | None, rows_per_bucket: int) -> int:
-    if buckets is not None:
-        return max(1, int(buckets))
-    # One cheap count of the aggregated frame decides how finely to cut.
-    n = df.count()
-    return max(1, math.ceil(n / rows_per_bucket))
+def bucket_count(df: DataFrame, buckets: int | None) -> int:
+    """Buckets per group: explicit, else ``spark.sql.shuffle.partitions`` (the cluster's own sizing
+    knob for data volume), so no extra counting job is needed."""
+    if buckets is None:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(int(buckets), MAX_BUCKETS))
+
+
+def edge_index(edges, value) -> F.Column:
+    """Number of edges strictly below ``value`` (edges sorted ascending).
+
+    Linear scan for short edge arrays; otherwise a binary search written as a fold over
+    ceil(log2(n + 1)) steps, so the cost per row is logarithmic in the bucket count.
+    """
+    edges = F.col(edges) if isinstance(edges, str) else edges
+    value = F.col(value) if isinstance(value, str) else value
+    return F.size(F.filter(edges, lambda e: e < value))
+
+
+def _edge_index_bsearch(edges: F.Column, value: F.Column, n_edges: int) -> F.Column:
+    steps = max(1, math.ceil(math.log2(n_edges + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        below = F.element_at(edges, mid + 1) < value
+        nxt = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, nxt).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
 def running_totals(df: DataFrame, group, order: str, measures, *, descending: bool = False,
-                   buckets: int | None = None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                   prefix: str = "cum_") -> DataFrame:
+                   buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<m>``: inclusive running sum of each measure within ``group`` ordered by ``order``.
 
     ``df`` must hold at most one row per (group, order) value; aggregate first so that a hot
@@ -39,10 +65,9 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
     if not group:
         # A constant group key keeps one code path (joins stay equi-joins).
         out = running_totals(df.withColumn("_g0", F.lit(0)), ["_g0"], order, measures,
-                             descending=descending, buckets=buckets,
-                             rows_per_bucket=rows_per_bucket, prefix=prefix)
+                             descending=descending, buckets=buckets, prefix=prefix)
         return out.drop("_g0")
-    nb = _bucket_count(df, buckets, rows_per_bucket)
+    nb = bucket_count(df, buckets)
     ordc = F.col(order).desc() if descending else F.col(order).asc()
     if nb <= 1:
         w = Window.partitionBy(*group).orderBy(ordc).rowsBetween(Window.unboundedPreceding,
@@ -54,7 +79,10 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
         F.percentile_approx(order, probs, max(10_000, 10 * nb)).alias("_edges"))
     # Edges table: one row per group holding nb-1 doubles; the join is size-checked by AQE.
     b = df.join(edges, on=group, how="left")
-    bucket = F.size(F.filter("_edges", lambda e: e < F.col(order)))
+    if nb - 1 <= LINEAR_SEARCH_MAX:
+        bucket = edge_index("_edges", order)
+    else:
+        bucket = _edge_index_bsearch(F.col("_edges"), F.col(order), nb - 1)
     if descending:
         bucket = F.lit(nb - 1) - bucket
     b = b.withColumn("_bucket", bucket.cast("int")).drop("_edges")

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwatch.functions.columns import round_half_away
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -31,8 +33,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def r6(c, digits: int = 6):
-    """Round a double result for cross-engine comparison (last-bit differences)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Round a double result for cross-engine comparison (last-bit differences), the way SQL
+    ``round`` does on the binary value (see ``round_half_away``)."""
+    return round_half_away(c, digits)
 
 
 # lineitem with some NULLs made (the test data has none): l_tax is NULL when l_orderkey % 17 = 0

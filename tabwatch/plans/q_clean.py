@@ -109,7 +109,7 @@ def ramps(df):
     x = F.least(F.col("l_extendedprice") / 110000.0, F.lit(1.0))
     s = [1.0 - x, 1.0 - F.abs(2.0 * x - 1.0), x]
     tot = s[0] + s[1] + s[2]
-    return df.withColumn("scores", F.array(*[F.round(v / tot, 6) for v in s]))
+    return df.withColumn("scores", F.array(*[r6(v / tot) for v in s]))
 
 
 @register("decode_class", f"""

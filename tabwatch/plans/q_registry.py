@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from tabwatch.operators import registry as R
 from tabwatch.plans.catalog import r6, register, table
 
-_BASE = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+def _base():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def versions(spark, sf):
     p = table(spark, sf, "part")
     return p.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("version"),
                     F.concat(F.lit("run-"), F.col("p_partkey").cast("string")).alias("run_id"),
-                    (_BASE + F.make_dt_interval(F.lit(0), F.lit(0), F.col("p_partkey").cast("int"))).alias("created_at"))
+                    (_base() + F.make_dt_interval(F.lit(0), F.lit(0), F.col("p_partkey").cast("int"))).alias("created_at"))
 
 
 def run_metrics(spark, sf):
@@ -34,7 +36,7 @@ def run_metrics(spark, sf):
 def aliases(spark, sf):
     p = table(spark, sf, "part").where((F.col("p_type") == "PROMO") & (F.col("p_size") >= 48))
     return p.select(F.col("p_brand").alias("name"), F.lit("champion").alias("alias"), F.col("p_partkey").alias("version"),
-                    (_BASE + F.make_dt_interval(F.lit(0), F.lit(1), F.col("p_partkey").cast("int"))).alias("set_at"))
+                    (_base() + F.make_dt_interval(F.lit(0), F.lit(1), F.col("p_partkey").cast("int"))).alias("set_at"))
 
 
 VERSIONS_SQL = ("(SELECT p_brand AS name, p_partkey AS version, 'run-' || CAST(p_partkey AS VARCHAR) AS run_id, "

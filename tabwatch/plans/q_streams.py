@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwatch.operators import score as S
-from tabwatch.plans.catalog import LI_FEATURES, LI_KEY, lineitem_frame, register
+from tabwatch.plans.catalog import LI_FEATURES, LI_KEY, lineitem_frame, r6, register
 from tabwatch.session import scratch_path
 from tabwatch.streaming import streams as ST
 
@@ -65,7 +65,7 @@ def q_alert_state_stream(spark, sf):
     src = _as_stream(spark, alert_samples(spark, sf), "alert-samples-in")
     out = ST.alert_state_stream(src)
     got = _sink(spark, out, "alert-state")
-    return got.select("rule", "series", F.col("t").cast("timestamp_ntz").alias("t"), F.round("value", 6).alias("value"),
+    return got.select("rule", "series", F.col("t").cast("timestamp_ntz").alias("t"), r6("value").alias("value"),
                       F.col("island_start").cast("timestamp_ntz").alias("island_start"), "state", "severity")
 
 
@@ -74,5 +74,5 @@ def q_request_metrics_stream(spark, sf):
     from tabwatch.plans.q_metrics import request_log
     src = _as_stream(spark, request_log(spark, sf), "request-log-in")
     got = _sink(spark, ST.request_metrics_stream(src), "request-metrics")
-    return got.select("window_start", "method", "path", "requests", "errors", F.round("duration_sum", 6).alias(
+    return got.select("window_start", "method", "path", "requests", "errors", r6("duration_sum").alias(
         "duration_sum"))

@@ -41,7 +41,7 @@ def _fit_predict(spark, sf, family, params):
     model = TR.make_estimator(family, params, n_rows=df.count()).fit(df)
     out = TR.predict_with_proba(model, df)
     return out.select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias(
-        "prediction"), F.transform("proba", lambda x: F.round(x, 6)).alias("proba"))
+        "prediction"), F.transform("proba", lambda x: r6(x)).alias("proba"))
 
 
 @register("train_logistic")

@@ -24,8 +24,13 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, features, **kw) -> DataFrame:
     sums -> max |F_ref - F_cur|. No per-feature collect; ties stay whole.
     """
     feats = list(features)
-    lr = to_long(ref, feats).withColumn("_side", F.lit(0))
-    lc = to_long(cur, feats).withColumn("_side", F.lit(1))
+    return ks_two_sample_long(to_long(ref, feats), to_long(cur, feats), **kw)
+
+
+def ks_two_sample_long(ref_long: DataFrame, cur_long: DataFrame, **kw) -> DataFrame:
+    """I1 on long frames (feature, value): e.g. current features expanded from JSON."""
+    lr = ref_long.select("feature", F.col("value").cast("double").alias("value"), F.lit(0).alias("_side"))
+    lc = cur_long.select("feature", F.col("value").cast("double").alias("value"), F.lit(1).alias("_side"))
     u = lr.unionByName(lc).where(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = u.groupBy("feature", "value").agg(
         F.count_if(F.col("_side") == 0).alias("c_ref"), F.count_if(F.col("_side") == 1).alias("c_cur"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_sources", "q_clean", "q_prepare", "q_profile", "q_evaluate", "q_monitor", "q_score",
+_MODULES = ("q_sources", "q_clean", "q_prepare", "q_profile", "q_evaluate", "q_monitor", "q_score", "q_jobs",
             "q_metrics", "q_registry", "q_train", "q_checks", "q_streams")
 
 

@@ -89,3 +89,17 @@ def round_half_away(c, digits: int = 6) -> Column:
     c = col_(c)
     scale = float(10 ** digits)
     return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
+
+
+def case_lookup(key, values: dict, cast: str = "double") -> Column:
+    """Literal per-key lookup as a CASE chain (keys bounded by the feature / label count).
+
+    Used instead of ``create_map(...)[key]``, whose generated code does not compile in some
+    aggregation contexts (the plan then falls back to interpreted evaluation).
+    """
+    key = col_(key)
+    out = None
+    for k, v in values.items():
+        lit = F.lit(v).cast(cast)
+        out = F.when(key == F.lit(k), lit) if out is None else out.when(key == F.lit(k), lit)
+    return out if out is not None else F.lit(None).cast(cast)

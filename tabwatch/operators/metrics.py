@@ -106,15 +106,18 @@ def error_ratio(log: DataFrame, threshold: float = 0.05, floor_rate: float = 0.0
                     ratio.alias("error_ratio"), (ratio > threshold).alias("breach"))
 
 
-def with_histogram_quantile(df: DataFrame, q: float, cum: str, bounds, out: str) -> DataFrame:
-    """Prometheus histogram_quantile on an array column of cumulative counts (last = +Inf bucket).
+def with_histogram_quantile(df: DataFrame, q: float, cum_cols, bounds, out: str) -> DataFrame:
+    """Prometheus histogram_quantile over cumulative bucket count columns (last = +Inf bucket).
 
-    Staged projections so the bucket search runs once per row.
+    The bucket holding the rank is found by summing one comparison per bucket (the bucket list
+    is fixed), so the expression stays inside whole-stage codegen (no lambdas).
     """
     nb = len(bounds)
+    cum = F.array(*[F.col(c) for c in cum_cols])
     b = F.array(*[F.lit(float(x)) for x in bounds])
-    s1 = df.withColumn("_total", F.element_at(cum, nb + 1)).withColumn("_rank", F.lit(q) * F.col("_total"))
-    s2 = s1.withColumn("_idx", F.size(F.filter(F.slice(cum, 1, nb), lambda x: x < F.col("_rank"))))
+    s1 = df.withColumn("_total", F.col(cum_cols[-1]).cast("double")).withColumn("_rank", F.lit(q) * F.col("_total"))
+    idx_expr = sum((F.col(c) < F.col("_rank")).cast("int") for c in cum_cols[:nb])
+    s2 = s1.withColumn("_idx", idx_expr)
     idx = F.col("_idx")
     s3 = s2.select("*", F.when(idx == 0, F.lit(0)).otherwise(F.element_at(cum, F.greatest(idx, F.lit(1)))).alias("_below"),
                    F.when(idx == 0, F.lit(0.0)).otherwise(F.element_at(b, F.greatest(idx, F.lit(1)))).alias("_lower"),
@@ -135,8 +138,7 @@ def latency_p95_buckets(log: DataFrame, q: float = 0.95, threshold: float = 2.0,
     aggs = [F.count_if(d <= b).alias(names[i]) for i, b in enumerate(LATENCY_BUCKETS)]
     aggs.append(F.count(F.lit(1)).alias("_b_inf"))
     w = _windowed(_per_step(log, aggs, (), step), names, (), step, range_s)
-    w = w.select("t", F.array(*[F.col(n) for n in names]).alias("_cum"))
-    p = with_histogram_quantile(w, q, "_cum", LATENCY_BUCKETS, "latency_p95_seconds")
+    p = with_histogram_quantile(w, q, names, LATENCY_BUCKETS, "latency_p95_seconds")
     return p.select(to_ntz(F.col("t")).alias("t"), "latency_p95_seconds",
                     (F.col("latency_p95_seconds") > threshold).alias("breach"))
 

@@ -19,11 +19,27 @@ LINEAR_SEARCH_MAX = 64   # up to this many edges a linear scan beats the binary
 MAX_BUCKETS = 16384
 
 
+BYTES_PER_BUCKET = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the frame (an upper bound from file sizes; no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001  (no JVM plan access, e.g. Spark Connect)
+        return None
+
+
 def bucket_count(df: DataFrame, buckets: int | None) -> int:
-    """Buckets per group: explicit, else ``spark.sql.shuffle.partitions`` (the cluster's own sizing
-    knob for data volume), so no extra counting job is needed."""
+    """Buckets per group: explicit, else from Catalyst's size estimate (about 128 MB of input per
+    bucket, so no counting job is needed); when no estimate is available,
+    ``spark.sql.shuffle.partitions`` (the cluster's own sizing knob)."""
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        size = estimated_bytes(df)
+        if size is None:
+            buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        else:
+            buckets = math.ceil(size / BYTES_PER_BUCKET)
     return max(1, min(int(buckets), MAX_BUCKETS))
 
 

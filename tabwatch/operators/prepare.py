@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.functions.columns import clip, hash_order, hash_unit
+from tabwatch.functions.columns import case_lookup, clip, hash_order, hash_unit
 from tabwatch.functions.reshape import to_long
 from tabwatch.operators.prefix import quantiles_wide
 from tabwatch.spec import SplitConfig
@@ -177,22 +177,68 @@ def scale(df: DataFrame, params, features=None) -> DataFrame:
                            for c in features if c in p})
 
 
+def feature_value_counts(df: DataFrame, features) -> DataFrame:
+    """(feature, value, _n): one row per distinct value per feature, plus one NULL-value row per
+    feature holding its missing count (NaN counts as missing). Map-side combined."""
+    long = to_long(df, features)
+    v = F.when(~F.isnan("value"), F.col("value"))
+    return long.select("feature", v.alias("value")).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _lookup(values: dict, key: str = "feature"):
+    """Per-feature literal lookup (values bounded by the feature count)."""
+    return case_lookup(key, values)
+
+
 def fit_preparation(train: DataFrame, features, multiplier: float = 1.5, scaling: str = "standard",
                     **kw) -> DataFrame:
     """C8 fit: median -> IQR bounds on imputed train -> scaler on clipped train.
 
-    Three aggregate passes; returns the params table
-    (feature, median, q1, q3, lower, upper, center, scale).
+    ONE scan of the training data: everything is derived from the (feature, value, count)
+    table. Imputation turns the NULL row into the median's count, clipping maps values onto the
+    bounds, and the scaler moments are count-weighted (mean first, then centred squares).
+    Returns the params table (feature, median, q1, q3, lower, upper, center, scale).
     """
-    features = list(features)
-    med = fit_median(train, features, **kw)
-    med_p = _params(med)
-    imputed = impute_median(train, med_p, features)
-    bounds = fit_iqr_bounds(imputed, features, multiplier, **kw)
-    b_p = _params(bounds)
-    clipped = clip_iqr(imputed, b_p, features)
-    sc = fit_scaler(clipped, features, scaling)
-    return med.join(bounds, "feature").join(sc, "feature")
+    if scaling not in ("standard", "minmax", "none"):
+        raise ValueError(f"unknown scaling option: {scaling!r}")
+    feats = list(features)
+    counts = feature_value_counts(train, feats).persist()
+    try:
+        present = counts.where(F.col("value").isNotNull())
+        med = {r["feature"]: r["median"] for r in
+               quantiles_wide(present, ["feature"], "value", [0.5], ["median"], value_counts=True, **kw).collect()}
+        imputed = (counts.select("feature", F.coalesce("value", _lookup(med)).alias("value"), "_n")
+                   .where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.sum("_n").alias("_n")))
+        q = {r["feature"]: (r["q1"], r["q3"]) for r in
+             quantiles_wide(imputed, ["feature"], "value", [0.25, 0.75], ["q1", "q3"], value_counts=True,
+                            **kw).collect()}
+        lower = {f: q1 - multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
+        upper = {f: q3 + multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
+        clipped = imputed.select("feature", clip("value", _lookup(lower), _lookup(upper)).alias("value"), "_n")
+        m1 = {r["feature"]: r for r in clipped.groupBy("feature").agg(
+            (F.sum(F.col("_n") * F.col("value")) / F.sum("_n")).alias("mean"), F.min("value").alias("lo"),
+            F.max("value").alias("hi")).collect()}
+        mean = {f: r["mean"] for f, r in m1.items()}
+        var = {r["feature"]: r["var"] for r in clipped.groupBy("feature").agg(
+            (F.sum(F.col("_n") * (F.col("value") - _lookup(mean)) ** 2) / F.sum("_n")).alias("var")).collect()}
+    finally:
+        counts.unpersist()
+    rows = []
+    for f in feats:
+        if f not in q:
+            continue
+        const = m1[f]["lo"] == m1[f]["hi"]
+        if scaling == "standard":
+            center, scale_ = mean[f], 1.0 if const else var[f] ** 0.5
+        elif scaling == "minmax":
+            center, scale_ = m1[f]["lo"], 1.0 if const else m1[f]["hi"] - m1[f]["lo"]
+        else:
+            center, scale_ = 0.0, 1.0
+        rows.append((f, float(med[f]), float(q[f][0]), float(q[f][1]), float(lower[f]), float(upper[f]),
+                     float(center), float(scale_)))
+    return train.sparkSession.createDataFrame(
+        rows, "feature string, median double, q1 double, q3 double, lower double, upper double, center double, "
+              "scale double")
 
 
 def apply_preparation(df: DataFrame, params, features=None, keep=()) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.functions.columns import safe_div
+from tabwatch.functions.columns import case_lookup, safe_div
 from tabwatch.functions.reshape import to_long
 from tabwatch.operators.clean import duplicate_rows  # noqa: F401  (D7 lives with B6)
 from tabwatch.operators.prefix import quantiles_wide
@@ -89,17 +89,16 @@ def min_max(df: DataFrame, features) -> DataFrame:
 
 def _bin(x, lo, hi, n: int):
     """Equal-width bin 1..n over [lo, hi], last bin closed; constant column -> bin 1."""
-    b = F.floor(safe_div((x - lo) * n, hi - lo)) + 1
-    return F.least(F.coalesce(b, F.lit(1)), F.lit(n)).cast("int")
+    b = F.when(hi > lo, F.floor((x - lo) * n / (hi - lo)) + 1).otherwise(F.lit(1))
+    return F.least(b, F.lit(n)).cast("int")
 
 
 def histogram(df: DataFrame, features, bins: int = 30) -> DataFrame:
     """(feature, bin, bin_lower, bin_upper, count) per feature, NULLs skipped."""
     mm = {r["feature"]: (r["min"], r["max"]) for r in min_max(df, features).collect()}
     long = to_long(df, features).where(F.col("value").isNotNull())
-    lo = F.create_map(*[x for c in features for x in (F.lit(c), F.lit(mm[c][0]))])
-    hi = F.create_map(*[x for c in features for x in (F.lit(c), F.lit(mm[c][1]))])
-    long = long.withColumn("_lo", lo[F.col("feature")]).withColumn("_hi", hi[F.col("feature")])
+    long = long.withColumn("_lo", case_lookup("feature", {c: mm[c][0] for c in features})).withColumn(
+        "_hi", case_lookup("feature", {c: mm[c][1] for c in features}))
     long = long.withColumn("bin", _bin(F.col("value"), F.col("_lo"), F.col("_hi"), bins))
     width = (F.col("_hi") - F.col("_lo")) / bins
     g = long.groupBy("feature", "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
@@ -189,9 +188,9 @@ def pair_density(df: DataFrame, features, target: str, bins: int = 20) -> DataFr
     """Counts on a (feature bin x target) grid, the scalable form of a scatter plot."""
     mm = {r["feature"]: (r["min"], r["max"]) for r in min_max(df, features).collect()}
     long = to_long(df.where(F.col(target).isNotNull()), features, ids=[target]).where(F.col("value").isNotNull())
-    lo = F.create_map(*[x for c in features for x in (F.lit(c), F.lit(mm[c][0]))])
-    hi = F.create_map(*[x for c in features for x in (F.lit(c), F.lit(mm[c][1]))])
-    long = long.withColumn("x_bin", _bin(F.col("value"), lo[F.col("feature")], hi[F.col("feature")], bins))
+    lo = case_lookup("feature", {c: mm[c][0] for c in features})
+    hi = case_lookup("feature", {c: mm[c][1] for c in features})
+    long = long.withColumn("x_bin", _bin(F.col("value"), lo, hi, bins))
     return long.groupBy("feature", "x_bin", target).agg(F.count(F.lit(1)).alias("count"))
 
 

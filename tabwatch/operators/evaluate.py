@@ -122,34 +122,35 @@ def _score_counts(ovr: DataFrame) -> DataFrame:
                                              F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
-def roc_points(ovr: DataFrame, **kw) -> DataFrame:
-    """(class, score, pos, neg, tps, fps, idx): cumulative counts at each distinct score, descending."""
+def roc_points(ovr: DataFrame, lead=(), **kw) -> DataFrame:
+    """(class, score, pos, neg, tps, fps, idx[, next_pos, next_neg]): cumulative counts at each
+    distinct score, descending, from ONE (bucketed) prefix-sum pass."""
     sc = _score_counts(ovr).withColumn("_one", F.lit(1).cast("long"))
-    rt = running_totals(sc, ["class"], "score", ["pos", "neg", "_one"], descending=True, **kw)
+    rt = running_totals(sc, ["class"], "score", ["pos", "neg", "_one"], descending=True, lead=lead, **kw)
     return rt.select("class", "score", "pos", "neg", F.col("cum_pos").alias("tps"),
-                     F.col("cum_neg").alias("fps"), F.col("cum__one").alias("idx"))
+                     F.col("cum_neg").alias("fps"), F.col("cum__one").alias("idx"),
+                     *[F.col("next_" + c) for c in lead])
+
+
+def _class_totals(ovr: DataFrame) -> DataFrame:
+    """(class, P, N) straight from the score counts (not from the prefix-sum table)."""
+    return _score_counts(ovr).groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
 
 
 def roc_curve(ovr: DataFrame, drop_intermediate: bool = True, **kw) -> DataFrame:
-    """(class, idx, threshold, fpr, tpr); starts at (0, 0) with threshold +inf.
+    """(class, threshold, fpr, tpr); starts at (0, 0) with threshold +inf.
 
-    Collinear interior points are dropped (second differences of fps and tps both 0);
-    neighbours come from equi-joins on idx +- 1, not from a per-class window.
+    An interior point is dropped when it is collinear with its neighbours: the second
+    differences of fps and tps are the changes of the per-score increments, so a point is kept
+    iff the next score's (pos, neg) differs from its own (first and last points always kept).
     """
-    pts = roc_points(ovr, **kw)
-    totals = pts.groupBy("class").agg(F.max("tps").alias("P"), F.max("fps").alias("N"))
+    pts = roc_points(ovr, lead=("pos", "neg"), **kw)
+    totals = _class_totals(ovr)
     if drop_intermediate:
-        prev = pts.select("class", (F.col("idx") + 1).alias("idx"), F.col("tps").alias("tps_p"),
-                          F.col("fps").alias("fps_p"))
-        nxt = pts.select("class", (F.col("idx") - 1).alias("idx"), F.col("tps").alias("tps_n"),
-                         F.col("fps").alias("fps_n"))
-        j = pts.join(prev, ["class", "idx"], "left").join(nxt, ["class", "idx"], "left")
-        keep = (F.col("tps_p").isNull() | F.col("tps_n").isNull()
-                | (F.col("fps_n") - 2 * F.col("fps") + F.col("fps_p") != 0)
-                | (F.col("tps_n") - 2 * F.col("tps") + F.col("tps_p") != 0))
-        pts = j.where(keep).select("class", "score", "tps", "fps")
-    else:
-        pts = pts.select("class", "score", "tps", "fps")
+        keep = ((F.col("idx") == 1) | F.col("next_pos").isNull()
+                | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
+        pts = pts.where(keep)
+    pts = pts.select("class", "score", "tps", "fps")
     origin = totals.select("class", F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("tps"),
                            F.lit(0).cast("long").alias("fps"))
     allp = pts.unionByName(origin).join(totals, "class")
@@ -161,8 +162,7 @@ def roc_curve(ovr: DataFrame, drop_intermediate: bool = True, **kw) -> DataFrame
 def roc_auc_per_class(ovr: DataFrame, **kw) -> DataFrame:
     """(class, auc, positives, negatives); ties count one half (Mann-Whitney)."""
     pts = roc_points(ovr, **kw)
-    totals = pts.groupBy("class").agg(F.max("tps").alias("P"), F.max("fps").alias("N"))
-    j = pts.join(totals, "class")
+    j = pts.join(_class_totals(ovr), "class")
     below = F.col("N") - F.col("fps")  # negatives with a strictly lower score
     area = F.sum(F.col("pos").cast("double") * (below.cast("double") + F.col("neg") / 2.0))
     return j.groupBy("class").agg(

@@ -70,25 +70,29 @@ def _edge_index_bsearch(edges: F.Column, value: F.Column, n_edges: int) -> F.Col
 
 
 def running_totals(df: DataFrame, group, order: str, measures, *, descending: bool = False,
-                   buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                   buckets: int | None = None, prefix: str = "cum_", lead=()) -> DataFrame:
     """Add ``cum_<m>``: inclusive running sum of each measure within ``group`` ordered by ``order``.
 
     ``df`` must hold at most one row per (group, order) value; aggregate first so that a hot
-    value is one row. ``order`` must be numeric for the bucketed path.
+    value is one row. ``order`` must be numeric for the bucketed path. ``lead`` columns get a
+    ``next_<c>`` column: the value on the next row in order (NULL on the last row of a group),
+    also across bucket boundaries.
     """
     group = list(group)
     measures = list(measures)
+    lead = list(lead)
     if not group:
         # A constant group key keeps one code path (joins stay equi-joins).
         out = running_totals(df.withColumn("_g0", F.lit(0)), ["_g0"], order, measures,
-                             descending=descending, buckets=buckets, prefix=prefix)
+                             descending=descending, buckets=buckets, prefix=prefix, lead=lead)
         return out.drop("_g0")
     nb = bucket_count(df, buckets)
     ordc = F.col(order).desc() if descending else F.col(order).asc()
     if nb <= 1:
-        w = Window.partitionBy(*group).orderBy(ordc).rowsBetween(Window.unboundedPreceding,
-                                                                Window.currentRow)
-        return df.select("*", *[F.sum(m).over(w).alias(prefix + m) for m in measures])
+        w = Window.partitionBy(*group).orderBy(ordc)
+        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(m).over(wr).alias(prefix + m) for m in measures],
+                         *[F.lead(c).over(w).alias("next_" + c) for c in lead])
 
     probs = [i / nb for i in range(1, nb)]
     edges = df.groupBy(*group).agg(
@@ -103,16 +107,25 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
         bucket = F.lit(nb - 1) - bucket
     b = b.withColumn("_bucket", bucket.cast("int")).drop("_edges")
 
-    totals = b.groupBy(*group, "_bucket").agg(*[F.sum(m).alias("_t_" + m) for m in measures])
-    wo = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_bucket",
-                            *[F.coalesce(F.sum("_t_" + m).over(wo), F.lit(0)).alias("_o_" + m)
-                              for m in measures])
-    b = b.join(offsets, on=group + ["_bucket"], how="inner")
-    wi = Window.partitionBy(*group, "_bucket").orderBy(ordc).rowsBetween(Window.unboundedPreceding,
-                                                                         Window.currentRow)
-    out = b.select("*", *[(F.col("_o_" + m) + F.sum(m).over(wi)).alias(prefix + m) for m in measures])
-    return out.drop("_bucket", *["_o_" + m for m in measures])
+    # Per (group, bucket): totals -> offsets of earlier buckets, and (for lead) the first row of
+    # the next non-empty bucket. Both tables have at most #groups x nb rows.
+    aggs = [F.sum(m).alias("_t_" + m) for m in measures]
+    if lead:
+        first = (F.max_by if descending else F.min_by)(F.struct(*[F.col(c) for c in lead]), F.col(order))
+        aggs.append(first.alias("_first"))
+    totals = b.groupBy(*group, "_bucket").agg(*aggs)
+    wb = Window.partitionBy(*group).orderBy("_bucket")
+    side_cols = [F.coalesce(F.sum("_t_" + m).over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                            F.lit(0)).alias("_o_" + m) for m in measures]
+    if lead:
+        side_cols.append(F.lead("_first").over(wb).alias("_nextfirst"))
+    side = totals.select(*group, "_bucket", *side_cols)
+    b = b.join(side, on=group + ["_bucket"], how="inner")
+    wi = Window.partitionBy(*group, "_bucket").orderBy(ordc)
+    wir = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = b.select("*", *[(F.col("_o_" + m) + F.sum(m).over(wir)).alias(prefix + m) for m in measures],
+                   *[F.coalesce(F.lead(c).over(wi), F.col("_nextfirst")[c]).alias("next_" + c) for c in lead])
+    return out.drop("_bucket", "_nextfirst", *["_o_" + m for m in measures])
 
 
 def positions(df: DataFrame, group, order: str, *, descending: bool = False, name: str = "pos",
@@ -132,14 +145,25 @@ def value_counts_long(df: DataFrame, group, value: str, weight: str | None = Non
 
 
 def exact_quantiles(df: DataFrame, group, value: str, probs, *, value_counts: bool = False,
-                    **kw) -> DataFrame:
+                    method: str = "auto", **kw) -> DataFrame:
     """Exact linear-interpolation quantiles per group (``percentile`` / ``quantile_cont``).
 
-    Returns (group..., p, q). Work is a distributed count per (group, value), bucketed prefix
-    sums and a join against the #groups x #probs x 2 target ranks; no group is collected.
+    Returns (group..., p, q). ``method``:
+      * "prefix": a distributed count per (group, value), bucketed prefix sums and a join against
+        the #groups x #probs x 2 target ranks; no group is ever collected in one task.
+      * "builtin": Spark's exact ``percentile`` aggregate (one pass; merges each group's
+        value->count map in one task, so only for inputs that fit a task).
+      * "auto": "builtin" when Catalyst's size estimate asks for a single bucket, else "prefix".
     """
     group = list(group)
     counts = df if value_counts else value_counts_long(df, group, value)
+    if method == "auto":
+        method = "builtin" if bucket_count(counts, kw.get("buckets")) <= 1 else "prefix"
+    if method == "builtin":
+        pct = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("_n"))
+        agg = counts.groupBy(*group).agg(pct.alias("_q"))
+        return agg.select(*group, F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+                                                         F.col("_q").alias("q"))))
     cum = running_totals(counts, group, value, ["_n"], **kw)
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     tg = ["_tg_" + g for g in group]

@@ -215,12 +215,13 @@ def fit_preparation(train: DataFrame, features, multiplier: float = 1.5, scaling
         lower = {f: q1 - multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
         upper = {f: q3 + multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
         clipped = imputed.select("feature", clip("value", _lookup(lower), _lookup(upper)).alias("value"), "_n")
+        # One pass: moments about the (known) median, which keeps the variance well conditioned.
+        d = F.col("value") - _lookup(med)
         m1 = {r["feature"]: r for r in clipped.groupBy("feature").agg(
-            (F.sum(F.col("_n") * F.col("value")) / F.sum("_n")).alias("mean"), F.min("value").alias("lo"),
-            F.max("value").alias("hi")).collect()}
-        mean = {f: r["mean"] for f, r in m1.items()}
-        var = {r["feature"]: r["var"] for r in clipped.groupBy("feature").agg(
-            (F.sum(F.col("_n") * (F.col("value") - _lookup(mean)) ** 2) / F.sum("_n")).alias("var")).collect()}
+            F.sum("_n").alias("n"), F.sum(F.col("_n") * d).alias("s1"), F.sum(F.col("_n") * d * d).alias("s2"),
+            F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+        mean = {f: med[f] + r["s1"] / r["n"] for f, r in m1.items()}
+        var = {f: max(r["s2"] / r["n"] - (r["s1"] / r["n"]) ** 2, 0.0) for f, r in m1.items()}
     finally:
         counts.unpersist()
     rows = []

@@ -54,3 +54,11 @@ def test_edge_index_bsearch_matches_linear(spark):
     df = spark.range(-5, 210).select((F.col("id") * 1.0).alias("v"), F.array(*[F.lit(e) for e in edges]).alias("e"))
     got = df.select(edge_index("e", "v").alias("a"), _edge_index_bsearch(F.col("e"), F.col("v"), len(edges)).alias("b"))
     assert got.where("a != b").count() == 0
+
+
+def test_lead_across_buckets(spark):
+    df = spark.range(0, 500).select(F.lit(1).alias("g"), (F.col("id") * 1.0).alias("v"), F.col("id").alias("x"))
+    for desc in (False, True):
+        a = running_totals(df, ["g"], "v", ["x"], descending=desc, buckets=1, lead=["x"])
+        b = running_totals(df, ["g"], "v", ["x"], descending=desc, buckets=9, lead=["x"])
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -24,3 +24,24 @@ def test_request_metrics_stream_equals_batch(spark):
     # the last windows stay open until the watermark passes them: stream is a subset of batch
     assert stream.exceptAll(batch).count() == 0
     assert stream.count() >= batch.count() - 25
+
+
+def test_score_stream_equals_batch(spark):
+    from tabwatch.operators import score as S
+    from tabwatch.plans.catalog import LI_FEATURES, LI_KEY
+    from tabwatch.plans.q_streams import q_score_stream
+    from tabwatch.plans.q_train import _scoring_model
+    li, params, model = _scoring_model(spark, SF_SMALL)
+    batch = S.score_batch(li, model, params, LI_FEATURES, keep=LI_KEY).select(*LI_KEY, "predicted_class")
+    stream = q_score_stream(spark, SF_SMALL).select(*LI_KEY, "predicted_class")
+    assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
+
+
+def test_feedback_stream_matches_batch_on_matched_rows(spark):
+    from tabwatch.plans.q_score import attached
+    from tabwatch.plans.q_streams import q_attach_feedback_stream
+    cols = ["prediction_id", "predicted_class", "actual_class", "is_correct"]
+    batch = attached(spark, SF_SMALL).where(F.col("actual_class").isNotNull()).select(*cols)
+    stream = q_attach_feedback_stream(spark, SF_SMALL).where(F.col("actual_class").isNotNull()).select(*cols)
+    # bound of 3650 days covers the data: every matched prediction resolves to the same feedback
+    assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0

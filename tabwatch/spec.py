@@ -1,7 +1,7 @@
 """Column specs, thresholds and the fixed values the results depend on.
 
 Operators never hard-code column names: they take a :class:`FeatureSpec` (or plain
-column lists). The reference's defaults are collected here as plain fixed values.
+column lists). The defaults are collected here as plain fixed values.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
-# Fixed values (must equal the reference's for equal results)
+# Fixed values (results depend on these exact values)
 # ---------------------------------------------------------------------------
 
 # Target label <-> class id of the three-class problem.

@@ -1,4 +1,4 @@
-"""Drift and retraining decisions (ideas of the reference's unit tests, on Spark)."""
+"""Drift and retraining decisions: same-distribution, shifted-distribution and policy cases, on Spark."""
 
 import numpy as np
 import pytest

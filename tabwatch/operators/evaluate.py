@@ -172,6 +172,7 @@ def roc_auc_per_class(ovr: DataFrame, **kw) -> DataFrame:
 
 def roc_auc_ovr_weighted(ovr: DataFrame, labels, **kw) -> DataFrame:
     """Prevalence-weighted mean of per-class AUCs; NULL + flag when a label is absent."""
+    kw.setdefault("max_groups", len(labels))
     auc = roc_auc_per_class(ovr, **kw)
     return auc.agg(
         F.when(F.count_if(F.col("positives") > 0) == len(labels),

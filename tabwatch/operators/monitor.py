@@ -24,6 +24,7 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, features, **kw) -> DataFrame:
     sums -> max |F_ref - F_cur|. No per-feature collect; ties stay whole.
     """
     feats = list(features)
+    kw.setdefault("max_groups", len(feats))
     return ks_two_sample_long(to_long(ref, feats), to_long(cur, feats), **kw)
 
 

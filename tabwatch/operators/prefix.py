@@ -69,8 +69,27 @@ def _edge_index_bsearch(edges: F.Column, value: F.Column, n_edges: int) -> F.Col
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
+EDGE_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _fixed_edges(edges: DataFrame, nb: int, max_groups: int | None) -> DataFrame:
+    """Make the bucket edges identical for every task that uses them, also after a failure.
+
+    Approximate-percentile sketches merge in shuffle-arrival order, so a recomputed edges stage
+    could differ slightly and put a row in another bucket than the offsets assumed. A broadcast
+    is built once on the driver and never recomputed: used when the caller bounds the number of
+    groups (features, classes); the table is then max_groups rows of nb-1 doubles. Otherwise the
+    edges are checkpointed to the shared folder and every recomputation reads the same files.
+    """
+    if max_groups is not None and max_groups * nb * 8 <= EDGE_BROADCAST_BYTES:
+        return F.broadcast(edges)
+    from tabwatch.session import materialize
+    return materialize(edges)
+
+
 def running_totals(df: DataFrame, group, order: str, measures, *, descending: bool = False,
-                   buckets: int | None = None, prefix: str = "cum_", lead=()) -> DataFrame:
+                   buckets: int | None = None, prefix: str = "cum_", lead=(),
+                   max_groups: int | None = None) -> DataFrame:
     """Add ``cum_<m>``: inclusive running sum of each measure within ``group`` ordered by ``order``.
 
     ``df`` must hold at most one row per (group, order) value; aggregate first so that a hot
@@ -84,7 +103,7 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
     if not group:
         # A constant group key keeps one code path (joins stay equi-joins).
         out = running_totals(df.withColumn("_g0", F.lit(0)), ["_g0"], order, measures,
-                             descending=descending, buckets=buckets, prefix=prefix, lead=lead)
+                             descending=descending, buckets=buckets, prefix=prefix, lead=lead, max_groups=1)
         return out.drop("_g0")
     nb = bucket_count(df, buckets)
     ordc = F.col(order).desc() if descending else F.col(order).asc()
@@ -97,8 +116,7 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
     probs = [i / nb for i in range(1, nb)]
     edges = df.groupBy(*group).agg(
         F.percentile_approx(order, probs, max(10_000, 10 * nb)).alias("_edges"))
-    # Edges table: one row per group holding nb-1 doubles; the join is size-checked by AQE.
-    b = df.join(edges, on=group, how="left")
+    b = df.join(_fixed_edges(edges, nb, max_groups), on=group, how="left")
     if nb - 1 <= LINEAR_SEARCH_MAX:
         bucket = edge_index("_edges", order)
     else:
@@ -159,6 +177,7 @@ def exact_quantiles(df: DataFrame, group, value: str, probs, *, value_counts: bo
     counts = df if value_counts else value_counts_long(df, group, value)
     if method == "auto":
         method = "builtin" if bucket_count(counts, kw.get("buckets")) <= 1 else "prefix"
+    kw.setdefault("max_groups", None)
     if method == "builtin":
         pct = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("_n"))
         agg = counts.groupBy(*group).agg(pct.alias("_q"))

@@ -107,6 +107,7 @@ def stratified_folds(df: DataFrame, label: str, key, k: int = 3, seed: int = 42,
 
 def fit_median(df: DataFrame, features, **kw) -> DataFrame:
     """(feature, median) exact, NULLs skipped."""
+    kw.setdefault("max_groups", len(features))
     return quantiles_wide(to_long(df, features), ["feature"], "value", [0.5], ["median"], **kw)
 
 
@@ -125,6 +126,7 @@ def impute_median(df: DataFrame, params, features=None) -> DataFrame:
 
 def fit_iqr_bounds(df: DataFrame, features, multiplier: float = 1.5, **kw) -> DataFrame:
     """(feature, q1, q3, lower, upper) with lower = q1 - m*iqr, upper = q3 + m*iqr."""
+    kw.setdefault("max_groups", len(features))
     q = quantiles_wide(to_long(df, features), ["feature"], "value", [0.25, 0.75], ["q1", "q3"], **kw)
     iqr = F.col("q3") - F.col("q1")
     return q.select("feature", "q1", "q3", (F.col("q1") - multiplier * iqr).alias("lower"),
@@ -202,6 +204,7 @@ def fit_preparation(train: DataFrame, features, multiplier: float = 1.5, scaling
     if scaling not in ("standard", "minmax", "none"):
         raise ValueError(f"unknown scaling option: {scaling!r}")
     feats = list(features)
+    kw.setdefault("max_groups", len(feats))
     counts = feature_value_counts(train, feats).persist()
     try:
         present = counts.where(F.col("value").isNotNull())

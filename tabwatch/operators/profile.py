@@ -73,6 +73,7 @@ def describe_numeric(df: DataFrame, features, **kw) -> DataFrame:
     stats = _inline(df.agg(*aggs), "feature", [
         (c, {"count": F.col(f"_c{i}"), "mean": F.col(f"_m{i}"), "std": F.col(f"_s{i}"),
              "min": F.col(f"_lo{i}"), "max": F.col(f"_hi{i}")}) for i, c in enumerate(features)])
+    kw.setdefault("max_groups", len(features))
     q = quantiles_wide(to_long(df, features), ["feature"], "value", [0.25, 0.5, 0.75],
                        ["q25", "q50", "q75"], **kw)
     return stats.join(q, "feature", "left").select("feature", "count", "mean", "std", "min", "q25", "q50",
@@ -140,6 +141,7 @@ def target_correlation(df: DataFrame, features, target: str) -> DataFrame:
 
 
 def _bounds(df: DataFrame, features, multiplier: float, **kw) -> dict:
+    kw.setdefault("max_groups", len(features))
     q = quantiles_wide(to_long(df, features), ["feature"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
                        **kw)
     out = {}

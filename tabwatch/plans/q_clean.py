@@ -91,7 +91,7 @@ def q_expand_json_features(spark, sf):
 
 
 @register("encode_json", """
-SELECT event_id, to_json({'value': value, 'user_id': user_id}) AS payload FROM events""")
+SELECT event_id, CAST(to_json({'value': value, 'user_id': user_id}) AS VARCHAR) AS payload FROM events""")
 def q_encode_json(spark, sf):
     ev = table(spark, sf, "events").select("event_id", F.struct("value", "user_id").alias("_s"))
     return B.encode_json(ev, {"payload": "_s"}).select("event_id", "payload")

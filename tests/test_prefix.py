@@ -62,3 +62,13 @@ def test_lead_across_buckets(spark):
         a = running_totals(df, ["g"], "v", ["x"], descending=desc, buckets=1, lead=["x"])
         b = running_totals(df, ["g"], "v", ["x"], descending=desc, buckets=9, lead=["x"])
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("max_groups", [None, 3])
+def test_fixed_edges_paths_agree(spark, max_groups):
+    """Broadcast edges (bounded groups) and checkpointed edges give the plain-window result."""
+    li = spark.read.parquet(f"{SF_MID}/lineitem.parquet")
+    counts = value_counts_long(to_long(li, COLS), ["feature"], "value")
+    plain = running_totals(counts, ["feature"], "value", ["_n"], buckets=1)
+    cut = running_totals(counts, ["feature"], "value", ["_n"], buckets=6, max_groups=max_groups)
+    assert plain.exceptAll(cut).count() == 0 and cut.exceptAll(plain).count() == 0

@@ -19,9 +19,9 @@ def _labels_df(spark, labels, name: str = "class") -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(int(x)) for x in labels])).alias(name))
 
 
-def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """(actual, predicted, count) for the pairs that occur; map-side combined."""
-    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
+def confusion_counts(df: DataFrame, actual: str, predicted: str, by=()) -> DataFrame:
+    """(by..., actual, predicted, count) for the pairs that occur; map-side combined."""
+    return df.groupBy(*by, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("count"))
 
 
@@ -36,24 +36,28 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels) -> Data
         "actual", "predicted", F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count"))
 
 
-def per_class_stats(cm: DataFrame, labels=None) -> DataFrame:
-    """(class, tp, support, predicted_count, precision, recall, f1) from confusion counts.
+def per_class_stats(cm: DataFrame, labels=None, by=()) -> DataFrame:
+    """(by..., class, tp, support, predicted_count, precision, recall, f1) from confusion counts.
 
     labels=None -> classes present in actual or predicted (sklearn's default label set);
     otherwise exactly the given list (absent classes get zeros).
     """
     spark = cm.sparkSession
-    a = cm.groupBy(F.col("actual").alias("class")).agg(
+    by = list(by)
+    a = cm.groupBy(*by, F.col("actual").alias("class")).agg(
         F.sum("count").alias("support"),
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)).alias("tp"))
-    p = cm.groupBy(F.col("predicted").alias("class")).agg(F.sum("count").alias("predicted_count"))
+    p = cm.groupBy(*by, F.col("predicted").alias("class")).agg(F.sum("count").alias("predicted_count"))
     if labels is None:
-        classes = a.select("class").union(p.select("class")).distinct()
+        classes = a.select(*by, "class").union(p.select(*by, "class")).distinct()
+    elif by:
+        groups = cm.select(*by).distinct()
+        classes = groups.withColumn("class", F.explode(F.array(*[F.lit(int(x)) for x in labels])))
     else:
         classes = _labels_df(spark, labels)
-    s = classes.join(a, "class", "left").join(p, "class", "left").select(
-        "class", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "support",
-                                                                                 "predicted_count")])
+    s = classes.join(a, by + ["class"], "left").join(p, by + ["class"], "left").select(
+        *by, "class", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "support",
+                                                                                      "predicted_count")])
     return s.select("*",
                     F.coalesce(safe_div(F.col("tp"), F.col("predicted_count")), F.lit(0.0)).alias("precision"),
                     F.coalesce(safe_div(F.col("tp"), F.col("support")), F.lit(0.0)).alias("recall"),
@@ -61,9 +65,9 @@ def per_class_stats(cm: DataFrame, labels=None) -> DataFrame:
                                F.lit(0.0)).alias("f1"))
 
 
-def _summary(stats: DataFrame) -> DataFrame:
+def _summary(stats: DataFrame, by=()) -> DataFrame:
     n = F.sum("support")
-    return stats.agg(
+    return stats.groupBy(*by).agg(
         safe_div(F.sum("tp"), n).alias("accuracy"),
         F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"),
         F.avg("f1").alias("f1_macro"),
@@ -110,31 +114,32 @@ def classification_report(df: DataFrame, actual: str, predicted: str, labels, na
     return rows.unionByName(extra)
 
 
-def one_vs_rest(df: DataFrame, actual: str, scores: str, labels) -> DataFrame:
-    """(class, y, score) for every row and label; ``scores`` is array<double> in label order."""
+def one_vs_rest(df: DataFrame, actual: str, scores: str, labels, by=()) -> DataFrame:
+    """(by..., class, y, score) for every row and label; ``scores`` is array<double> in label order."""
     items = [F.struct(F.lit(int(c)).alias("class"), (F.col(actual) == c).cast("int").alias("y"),
                       F.col(scores)[i].cast("double").alias("score")) for i, c in enumerate(labels)]
-    return df.select(F.inline(F.array(*items)))
+    return df.select(*by, F.inline(F.array(*items)))
 
 
-def _score_counts(ovr: DataFrame) -> DataFrame:
-    return ovr.groupBy("class", "score").agg(F.sum("y").cast("long").alias("pos"),
-                                             F.sum(1 - F.col("y")).cast("long").alias("neg"))
+def _score_counts(ovr: DataFrame, by=()) -> DataFrame:
+    return ovr.groupBy(*by, "class", "score").agg(F.sum("y").cast("long").alias("pos"),
+                                                  F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
-def roc_points(ovr: DataFrame, lead=(), **kw) -> DataFrame:
-    """(class, score, pos, neg, tps, fps, idx[, next_pos, next_neg]): cumulative counts at each
-    distinct score, descending, from ONE (bucketed) prefix-sum pass."""
-    sc = _score_counts(ovr).withColumn("_one", F.lit(1).cast("long"))
-    rt = running_totals(sc, ["class"], "score", ["pos", "neg", "_one"], descending=True, lead=lead, **kw)
-    return rt.select("class", "score", "pos", "neg", F.col("cum_pos").alias("tps"),
+def roc_points(ovr: DataFrame, lead=(), by=(), **kw) -> DataFrame:
+    """(by..., class, score, pos, neg, tps, fps, idx[, next_pos, next_neg]): cumulative counts at
+    each distinct score, descending, from ONE (bucketed) prefix-sum pass."""
+    by = list(by)
+    sc = _score_counts(ovr, by).withColumn("_one", F.lit(1).cast("long"))
+    rt = running_totals(sc, by + ["class"], "score", ["pos", "neg", "_one"], descending=True, lead=lead, **kw)
+    return rt.select(*by, "class", "score", "pos", "neg", F.col("cum_pos").alias("tps"),
                      F.col("cum_neg").alias("fps"), F.col("cum__one").alias("idx"),
                      *[F.col("next_" + c) for c in lead])
 
 
-def _class_totals(ovr: DataFrame) -> DataFrame:
-    """(class, P, N) straight from the score counts (not from the prefix-sum table)."""
-    return _score_counts(ovr).groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+def _class_totals(ovr: DataFrame, by=()) -> DataFrame:
+    """(by..., class, P, N) straight from the score counts (not from the prefix-sum table)."""
+    return _score_counts(ovr, by).groupBy(*by, "class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
 
 
 def roc_curve(ovr: DataFrame, drop_intermediate: bool = True, **kw) -> DataFrame:
@@ -159,33 +164,38 @@ def roc_curve(ovr: DataFrame, drop_intermediate: bool = True, **kw) -> DataFrame
                        safe_div(F.col("tps"), F.col("P")).alias("tpr"))
 
 
-def roc_auc_per_class(ovr: DataFrame, **kw) -> DataFrame:
-    """(class, auc, positives, negatives); ties count one half (Mann-Whitney)."""
-    pts = roc_points(ovr, **kw)
-    j = pts.join(_class_totals(ovr), "class")
+def roc_auc_per_class(ovr: DataFrame, by=(), **kw) -> DataFrame:
+    """(by..., class, auc, positives, negatives); ties count one half (Mann-Whitney)."""
+    by = list(by)
+    pts = roc_points(ovr, by=by, **kw)
+    j = pts.join(_class_totals(ovr, by), by + ["class"])
     below = F.col("N") - F.col("fps")  # negatives with a strictly lower score
     area = F.sum(F.col("pos").cast("double") * (below.cast("double") + F.col("neg") / 2.0))
-    return j.groupBy("class").agg(
+    return j.groupBy(*by, "class").agg(
         safe_div(area, F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"),
         F.first("P").alias("positives"), F.first("N").alias("negatives"))
 
 
-def roc_auc_ovr_weighted(ovr: DataFrame, labels, **kw) -> DataFrame:
+def roc_auc_ovr_weighted(ovr: DataFrame, labels, by=(), **kw) -> DataFrame:
     """Prevalence-weighted mean of per-class AUCs; NULL + flag when a label is absent."""
-    kw.setdefault("max_groups", len(labels))
-    auc = roc_auc_per_class(ovr, **kw)
-    return auc.agg(
+    if not by:
+        kw.setdefault("max_groups", len(labels))
+    auc = roc_auc_per_class(ovr, by=by, **kw)
+    return auc.groupBy(*by).agg(
         F.when(F.count_if(F.col("positives") > 0) == len(labels),
                safe_div(F.sum(F.col("auc") * F.col("positives")), F.sum("positives"))).alias(
             "roc_auc_ovr_weighted"),
         (F.count_if(F.col("positives") > 0) < len(labels)).alias("auc_class_absent"))
 
 
-def classification_metrics(df: DataFrame, actual: str, predicted: str, scores: str, labels,
+def classification_metrics(df: DataFrame, actual: str, predicted: str, scores: str, labels, by=(),
                            **kw) -> DataFrame:
-    """The 8-metric row (+ ``auc_class_absent`` flag)."""
-    summ = _summary(per_class_stats(confusion_counts(df, actual, predicted)))
-    auc = roc_auc_ovr_weighted(one_vs_rest(df, actual, scores, labels), labels, **kw)
+    """The 8-metric row (+ ``auc_class_absent`` flag); one row per ``by`` group."""
+    by = list(by)
+    summ = _summary(per_class_stats(confusion_counts(df, actual, predicted, by), by=by), by)
+    auc = roc_auc_ovr_weighted(one_vs_rest(df, actual, scores, labels, by), labels, by=by, **kw)
+    if by:
+        return summ.drop("n").join(auc, by, "left")
     return _one_row_join(summ.drop("n"), auc)
 
 

@@ -128,31 +128,80 @@ class MacroF1Evaluator(Evaluator):
         return True
 
 
+CV_METRICS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "roc_auc_ovr_weighted")
+
+
 def cross_validate(df: DataFrame, family: str, candidates: list[dict], label: str = "label",
                    features: str = "features", fold_col: str = "fold", parallelism: int = 4, seed: int = 42,
-                   weight_col: str = "weight"):
-    """CV over the candidates with the given folds; refit the best on all rows.
+                   weight_col: str = "weight", labels=None, all_scores: bool = False):
+    """CV over the candidates with the given folds (E1); refit the best mean macro-F1 on all rows.
 
-    Returns (best_model, results DataFrame(candidate, params, mean_f1_macro, rank)).
+    Returns (best_model, results). results: one row per candidate with ``params``,
+    ``mean_test_f1_macro`` and ``rank_test_f1_macro`` (min rank on ties); with ``all_scores``
+    also mean / std of the five scores on the test and on the training folds, computed from the
+    per-fold sub-models in ONE grouped evaluation of all their predictions.
     """
-    n = df.count()
-    ests = [make_estimator(family, c, label, features, n, seed, weight_col) for c in candidates]
-    base = ests[0]
-    if isinstance(base, OneVsRest):
-        maps = [{base.classifier: e.getClassifier()} for e in ests]
-    else:
-        maps = [{base.getParam(p.name): v for p, v in e.extractParamMap().items()} for e in ests]
-    cv = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=MacroF1Evaluator(label, "prediction"),
-                        foldCol=fold_col, parallelism=parallelism, seed=seed)
-    model = cv.fit(df)
-    spark = df.sparkSession
-    rows = [(i, str(c), float(m)) for i, (c, m) in enumerate(zip(candidates, model.avgMetrics))]
-    res = spark.createDataFrame(rows, "candidate int, params string, mean_f1_macro double")
+    # Every fold fit and every score re-reads the training frame: keep it for the duration of the CV
+    # (a lost executor recomputes its blocks from lineage).
+    df = df.persist()
+    try:
+        n = df.count()
+        ests = [make_estimator(family, c, label, features, n, seed, weight_col) for c in candidates]
+        base = ests[0]
+        if isinstance(base, OneVsRest):
+            maps = [{base.classifier: e.getClassifier()} for e in ests]
+        else:
+            maps = [{base.getParam(p.name): v for p, v in e.extractParamMap().items()} for e in ests]
+        cv = CrossValidator(estimator=base, estimatorParamMaps=maps,
+                            evaluator=MacroF1Evaluator(label, "prediction"), foldCol=fold_col,
+                            parallelism=parallelism, seed=seed, collectSubModels=all_scores)
+        model = cv.fit(df)
+        spark = df.sparkSession
+        rows = [(i, str(c), float(m)) for i, (c, m) in enumerate(zip(candidates, model.avgMetrics))]
+        res = spark.createDataFrame(rows, "candidate int, params string, mean_test_f1_macro double")
+        if all_scores:
+            labels = labels if labels is not None else sorted(
+                r[0] for r in df.select(label).distinct().collect())  # the class list (small)
+            res = res.drop("mean_test_f1_macro").join(cv_fold_scores(df, model.subModels, label, fold_col, labels),
+                                                       "candidate", "left")
+    finally:
+        df.unpersist()
     from tabwatch.operators.registry import rank_candidates
-    res = rank_candidates(res, "mean_f1_macro", rank_col="rank_test_f1_macro", buckets=1)
+    res = rank_candidates(res, "mean_test_f1_macro", rank_col="rank_test_f1_macro", buckets=1)
     return model.bestModel, res
 
 
+def cv_fold_scores(df: DataFrame, sub_models, label: str, fold_col: str, labels) -> DataFrame:
+    """mean_/std_{test,train}_<metric> per candidate from every (fold, candidate) sub-model."""
+    from functools import reduce
+
+    from tabwatch.operators.evaluate import classification_metrics
+
+    parts = []
+    for f, models in enumerate(sub_models):
+        for i, m in enumerate(models):
+            # one transform per sub-model; its own fold is the test part, the others the train part
+            pred = predict_with_proba(m, df)
+            part = F.when(F.col(fold_col) == f, F.lit("test")).otherwise(F.lit("train"))
+            parts.append(pred.select(F.lit(i).alias("candidate"), F.lit(f).alias("fold"), part.alias("part"),
+                                     label, "prediction", "proba"))
+    preds = reduce(lambda a, b: a.unionByName(b), parts).persist()
+    try:
+        met = classification_metrics(preds, label, "prediction", "proba", labels, by=["candidate", "fold", "part"])
+        # candidates x folds x 2 rows: small, so the scores are kept as a local table
+        met = df.sparkSession.createDataFrame(met.collect(), met.schema)
+    finally:
+        preds.unpersist()
+    long = met.select("candidate", "part", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in CV_METRICS])))
+    g = long.groupBy("candidate").pivot("part", ["test", "train"]).agg(
+        *[F.avg(F.when(F.col("metric") == k, F.col("value"))).alias(f"mean_{k}") for k in CV_METRICS],
+        *[F.stddev_pop(F.when(F.col("metric") == k, F.col("value"))).alias(f"std_{k}") for k in CV_METRICS])
+    # pivot names are "<part>_<alias>": rename to sklearn-style mean_test_f1_macro etc.
+    renames = {f"{p}_{s}_{k}": f"{s}_{p}_{k}" for p in ("test", "train") for s in ("mean", "std") for k in CV_METRICS}
+    return g.withColumnsRenamed(renames)
+
+
 def training_summary(name: str, f1: float, run_id: str, path: str) -> dict:
     """E12."""
     return {"best_model_name": name, "best_validation_f1_macro": f1, "best_run_id": run_id, "model_path": path}

@@ -112,8 +112,9 @@ def _alert_fn(rules, step: int):
         if last_t is not None:
             # Drop the key once the watermark is an hour past its last sample.
             state.setTimeoutTimestamp(int(pd.Timestamp(last_t).value // 1_000_000) + 3_600_000)
-        cols = ["rule", "series", "t", "value", "island_start", "state", "severity"]
-        yield pd.DataFrame(out, columns=cols)
+        if out:
+            cols = ["rule", "series", "t", "value", "island_start", "state", "severity"]
+            yield pd.DataFrame(out, columns=cols)
 
     return fn
 

@@ -60,6 +60,13 @@ def register_version(versions: DataFrame, name: str, run_id: str, created_at) ->
                       F.lit(run_id).alias("run_id"), F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
 
 
+def set_alias(new_versions: DataFrame, alias: str = "champion", set_at=None) -> DataFrame:
+    """Alias history rows pointing ``alias`` at the given (name, version) rows (append them;
+    the current alias is the latest history row, so moving an alias never rewrites data)."""
+    at = F.lit(set_at).cast("timestamp_ntz") if set_at is not None else F.col("created_at")
+    return new_versions.select("name", F.lit(alias).alias("alias"), "version", at.alias("set_at"))
+
+
 def resolve_model(versions: DataFrame, aliases: DataFrame, alias: str = "champion") -> DataFrame:
     """Alias -> version, else highest integer version: (name, version, source)."""
     cur = current_aliases(aliases.where(F.col("alias") == alias)).select("name", F.col("version").alias("_av"))

@@ -137,3 +137,18 @@ def test_finite_check(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (math.inf,)], "x double")
     r = K.check_finite(df, ["x"]).collect()[0]
     assert r.passed is False and r.detail == "3"
+
+
+def test_register_version_and_move_alias(spark):
+    from tabwatch.operators import registry as R
+    versions = spark.createDataFrame([("m", 1, "r1", "2024-01-01"), ("m", 2, "r2", "2024-01-02")],
+                                     "name string, version long, run_id string, created_at string").withColumn(
+        "created_at", F.col("created_at").cast("timestamp_ntz"))
+    aliases = R.set_alias(versions.where("version = 1"))
+    new = R.register_version(versions, "m", "r3", "2024-01-03 00:00:00")
+    assert new.collect()[0].version == 3
+    versions = versions.unionByName(new)
+    aliases = aliases.unionByName(R.set_alias(new))
+    got = R.resolve_model(versions, aliases).collect()[0]
+    assert (got.version, got.source) == (3, "alias")
+    assert R.resolve_model(versions, aliases.where("version = 0")).collect()[0].source == "latest"

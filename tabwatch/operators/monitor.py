@@ -90,14 +90,6 @@ def drift_gate(report: DataFrame, config: DriftConfig = DriftConfig()) -> DataFr
                                               F.lit("insufficient_samples")).otherwise(F.lit("ok")))
 
 
-def recent_rows(df: DataFrame, ts: str, asof, days: int, limit: int | None, tie=()) -> DataFrame:
-    """A6 / I6 helper: rows in (asof - days, asof], newest first, top ``limit``."""
-    lo = F.lit(asof).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
-    sel = df.where((F.col(ts) >= lo) & (F.col(ts) <= F.lit(asof).cast("timestamp_ntz")))
-    sel = sel.orderBy(F.desc(ts), *[F.asc(t) for t in tie])
-    return sel.limit(limit) if limit else sel
-
-
 def latest_feedback(events: DataFrame, actual: str = "actual_class", predicted: str = "predicted_class",
                     at: str = "feedback_at", id_col: str = "prediction_id",
                     config: PerformanceConfig = PerformanceConfig()) -> DataFrame:

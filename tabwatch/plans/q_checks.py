@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tabwatch.operators import checks as K
 from tabwatch.plans.catalog import LI_FEATURES, LI_SQL, lineitem_frame, register, table
 from tabwatch.plans.q_evaluate import predictions
@@ -52,5 +50,3 @@ def q_check_reproducible(spark, sf):
     b = orders_split(spark, sf, buckets=3)   # different physical cut, same seed
     return K.check_reproducible(a, b)
 
-
-__all__ = ["F"]

@@ -177,5 +177,3 @@ SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey L
 def q_head_rows(spark, sf):
     return B.head_rows(table(spark, sf, "lineitem"), 10, LI_KEY)
 
-
-__all__ = ["r6"]

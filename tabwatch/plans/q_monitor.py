@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabwatch.operators import monitor as M
 from tabwatch.plans.catalog import LI_FEATURES, LI_SQL, lineitem_frame, r6, register, table
 from tabwatch.plans.q_score import ATTACHED_SQL, attached
-from tabwatch.spec import DriftConfig, PerformanceConfig
+from tabwatch.spec import PerformanceConfig
 
 EV_CUT = "2024-01-16"
 EV_FEATURES = ["value", "user_id", "k"]
@@ -237,5 +237,3 @@ def q_latest_non_null(spark, sf):
     return out.select(r6("drift_ratio").alias("drift_ratio"), r6("rolling_accuracy").alias("rolling_accuracy"),
                       "drift_detected")
 
-
-__all__ = ["DriftConfig"]

@@ -5,8 +5,6 @@ Target for the target-aware profiles: l_linenumber.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tabwatch.operators import clean as B
 from tabwatch.operators import profile as D
 from tabwatch.plans.catalog import LI_FEATURES, LI_SQL, lineitem_frame, r6, register, table

@@ -4,9 +4,7 @@ checkpoint folder (spark.checkpoint.dir), derived from the driver's tables, then
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabwatch.functions.columns import to_number
 from tabwatch.operators import clean as B
 from tabwatch.operators import prepare as P
 from tabwatch.operators.score import deterministic_id
@@ -150,5 +148,3 @@ def q_ingest_json_log(spark, sf):
     got = A.ingest_json_log(spark, path)
     return got.select("ts", "request_id", "method", "path", "status_code", r6("duration_ms").alias("duration_ms"))
 
-
-__all__ = ["T", "to_number"]

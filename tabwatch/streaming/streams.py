@@ -134,5 +134,3 @@ def alert_state_stream(samples: DataFrame, rules=DEFAULT_ALERT_RULES, delay: str
     return j.groupBy("rule", "series").applyInPandasWithState(
         _alert_fn(rules, step), ALERT_OUT_SCHEMA, ALERT_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
-
-__all__ = ["GroupState"]

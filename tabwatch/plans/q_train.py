@@ -70,7 +70,7 @@ def q_train_boosted(spark, sf):
 def q_cross_validate(spark, sf):
     df = training_frame(spark, sf)
     _, res = TR.cross_validate(df, "logistic_regression", TR.grid_candidates("logistic_regression", "fast"),
-                               parallelism=2)
+                               parallelism=4)
     return res.select("candidate", "params", r6("mean_test_f1_macro").alias("mean_test_f1_macro"),
                       "rank_test_f1_macro")
 
@@ -80,7 +80,7 @@ def q_write_cv_results(spark, sf):
     df = training_frame(spark, sf)
     _, res = TR.cross_validate(df, "decision_tree", [c for c in TR.grid_candidates("decision_tree", "fast")
                                                      if c["min_samples_split"] == 2 and c["class_weight"] is None],
-                               parallelism=2, labels=[0.0, 1.0, 2.0], all_scores=True)
+                               parallelism=4, labels=[0.0, 1.0, 2.0], all_scores=True)
     path = scratch_path(spark, "cv-results")
     A.write_cv_results(res, path)
     return spark.read.parquet(path)

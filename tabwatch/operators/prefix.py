@@ -20,6 +20,7 @@ MAX_BUCKETS = 16384
 
 
 BYTES_PER_BUCKET = 128 * 1024 * 1024
+BUILTIN_PERCENTILE_BYTES = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -171,12 +172,15 @@ def exact_quantiles(df: DataFrame, group, value: str, probs, *, value_counts: bo
         the #groups x #probs x 2 target ranks; no group is ever collected in one task.
       * "builtin": Spark's exact ``percentile`` aggregate (one pass; merges each group's
         value->count map in one task, so only for inputs that fit a task).
-      * "auto": "builtin" when Catalyst's size estimate asks for a single bucket, else "prefix".
+      * "auto": "builtin" when Catalyst's size estimate is at most 32 MB, else "prefix".
     """
     group = list(group)
     counts = df if value_counts else value_counts_long(df, group, value)
     if method == "auto":
-        method = "builtin" if bucket_count(counts, kw.get("buckets")) <= 1 else "prefix"
+        # percentile's per-group value map must fit one task: only for inputs estimated <= 32 MB
+        size = estimated_bytes(counts)
+        small = size is not None and size <= BUILTIN_PERCENTILE_BYTES
+        method = "builtin" if small and kw.get("buckets") in (None, 1) else "prefix"
     kw.setdefault("max_groups", None)
     if method == "builtin":
         pct = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("_n"))

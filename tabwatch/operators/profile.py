@@ -140,9 +140,9 @@ def target_correlation(df: DataFrame, features, target: str) -> DataFrame:
                    ).orderBy(F.desc_nulls_last("corr"), "feature")
 
 
-def _bounds(df: DataFrame, features, multiplier: float, **kw) -> dict:
+def _bounds_from_counts(present: DataFrame, features, multiplier: float, **kw) -> dict:
     kw.setdefault("max_groups", len(features))
-    q = quantiles_wide(to_long(df, features), ["feature"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+    q = quantiles_wide(present, ["feature"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], value_counts=True,
                        **kw)
     out = {}
     for r in q.collect():  # one row per feature
@@ -152,38 +152,48 @@ def _bounds(df: DataFrame, features, multiplier: float, **kw) -> dict:
     return out
 
 
+def _fenced_stats(df: DataFrame, features, multiplier: float, aggs_fn, **kw):
+    """One scan: the (feature, value, count) table gives the quartiles AND the per-feature
+    conditional sums / extremes against the fences. Returns (bounds, one local row per feature)."""
+    from tabwatch.operators.prepare import feature_value_counts
+    counts = feature_value_counts(df, features).persist()
+    try:
+        b = _bounds_from_counts(counts.where(F.col("value").isNotNull()), features, multiplier, **kw)
+        lo = case_lookup("feature", {c: v["lower"] for c, v in b.items()})
+        hi = case_lookup("feature", {c: v["upper"] for c, v in b.items()})
+        rows = {r["feature"]: r for r in counts.groupBy("feature").agg(*aggs_fn(F.col("value"), lo, hi)).collect()}
+    finally:
+        counts.unpersist()
+    return b, rows
+
+
 def outlier_counts(df: DataFrame, features, multiplier: float = 1.5, **kw) -> DataFrame:
-    """(feature, lower, upper, outliers, outlier_percent) descending by outliers."""
-    b = _bounds(df, features, multiplier, **kw)
-    feats = [c for c in features if c in b]
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(feats):
-        x = F.col(c)
-        aggs.append(F.count_if((x < b[c]["lower"]) | (x > b[c]["upper"])).alias(f"_o{i}"))
-    row = df.agg(*aggs)
-    res = _inline(row, "feature", [(c, {"lower": F.lit(b[c]["lower"]).cast("double"),
-                                        "upper": F.lit(b[c]["upper"]).cast("double"),
-                                        "outliers": F.col(f"_o{i}"),
-                                        "outlier_percent": safe_div(F.col(f"_o{i}") * 100.0, F.col("_n"))})
-                                   for i, c in enumerate(feats)])
+    """(feature, lower, upper, outliers, outlier_percent) descending by outliers. One data scan."""
+    def aggs(v, lo, hi):
+        return [F.sum("_n").alias("rows"),
+                F.sum(F.when((v < lo) | (v > hi), F.col("_n")).otherwise(0)).alias("outliers")]
+
+    b, rows = _fenced_stats(df, features, multiplier, aggs, **kw)
+    out = [(c, float(b[c]["lower"]), float(b[c]["upper"]), int(rows[c]["outliers"]),
+            rows[c]["outliers"] * 100.0 / rows[c]["rows"]) for c in features if c in b]
+    res = df.sparkSession.createDataFrame(
+        out, "feature string, lower double, upper double, outliers long, outlier_percent double")
     return res.orderBy(F.desc("outliers"), "feature")
 
 
 def boxplot_stats(df: DataFrame, features, multiplier: float = 1.5, **kw) -> DataFrame:
-    """Quartiles, whiskers (furthest data point inside the fences) and flier count."""
-    b = _bounds(df, features, multiplier, **kw)
-    feats = [c for c in features if c in b]
-    aggs = []
-    for i, c in enumerate(feats):
-        x = F.col(c).cast("double")
-        inside = (x >= b[c]["lower"]) & (x <= b[c]["upper"])
-        aggs += [F.min(F.when(inside, x)).alias(f"_wl{i}"), F.max(F.when(inside, x)).alias(f"_wh{i}"),
-                 F.count_if(x.isNotNull() & ~inside).alias(f"_f{i}")]
-    row = df.agg(*aggs)
-    return _inline(row, "feature", [(c, {
-        "q1": F.lit(b[c]["q1"]).cast("double"), "median": F.lit(b[c]["median"]).cast("double"),
-        "q3": F.lit(b[c]["q3"]).cast("double"), "whisker_low": F.col(f"_wl{i}"),
-        "whisker_high": F.col(f"_wh{i}"), "fliers": F.col(f"_f{i}")}) for i, c in enumerate(feats)])
+    """Quartiles, whiskers (furthest data point inside the fences) and flier count. One data scan."""
+    def aggs(v, lo, hi):
+        inside = (v >= lo) & (v <= hi)
+        return [F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
+                F.sum(F.when(v.isNotNull() & ~inside, F.col("_n")).otherwise(0)).alias("fliers")]
+
+    b, rows = _fenced_stats(df, features, multiplier, aggs, **kw)
+    out = [(c, float(b[c]["q1"]), float(b[c]["median"]), float(b[c]["q3"]), rows[c]["whisker_low"],
+            rows[c]["whisker_high"], int(rows[c]["fliers"])) for c in features if c in b]
+    return df.sparkSession.createDataFrame(
+        out, "feature string, q1 double, median double, q3 double, whisker_low double, whisker_high double, "
+             "fliers long")
 
 
 def pair_density(df: DataFrame, features, target: str, bins: int = 20) -> DataFrame:

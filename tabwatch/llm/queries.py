@@ -31,3 +31,24 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     write_tokens(table(spark, sf, "documents"), folder, vocabulary("byte_bpe_50k.json"), end_id=2)
     return read_documents(spark, folder)
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.counts import count_tokens
+
+    return count_tokens(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+@query
+def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf, "documents"))

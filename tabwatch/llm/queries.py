@@ -52,3 +52,13 @@ def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     from tabwatch.llm.mixing import mix_report
 
     return mix_report(table(spark, sf, "documents"))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.classifier import fit, score
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = fit(docs, labels.where(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label")))
+    return score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

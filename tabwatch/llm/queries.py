@@ -62,3 +62,10 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     model = fit(docs, labels.where(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label")))
     return score(docs, model).select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_top_k_search(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.topk import top_k
+
+    return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

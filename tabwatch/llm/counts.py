@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,16 +41,15 @@ def _sentence_piece(path: str):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda text: len(model.encode(text, num_threads=1))
+    return lambda texts: [len(model.encode(x.as_buffer().to_pybytes().decode("utf-8", "replace"), num_threads=1)) for x in texts]
 
 
 def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    count = _sentence_piece(path) if path.endswith(".model") else lambda text, enc=encoder(path): len(enc.ids(text)) // 4
+    count = _sentence_piece(path) if path.endswith(".model") else lambda texts, enc=encoder(path): list(map(len, enc.batch(texts)))
     for batch in batches:
-        texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(x) for x in texts], pa.int64()),
-            pa.array([count(x.decode("utf-8", "replace")) for x in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(count(batch.column(1)), pa.int64())],
+            names=["doc_id", "n_bytes", "n_tokens"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:

@@ -119,8 +119,8 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: bytes, most: in
             "chunks": levels[0], "bitmaps": levels[1], "ranks": levels[2]}], schema=schema)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = enc.ids(text.as_buffer().to_pybytes().decode("utf-8", "replace")) + end
+        for doc, found in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1))):
+            own = found.tobytes() + end
             docs.append(doc)
             ids.append(own)
             n += len(own) // 4

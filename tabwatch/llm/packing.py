@@ -75,8 +75,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: bytes)
              ("length", pa.int64()), ("ids_crc32", pa.int64())]
     for batch in batches:
         out = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = memoryview(enc.ids(text.as_buffer().to_pybytes().decode("utf-8", "replace")) + end)
+        for doc, found in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1))):
+            ids = memoryview(found.tobytes() + end)
             for piece, lo in enumerate(range(0, len(ids), 4 * size)):
                 own = ids[lo:lo + 4 * size]
                 out.append((uid, doc, piece, lo // 4, len(own) // 4, zlib.crc32(own)))

@@ -69,3 +69,10 @@ def op6_top_k_search(spark: SparkSession, sf: str) -> DataFrame:
     from tabwatch.llm.topk import top_k
 
     return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op5_cosine_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.vecjoin import range_join
+
+    return range_join(table(spark, sf, "embeddings"), 0.9)

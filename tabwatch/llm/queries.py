@@ -76,3 +76,10 @@ def op5_cosine_range_join(spark: SparkSession, sf: str) -> DataFrame:
     from tabwatch.llm.vecjoin import range_join
 
     return range_join(table(spark, sf, "embeddings"), 0.9)
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.tgm import jaccard_components
+
+    return jaccard_components(table(spark, sf, "documents"), k=4, percent=85)

@@ -83,3 +83,11 @@ def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     from tabwatch.llm.tgm import jaccard_components
 
     return jaccard_components(table(spark, sf, "documents"), k=4, percent=85)
+
+
+@query
+def op9_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.eftrie import score_texts
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    return score_texts(docs)

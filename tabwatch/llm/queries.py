@@ -91,3 +91,10 @@ def op9_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = table(spark, sf, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
     return score_texts(docs)
+
+
+@query
+def op4_tool_call_links(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.toolcalls import SCHEMAS, from_conversations, link_tool_calls
+
+    return link_tool_calls(from_conversations(table(spark, sf, "conversations")), SCHEMAS)

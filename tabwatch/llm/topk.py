@@ -11,7 +11,8 @@ d from the pivot, a point of the annulus [lo, hi] is at least max(lo - d, d - hi
 Search: a query first opens the ``FIRST`` annuli with the smallest bounds, which gives it a k-th
 best score; then it expands to every other annulus whose bound still allows that score or more,
 and to no other. Opened annuli meet their queries by a join on the annulus, in blocks.
-Scores are exact: products of doubles that hold integers, with sums below 2^53 (else in int64).
+Scores are exact while they fit a long: products of doubles that hold integers, with sums below
+2^53, else of 64-bit integers.
 """
 
 from __future__ import annotations

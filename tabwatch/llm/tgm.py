@@ -3,8 +3,9 @@
 A document's set holds 64-bit hashes of its distinct n-grams. Documents with equal sets are one
 class. Then:
 
-1. Groups: classes with the same min-hash form a group; inside a group, classes are compared
-   through an inverted index of the group and linked ones become one group component. A large
+1. Groups: classes that share a min-hash form a group; inside a group, classes are compared
+   through an inverted index of the group and linked ones become one group component. A second
+   round does the same for ``HASHES`` - 1 further min-hashes, in groups that still hold several. A large
    group is cut into parts by the size of its sets; what a cut separates is left to step 3.
 2. Matrix: each class gives the tokens of its prefix in a global order (tokens of crowded
    buckets of a count sketch over all documents last, then by hash); the matrix has one row for
@@ -37,13 +38,16 @@ from tabwatch.llm.common import bounded_broadcast, connected_components, prepare
 SKETCH_BITS = 21
 SLICES = 16
 EXTRA = 4
+#: Min-hashes of a set. Two sets of similarity J agree in none of them with probability (1 - J) ** HASHES.
+HASHES = 4
 #: Tokens of the members that one task indexes.
 PART_TOKENS = 4_000_000
+#: Groups in several parts (one row for each, some millions of tokens) up to which they are broadcast.
 MOST_PARTS = 200_000
 #: Bits of the filter that spares documents of no group; it only ever lets more through.
 FILTER_BITS = 23
 _U = np.uint64
-_SET = "kind int, doc_id long, n long, f1 long, f2 long, gid long, slice int, counts binary"
+_SET = "kind int, doc_id long, n long, f1 long, f2 long, gids array<long>, slice int, counts binary"
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -72,10 +76,13 @@ def _sum(x: np.ndarray) -> int:
     return int(x.sum(dtype=np.uint64).astype(np.int64)) if len(x) else 0
 
 
-def describe(s: np.ndarray) -> tuple[int, int, int, int]:
-    """Size, two sums and min-hash of a set."""
-    low = int(_mix(s, 0x5851F42D4C957F2D).min().astype(np.int64)) if len(s) else 0
-    return len(s), _sum(_mix(s, 0x2545F4914F6CDD1D)), _sum(_mix(s, 0x369DEA0F31A53F85)), low
+def key(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums of a set."""
+    return len(s), _sum(_mix(s, 0x2545F4914F6CDD1D)), _sum(_mix(s, 0x369DEA0F31A53F85))
+
+
+def min_hashes(s: np.ndarray, which=range(HASHES)) -> list[int]:
+    return [int(_mix(s, 0x5851F42D4C957F2D + 2 * k).min().astype(np.int64)) for k in which] if len(s) else []
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -89,16 +96,16 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "doc_id", "n", "f1", "f2", "gid", "slice", "counts"]
-    types = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.binary()]
+    names = ["kind", "doc_id", "n", "f1", "f2", "gids", "slice", "counts"]
+    types = [pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.int32(), pa.binary()]
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for ids, sets in _sets(batches, k):
         for s in sets:
             np.add.at(counts, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        yield _batch([(0, doc, *describe(s), None, None) for doc, s in zip(ids, sets)], names, types)
+        yield _batch([(0, doc, *key(s), min_hashes(s), None, None) for doc, s in zip(ids, sets)], names, types)
     if counts.any():
         for i, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)):
-            yield _batch([(1, None, 0, 0, 0, 0, i, part.tobytes())], names, types)
+            yield _batch([(1, None, 0, 0, 0, None, i, part.tobytes())], names, types)
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,33 +146,37 @@ def _matrix(batches: Iterator[pa.RecordBatch], k: int, crowded: np.ndarray, perc
     for ids, sets in _sets(batches, k):
         tokens, cid, size, index = [], [], [], []
         for doc, s in zip(ids, sets):
-            if doc is None or not len(s) or (key := describe(s)[:3]) in seen:
+            if doc is None or not len(s) or (own := key(s)) in seen:
                 continue
-            seen.add(key)
-            own, short = prefix(s, crowded, percent)
-            tokens.append(own)
-            cid.append(np.full(len(own), key[1], np.int64))
-            size.append(np.full(len(own), len(s), np.int32))
-            index.append(np.arange(len(own)) < short)
+            seen.add(own)
+            first, short = prefix(s, crowded, percent)
+            tokens.append(first)
+            cid.append(np.full(len(first), own[1], np.int64))
+            size.append(np.full(len(first), len(s), np.int32))
+            index.append(np.arange(len(first)) < short)
         if tokens:
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cid)), pa.array(np.concatenate(size)),
                 pa.array(np.concatenate(index))], names=["token", "cid", "n", "indexed"])
 
 
-def _shipped(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray, by: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents whose key (``by``: f1 or gid) is in the filter."""
+def _shipped(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray, which=None) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents that have a key in the filter, once for each such key.
+
+    Keys are the min-hashes ``which``, or f1. A set that occurs again in the task is left out.
+    """
     names, types = ["n", "f1", "f2", "gid", "tokens"], [*[pa.int64()] * 4, pa.binary()]
     seen = set()
     for ids, sets in _sets(batches, k):
         rows = []
         for doc, s in zip(ids, sets):
-            if doc is not None and len(s):
-                own = describe(s)
-                at = (own[by] & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
-                if bits[at >> 3] & (128 >> (at & 7)) and own not in seen:
+            if doc is None or not len(s) or (own := key(s)) in seen:
+                continue
+            for g in [own[1]] if which is None else min_hashes(s, which):
+                at = (g & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
+                if bits[at >> 3] & (128 >> (at & 7)):
                     seen.add(own)
-                    rows.append((*own, s.tobytes()))
+                    rows.append((*own, g, s.tobytes()))
         yield _batch(rows, names, types)
 
 
@@ -187,7 +198,7 @@ class _Members:
         return np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both))
 
 
-def _spanning(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _spanning(names: list[tuple[int, int]], sets: list[np.ndarray], percent: int) -> list[tuple[int, ...]]:
     """Edges that connect what links connect; stops as soon as every member is reached."""
     index, reached, edges = _Members(sets), np.zeros(len(sets), bool), []
     for start in range(len(sets)):
@@ -200,29 +211,29 @@ def _spanning(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tup
                 if not reached[x]:
                     reached[x] = True
                     queue.append(x)
-                    edges.append((reps[x], reps[m]))
+                    edges.append((*names[x], *names[m]))
     return edges
 
 
 _EDGE = (["a", "b"], [pa.int64(), pa.int64()])
+_NAMED = (["a1", "a2", "b1", "b2"], [pa.int64()] * 4)
 
 
 def _inside(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, rep, tokens) sorted by part and rep -> spanning edges of each part."""
-    at, last, reps, sets, held = None, None, [], [], 0
+    """Rows (part, f1, f2, tokens) sorted by all but the last -> spanning edges of each part."""
+    at, names, sets, held = None, [], [], 0
     for b in batches:
-        for part, rep, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for part, f1, f2, raw in zip(*(c.to_pylist() for c in b.columns)):
             if part != at or held > 2 * PART_TOKENS:
-                if len(reps) > 1:
-                    yield _batch(_spanning(reps, sets, percent), *_EDGE)
-                at, last, reps, sets, held = part, None, [], [], 0
-            if (rep, len(raw)) != last or raw != sets[-1].tobytes():  # copies come next to each other
-                last = (rep, len(raw))
-                reps.append(rep)
+                if len(names) > 1:
+                    yield _batch(_spanning(names, sets, percent), *_NAMED)
+                at, names, sets, held = part, [], [], 0
+            if not names or (f1, f2) != names[-1]:  # copies come next to each other
+                names.append((f1, f2))
                 sets.append(np.frombuffer(raw, np.uint64))
                 held += len(sets[-1])
-    if len(reps) > 1:
-        yield _batch(_spanning(reps, sets, percent), *_EDGE)
+    if len(names) > 1:
+        yield _batch(_spanning(names, sets, percent), *_NAMED)
 
 
 def _opened(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -270,25 +281,37 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     described = written(texts.mapInArrow(lambda b: _describe(b, k), _SET), "tgm-sets")
-    rows = described.where("kind = 0").select("doc_id", "n", "f1", "f2", "gid")
+    rows = described.where("kind = 0").select("doc_id", "n", "f1", "f2", "gids")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.min("gid").alias("gid"))
+        F.min("doc_id").alias("rep"), F.min("gids").alias("gids"))
     classes = written(classes, "tgm-classes")
 
     # 1. inside groups
-    groups = classes.groupBy("gid").agg(F.count("*").alias("members"), F.sum("n").alias("held")).where("members > 1")
-    groups = written(groups.select("gid", F.ceil(F.col("held") / PART_TOKENS).cast("int").alias("parts")), "tgm-groups")
-    bits = _filter(groups.select(F.col("gid").alias("key")))
-    sets = texts.mapInArrow(lambda b: _shipped(b, k, bits, 3), "n long, f1 long, f2 long, gid long, tokens binary")
-    cut = bounded_broadcast(groups.where("parts > 1").withColumnRenamed("gid", "cut"), groups.where("parts > 1").count(), MOST_PARTS)
-    grouped = classes.join(groups.select("gid"), "gid", "left_semi").select("n", "f1", "f2", "rep")
-    members = sets.join(grouped, ["n", "f1", "f2"]).join(cut, F.col("gid") == F.col("cut"), "left")
-    part = F.xxhash64("gid", F.pmod("f1", F.coalesce("parts", F.lit(1))))
-    inside = written(members.select(part.alias("part"), "rep", "tokens").repartition(tasks(spark), "part")
-                     .sortWithinPartitions("part", "rep", "tokens").mapInArrow(lambda b: _inside(b, percent), "a long, b long"), "tgm-inside")
-    comps = connected_components(inside)
-    classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = written(classes.select("n", "f1", "f2", "rep", F.coalesce("component", "rep").alias("comp")), "tgm-grouped")
+    def round_(comps: DataFrame, which: range) -> DataFrame:
+        """Edges (a, b) between the reps of linked classes that share one of the min-hashes."""
+        hashed = comps.select("n", "comp", F.explode(F.slice("gids", which.start + 1, len(which))).alias("gid"))
+        groups = hashed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("held")).where("lo < hi")
+        groups = written(groups.select("gid", F.ceil(F.col("held") / PART_TOKENS).cast("int").alias("parts")), "tgm-groups")
+        bits = _filter(groups.select(F.col("gid").alias("key")))
+        large = groups.where("parts > 1")
+        sets = texts.mapInArrow(lambda b: _shipped(b, k, bits, which), "n long, f1 long, f2 long, gid long, tokens binary")
+        sets = sets.join(bounded_broadcast(large, large.count(), MOST_PARTS), "gid", "left")
+        part = F.xxhash64("gid", F.pmod("f1", F.coalesce("parts", F.lit(1))))
+        named = written(sets.select(part.alias("part"), "f1", "f2", "tokens").repartition(tasks(spark), "part")
+                        .sortWithinPartitions("part", "f1", "f2")
+                        .mapInArrow(lambda b: _inside(b, percent), "a1 long, a2 long, b1 long, b2 long"), "tgm-inside")
+        for x in "ab":
+            own = comps.select(F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"), F.col("rep").alias(x))
+            named = named.join(own, [f"{x}1", f"{x}2"])
+        return written(named.select("a", "b"), "tgm-edges")
+
+    inside = round_(classes.withColumn("comp", F.col("rep")), range(1))
+    for which in (range(1, HASHES), None):
+        found = connected_components(inside).withColumnRenamed("node", "rep")
+        grouped = written(classes.join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "tgm-grouped")
+        if which is not None:
+            inside = written(inside.union(round_(grouped, which)), "tgm-edges")
+    classes = grouped.drop("gids")
 
     # 2. token-group matrix
     crowded = np.zeros(1 << SKETCH_BITS, bool)
@@ -324,7 +347,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
                                 F.when(more, F.col("y")).otherwise(F.col("x")).alias("query"),
                                 F.when(more, F.col("parts_x")).otherwise(F.col("parts_y")).alias("parts")), "tgm-plan")
     bits2 = _filter(opening.select(F.col("f1").alias("key")))
-    sets = texts.mapInArrow(lambda b: _shipped(b, k, bits2, 1), "n long, f1 long, f2 long, gid long, tokens binary")
+    sets = texts.mapInArrow(lambda b: _shipped(b, k, bits2), "n long, f1 long, f2 long, gid long, tokens binary")
     sets = sets.drop("gid").join(opening.select("n", "f1", "f2", "comp"), ["n", "f1", "f2"]).dropDuplicates(["n", "f1", "f2"])
     sets = written(sets, "tgm-opened-sets")
     parts = plan.groupBy("opened").agg(F.max("parts").alias("parts"))
@@ -339,6 +362,6 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     linked = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     # rows without a set, or without an id, are on their own
-    key = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    whole = rows.where(key).join(linked, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return whole.union(rows.where(~key).select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    whole = rows.where(linkable).join(linked, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return whole.union(rows.where(~linkable).select("doc_id", "n", F.col("doc_id").alias("component_id")))

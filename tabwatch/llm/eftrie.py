@@ -41,9 +41,9 @@ from tabwatch.llm.common import prepare, tasks, utf8, written
 MU = 8.0
 CLASSES = 1 << 20
 SLICES = 16
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 30_000
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 2_000_000
 #: One row in SAMPLED is looked at for hot words; a hot word has more than this share of them.
 SAMPLED = 64
 HOT_SHARE = 1 / 500
@@ -272,12 +272,9 @@ def _shard_scores(chunks: list[int], packed: list[bytes], first: bool, classes:
     hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     pairs_of = np.concatenate([p[1] for p in parts]).astype(np.int64)
     context = np.concatenate([p[2] for p in parts]).astype(np.int64)
-    docs_of = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    doc = np.concatenate([p[4] for p in parts])
-    times = np.concatenate([p[5] for p in parts]).astype(np.int64)
     word = np.repeat(at, pairs_of)  # of each pair
-    trained = np.where(doc < 1 << 15, times, 0)
-    pair_count = np.add.reduceat(trained, np.cumsum(docs_of) - docs_of)
+    del at, pairs_of
+    pair_count = np.concatenate([np.add.reduceat(np.where(p[4] < 1 << 15, p[5], 0), np.cumsum(p[3], dtype=np.int64) - p[3]) for p in parts])
     count = np.bincount(word, weights=pair_count, minlength=len(hashes))
     place = np.minimum(np.searchsorted(hot, hashes), max(0, len(hot) - 1))
     is_hot = hot[place] == hashes if len(hot) else np.zeros(len(hashes), bool)
@@ -291,13 +288,14 @@ def _shard_scores(chunks: list[int], packed: list[bytes], first: bool, classes:
     k, w = np.divmod(seen, len(hashes))
     trie = Trie.build(k, w, np.log10((both + MU * one[w]) / (classes[k] + MU)), len(hashes))
     value = trie.find(context, word)
+    del trie, key, seen, back, both, k, w
     unseen = np.isnan(value)
     value[unseen] = np.log10(MU * one[word[unseen]] / (classes[context[unseen]] + MU))
     base, is_known = np.log10(count + 1), count > 0
-    pair, occurrence = 0, 0
+    pair = 0
     for chunk, p in zip(chunks, parts):
         own = slice(pair, pair + len(p[3]))
-        pair, occurrence = own.stop, occurrence + len(p[4])
+        pair = own.stop
         of = np.repeat(np.arange(own.start, own.stop), p[3])
         d, n = p[4] & 0x7FFF, p[5]
         docs, d = np.unique(d, return_inverse=True)
@@ -314,7 +312,7 @@ def _shards(batches: Iterator[pa.RecordBatch], classes: np.ndarray, hot: np.ndar
 
     def done() -> Iterator[pa.RecordBatch]:
         for chunk, docs, *sums, distinct in _shard_scores(chunks, packed, at == 0, classes, hot, hot_counts, known):
-            raw = docs.astype("<u4").tobytes() + b"".join(x.astype("<f8").tobytes() for x in sums)
+            raw = b"".join(x.astype(kind).tobytes() for x, kind in zip((docs, *sums), ("<u2", "<u4", "<f8", "<f4")))
             yield _rows([[chunk], [raw], [distinct], [None], [None]], names, types)
 
     for b in batches:
@@ -350,8 +348,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = ids, np.frombuffer(raw, "u1", len(ids)).astype(bool), np.frombuffer(raw, "<i8", len(ids), len(ids))
                 total = np.zeros((3, len(ids)))
                 continue
-            n = len(sums) // 28
-            total[:, np.frombuffer(sums, "<u4", n)] += np.frombuffer(sums, "<f8", 3 * n, 4 * n).reshape(3, n)
+            n = len(sums) // 18
+            docs = np.frombuffer(sums, "<u2", n)
+            for k, (kind, at) in enumerate((("<u4", 2), ("<f8", 6), ("<f4", 14))):
+                total[k, docs] += np.frombuffer(sums, kind, n, at * n)
     if own is not None:
         yield done()
 

@@ -17,9 +17,16 @@ def safe_div(num, den) -> Column:
     return F.try_divide(col_(num), col_(den))
 
 
-def nan_to_null(c) -> Column:
-    c = col_(c)
-    return F.when(~F.isnan(c), c)
+def as_number(c) -> Column:
+    """The column as double; NaN is missing, like NULL."""
+    x = col_(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def missing(df, name: str) -> Column:
+    """NULL, or NaN in a floating-point column."""
+    c = F.col(name)
+    return c.isNull() | F.isnan(c) if df.schema[name].dataType.typeName() in ("float", "double") else c.isNull()
 
 
 def to_number(c) -> Column:
@@ -35,15 +42,15 @@ def to_number(c) -> Column:
 
 
 def to_integral(c) -> Column:
-    """Double -> int when integral, else NULL (fractional targets are quarantined)."""
+    """Double -> int when integral and within range, else NULL (fractional targets are quarantined)."""
     c = col_(c)
-    return F.when(c == F.floor(c), c.cast("int"))
+    return F.when(c == F.floor(c), c.try_cast("int"))
 
 
 def clip(c, lower, upper) -> Column:
-    """Clip to [lower, upper]; NULL stays NULL (least/greatest would skip it)."""
+    """Clip to [lower, upper]; NULL stays NULL (least/greatest would skip it) and NaN becomes NULL."""
     c = col_(c)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, col_(lower)), col_(upper)))
+    return F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.least(F.greatest(c, col_(lower)), col_(upper)))
 
 
 def first_match(rules, c) -> Column:

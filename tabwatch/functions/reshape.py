@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwatch.functions.columns import as_number
+
 
 def to_long(df: DataFrame, cols, ids=(), name: str = "feature", value: str = "value") -> DataFrame:
-    """Unpivot numeric ``cols`` to (ids..., feature, value double). Rows x len(cols)."""
+    """Unpivot numeric ``cols`` to (ids..., feature, value double; NaN -> NULL). Rows x len(cols)."""
     ids = list(ids)
-    cast = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
+    cast = df.select(*ids, *[as_number(c).alias(c) for c in cols])
     return cast.unpivot(ids, list(cols), name, value)
-
-
-def one_row_to_long(df: DataFrame, cols, name: str = "key", value: str = "value") -> DataFrame:
-    """Unpivot a (small) wide result row into long form; used after a single wide ``agg``."""
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), name, value)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwatch.functions.columns import first_match, to_integral, to_number
-from tabwatch.spec import CLASS_LABELS, DEFAULT_LABEL_RULES, UUID_PATTERN
+from tabwatch.spec import CLASS_LABELS, DEFAULT_LABEL_RULES, TARGET_NAMES, UUID_PATTERN
 
 
 def validate_columns(df: DataFrame, required) -> DataFrame:
@@ -71,9 +71,15 @@ def select_features_target(df: DataFrame, features, target: str | None = None) -
 
 def expand_json_features(df: DataFrame, json_col: str, ids=(), name: str = "feature",
                          value: str = "value") -> DataFrame:
-    """JSON object text -> long form (ids..., feature, value double). No wide step."""
-    m = F.from_json(F.col(json_col), T.MapType(T.StringType(), T.DoubleType()))
-    return df.select(*ids, F.explode(m).alias(name, value))
+    """JSON object text -> long form (ids..., feature, value double). No wide step.
+
+    Keys whose value is no number (text, objects, true / false) are left out, the others stay;
+    a null value is a NULL.
+    """
+    m = F.from_json(F.col(json_col), T.MapType(T.StringType(), T.StringType()))
+    rows = df.select(*ids, F.explode(m).alias(name, "_text"))
+    number = to_number("_text")
+    return rows.where(F.col("_text").isNull() | number.isNotNull()).select(*ids, name, number.alias(value))
 
 
 def encode_json(df: DataFrame, cols: dict) -> DataFrame:
@@ -147,7 +153,7 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in set(exclude)]
 
 
-def common_numeric_features(ref: DataFrame, cur: DataFrame, exclude=()) -> list[str]:
+def common_numeric_features(ref: DataFrame, cur: DataFrame, exclude=TARGET_NAMES) -> list[str]:
     """numeric(ref) & numeric(cur) - targets, sorted; empty -> ValueError."""
     common = sorted(set(numeric_columns(ref, exclude)) & set(numeric_columns(cur, exclude)))
     if not common:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabwatch.functions.columns import safe_div
 from tabwatch.operators.prefix import running_totals
+from tabwatch.session import materialize
 
 
 def _labels_df(spark, labels, name: str = "class") -> DataFrame:
@@ -121,25 +122,26 @@ def one_vs_rest(df: DataFrame, actual: str, scores: str, labels, by=()) -> DataF
     return df.select(*by, F.inline(F.array(*items)))
 
 
-def _score_counts(ovr: DataFrame, by=()) -> DataFrame:
-    return ovr.groupBy(*by, "class", "score").agg(F.sum("y").cast("long").alias("pos"),
-                                                  F.sum(1 - F.col("y")).cast("long").alias("neg"))
+def score_counts(ovr: DataFrame, by=()) -> DataFrame:
+    """(by..., class, score, pos, neg), written once: points and totals are both read from it."""
+    return materialize(ovr.groupBy(*by, "class", "score").agg(F.sum("y").cast("long").alias("pos"),
+                                                              F.sum(1 - F.col("y")).cast("long").alias("neg")))
 
 
-def roc_points(ovr: DataFrame, lead=(), by=(), **kw) -> DataFrame:
+def roc_points(counts: DataFrame, lead=(), by=(), **kw) -> DataFrame:
     """(by..., class, score, pos, neg, tps, fps, idx[, next_pos, next_neg]): cumulative counts at
     each distinct score, descending, from ONE (bucketed) prefix-sum pass."""
     by = list(by)
-    sc = _score_counts(ovr, by).withColumn("_one", F.lit(1).cast("long"))
+    sc = counts.withColumn("_one", F.lit(1).cast("long"))
     rt = running_totals(sc, by + ["class"], "score", ["pos", "neg", "_one"], descending=True, lead=lead, **kw)
     return rt.select(*by, "class", "score", "pos", "neg", F.col("cum_pos").alias("tps"),
                      F.col("cum_neg").alias("fps"), F.col("cum__one").alias("idx"),
                      *[F.col("next_" + c) for c in lead])
 
 
-def _class_totals(ovr: DataFrame, by=()) -> DataFrame:
+def _class_totals(counts: DataFrame, by=()) -> DataFrame:
     """(by..., class, P, N) straight from the score counts (not from the prefix-sum table)."""
-    return _score_counts(ovr, by).groupBy(*by, "class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return counts.groupBy(*by, "class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
 
 
 def roc_curve(ovr: DataFrame, drop_intermediate: bool = True, **kw) -> DataFrame:
@@ -149,8 +151,9 @@ def roc_curve(ovr: DataFrame, drop_intermediate: bool = True, **kw) -> DataFrame
     differences of fps and tps are the changes of the per-score increments, so a point is kept
     iff the next score's (pos, neg) differs from its own (first and last points always kept).
     """
-    pts = roc_points(ovr, lead=("pos", "neg"), **kw)
-    totals = _class_totals(ovr)
+    counts = score_counts(ovr)
+    pts = roc_points(counts, lead=("pos", "neg"), **kw)
+    totals = _class_totals(counts)
     if drop_intermediate:
         keep = ((F.col("idx") == 1) | F.col("next_pos").isNull()
                 | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
@@ -167,8 +170,9 @@ def roc_curve(ovr: DataFrame, drop_intermediate: bool = True, **kw) -> DataFrame
 def roc_auc_per_class(ovr: DataFrame, by=(), **kw) -> DataFrame:
     """(by..., class, auc, positives, negatives); ties count one half (Mann-Whitney)."""
     by = list(by)
-    pts = roc_points(ovr, by=by, **kw)
-    j = pts.join(_class_totals(ovr, by), by + ["class"])
+    counts = score_counts(ovr, by)
+    pts = roc_points(counts, by=by, **kw)
+    j = pts.join(_class_totals(counts, by), by + ["class"])
     below = F.col("N") - F.col("fps")  # negatives with a strictly lower score
     area = F.sum(F.col("pos").cast("double") * (below.cast("double") + F.col("neg") / 2.0))
     return j.groupBy(*by, "class").agg(

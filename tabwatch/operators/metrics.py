@@ -58,7 +58,8 @@ def latency_histogram(log: DataFrame, by=("method", "path")) -> DataFrame:
     return g.select(*by, "duration_sum", F.col("_b_inf").alias("duration_count"), F.inline(F.array(*items)))
 
 
-def prediction_counts(preds: DataFrame, model: str = "model_name", keys=("prediction", "predicted_class")) -> DataFrame:
+def prediction_counts(preds: DataFrame, model: str = "model_name", 
+                      keys=("prediction", "predicted_class", "predicted_quality", "quality")) -> DataFrame:
     """Predictions by model and class; class key falls back through ``keys`` then 'unknown'."""
     cls = F.coalesce(*[F.col(k).cast("string") for k in keys if k in preds.columns], F.lit("unknown"))
     return preds.groupBy(F.col(model).alias("model_name"), cls.alias("predicted_class")).agg(
@@ -183,7 +184,7 @@ def threshold_alerts(samples: DataFrame, rules=DEFAULT_ALERT_RULES) -> DataFrame
     samples: (metric, series, t, value). The rules table is a broadcast literal of #rules rows.
     """
     spark = samples.sparkSession
-    latest = samples.groupBy("metric", "series").agg(F.max_by("value", "t").alias("value"), F.max("t").alias("t"))
+    latest = samples.groupBy("metric", "series").agg(F.max_by("value", F.struct("t", "value")).alias("value"), F.max("t").alias("t"))
     j = latest.join(F.broadcast(rules_frame(spark, rules)), "metric")
     return j.select("rule", "metric", "series", "t", "value", "severity",
                     F.coalesce(_condition(F.col("value"), rules), F.lit(False)).alias("firing"))
@@ -200,7 +201,7 @@ def alert_for_duration(samples: DataFrame, rules=DEFAULT_ALERT_RULES, step: int
     j = samples.join(F.broadcast(rules_frame(spark, rules)), "metric")
     j = j.withColumn("_breach", F.coalesce(_condition(F.col("value"), rules), F.lit(False)))
     j = j.withColumn("_s", epoch_seconds("t"))
-    w = Window.partitionBy("rule", "series").orderBy("_s")
+    w = Window.partitionBy("rule", "series").orderBy("_s", "t", "value")
     prev_s, prev_b = F.lag("_s").over(w), F.lag("_breach").over(w)
     start = F.col("_breach") & (prev_b.isNull() | ~prev_b | (F.col("_s") - prev_s > step))
     j = j.withColumn("_start", start.cast("int"))

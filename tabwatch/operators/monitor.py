@@ -10,6 +10,7 @@ from tabwatch.functions.ks import ks_pvalue
 from tabwatch.functions.reshape import to_long
 from tabwatch.operators.evaluate import confusion_counts, per_class_stats
 from tabwatch.operators.prefix import running_totals
+from tabwatch.session import materialize
 from tabwatch.spec import DriftConfig, PerformanceConfig
 
 
@@ -33,8 +34,8 @@ def ks_two_sample_long(ref_long: DataFrame, cur_long: DataFrame, **kw) -> DataFr
     lr = ref_long.select("feature", F.col("value").cast("double").alias("value"), F.lit(0).alias("_side"))
     lc = cur_long.select("feature", F.col("value").cast("double").alias("value"), F.lit(1).alias("_side"))
     u = lr.unionByName(lc).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = u.groupBy("feature", "value").agg(
-        F.count_if(F.col("_side") == 0).alias("c_ref"), F.count_if(F.col("_side") == 1).alias("c_cur"))
+    counts = materialize(u.groupBy("feature", "value").agg(
+        F.count_if(F.col("_side") == 0).alias("c_ref"), F.count_if(F.col("_side") == 1).alias("c_cur")))
     totals = counts.groupBy("feature").agg(F.sum("c_ref").alias("n_reference"),
                                            F.sum("c_cur").alias("n_current"))
     rt = running_totals(counts, ["feature"], "value", ["c_ref", "c_cur"], **kw).join(totals, "feature")
@@ -93,9 +94,11 @@ def drift_gate(report: DataFrame, config: DriftConfig = DriftConfig()) -> DataFr
 def latest_feedback(events: DataFrame, actual: str = "actual_class", predicted: str = "predicted_class",
                     at: str = "feedback_at", id_col: str = "prediction_id",
                     config: PerformanceConfig = PerformanceConfig()) -> DataFrame:
-    """Labelled events, newest ``limit`` by feedback time (TakeOrderedAndProject)."""
-    return (events.where(F.col(actual).isNotNull()).orderBy(F.desc(at), F.asc(id_col))
-            .limit(config.limit).select(id_col, actual, predicted, at))
+    """Labelled events: all, or the newest ``config.limit`` by feedback time (TakeOrderedAndProject)."""
+    labelled = events.where(F.col(actual).isNotNull())
+    if config.limit is not None:
+        labelled = labelled.orderBy(F.desc(at), F.asc(id_col)).limit(config.limit)
+    return labelled.select(id_col, actual, predicted, at)
 
 
 def rolling_performance(labelled: DataFrame, actual: str = "actual_class", predicted: str = "predicted_class",

@@ -15,47 +15,23 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINEAR_SEARCH_MAX = 64   # up to this many edges a linear scan beats the binary search
-MAX_BUCKETS = 16384
+from tabwatch.session import materialize
 
-
-BYTES_PER_BUCKET = 128 * 1024 * 1024
-BUILTIN_PERCENTILE_BYTES = 32 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the frame (an upper bound from file sizes; no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001  (no JVM plan access, e.g. Spark Connect)
-        return None
+#: Rows (one for each group and value) of a bucket.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def bucket_count(df: DataFrame, buckets: int | None) -> int:
-    """Buckets per group: explicit, else from Catalyst's size estimate (about 128 MB of input per
-    bucket, so no counting job is needed); when no estimate is available,
-    ``spark.sql.shuffle.partitions`` (the cluster's own sizing knob)."""
-    if buckets is None:
-        size = estimated_bytes(df)
-        if size is None:
-            buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        else:
-            buckets = math.ceil(size / BYTES_PER_BUCKET)
-    return max(1, min(int(buckets), MAX_BUCKETS))
-
-
-def edge_index(edges, value) -> F.Column:
-    """Number of edges strictly below ``value`` (edges sorted ascending).
-
-    Linear scan for short edge arrays; otherwise a binary search written as a fold over
-    ceil(log2(n + 1)) steps, so the cost per row is logarithmic in the bucket count.
+    """Buckets per group: explicit, else from the counted rows of the (aggregated) frame.
+
+    Callers that also use the frame for totals write it first (``materialize``), so that the
+    count reads those files and not the source again.
     """
-    edges = F.col(edges) if isinstance(edges, str) else edges
-    value = F.col(value) if isinstance(value, str) else value
-    return F.size(F.filter(edges, lambda e: e < value))
+    return max(1, int(buckets) if buckets is not None else math.ceil(df.count() / ROWS_PER_BUCKET))
 
 
 def _edge_index_bsearch(edges: F.Column, value: F.Column, n_edges: int) -> F.Column:
+    """Number of edges strictly below ``value`` (edges sorted ascending): a binary search as a fold."""
     steps = max(1, math.ceil(math.log2(n_edges + 1)))
     init = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
 
@@ -84,7 +60,6 @@ def _fixed_edges(edges: DataFrame, nb: int, max_groups: int | None) -> DataFrame
     """
     if max_groups is not None and max_groups * nb * 8 <= EDGE_BROADCAST_BYTES:
         return F.broadcast(edges)
-    from tabwatch.session import materialize
     return materialize(edges)
 
 
@@ -118,10 +93,7 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
     edges = df.groupBy(*group).agg(
         F.percentile_approx(order, probs, max(10_000, 10 * nb)).alias("_edges"))
     b = df.join(_fixed_edges(edges, nb, max_groups), on=group, how="left")
-    if nb - 1 <= LINEAR_SEARCH_MAX:
-        bucket = edge_index("_edges", order)
-    else:
-        bucket = _edge_index_bsearch(F.col("_edges"), F.col(order), nb - 1)
+    bucket = _edge_index_bsearch(F.col("_edges"), F.col(order), nb - 1)
     if descending:
         bucket = F.lit(nb - 1) - bucket
     b = b.withColumn("_bucket", bucket.cast("int")).drop("_edges")
@@ -163,30 +135,16 @@ def value_counts_long(df: DataFrame, group, value: str, weight: str | None = Non
     return df.where(ok).groupBy(*group, value).agg(n.alias("_n"))
 
 
-def exact_quantiles(df: DataFrame, group, value: str, probs, *, value_counts: bool = False,
-                    method: str = "auto", **kw) -> DataFrame:
-    """Exact linear-interpolation quantiles per group (``percentile`` / ``quantile_cont``).
+def exact_quantiles(df: DataFrame, group, value: str, probs, *, value_counts: bool = False, **kw) -> DataFrame:
+    """Exact linear-interpolation quantiles per group (``percentile`` / ``quantile_cont``) for many groups.
 
-    Returns (group..., p, q). ``method``:
-      * "prefix": a distributed count per (group, value), bucketed prefix sums and a join against
-        the #groups x #probs x 2 target ranks; no group is ever collected in one task.
-      * "builtin": Spark's exact ``percentile`` aggregate (one pass; merges each group's
-        value->count map in one task, so only for inputs that fit a task).
-      * "auto": "builtin" when Catalyst's size estimate is at most 32 MB, else "prefix".
+    Returns (group..., p, q): a count per (group, value), written once, bucketed prefix sums, and a
+    join with the #groups x #probs x 2 wanted ranks; no group is ever collected in one task. For
+    whole columns see ``quantiles.column_quantiles``.
     """
     group = list(group)
-    counts = df if value_counts else value_counts_long(df, group, value)
-    if method == "auto":
-        # percentile's per-group value map must fit one task: only for inputs estimated <= 32 MB
-        size = estimated_bytes(counts)
-        small = size is not None and size <= BUILTIN_PERCENTILE_BYTES
-        method = "builtin" if small and kw.get("buckets") in (None, 1) else "prefix"
+    counts = materialize(df if value_counts else value_counts_long(df, group, value))
     kw.setdefault("max_groups", None)
-    if method == "builtin":
-        pct = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]), F.col("_n"))
-        agg = counts.groupBy(*group).agg(pct.alias("_q"))
-        return agg.select(*group, F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-                                                         F.col("_q").alias("q"))))
     cum = running_totals(counts, group, value, ["_n"], **kw)
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     tg = ["_tg_" + g for g in group]
@@ -205,11 +163,3 @@ def exact_quantiles(df: DataFrame, group, value: str, probs, *, value_counts: bo
     q = F.when(F.col("_hi") == F.col("_lo"), F.col("_lo")).otherwise(
         F.col("_lo") + frac * (F.col("_hi") - F.col("_lo")))
     return agg.select(*group, "p", q.alias("q"))
-
-
-def quantiles_wide(df: DataFrame, group, value: str, probs, names, **kw) -> DataFrame:
-    """exact_quantiles pivoted to one column per prob: (group..., names...)."""
-    group = list(group)
-    long = exact_quantiles(df, group, value, probs, **kw)
-    return long.groupBy(*group).agg(*[
-        F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n) for p, n in zip(probs, names)])

@@ -1,7 +1,7 @@
 """Feature preparation: seeded stratified split, then fit on train and apply everywhere.
 
 The fitted state is a small params table (one row per feature: median, lower, upper,
-center, scale). Fitting costs three aggregate passes; applying is one projection.
+center, scale). Fitting is a few wide aggregates over the columns; applying is one projection.
 """
 
 from __future__ import annotations
@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.functions.columns import case_lookup, clip, hash_order, hash_unit
-from tabwatch.functions.reshape import to_long
-from tabwatch.operators.prefix import quantiles_wide
+from tabwatch.functions.columns import as_number, clip, hash_order, hash_unit, missing
+from tabwatch.operators.quantiles import column_quantiles
 from tabwatch.spec import SplitConfig
 
 _TWO32 = 4294967296.0
@@ -105,10 +104,22 @@ def stratified_folds(df: DataFrame, label: str, key, k: int = 3, seed: int = 42,
 # Fits (params tables) and applies (one projection)
 # ---------------------------------------------------------------------------
 
-def fit_median(df: DataFrame, features, **kw) -> DataFrame:
-    """(feature, median) exact, NULLs skipped."""
-    kw.setdefault("max_groups", len(features))
-    return quantiles_wide(to_long(df, features), ["feature"], "value", [0.5], ["median"], **kw)
+def _numbers(features) -> dict:
+    return {c: as_number(c) for c in features}
+
+
+def _known(values: dict, what: str) -> dict:
+    """``values`` of each feature; a feature without any value cannot be fitted."""
+    empty = [c for c, v in values.items() if v[0] is None]
+    if empty:
+        raise ValueError(f"no value to fit {what} of: {empty}")
+    return values
+
+
+def fit_median(df: DataFrame, features) -> DataFrame:
+    """(feature, median) exact, NULL / NaN skipped; NULL for a feature without values."""
+    q = column_quantiles(df, _numbers(features), [0.5])
+    return df.sparkSession.createDataFrame([(c, v[0]) for c, v in q.items()], "feature string, median double")
 
 
 def _params(params: DataFrame) -> dict:
@@ -117,20 +128,19 @@ def _params(params: DataFrame) -> dict:
 
 
 def impute_median(df: DataFrame, params, features=None) -> DataFrame:
-    """C2 apply: NULL -> fitted median."""
+    """C2 apply: NULL or NaN -> fitted median."""
     p = params if isinstance(params, dict) else _params(params)
     features = features or list(p)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(p[c]["median"]).cast("double"))
+    return df.withColumns({c: F.coalesce(as_number(c), F.lit(p[c]["median"]).cast("double"))
                            for c in features if c in p})
 
 
-def fit_iqr_bounds(df: DataFrame, features, multiplier: float = 1.5, **kw) -> DataFrame:
-    """(feature, q1, q3, lower, upper) with lower = q1 - m*iqr, upper = q3 + m*iqr."""
-    kw.setdefault("max_groups", len(features))
-    q = quantiles_wide(to_long(df, features), ["feature"], "value", [0.25, 0.75], ["q1", "q3"], **kw)
-    iqr = F.col("q3") - F.col("q1")
-    return q.select("feature", "q1", "q3", (F.col("q1") - multiplier * iqr).alias("lower"),
-                    (F.col("q3") + multiplier * iqr).alias("upper"))
+def fit_iqr_bounds(df: DataFrame, features, multiplier: float = 1.5) -> DataFrame:
+    """(feature, q1, q3, lower, upper) with lower = q1 - m*iqr, upper = q3 + m*iqr; features
+    without values are left out."""
+    q = column_quantiles(df, _numbers(features), [0.25, 0.75])
+    rows = [(c, q1, q3, q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)) for c, (q1, q3) in q.items() if q1 is not None]
+    return df.sparkSession.createDataFrame(rows, "feature string, q1 double, q3 double, lower double, upper double")
 
 
 def clip_iqr(df: DataFrame, params, features=None) -> DataFrame:
@@ -152,7 +162,7 @@ def fit_scaler(df: DataFrame, features, scaling: str = "standard") -> DataFrame:
         raise ValueError(f"unknown scaling option: {scaling!r}")
     aggs = []
     for c in features:
-        x = F.col(c).cast("double")
+        x = as_number(c)
         aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     row = df.agg(*aggs)
@@ -175,62 +185,42 @@ def scale(df: DataFrame, params, features=None) -> DataFrame:
     """C5 / C6 apply: (x - center) / scale."""
     p = params if isinstance(params, dict) else _params(params)
     features = features or list(p)
-    return df.withColumns({c: (F.col(c) - F.lit(p[c]["center"])) / F.lit(p[c]["scale"])
+    return df.withColumns({c: (as_number(c) - F.lit(p[c]["center"])) / F.lit(p[c]["scale"])
                            for c in features if c in p})
 
 
-def feature_value_counts(df: DataFrame, features) -> DataFrame:
-    """(feature, value, _n): one row per distinct value per feature, plus one NULL-value row per
-    feature holding its missing count (NaN counts as missing). Map-side combined."""
-    long = to_long(df, features)
-    v = F.when(~F.isnan("value"), F.col("value"))
-    return long.select("feature", v.alias("value")).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _lookup(values: dict, key: str = "feature"):
-    """Per-feature literal lookup (values bounded by the feature count)."""
-    return case_lookup(key, values)
-
-
-def fit_preparation(train: DataFrame, features, multiplier: float = 1.5, scaling: str = "standard",
-                    **kw) -> DataFrame:
+def fit_preparation(train: DataFrame, features, multiplier: float = 1.5, scaling: str = "standard") -> DataFrame:
     """C8 fit: median -> IQR bounds on imputed train -> scaler on clipped train.
 
-    ONE scan of the training data: everything is derived from the (feature, value, count)
-    table. Imputation turns the NULL row into the median's count, clipping maps values onto the
-    bounds, and the scaler moments are count-weighted (mean first, then centred squares).
-    Returns the params table (feature, median, q1, q3, lower, upper, center, scale).
+    Quantiles are bracketed (no shuffle of the rows); imputation only changes the quartiles of
+    features with missing values, so only those are bracketed again. The scaler moments are taken
+    about the median in one scan. Returns the params table (feature, median, q1, q3, lower, upper,
+    center, scale); a feature without any value raises ValueError.
     """
     if scaling not in ("standard", "minmax", "none"):
         raise ValueError(f"unknown scaling option: {scaling!r}")
     feats = list(features)
-    kw.setdefault("max_groups", len(feats))
-    counts = feature_value_counts(train, feats).persist()
-    try:
-        present = counts.where(F.col("value").isNotNull())
-        med = {r["feature"]: r["median"] for r in
-               quantiles_wide(present, ["feature"], "value", [0.5], ["median"], value_counts=True, **kw).collect()}
-        imputed = (counts.select("feature", F.coalesce("value", _lookup(med)).alias("value"), "_n")
-                   .where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.sum("_n").alias("_n")))
-        q = {r["feature"]: (r["q1"], r["q3"]) for r in
-             quantiles_wide(imputed, ["feature"], "value", [0.25, 0.75], ["q1", "q3"], value_counts=True,
-                            **kw).collect()}
-        lower = {f: q1 - multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
-        upper = {f: q3 + multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
-        clipped = imputed.select("feature", clip("value", _lookup(lower), _lookup(upper)).alias("value"), "_n")
-        # One pass: moments about the (known) median, which keeps the variance well conditioned.
-        d = F.col("value") - _lookup(med)
-        m1 = {r["feature"]: r for r in clipped.groupBy("feature").agg(
-            F.sum("_n").alias("n"), F.sum(F.col("_n") * d).alias("s1"), F.sum(F.col("_n") * d * d).alias("s2"),
-            F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
-        mean = {f: med[f] + r["s1"] / r["n"] for f, r in m1.items()}
-        var = {f: max(r["s2"] / r["n"] - (r["s1"] / r["n"]) ** 2, 0.0) for f, r in m1.items()}
-    finally:
-        counts.unpersist()
+    q = _known(column_quantiles(train, _numbers(feats), [0.25, 0.5, 0.75]), "the preparation")
+    med = {f: v[1] for f, v in q.items()}
+    filled = {f: F.coalesce(as_number(f), F.lit(med[f])) for f in feats}
+    gaps = train.agg(*[F.count_if(as_number(f).isNull()).alias(f"g{i}") for i, f in enumerate(feats)]).first()
+    again = {f: filled[f] for i, f in enumerate(feats) if gaps[f"g{i}"]}
+    q = {f: (v[0], v[2]) for f, v in q.items()}
+    if again:
+        q.update({f: tuple(v) for f, v in column_quantiles(train, again, [0.25, 0.75]).items()})
+    lower = {f: q1 - multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
+    upper = {f: q3 + multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
+    aggs = [F.count("*").alias("n")]
+    for i, f in enumerate(feats):
+        v = clip(filled[f], F.lit(lower[f]), F.lit(upper[f]))
+        d = v - F.lit(med[f])  # about the median, which keeps the variance well conditioned
+        aggs += [F.sum(d).alias(f"s{i}"), F.sum(d * d).alias(f"t{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    m = train.agg(*aggs).first()
+    m1 = {f: {"lo": m[f"lo{i}"], "hi": m[f"hi{i}"]} for i, f in enumerate(feats)}
+    mean = {f: med[f] + m[f"s{i}"] / m["n"] for i, f in enumerate(feats)}
+    var = {f: max(m[f"t{i}"] / m["n"] - (m[f"s{i}"] / m["n"]) ** 2, 0.0) for i, f in enumerate(feats)}
     rows = []
     for f in feats:
-        if f not in q:
-            continue
         const = m1[f]["lo"] == m1[f]["hi"]
         if scaling == "standard":
             center, scale_ = mean[f], 1.0 if const else var[f] ** 0.5
@@ -252,7 +242,7 @@ def apply_preparation(df: DataFrame, params, features=None, keep=()) -> DataFram
     exprs = []
     for c in features:
         r = p[c]
-        x = F.coalesce(F.col(c).cast("double"), F.lit(r["median"]).cast("double"))
+        x = F.coalesce(as_number(c), F.lit(r["median"]).cast("double"))
         x = clip(x, F.lit(r["lower"]), F.lit(r["upper"]))
         x = (x - F.lit(r["center"])) / F.lit(r["scale"])
         exprs.append(x.alias(c))
@@ -260,9 +250,9 @@ def apply_preparation(df: DataFrame, params, features=None, keep=()) -> DataFram
 
 
 def fit_transform_preparation(splits: DataFrame, features, split_col: str = "split", keep=(),
-                              multiplier: float = 1.5, scaling: str = "standard", **kw):
+                              multiplier: float = 1.5, scaling: str = "standard"):
     """Fit on the train split, apply to all splits. Returns (prepared, params)."""
-    params = fit_preparation(splits.where(F.col(split_col) == "train"), features, multiplier, scaling, **kw)
+    params = fit_preparation(splits.where(F.col(split_col) == "train"), features, multiplier, scaling)
     p = _params(params)
     return apply_preparation(splits, p, features, keep=[split_col, *keep]), params
 
@@ -277,7 +267,7 @@ def preparation_report(raw: DataFrame, deduped: DataFrame, splits: DataFrame, la
     dup_l = dup.select(F.lit("deduplication").alias("section"),
                        F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
                                           for c in dup.columns])))
-    nulls = deduped.agg(*[F.count_if(F.col(c).isNull()).cast("double").alias(c) for c in deduped.columns])
+    nulls = deduped.agg(*[F.count_if(missing(deduped, c)).cast("double").alias(c) for c in deduped.columns])
     nulls_l = nulls.select(F.lit("null_counts").alias("section"),
                            F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
                                               for c in deduped.columns])))

@@ -1,7 +1,7 @@
 """Profiling aggregations.
 
 Wide statistics are computed in ONE aggregate pass over all columns and only the single
-result row is unpivoted. Quantiles use the distributed exact path of :mod:`prefix`.
+result row is unpivoted. Quantiles are bracketed (:mod:`quantiles`).
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.functions.columns import case_lookup, safe_div
+from tabwatch.functions.columns import as_number, case_lookup, missing, safe_div
 from tabwatch.functions.reshape import to_long
 from tabwatch.operators.clean import duplicate_rows  # noqa: F401  (D7 lives with B6)
-from tabwatch.operators.prefix import quantiles_wide
+from tabwatch.operators.quantiles import column_quantiles
 
 
 def _inline(row: DataFrame, key_name: str, items) -> DataFrame:
@@ -29,7 +29,7 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 def profile_schema(df: DataFrame) -> DataFrame:
     """(column, dtype, non_null)."""
-    row = df.agg(*[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)])
+    row = df.agg(*[F.count_if(~missing(df, c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)])
     return _inline(row, "column", [(f.name, {"dtype": F.lit(f.dataType.simpleString()),
                                              "non_null": F.col(f"_nn{i}")})
                                    for i, f in enumerate(df.schema.fields)])
@@ -39,7 +39,7 @@ def null_counts(df: DataFrame, cols=None) -> DataFrame:
     """D4 + D5: (column, null_count, null_percent)."""
     cols = list(cols or df.columns)
     row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"_z{i}") for i, c in enumerate(cols)])
+                 *[F.count_if(missing(df, c)).alias(f"_z{i}") for i, c in enumerate(cols)])
     return _inline(row, "column", [(c, {"null_count": F.col(f"_z{i}"),
                                         "null_percent": F.coalesce(safe_div(F.col(f"_z{i}") * 100.0,
                                                                             F.col("_n")), F.lit(0.0))})
@@ -63,19 +63,19 @@ def value_counts_by_freq(df: DataFrame, col: str) -> DataFrame:
             .orderBy(F.desc("count"), F.asc(col)))
 
 
-def describe_numeric(df: DataFrame, features, **kw) -> DataFrame:
+def describe_numeric(df: DataFrame, features) -> DataFrame:
     """D3: per feature count, mean, std (sample), min, q25, q50, q75, max."""
     aggs = []
     for i, c in enumerate(features):
-        x = F.col(c).cast("double")
+        x = as_number(c)
         aggs += [F.count(x).alias(f"_c{i}"), F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
                  F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
     stats = _inline(df.agg(*aggs), "feature", [
         (c, {"count": F.col(f"_c{i}"), "mean": F.col(f"_m{i}"), "std": F.col(f"_s{i}"),
              "min": F.col(f"_lo{i}"), "max": F.col(f"_hi{i}")}) for i, c in enumerate(features)])
-    kw.setdefault("max_groups", len(features))
-    q = quantiles_wide(to_long(df, features), ["feature"], "value", [0.25, 0.5, 0.75],
-                       ["q25", "q50", "q75"], **kw)
+    q = df.sparkSession.createDataFrame(
+        [(c, *v) for c, v in column_quantiles(df, {c: as_number(c) for c in features}, [0.25, 0.5, 0.75]).items()],
+        "feature string, q25 double, q50 double, q75 double")
     return stats.join(q, "feature", "left").select("feature", "count", "mean", "std", "min", "q25", "q50",
                                                    "q75", "max")
 
@@ -83,7 +83,7 @@ def describe_numeric(df: DataFrame, features, **kw) -> DataFrame:
 def min_max(df: DataFrame, features) -> DataFrame:
     """(feature, min, max) from one wide pass."""
     row = df.agg(*[x for i, c in enumerate(features) for x in (
-        F.min(F.col(c).cast("double")).alias(f"_lo{i}"), F.max(F.col(c).cast("double")).alias(f"_hi{i}"))])
+        F.min(as_number(c)).alias(f"_lo{i}"), F.max(as_number(c)).alias(f"_hi{i}"))])
     return _inline(row, "feature", [(c, {"min": F.col(f"_lo{i}"), "max": F.col(f"_hi{i}")})
                                     for i, c in enumerate(features)])
 
@@ -122,7 +122,7 @@ def correlation_matrix(df: DataFrame, features) -> DataFrame:
         for j, b in enumerate(feats):
             if j < i:
                 continue
-            aggs.append(_pair_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_r{i}_{j}"))
+            aggs.append(_pair_corr(as_number(a), as_number(b)).alias(f"_r{i}_{j}"))
     row = df.agg(*aggs)
     for i, a in enumerate(feats):
         for j, b in enumerate(feats):
@@ -134,63 +134,39 @@ def correlation_matrix(df: DataFrame, features) -> DataFrame:
 
 def target_correlation(df: DataFrame, features, target: str) -> DataFrame:
     """(feature, corr) with the target, descending."""
-    row = df.agg(*[_pair_corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_r{i}")
+    row = df.agg(*[_pair_corr(as_number(c), as_number(target)).alias(f"_r{i}")
                    for i, c in enumerate(features)])
     return _inline(row, "feature", [(c, {"corr": F.col(f"_r{i}")}) for i, c in enumerate(features)]
                    ).orderBy(F.desc_nulls_last("corr"), "feature")
 
 
-def _bounds_from_counts(present: DataFrame, features, multiplier: float, **kw) -> dict:
-    kw.setdefault("max_groups", len(features))
-    q = quantiles_wide(present, ["feature"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], value_counts=True,
-                       **kw)
-    out = {}
-    for r in q.collect():  # one row per feature
-        iqr = r["q3"] - r["q1"]
-        out[r["feature"]] = dict(q1=r["q1"], median=r["median"], q3=r["q3"],
-                                 lower=r["q1"] - multiplier * iqr, upper=r["q3"] + multiplier * iqr)
-    return out
-
-
-def _fenced_stats(df: DataFrame, features, multiplier: float, aggs_fn, **kw):
-    """One scan: the (feature, value, count) table gives the quartiles AND the per-feature
-    conditional sums / extremes against the fences. Returns (bounds, one local row per feature)."""
-    from tabwatch.operators.prepare import feature_value_counts
-    counts = feature_value_counts(df, features).persist()
-    try:
-        b = _bounds_from_counts(counts.where(F.col("value").isNotNull()), features, multiplier, **kw)
-        lo = case_lookup("feature", {c: v["lower"] for c, v in b.items()})
-        hi = case_lookup("feature", {c: v["upper"] for c, v in b.items()})
-        rows = {r["feature"]: r for r in counts.groupBy("feature").agg(*aggs_fn(F.col("value"), lo, hi)).collect()}
-    finally:
-        counts.unpersist()
-    return b, rows
-
-
-def outlier_counts(df: DataFrame, features, multiplier: float = 1.5, **kw) -> DataFrame:
-    """(feature, lower, upper, outliers, outlier_percent) descending by outliers. One data scan."""
-    def aggs(v, lo, hi):
-        return [F.sum("_n").alias("rows"),
-                F.sum(F.when((v < lo) | (v > hi), F.col("_n")).otherwise(0)).alias("outliers")]
-
-    b, rows = _fenced_stats(df, features, multiplier, aggs, **kw)
-    out = [(c, float(b[c]["lower"]), float(b[c]["upper"]), int(rows[c]["outliers"]),
-            rows[c]["outliers"] * 100.0 / rows[c]["rows"]) for c in features if c in b]
+def _fences(df: DataFrame, features, multiplier: float) -> dict:
+    """Quartiles and fences of each feature that has values."""
+    q = column_quantiles(df, {c: as_number(c) for c in features}, [0.25, 0.5, 0.75])
+    return {c: dict(q1=q1, median=m, q3=q3, lower=q1 - multiplier * (q3 - q1), upper=q3 + multiplier * (q3 - q1))
+            for c, (q1, m, q3) in q.items() if q1 is not None}
+
+
+def outlier_counts(df: DataFrame, features, multiplier: float = 1.5) -> DataFrame:
+    """(feature, lower, upper, outliers, outlier_percent) descending by outliers."""
+    b = _fences(df, features, multiplier)
+    row = df.agg(F.count("*").alias("rows"), *[
+        F.count_if((as_number(c) < f["lower"]) | (as_number(c) > f["upper"])).alias(f"o{i}") for i, (c, f) in enumerate(b.items())]).first()
+    out = [(c, f["lower"], f["upper"], row[f"o{i}"], row[f"o{i}"] * 100.0 / row["rows"]) for i, (c, f) in enumerate(b.items())]
     res = df.sparkSession.createDataFrame(
         out, "feature string, lower double, upper double, outliers long, outlier_percent double")
     return res.orderBy(F.desc("outliers"), "feature")
 
 
-def boxplot_stats(df: DataFrame, features, multiplier: float = 1.5, **kw) -> DataFrame:
-    """Quartiles, whiskers (furthest data point inside the fences) and flier count. One data scan."""
-    def aggs(v, lo, hi):
-        inside = (v >= lo) & (v <= hi)
-        return [F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-                F.sum(F.when(v.isNotNull() & ~inside, F.col("_n")).otherwise(0)).alias("fliers")]
-
-    b, rows = _fenced_stats(df, features, multiplier, aggs, **kw)
-    out = [(c, float(b[c]["q1"]), float(b[c]["median"]), float(b[c]["q3"]), rows[c]["whisker_low"],
-            rows[c]["whisker_high"], int(rows[c]["fliers"])) for c in features if c in b]
+def boxplot_stats(df: DataFrame, features, multiplier: float = 1.5) -> DataFrame:
+    """Quartiles, whiskers (furthest data point inside the fences) and flier count."""
+    b, aggs = _fences(df, features, multiplier), [F.count("*").alias("rows")]
+    for i, (c, f) in enumerate(b.items()):
+        v = as_number(c)
+        inside = (v >= f["lower"]) & (v <= f["upper"])
+        aggs += [F.min(F.when(inside, v)).alias(f"lo{i}"), F.max(F.when(inside, v)).alias(f"hi{i}"), F.count_if(~inside).alias(f"n{i}")]
+    row = df.agg(*aggs).first()
+    out = [(c, f["q1"], f["median"], f["q3"], row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"]) for i, (c, f) in enumerate(b.items())]
     return df.sparkSession.createDataFrame(
         out, "feature string, q1 double, median double, q3 double, whisker_low double, whisker_high double, "
              "fliers long")
@@ -206,7 +182,7 @@ def pair_density(df: DataFrame, features, target: str, bins: int = 20) -> DataFr
     return long.groupBy("feature", "x_bin", target).agg(F.count(F.lit(1)).alias("count"))
 
 
-def eda_report(df: DataFrame, features, target: str, **kw) -> DataFrame:
+def eda_report(df: DataFrame, features, target: str) -> DataFrame:
     """Long form (section, key, value double) of D1, D4, D6, D8, D12, D13."""
     shape = profile_shape(df).select(F.lit("shape").alias("section"), F.inline(F.array(
         F.struct(F.lit("rows").alias("key"), F.col("rows").cast("double").alias("value")),
@@ -221,7 +197,7 @@ def eda_report(df: DataFrame, features, target: str, **kw) -> DataFrame:
     corr = target_correlation(df, features, target).select(F.lit("target_correlation").alias("section"),
                                                            F.col("feature").alias("key"),
                                                            F.col("corr").alias("value"))
-    outl = outlier_counts(df, features, **kw).select(F.lit("outliers").alias("section"),
+    outl = outlier_counts(df, features).select(F.lit("outliers").alias("section"),
                                                      F.col("feature").alias("key"),
                                                      F.col("outliers").cast("double").alias("value"))
     return shape.unionByName(nulls).unionByName(dups).unionByName(dist).unionByName(corr).unionByName(outl)

@@ -64,16 +64,14 @@ def score_batch(df: DataFrame, model, params=None, features=None, model_name: st
     ``model`` is a fitted Spark ML model/PipelineModel reading a ``features`` vector column.
     """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     from tabwatch.operators.prepare import apply_preparation
+    from tabwatch.operators.train import predict_with_proba
 
     feats = list(features)
     prepared = apply_preparation(df, params, feats, keep=list(keep)) if params is not None else df
     vec = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(prepared)
-    scored = model.transform(vec)
-    out = scored.withColumn("proba", vector_to_array("probability"))
-    out = decode_class(out, "prediction", out="predicted_label", labels=labels, proba_col="proba")
+    out = decode_class(predict_with_proba(model, vec), "prediction", out="predicted_label", labels=labels, proba_col="proba")
     return out.select(*keep, F.col("prediction").cast("int").alias("predicted_class"), "predicted_label",
                       "probabilities", F.lit(model_name).alias("model_name"),
                       F.lit(model_version).cast("string").alias("model_version"),

@@ -157,10 +157,10 @@ def q_latency_p95_exact(spark, sf):
 @register("gauge_max", """
 SELECT max(value) AS gauge_max, count(*) AS series FROM (
   SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-  FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00') WHERE rn = 1""")
+  FROM events) WHERE rn = 1""")
 def q_gauge_max(spark, sf):
     ev = table(spark, sf, "events")
-    return J.gauge_max(ev, series=["user_id"], ts="ts", value="value", asof="2024-01-20 00:00:00", tie=["event_id"])
+    return J.gauge_max(ev, series=["user_id"], ts="ts", value="value", tie=["event_id"])
 
 
 def alert_samples(spark, sf):

@@ -158,7 +158,7 @@ def q_drift_details_lineitem(spark, sf):
 
 # ---------------------------------------------------------------- I6-I9
 _LATEST_SQL = f"""(SELECT prediction_id, actual_class, predicted_class, feedback_at FROM {ATTACHED_SQL}
-WHERE actual_class IS NOT NULL ORDER BY feedback_at DESC, prediction_id ASC LIMIT 500)"""
+WHERE actual_class IS NOT NULL)"""
 
 
 @register("latest_feedback", f"SELECT * FROM {_LATEST_SQL}")

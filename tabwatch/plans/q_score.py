@@ -1,8 +1,8 @@
 """Bindings for feedback joins (H3, H4).
 
-predictions = orders before 1998 (id o_orderkey, class o_custkey % 3 as text, time o_orderdate);
-feedback = lineitem rows (id l_orderkey, class l_linenumber % 3 as text, time l_shipdate),
-ties broken by l_linenumber, l_partkey, l_suppkey.
+predictions = orders (id o_orderkey, class o_custkey % 3 as text, time o_orderdate);
+feedback = lineitem rows (id l_orderkey, negative where it is a multiple of 5 so that some feedback has no
+prediction, class l_linenumber % 3 as text, time l_shipdate), ties broken by l_linenumber, l_partkey, l_suppkey.
 """
 
 from __future__ import annotations
@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from tabwatch.operators import score as S
 from tabwatch.plans.catalog import register, table
 
-CUT = "1998-01-01"
-
 PRED_SQL = (f"(SELECT o_orderkey AS prediction_id, o_orderdate AS created_at, "
-            f"CAST(o_custkey % 3 AS VARCHAR) AS predicted_class FROM orders "
-            f"WHERE o_orderdate < TIMESTAMP '{CUT} 00:00:00')")
-FB_SQL = ("(SELECT l_orderkey AS prediction_id, CAST(l_linenumber % 3 AS VARCHAR) AS actual_class, "
+            f"CAST(o_custkey % 3 AS VARCHAR) AS predicted_class FROM orders)")
+FB_SQL = ("(SELECT CASE WHEN l_orderkey % 5 = 0 THEN -l_orderkey ELSE l_orderkey END AS prediction_id, CAST(l_linenumber % 3 AS VARCHAR) AS actual_class, "
           "l_shipdate AS feedback_at, l_returnflag || l_linestatus AS comment, l_linenumber, l_partkey, l_suppkey "
           "FROM lineitem)")
 ATTACHED_SQL = f"""(
@@ -31,14 +28,14 @@ FROM {PRED_SQL} p LEFT JOIN (
 
 
 def predictions(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz"))
-    return o.select(F.col("o_orderkey").alias("prediction_id"), F.col("o_orderdate").alias("created_at"),
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("prediction_id"), F.col("o_orderdate").alias("created_at"),
                     (F.col("o_custkey") % 3).cast("string").alias("predicted_class"))
 
 
 def feedback(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.select(F.col("l_orderkey").alias("prediction_id"),
+    key = F.col("l_orderkey")
+    return li.select(F.when(key % 5 == 0, -key).otherwise(key).alias("prediction_id"),
                      (F.col("l_linenumber") % 3).cast("string").alias("actual_class"),
                      F.col("l_shipdate").alias("feedback_at"),
                      F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("comment"),

@@ -140,7 +140,8 @@ SELECT strptime(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '%Y-%m-%d %H:%M:%S.%f') AS
 def q_ingest_json_log(spark, sf):
     from tabwatch.plans.q_metrics import request_log
     log = request_log(spark, sf)
-    lines = log.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), F.lit("INFO").alias("level"),
+    lines = log.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSSSSS").alias("asctime"), F.lit("INFO").alias("levelname"),
+                       F.lit("app").alias("name"),
                        F.lit("request_completed").alias("message"), F.col("request_id").cast("string").alias("request_id"),
                        "method", "path", "status_code", "duration_ms")
     path = scratch_path(spark, "request-log")

@@ -8,6 +8,7 @@ unset (local runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^-]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {master})")
         # Only for local runs / tests: the cluster names its own shared folder.
         path = tempfile.mkdtemp(prefix="tabwatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

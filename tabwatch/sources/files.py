@@ -7,7 +7,6 @@ idempotent per batch when the caller supplies deterministic ids.
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,16 +78,16 @@ def report_to_json(report: DataFrame, name: str = "report") -> DataFrame:
     return report.select(F.to_json(F.struct(*report.columns)).alias(name))
 
 
-def recent_features(events: DataFrame, asof, days: int = 30, limit: int = 2000, ts: str = "created_at",
+def recent_features(events: DataFrame, asof, days: int = 30, limit: int | None = None, ts: str = "created_at",
                     features: str = "features", tie=("prediction_id",)) -> DataFrame:
-    """Features of the last ``days`` before ``asof``, newest first, top ``limit``, expanded long.
+    """Events of the last ``days`` before ``asof``: all, or the newest ``limit`` (TakeOrderedAndProject).
 
-    ``asof`` is a parameter (not now()), so reruns are reproducible. TakeOrderedAndProject.
+    ``asof`` is a parameter (not now()), so reruns are reproducible. The features stay JSON text;
+    ``expand_json_features`` turns them into rows.
     """
     lo = F.lit(asof).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
     sel = events.where((F.col(ts) >= lo) & (F.col(ts) <= F.lit(asof).cast("timestamp_ntz")))
-    top = sel.orderBy(F.desc(ts), *[F.asc(t) for t in tie]).limit(limit)
-    return top
+    return sel if limit is None else sel.orderBy(F.desc(ts), *[F.asc(t) for t in tie]).limit(limit)
 
 
 PREDICTION_EVENTS_SCHEMA = T.StructType([
@@ -202,8 +201,9 @@ def write_cv_results(results: DataFrame, path: str, rank_col: str = "rank_test_f
 
 
 REQUEST_LOG_SCHEMA = T.StructType([
-    T.StructField("timestamp", T.StringType(), True),
-    T.StructField("level", T.StringType(), True),
+    T.StructField("asctime", T.StringType(), True),
+    T.StructField("levelname", T.StringType(), True),
+    T.StructField("name", T.StringType(), True),
     T.StructField("message", T.StringType(), True),
     T.StructField("request_id", T.StringType(), True),
     T.StructField("method", T.StringType(), True),
@@ -214,15 +214,15 @@ REQUEST_LOG_SCHEMA = T.StructType([
 
 
 def parse_request_log(raw: DataFrame) -> DataFrame:
-    """A11 (shared by batch and stream): typed request log; bad lines keep NULLs, never fail the job."""
-    return raw.select(F.to_timestamp_ntz(F.col("timestamp")).alias("ts"), "request_id", "method", "path",
+    """A11 (shared by batch and stream): typed request log; bad lines keep NULLs, never fail the job.
+
+    Times are written "2024-01-31 12:00:00,123" (a comma or a point before the fraction).
+    """
+    at = F.regexp_replace("asctime", ",", ".").try_cast("timestamp_ntz")
+    return raw.select(at.alias("ts"), "request_id", "method", "path",
                       "status_code", "duration_ms")
 
 
 def ingest_json_log(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line -> typed request log (input of the request metrics)."""
     return parse_request_log(spark.read.schema(REQUEST_LOG_SCHEMA).json(path))
-
-
-def dumps(obj) -> str:
-    return json.dumps(obj, indent=2, sort_keys=True)

@@ -22,7 +22,7 @@ DEFAULT_LABEL_RULES = (("<=", 5.0, "low"), ("==", 6.0, "medium"), (">=", 7.0, "h
 TARGET_NAMES = ("quality", "quality_class", "quality_category", "quality_label", "target", "label")
 
 # Candidate target names searched in order when reading a split.
-TARGET_CANDIDATES = ("quality_class", "quality", "target", "label", "class", "y")
+TARGET_CANDIDATES = ("quality_class", "quality_category", "quality_label", "target", "label", "quality")
 
 # Default latency histogram bounds (seconds) of the request-duration histogram, then +Inf.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -73,14 +73,14 @@ class DriftConfig:
     minimum_statistic: float = 0.10
     detection_ratio: float = 0.30
     minimum_samples: int = 100
-    sample_limit: int = 2000
+    sample_limit: int | None = None   # newest rows of the window; None: all of them
     lookback_days: int = 30
     uncertain_band: float = 0.20   # flag p within +-20 % of alpha/k
 
 
 @dataclass(frozen=True)
 class PerformanceConfig:
-    limit: int = 500
+    limit: int | None = None          # newest labelled events; None: all of them
     minimum_feedbacks: int = 50
     minimum_accuracy: float = 0.55
 

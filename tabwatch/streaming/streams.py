@@ -18,14 +18,14 @@ from tabwatch.spec import DEFAULT_ALERT_RULES, EVAL_STEP_SECONDS
 
 
 def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet",
-                      output_mode: str = "append", partition_by=None, timeout_s: int = 600) -> None:
+                      output_mode: str = "append", partition_by=None, timeout_s: int | None = None) -> None:
     """Process everything available now into a file sink, then stop (exactly-once via checkpoint)."""
     w = df.writeStream.format(fmt).outputMode(output_mode).option("checkpointLocation", checkpoint)
     if partition_by:
         w = w.partitionBy(*partition_by)
     q = w.trigger(availableNow=True).start(sink_path)
-    finished = q.awaitTermination(timeout_s)
-    if not finished:
+    finished = q.awaitTermination() if timeout_s is None else q.awaitTermination(timeout_s)
+    if finished is False:
         q.stop()
         raise TimeoutError(f"stream to {sink_path} did not finish in {timeout_s}s")
     if q.exception() is not None:

@@ -18,8 +18,7 @@ _SETTINGS = settings(max_examples=5, deadline=None, suppress_health_check=list(H
        st.sampled_from([1, 3]))
 def test_quantiles_equal_numpy(spark, values, buckets):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = {r.p: r.q for r in exact_quantiles(to_long(df, ["x"]), ["feature"], "value", [0.1, 0.5, 0.9],
-                                             method="prefix", buckets=buckets).collect()}
+    got = {r.p: r.q for r in exact_quantiles(to_long(df, ["x"]), ["feature"], "value", [0.1, 0.5, 0.9], buckets=buckets).collect()}
     for p in (0.1, 0.5, 0.9):
         assert got[p] == pytest.approx(float(np.quantile(np.array(values, dtype=float), p)), abs=1e-9)
 

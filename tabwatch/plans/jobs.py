@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwatch.functions.columns import hash_order
 from tabwatch.operators import clean as B
@@ -16,6 +17,10 @@ from tabwatch.sources import files as A
 from tabwatch.spec import DEFAULT_LABEL_RULES, DriftConfig, PerformanceConfig, PreparationConfig
 
 
+PREPARATION_REPORT = T.StructType([T.StructField("section", T.StringType()), T.StructField("key", T.StringType()),
+                                   T.StructField("value", T.DoubleType())])
+
+
 @dataclass
 class PreparationResult:
     prepared: DataFrame      # scaled features + class + split
@@ -27,10 +32,10 @@ def run_preparation(spark: SparkSession, sources, columns, features, target: str
                     label_rules=DEFAULT_LABEL_RULES, config: PreparationConfig = PreparationConfig(),
                     tag_col: str = "source_tag", sep: str = ";") -> PreparationResult:
     """C11: read -> union -> rename -> coerce -> label -> drop invalid -> dedupe -> split -> fit on
-    train -> apply everywhere -> write splits + params. ``sources`` = [(path, tag), ...].
+    train -> apply everywhere -> write splits, params and report. ``sources`` = [(path, tag), ...].
 
-    The deduplicated frame is checkpointed to the shared folder (reused by the split and the three
-    fit passes, and a lineage cut if executors are lost). Rows are unique after dedupe, so the split
+    The deduplicated frame and the split are checkpointed to the shared folder (reused by the fit, the
+    write and the report, and a lineage cut if executors are lost). Rows are unique after dedupe, so the split
     key is a hash of every column.
     """
     frames = [A.read_delimited(spark, path, columns, tag=tag, tag_col=tag_col, sep=sep) for path, tag in sources]
@@ -44,12 +49,13 @@ def run_preparation(spark: SparkSession, sources, columns, features, target: str
     valid = B.drop_invalid_targets(labelled, [tgt, "quality_label", "quality_class"])
     deduped = materialize(B.drop_exact_duplicates(valid))
     keyed = deduped.withColumn("_row_key", hash_order(config.split.seed, deduped.columns))
-    splits = P.stratified_split(keyed, "quality_class", ["_row_key"], config.split)
+    splits = materialize(P.stratified_split(keyed, "quality_class", ["_row_key"], config.split))
     prepared, params = P.fit_transform_preparation(splits, feats, keep=["quality_class"],
                                                    multiplier=config.iqr_multiplier, scaling=config.scaling)
     A.write_splits(prepared, f"{out_dir}/splits", feats, "quality_class")
     A.save_params(params, f"{out_dir}/params")
-    report = P.preparation_report(valid, deduped, splits, "quality_class")
+    A.write_report(P.preparation_report(valid, deduped, splits, "quality_class"), f"{out_dir}/report")
+    report = A.read_report(spark, f"{out_dir}/report", PREPARATION_REPORT)
     # Downstream reads the written splits: no recomputation, and lineage is cut at the write.
     return PreparationResult(spark.read.parquet(f"{out_dir}/splits"), A.load_params(spark, f"{out_dir}/params"),
                              report)
@@ -57,12 +63,13 @@ def run_preparation(spark: SparkSession, sources, columns, features, target: str
 
 def daily_monitoring(reference: DataFrame, events: DataFrame, features, asof, run_prefix: str = "run",
                      drift_cfg: DriftConfig = DriftConfig(), perf_cfg: PerformanceConfig = PerformanceConfig(),
-                     features_col: str = "features") -> DataFrame:
+                     features_col: str = "features", out_dir: str | None = None) -> DataFrame:
     """Drift (recent features vs reference) + rolling performance (latest feedback) ->
     two monitoring_runs rows and the retraining decision, as one small frame.
 
     ``events`` are prediction events with feedback attached (H3); features are JSON text.
-    The drift row is skipped (status insufficient_samples) below the minimum sample.
+    The drift row is skipped (status insufficient_samples) below the minimum sample. With ``out_dir``
+    the rows are appended to its monitoring_runs and both reports are written beside it.
     """
     feats = list(features)
     recent = A.recent_features(events, asof, drift_cfg.lookback_days, drift_cfg.sample_limit)
@@ -71,13 +78,17 @@ def daily_monitoring(reference: DataFrame, events: DataFrame, features, asof, ru
     ks = M.ks_two_sample_long(to_long(reference, feats), cur_long)
     det = M.drift_flags(ks, len(feats), drift_cfg)
     drift = M.drift_report(reference, recent, feats, drift_cfg, details=det, with_details=False)
-    drift = M.drift_gate(drift, drift_cfg)
-    perf = M.rolling_performance(M.latest_feedback(events, config=perf_cfg), config=perf_cfg)
+    drift = materialize(M.drift_gate(drift, drift_cfg))  # one row, used by its run row, its report and the decision
+    perf = materialize(M.rolling_performance(M.latest_feedback(events, config=perf_cfg), config=perf_cfg))
     d_row = A.monitoring_run_row(drift.where(F.col("status") == "ok").drop("status"), f"{run_prefix}-drift", asof,
                                  "drift")
     p_row = A.monitoring_run_row(perf, f"{run_prefix}-performance", asof, "performance")
     decision = M.retraining_decision(drift, perf, drift_cfg, perf_cfg)
     runs = d_row.unionByName(p_row)
+    if out_dir is not None:
+        A.append_monitoring_run(runs, f"{out_dir}/monitoring_runs")
+        A.write_report(drift, f"{out_dir}/drift_report")
+        A.write_report(perf, f"{out_dir}/performance_report")
     return runs.withColumn("_k", F.lit(1)).join(decision.select(
         F.col("retraining_required").alias("decision_retraining_required"),
         F.col("reason").alias("decision_reason")).withColumn("_k", F.lit(1)), "_k").drop("_k")

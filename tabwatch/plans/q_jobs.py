@@ -44,4 +44,5 @@ def q_daily_monitoring(spark, sf):
                        (F.col("user_id") % 3).cast("string").alias("predicted_class"),
                        F.to_json(F.struct(F.col("value").alias("value"), k.alias("k"))).alias("features"))
     events = events.join(fb, "prediction_id", "left")
-    return daily_monitoring(ref, events, ["value", "k"], "2024-01-31 00:00:00", run_prefix="2024-01-31")
+    return daily_monitoring(ref, events, ["value", "k"], "2024-01-31 00:00:00", run_prefix="2024-01-31",
+                            out_dir=scratch_path(spark, "daily-monitoring"))

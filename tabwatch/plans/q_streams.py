@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwatch.operators import score as S
-from tabwatch.plans.catalog import LI_FEATURES, LI_KEY, lineitem_frame, r6, register
+from tabwatch.plans.catalog import LI_FEATURES, LI_KEY, ORACLE, lineitem_frame, r6, register
+from tabwatch.plans.q_metrics import LOG_SQL
+from tabwatch.plans.q_score import ATTACHED_SQL
 from tabwatch.session import scratch_path
 from tabwatch.streaming import streams as ST
 
@@ -38,14 +40,14 @@ def q_score_stream(spark, sf):
         return S.score_batch(df, model, params, LI_FEATURES, model_name="classifier", keep=[*LI_KEY, "l_shipdate"])
 
     out = ST.score_stream(src, score, created_at="l_shipdate").withColumn("probabilities", F.to_json("probabilities"))
-    return _sink(spark, out, "score").drop("scored_at", "latency_ms")
+    return _sink(spark, out, "score").drop("scored_at", "ingestion_lag_ms")
 
 
-@register("attach_feedback_stream")
+@register("attach_feedback_stream", f"SELECT * FROM {ATTACHED_SQL}")
 def q_attach_feedback_stream(spark, sf):
     from tabwatch.plans.q_score import feedback, predictions
-    p = _as_stream(spark, predictions(spark, sf), "pred-in")
-    f = _as_stream(spark, feedback(spark, sf), "fb-in")
+    p = _as_stream(spark, ST.closed(predictions(spark, sf), "created_at", "8000 days", prediction_id=-(10 ** 15)), "pred-in")
+    f = _as_stream(spark, ST.closed(feedback(spark, sf), "feedback_at", "8000 days", prediction_id=-(10 ** 15) - 1), "fb-in")
     joined = ST.attach_feedback_stream(p, f, bound="3650 days", delay="1 day")
     got = _sink(spark, joined.select("p.prediction_id", "p.created_at", "p.predicted_class", "f.actual_class",
                                      "f.feedback_at", "f.comment", "f.l_linenumber", "f.l_partkey", "f.l_suppkey"),
@@ -56,23 +58,26 @@ def q_attach_feedback_stream(spark, sf):
                                       tie=("l_linenumber", "l_partkey", "l_suppkey"))
     preds = got.select("prediction_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
                        "predicted_class").distinct()
-    return S.attach_feedback(preds, latest)
+    return S.attach_feedback(preds, latest).select("prediction_id", "created_at", "predicted_class", "actual_class",
+                                                   "feedback_at", "feedback_comment", "is_correct")
 
 
-@register("alert_state_stream")
+@register("alert_state_stream", ORACLE["alert_for_duration"])
 def q_alert_state_stream(spark, sf):
     from tabwatch.plans.q_metrics import alert_samples
-    src = _as_stream(spark, alert_samples(spark, sf), "alert-samples-in")
+    src = _as_stream(spark, ST.closed(alert_samples(spark, sf), "t", "1 day"), "alert-samples-in")
     out = ST.alert_state_stream(src)
     got = _sink(spark, out, "alert-state")
     return got.select("rule", "series", F.col("t").cast("timestamp_ntz").alias("t"), r6("value").alias("value"),
                       F.col("island_start").cast("timestamp_ntz").alias("island_start"), "state", "severity")
 
 
-@register("request_metrics_stream")
+@register("request_metrics_stream", f"""
+SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, method, path, count(*) AS requests,
+  count(*) FILTER (status_code >= 500) AS errors, round(sum(duration_ms / 1000.0), 6) AS duration_sum FROM {LOG_SQL} GROUP BY ALL""")
 def q_request_metrics_stream(spark, sf):
     from tabwatch.plans.q_metrics import request_log
-    src = _as_stream(spark, request_log(spark, sf), "request-log-in")
+    src = _as_stream(spark, ST.closed(request_log(spark, sf), "ts", "1 day"), "request-log-in")
     got = _sink(spark, ST.request_metrics_stream(src), "request-metrics")
     return got.select("window_start", "method", "path", "requests", "errors", r6("duration_sum").alias(
         "duration_sum"))

@@ -32,16 +32,26 @@ def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, fmt: str =
         raise RuntimeError(str(q.exception()))
 
 
+def closed(df: DataFrame, col: str, ahead: str, **values) -> DataFrame:
+    """A bounded input with one more row: an event time ``ahead`` of the newest one, ``values``, else NULL.
+
+    A stream over it advances its watermark past every real row and so emits all that waits. A
+    join drops rows without a key before they count, so they need one (that nothing matches).
+    """
+    last = df.agg((F.max(col).cast("timestamp") + F.expr(f"INTERVAL {ahead}")).cast(df.schema[col].dataType).alias(col)).where(F.col(col).isNotNull())
+    return df.unionByName(last.select(*[F.col(c) if c == col else F.lit(values.get(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
+
+
 def with_event_time(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """NTZ -> TIMESTAMP (session time zone UTC) so it can carry a watermark."""
     return df.withColumn(out or col, F.col(col).cast("timestamp"))
 
 
 def score_stream(stream: DataFrame, score_fn, created_at: str = "created_at") -> DataFrame:
-    """H2: stateless scoring of a stream; ``latency_ms`` = scoring time - event time."""
+    """H2: stateless scoring of a stream; ``ingestion_lag_ms`` = scoring time - event time."""
     scored = score_fn(stream)
     return scored.withColumn("scored_at", F.current_timestamp()).withColumn(
-        "latency_ms", (F.unix_micros(F.col("scored_at")) - F.unix_micros(F.col(created_at).cast("timestamp"))) / 1000.0)
+        "ingestion_lag_ms", (F.unix_micros(F.col("scored_at")) - F.unix_micros(F.col(created_at).cast("timestamp"))) / 1000.0)
 
 
 def attach_feedback_stream(predictions: DataFrame, feedback: DataFrame, bound: str = "30 days",
@@ -73,48 +83,63 @@ def request_metrics_stream(log: DataFrame, window: str = "5 minutes", delay: str
                     "errors", "duration_sum")
 
 
-ALERT_STATE_SCHEMA = "island_start TIMESTAMP, last_t TIMESTAMP, last_breach BOOLEAN"
+ALERT_STATE_SCHEMA = "island_start BIGINT, last_t BIGINT, last_breach BOOLEAN, waiting STRING"
 ALERT_OUT_SCHEMA = ("rule STRING, series STRING, t TIMESTAMP, value DOUBLE, island_start TIMESTAMP, "
                     "state STRING, severity STRING")
+_COLUMNS = ["rule", "series", "t", "value", "island_start", "state", "severity"]
 
 
 def _alert_fn(rules, step: int):
-    by_name = {r.name: r for r in rules}
-    ops = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
-           "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    """State of one (rule, series): the open island, the last sample, and the samples that wait for
+    the watermark, as JSON. Samples advance the island in time order once the watermark has passed
+    them, so that one that arrives late, but not too late, takes its place."""
+    by_name = {r.name: (r.op, r.threshold, r.for_seconds, r.severity) for r in rules}
+
+    def breaches(op: str, value, threshold: float) -> bool:
+        if value is None:
+            return False
+        return {"==": value == threshold, "!=": value != threshold, "<": value < threshold, "<=": value <= threshold,
+                ">": value > threshold, ">=": value >= threshold}[op]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import json
+
         rule, series = key
-        r = by_name[rule]
-        if state.hasTimedOut:
-            state.remove()
-            return
-        island, last_t, last_b = (state.get if state.exists else (None, None, None))
+        op, threshold, hold, severity = by_name[rule]
+        island, last, last_breach, waiting = state.get if state.exists else (None, None, None, "[]")
+        samples = json.loads(waiting)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                at = pdf["t"].astype("datetime64[us]").astype("int64")
+                samples += [[t, None if pd.isna(v) else float(v)] for t, v in zip(at.tolist(), pdf["value"].tolist())]
+        watermark = state.getCurrentWatermarkMs() * 1000
+        samples.sort(key=lambda x: (x[0], x[1] is not None, x[1] or 0.0))
+        passed = [x for x in samples if x[0] <= watermark]
+        samples = samples[len(passed):]
         out = []
-        batch = pd.concat(list(pdfs)).sort_values("t")
-        for t, v in zip(batch["t"], batch["value"]):
-            t = pd.Timestamp(t)
-            if last_t is not None and t <= pd.Timestamp(last_t):
-                continue  # late or repeated sample: state has moved on
-            breach = v is not None and not pd.isna(v) and ops[r.op](float(v), r.threshold)
+        for t, value in passed:
+            breach = breaches(op, value, threshold)
             if breach:
-                gap = last_t is None or (t - pd.Timestamp(last_t)).total_seconds() > step
-                if island is None or not last_b or gap:
+                if island is None or not last_breach or t - last > step * 1_000_000:
                     island = t
-                held = (t - pd.Timestamp(island)).total_seconds()
-                out.append((rule, series, t, float(v), pd.Timestamp(island),
-                            "firing" if held >= r.for_seconds else "pending", r.severity))
+                out.append((rule, series, pd.Timestamp(t, unit="us"), value, pd.Timestamp(island, unit="us"),
+                            "firing" if t - island >= hold * 1_000_000 else "pending", severity))
             else:
                 island = None
-            last_t, last_b = t, breach
-        state.update((None if island is None else pd.Timestamp(island), pd.Timestamp(last_t) if last_t is not None
-                      else None, bool(last_b) if last_b is not None else None))
-        if last_t is not None:
-            # Drop the key once the watermark is an hour past its last sample.
-            state.setTimeoutTimestamp(int(pd.Timestamp(last_t).value // 1_000_000) + 3_600_000)
+            last, last_breach = t, breach
+        if samples:
+            wake = samples[0][0] // 1000 + 1
+        elif last is not None and last // 1000 + 3_600_000 > watermark // 1000:
+            wake = last // 1000 + 3_600_000  # idle keys are dropped an hour past the watermark
+        else:
+            wake = None
+        if wake is None:
+            state.remove()
+        else:
+            state.update((island, last, last_breach, json.dumps(samples)))
+            state.setTimeoutTimestamp(max(wake, watermark // 1000 + 1))
         if out:
-            cols = ["rule", "series", "t", "value", "island_start", "state", "severity"]
-            yield pd.DataFrame(out, columns=cols)
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return fn
 
@@ -123,9 +148,9 @@ def alert_state_stream(samples: DataFrame, rules=DEFAULT_ALERT_RULES, delay: str
                        step: int = EVAL_STEP_SECONDS) -> DataFrame:
     """Live pending/firing states per (rule, series), the streaming twin of J12.
 
-    samples: (metric, series, t, value) stream. Rules are joined as a literal table; state
-    per (rule, series) keeps (island_start, last_t, last_breach); an event-time timeout drops
-    idle keys an hour past the watermark.
+    samples: (metric, series, t, value) stream. Rules are joined as a literal table. Samples wait
+    until the watermark has passed them (``delay`` after the newest one), so late ones count; an
+    event-time timeout wakes waiting keys and drops idle ones an hour past the watermark.
     """
     spark = samples.sparkSession
     from tabwatch.operators.metrics import rules_frame

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwatch.llm.common import prepare, remainder, scratch_path
+from tabwatch.llm.mixing import MIX_SQL
 from tabwatch.llm.tokens import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,44 @@ def op4_tool_call_links(spark: SparkSession, sf: str) -> DataFrame:
     from tabwatch.llm.toolcalls import SCHEMAS, from_conversations, link_tool_calls
 
     return link_tool_calls(from_conversations(table(spark, sf, "conversations")), SCHEMAS)
+
+
+_REACH_SQL = """reach(id, other) AS (
+  SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+ORACLE["op5_cosine_range_join"] = f"""
+WITH RECURSIVE nodes AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT p.id AS a, q.id AS b FROM nodes p JOIN nodes q ON p.id <> q.id AND list_cosine_similarity(p.e, q.e) >= 0.9),
+{_REACH_SQL},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN components ON id = vec_id LEFT JOIN counts ON a = vec_id"""
+
+ORACLE["op6_top_k_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLE["op8_jaccard_join"] = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS_SQL}') AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id AS id, array_to_string(w[i:i + 3], ' ') AS s FROM words, range(1, greatest(len(w) - 2, 2)) AS r(i) WHERE len(w) > 0),
+nodes AS (SELECT id, count(*) AS n FROM sets GROUP BY id),
+shared AS (SELECT p.id AS a, q.id AS b, count(*) AS n FROM sets p JOIN sets q ON p.s = q.s AND p.id <> q.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared s JOIN nodes p ON p.id = a JOIN nodes q ON q.id = b WHERE 100 * s.n >= 85 * (p.n + q.n - s.n)),
+{_REACH_SQL}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM documents LEFT JOIN nodes ON nodes.id = doc_id LEFT JOIN components ON components.id = doc_id"""
+
+ORACLE["op10_mix_sources"] = MIX_SQL

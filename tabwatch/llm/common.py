@@ -84,18 +84,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: every larger neighbour of a points at the smallest node next to a
         large = (both.where("b > a").join(low, "a").where("b <> m")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: the smaller neighbours of a, and a itself, point at the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = (joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .union(least.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
-        nxt = written(small, "cc-edges")
-        # a forest of stars: no target is itself a source
-        unstable = nxt.select(F.col("b").alias("a")).distinct().join(nxt.select("a").distinct(), "a").limit(1)
-        multi = nxt.groupBy("a").agg(F.count("b").alias("n")).where("n > 1").select("a").limit(1)
-        e = nxt
-        if not unstable.union(multi).take(1):
+        e = written(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                    .union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc-edges")
+        # a forest of stars: no target is itself a source, and every source has one target
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("target")).union(
+            e.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("target")))
+        ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("target").alias("target"))
+        if not ends.where("out > 1 or (out = 1 and target = 1)").take(1):
             break
     else:
         raise RuntimeError("connected components did not settle")

@@ -265,9 +265,9 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _shard_scores(chunks: list[int], packed: list[bytes], first: bool, classes: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray,
+def _shard_scores(chunks: list[int], packed: list[bytes], classes: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray,
                   known: float) -> Iterator[tuple]:
-    """(chunk, documents, known tokens, sum of log10(c + 1), log10 P) and the distinct words of a shard."""
+    """(chunk, documents, known tokens, sum of log10(c + 1), log10 P), and with the first the distinct words of the shard."""
     parts = [_unpack(x) for x in packed]
     hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     pairs_of = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -280,7 +280,7 @@ def _shard_scores(chunks: list[int], packed: list[bytes], first: bool, classes:
     is_hot = hot[place] == hashes if len(hot) else np.zeros(len(hashes), bool)
     if len(hot):
         count = np.where(is_hot, hot_counts[place], count)
-    distinct = int((count[~is_hot] > 0).sum()) + (int((hot_counts > 0).sum()) if first else 0)
+    distinct = int((count[~is_hot] > 0).sum())  # hot words are in many shards
     one = (count + 1) / known
     key = context * len(hashes) + word
     seen, back = np.unique(key[pair_count > 0], return_inverse=True)
@@ -311,7 +311,7 @@ def _shards(batches: Iterator[pa.RecordBatch], classes: np.ndarray, hot: np.ndar
     at, chunks, packed = None, [], []
 
     def done() -> Iterator[pa.RecordBatch]:
-        for chunk, docs, *sums, distinct in _shard_scores(chunks, packed, at == 0, classes, hot, hot_counts, known):
+        for chunk, docs, *sums, distinct in _shard_scores(chunks, packed, classes, hot, hot_counts, known):
             raw = b"".join(x.astype(kind).tobytes() for x, kind in zip((docs, *sums), ("<u2", "<u4", "<f8", "<f4")))
             yield _rows([[chunk], [raw], [distinct], [None], [None]], names, types)
 
@@ -394,7 +394,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     summed = (sent.repartition(max(tasks(spark), shards), deal).sortWithinPartitions("shard", "chunk")
               .mapInArrow(lambda b: _shards(b, *model.value), "chunk long, sums binary, distinct long, packed binary, doc_ids array<long>"))
     summed = written(summed, "lm-sums")
-    n_distinct = summed.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    n_distinct = summed.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + int((hot_counts > 0).sum())
     rows = (summed.select("chunk", "doc_ids", "packed", "sums").repartition(tasks(spark), "chunk")
             .sortWithinPartitions("chunk", F.col("doc_ids").isNull())
             .mapInArrow(_gather, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"))

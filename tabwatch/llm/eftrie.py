@@ -1,22 +1,25 @@
 """Language-model scores from an Elias-Fano n-gram trie, sharded over the vocabulary.
 
-The model is a bigram model whose contexts are classes k of the previous word (its hash, modulo
-``CLASSES``; the first word follows the end of a text), with Dirichlet smoothing:
-
-    P(w | k) = (c(k w) + MU * P1(w)) / (c(k) + MU),    P1(w) = (c(w) + 1) / (N + V' + 1)
-
-c counts the training tokens (words, and an end for each text), N is their number and V' an
-estimate of their distinct words from the smallest hashes. It sums to one over the known words
-and one unknown, up to the error of V' (about 1.5 %).
-
-1. One pass counts N, c(k) of every class and c(w) of the few hot words (found in a sample of the
-   rows; the list only steers the load), and keeps the smallest hashes. All that is bounded.
-2. A second pass sends each token as (word, class, document) to the shard of its word, packed by
-   chunk of documents; hot words are spread over all shards by (word, class). A shard adds up
-   c(w) and c(k w) over all chunks and builds its trie: classes, the words seen behind each as
-   small ids relative to the shard, monotone pointers from one to the other, all in Elias-Fano
-   code, and probabilities quantised to 16 bits. The levels lie in one memory-mapped file.
-   Every token is then looked up by a search among the successors of its own context.
+The model is a bigram model with Dirichlet smoothing; the context v of a word w is the word before
+it (the first word follows the end of a text):
+
+    P(w | v) = (c(v w) + MU * P1(w)) / (c(v) + MU),    P1(w) = (c(w) + 1) / (N + V + 1)
+
+c counts the training tokens (words, and an end for each text), N is their number and V that of
+their distinct words. It sums to one over the known words and one unknown.
+
+1. One pass counts N and c(w) of the few hot words (found in a sample of the rows; the list only
+   steers the load), and sends the distinct words of each chunk of documents to parts by hash,
+   which count V.
+2. A second pass sends each token as (word, context, document) to the shard of its word, packed by
+   chunk; hot words are spread over all shards by (word, context). A shard adds up c(w) and c(v w)
+   over all chunks and builds its trie: contexts, the words seen behind each as small ids relative
+   to the shard, monotone pointers from one to the other, all in Elias-Fano code, and numerators
+   quantised to 16 bits. The levels lie in one memory-mapped file. Every token is then looked up
+   by a search among the successors of its own context.
+   The denominators need no c(v) there: each token but the end of a text is the context of the
+   next, and the end stands before the first, so the contexts of a text are its tokens, and each
+   shard subtracts log10(c(w) + MU) of its own words instead.
 3. The sums of each chunk's documents come back and are added.
 
 Words are known by 64-bit hashes. What is sent grows with the text; nothing of it passes through
@@ -39,15 +42,14 @@ from pyspark.sql import functions as F
 from tabwatch.llm.common import prepare, tasks, utf8, written
 
 MU = 8.0
-CLASSES = 1 << 20
-SLICES = 16
+#: Contexts are told apart by all 64 bits of the hash.
+CLASSES = 1 << 64
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 30_000
 SHARD_TOKENS = 2_000_000
 #: One row in SAMPLED is looked at for hot words; a hot word has more than this share of them.
 SAMPLED = 64
 HOT_SHARE = 1 / 500
-SMALLEST = 4096
 CODES = (1 << 16) - 1
 LEAST = -24.0  # log10 of the smallest probability that a code stands for
 END = 0x9E3779B97F4A7C15  # stands for the end of a text
@@ -171,38 +173,50 @@ def _rows(columns: list, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _totals(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Slices of the class counts, and (slice -1) hot counts and the smallest hashes of a task."""
-    classes, own, smallest = np.zeros(CLASSES, np.int64), np.zeros(len(hot), np.int64), np.empty(0, np.uint64)
+def _totals(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, its distinct words) of each chunk, and (-1, training tokens and hot counts) of a task."""
+    own = np.zeros(1 + len(hot), np.int64)
+    names, types = ["part", "packed"], [pa.int32(), pa.binary()]
     for _, held, lengths, found in _chunks(batches):
         found = found[~np.repeat(held, lengths)]
+        if not len(found):
+            continue
         words, n = np.unique(found, return_counts=True)
-        np.add.at(classes, (words % _U(CLASSES)).astype(np.int64), n)
-        at = np.minimum(np.searchsorted(words, hot), max(0, len(words) - 1))
-        if len(words):
-            own += np.where(words[at] == hot, n[at], 0)
-        smallest = np.unique(np.concatenate([smallest, words[:SMALLEST]]))[:SMALLEST]
-    if classes.any():
-        parts = [*[x.astype("<i8").tobytes() for x in np.split(classes, SLICES)], own.astype("<i8").tobytes() + smallest.tobytes()]
-        yield _rows([[*range(SLICES), -1], parts], ["slice", "counts"], [pa.int32(), pa.binary()])
-
-
-def _added(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """The rows of each slice, added up; rows come sorted by slice."""
-    at, total, least = None, None, np.empty(0, np.uint64)
+        own[0] += len(found)
+        at = np.minimum(np.searchsorted(words, hot), len(words) - 1)
+        own[1:] += np.where(words[at] == hot, n[at], 0)
+        part = ((words >> _U(24)) % _U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        words, cuts = words[order], np.searchsorted(part[order], np.arange(parts + 1))
+        for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if lo < hi:
+                yield _rows([[k], [words[lo:hi].tobytes()]], names, types)
+    yield _rows([[-1], [own.astype("<i8").tobytes()]], names, types)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part -> the number of distinct words of each part, and (with part -1) the added counts."""
+    names, types = ["distinct", "counts"], [pa.int64(), pa.binary()]
+    at, total, words, more, n = None, 0, np.empty(0, np.uint64), [], 0
 
     def done() -> pa.RecordBatch:
-        return _rows([[at], [total.tobytes() + least.tobytes()]], ["slice", "counts"], [pa.int32(), pa.binary()])
+        if at < 0:
+            return _rows([[0], [total.tobytes()]], names, types)
+        return _rows([[len(np.unique(np.concatenate([words, *more])))], [None]], names, types)
 
     for b in batches:
         for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if k != at:
                 if at is not None:
                     yield done()
-                at, total, least = k, 0, np.empty(0, np.uint64)
-            n = hot if k < 0 else CLASSES // SLICES
-            total = total + np.frombuffer(raw, "<i8", n)
-            least = np.unique(np.concatenate([least, np.frombuffer(raw, np.uint64, -1, 8 * n)]))[:SMALLEST]
+                at, total, words, more, n = k, 0, np.empty(0, np.uint64), [], 0
+            if k < 0:
+                total = total + np.frombuffer(raw, "<i8")
+                continue
+            more.append(np.frombuffer(raw, "<u8"))
+            n += len(more[-1])
+            if n > max(len(words), SHARD_TOKENS):  # what waits stays in proportion to the distinct words
+                words, more, n = np.unique(np.concatenate([words, *more])), [], 0
     if at is not None:
         yield done()
 
@@ -218,7 +232,7 @@ def _hot_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sent(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(shard, chunk, packed occurrences), and (-1, chunk, ids and held) for each chunk.
 
-    Packed: numbers of words, pairs and occurrences; each word's hash and pairs; each pair's class
+    Packed: numbers of words, pairs and occurrences; each word's hash and pairs; each pair's context
     and documents; each occurrence's document (top bit: held out) and how often it is there.
     """
     names, types = ["shard", "chunk", "packed", "doc_ids"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
@@ -228,10 +242,10 @@ def _sent(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> It
         before = np.empty_like(found)
         before[1:] = found[:-1]
         before[np.cumsum(lengths) - lengths] = END
-        context = (before % _U(CLASSES)).astype(np.int64)
+        context = before
         shard = (found >> _U(40)) % _U(shards)
         spread = np.isin(found, hot)
-        shard[spread] = ((found[spread] + context[spread].astype(np.uint64) * _U(0xBF58476D1CE4E5B9)) >> _U(32)) % _U(shards)
+        shard[spread] = ((found[spread] + context[spread] * _U(0xBF58476D1CE4E5B9)) >> _U(32)) % _U(shards)
         shard = shard.astype(np.int64)
         yield _rows([[-1], [chunk], [(held.astype("u1").tobytes() + lengths.astype("<i8").tobytes())], [ids]], names, types)
         order = np.lexsort((doc, context, found, shard))
@@ -251,27 +265,34 @@ def _sent(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> It
             pairs = np.diff(np.append(np.searchsorted(p, w), len(p)))
             docs = np.diff(np.append(p, hi - lo))
             packed = b"".join([np.array([len(w), len(p), hi - lo], "<i8").tobytes(), found[lo:hi][w].tobytes(),
-                               pairs.astype("<u4").tobytes(), context[lo:hi][p].astype("<u4").tobytes(), docs.astype("<u4").tobytes(),
-                               doc[lo:hi].astype("<u2").tobytes(), times[lo:hi].astype("<u4").tobytes()])
+                               _planes(pairs), context[lo:hi][p].tobytes(), _planes(docs),
+                               doc[lo:hi].astype("<u2").tobytes(), _planes(times[lo:hi])])
             yield _rows([[s], [chunk], [packed], [None]], names, types)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit integers, first all their lowest bytes: most are small, and the rest compresses to nothing."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _unpack(raw: bytes) -> list[np.ndarray]:
     words, pairs, n = np.frombuffer(raw, "<i8", 3).tolist()
     out, at = [], 24
-    for kind, size in (("<u8", words), ("<u4", words), ("<u4", pairs), ("<u4", pairs), ("<u2", n), ("<u4", n)):
-        out.append(np.frombuffer(raw, kind, size, at))
+    for kind, size in (("<u8", words), ("<u4", words), ("<u8", pairs), ("<u4", pairs), ("<u2", n), ("<u4", n)):
+        if kind == "<u4":
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * size, at).reshape(4, size).T).view("<u4")[:, 0])
+        else:
+            out.append(np.frombuffer(raw, kind, size, at))
         at += out[-1].nbytes
     return out
 
 
-def _shard_scores(chunks: list[int], packed: list[bytes], classes: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray,
-                  known: float) -> Iterator[tuple]:
-    """(chunk, documents, known tokens, sum of log10(c + 1), log10 P), and with the first the distinct words of the shard."""
+def _shard_scores(chunks: list[int], packed: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, known: float) -> Iterator[tuple]:
+    """(chunk, documents, known tokens, sum of log10(c + 1), log10 of the numerators of P less log10(c + MU))."""
     parts = [_unpack(x) for x in packed]
     hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     pairs_of = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    context = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    contexts, context = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
     word = np.repeat(at, pairs_of)  # of each pair
     del at, pairs_of
     pair_count = np.concatenate([np.add.reduceat(np.where(p[4] < 1 << 15, p[5], 0), np.cumsum(p[3], dtype=np.int64) - p[3]) for p in parts])
@@ -280,17 +301,18 @@ def _shard_scores(chunks: list[int], packed: list[bytes], classes: np.ndarray, h
     is_hot = hot[place] == hashes if len(hot) else np.zeros(len(hashes), bool)
     if len(hot):
         count = np.where(is_hot, hot_counts[place], count)
-    distinct = int((count[~is_hot] > 0).sum())  # hot words are in many shards
     one = (count + 1) / known
     key = context * len(hashes) + word
     seen, back = np.unique(key[pair_count > 0], return_inverse=True)
     both = np.bincount(back, weights=pair_count[pair_count > 0], minlength=len(seen))
     k, w = np.divmod(seen, len(hashes))
-    trie = Trie.build(k, w, np.log10((both + MU * one[w]) / (classes[k] + MU)), len(hashes))
-    value = trie.find(context, word)
-    del trie, key, seen, back, both, k, w
+    top = float(np.log10(max(1.0, (both + MU * one[w]).max(initial=0))))  # codes stand for logarithms up to 0
+    trie = Trie.build(contexts[k], w, np.log10(both + MU * one[w]) - top, len(hashes))
+    value = trie.find(contexts[context], word) + top
+    del trie, key, seen, back, both, k, w, context, contexts
     unseen = np.isnan(value)
-    value[unseen] = np.log10(MU * one[word[unseen]] / (classes[context[unseen]] + MU))
+    value[unseen] = np.log10(MU * one[word[unseen]])
+    value -= np.log10(count + MU)[word]  # stands for the context's: see above
     base, is_known = np.log10(count + 1), count > 0
     pair = 0
     for chunk, p in zip(chunks, parts):
@@ -300,25 +322,24 @@ def _shard_scores(chunks: list[int], packed: list[bytes], classes: np.ndarray, h
         d, n = p[4] & 0x7FFF, p[5]
         docs, d = np.unique(d, return_inverse=True)
         add = lambda x: np.bincount(d, weights=n * x, minlength=len(docs))  # noqa: E731,B023
-        yield chunk, docs, add(is_known[word[of]]), add(base[word[of]]), add(value[of]), distinct
-        distinct = 0
+        yield chunk, docs, add(is_known[word[of]]), add(base[word[of]]), add(value[of])
 
 
-def _shards(batches: Iterator[pa.RecordBatch], classes: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray, known: float) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_counts: np.ndarray, known: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (shard, chunk) -> sums of each (shard, chunk); rows of shard -1 pass through."""
-    names = ["chunk", "sums", "distinct", "packed", "doc_ids"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    names = ["chunk", "sums", "packed", "doc_ids"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     at, chunks, packed = None, [], []
 
     def done() -> Iterator[pa.RecordBatch]:
-        for chunk, docs, *sums, distinct in _shard_scores(chunks, packed, classes, hot, hot_counts, known):
+        for chunk, docs, *sums in _shard_scores(chunks, packed, hot, hot_counts, known):
             raw = b"".join(x.astype(kind).tobytes() for x, kind in zip((docs, *sums), ("<u2", "<u4", "<f8", "<f4")))
-            yield _rows([[chunk], [raw], [distinct], [None], [None]], names, types)
+            yield _rows([[chunk], [raw], [None], [None]], names, types)
 
     for b in batches:
         for shard, chunk, raw, ids in zip(*(c.to_pylist() for c in b.columns)):
             if shard < 0:
-                yield _rows([[chunk], [None], [0], [raw], [ids]], names, types)
+                yield _rows([[chunk], [None], [raw], [ids]], names, types)
                 continue
             if shard != at:
                 if chunks:
@@ -373,28 +394,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
     looked = sum(r["n"] for r in sample if r["all"])
     hot = np.array(sorted(r["word"] & ((1 << 64) - 1) for r in sample if not r["all"] and r["n"] > looked * HOT_SHARE), np.uint64)
 
-    totals = texts.mapInArrow(lambda b: _totals(b, hot), "slice int, counts binary")
-    totals = totals.repartition(SLICES + 1, "slice").sortWithinPartitions("slice").mapInArrow(
-        lambda b: _added(b, len(hot)), "slice int, counts binary").collect()  # SLICES + 1 rows, 8 MB in all
-    classes, hot_counts, smallest = np.zeros(CLASSES), np.zeros(len(hot)), np.empty(0, np.uint64)
-    for r in totals:
-        if r["slice"] < 0:
-            hot_counts, smallest = (np.frombuffer(r["counts"], k, *x) for k, x in (("<i8", (len(hot),)), ("<u8", (-1, 8 * len(hot)))))
-        else:
-            n = CLASSES // SLICES
-            classes[r["slice"] * n:(r["slice"] + 1) * n] = np.frombuffer(r["counts"], "<i8", n)
-    n_train = int(classes.sum())
-    full = len(smallest) >= SMALLEST
-    distinct = (SMALLEST - 1) * 2.0 ** 64 / float(smallest[SMALLEST - 1]) if full else len(smallest)
+    parts = tasks(spark)
+    totals = texts.mapInArrow(lambda b: _totals(b, hot, parts), "part int, packed binary")
+    totals = totals.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+        _added, "distinct long, counts binary").collect()  # one row a part, and one of counts
+    n_distinct = sum(r["distinct"] for r in totals)
+    counts = sum((np.frombuffer(r["counts"], "<i8") for r in totals if r["counts"] is not None), np.zeros(1 + len(hot), np.int64))
+    n_train, hot_counts = int(counts[0]), counts[1:]
     shards = max(1, -(-n_train // SHARD_TOKENS))
-    model = spark.sparkContext.broadcast((classes, hot, hot_counts, n_train + distinct + 1.0))  # CLASSES doubles: 8 MB
+    model = spark.sparkContext.broadcast((hot, hot_counts, n_train + n_distinct + 1.0))
 
     sent = texts.mapInArrow(lambda b: _sent(b, shards, hot), "shard int, chunk long, packed binary, doc_ids array<long>")
     deal = F.when(F.col("shard") < 0, F.xxhash64("chunk")).otherwise(F.col("shard").cast("long"))
     summed = (sent.repartition(max(tasks(spark), shards), deal).sortWithinPartitions("shard", "chunk")
-              .mapInArrow(lambda b: _shards(b, *model.value), "chunk long, sums binary, distinct long, packed binary, doc_ids array<long>"))
+              .mapInArrow(lambda b: _shards(b, *model.value), "chunk long, sums binary, packed binary, doc_ids array<long>"))
     summed = written(summed, "lm-sums")
-    n_distinct = summed.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0] + int((hot_counts > 0).sum())
     rows = (summed.select("chunk", "doc_ids", "packed", "sums").repartition(tasks(spark), "chunk")
             .sortWithinPartitions("chunk", F.col("doc_ids").isNull())
             .mapInArrow(_gather, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"))

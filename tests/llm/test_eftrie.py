@@ -70,6 +70,29 @@ def test_scores_with_several_shards(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_words_with_the_same_low_bits_are_contexts_of_their_own(spark):
+    """Two words whose hashes agree in the 20 low bits, with different words behind them."""
+    seen = {}
+    for k in range(10_000):
+        word = f"v{k}"
+        other = seen.setdefault(int(eftrie.tokens(word.encode())[0]) % (1 << 20), word)
+        if other != word:
+            break
+    assert other != word
+    rows = [(1, f"{word} red " * 40, "s", False), (2, f"{other} blue " * 40, "s", False), (3, f"{word} blue", "s", True), (4, f"{word} red", "s", True)]
+    got = {r.doc_id: r.score for r in eftrie.score_texts(spark.createDataFrame([(k, t, h) for k, t, _, h in rows], "doc_id long, text string, held_out boolean")).collect()}
+    want = {int(d): score for d, *_, score in brute(rows)}
+    # the numbers by hand for 3: after END (2 texts, one of them starts with word), after word 40 times red, after blue 39 words and 1 end
+    p1 = lambda c: (c + 1) / (162 + 5 + 1)
+    hand = math.log10((1 + 8 * p1(40)) / (2 + 8)) + math.log10(8 * p1(40) / (40 + 8)) + math.log10((1 + 8 * p1(2)) / (40 + 8))
+    assert abs(got[3] - hand) < 1e-3 and all(abs(got[k] - want[k]) < 0.05 for k in got)
+
+
+def test_the_smoothing_uses_the_exact_number_of_words(spark):
+    """More distinct words than any sketch of the smallest hashes holds."""
+    check(spark, [(k, " ".join(f"u{k}x{j}" for j in range(500)), "s", k == 3) for k in range(30)])
+
+
 def test_edges(spark):
     check(spark, [(*r, [None, False, True][k % 3]) for k, r in enumerate(edge_rows())])
     check(spark, [(1, "only held out", "s", True)])

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwatch.operators.evaluate import confusion_counts
+from tabwatch.session import materialize
 
 # Hyper-parameter grids (fixed values). None depth = unlimited (mapped to Spark's maximum 30).
 PARAM_GRIDS = {
@@ -155,14 +156,22 @@ def cross_validate(df: DataFrame, family: str, candidates: list[dict], label: st
     Returns (best_model, results). results: one row per candidate with ``params``,
     ``mean_test_f1_macro`` and ``rank_test_f1_macro`` (min rank on ties); with ``all_scores``
     also mean / std of the five scores on the test and on the training folds, computed from the
-    per-fold sub-models in ONE grouped evaluation of all their predictions.
+    per-fold sub-models in one grouped evaluation a fold.
     """
-    # Every fold fit and every score re-reads the training frame: keep it for the duration of the CV
-    # (a lost executor recomputes its blocks from lineage).
-    df = df.persist()
+    # Every fold fit and every score re-reads the training frame: its plan is cut (else each sub-model's
+    # scores would carry all of it) and its rows are kept for the duration of the CV.
+    df = materialize(df).persist()
     try:
         n = df.count()
-        ests = [make_estimator(family, c, label, features, n, seed, weight_col) for c in candidates]
+        # candidates that make the same estimator (an option Spark does not have) share one fit and its scores
+        first, ests, fit_of = {}, [], []
+        for c in candidates:
+            e = make_estimator(family, c, label, features, n, seed, weight_col)
+            own = e.getClassifier() if isinstance(e, OneVsRest) else e
+            k = first.setdefault(repr(sorted((p.name, v) for p, v in own.extractParamMap().items())), len(first))
+            fit_of.append(k)
+            if k == len(ests):
+                ests.append(e)
         base = ests[0]
         if isinstance(base, OneVsRest):
             maps = [{base.classifier: e.getClassifier()} for e in ests]
@@ -173,13 +182,14 @@ def cross_validate(df: DataFrame, family: str, candidates: list[dict], label: st
                             parallelism=parallelism, seed=seed, collectSubModels=all_scores)
         model = cv.fit(df)
         spark = df.sparkSession
-        rows = [(i, str(c), float(m)) for i, (c, m) in enumerate(zip(candidates, model.avgMetrics))]
-        res = spark.createDataFrame(rows, "candidate int, params string, mean_test_f1_macro double")
+        rows = [(i, str(c), k, float(model.avgMetrics[k])) for i, (c, k) in enumerate(zip(candidates, fit_of))]
+        res = spark.createDataFrame(rows, "candidate int, params string, _fit int, mean_test_f1_macro double")
         if all_scores:
             labels = labels if labels is not None else sorted(
                 r[0] for r in df.select(label).distinct().collect())  # the class list (small)
-            res = res.drop("mean_test_f1_macro").join(cv_fold_scores(df, model.subModels, label, fold_col, labels),
-                                                       "candidate", "left")
+            scores = cv_fold_scores(df, model.subModels, label, fold_col, labels).withColumnRenamed("candidate", "_fit")
+            res = res.drop("mean_test_f1_macro").join(scores, "_fit", "left")
+        res = res.drop("_fit")
     finally:
         df.unpersist()
     from tabwatch.operators.registry import rank_candidates
@@ -193,21 +203,22 @@ def cv_fold_scores(df: DataFrame, sub_models, label: str, fold_col: str, labels)
 
     from tabwatch.operators.evaluate import classification_metrics
 
-    parts = []
-    for f, models in enumerate(sub_models):
+    rows, schema = [], None
+    for f, models in enumerate(sub_models):  # one fold's predictions are held at a time
+        parts = []
         for i, m in enumerate(models):
             # one transform per sub-model; its own fold is the test part, the others the train part
             pred = predict_with_proba(m, df)
             part = F.when(F.col(fold_col) == f, F.lit("test")).otherwise(F.lit("train"))
             parts.append(pred.select(F.lit(i).alias("candidate"), F.lit(f).alias("fold"), part.alias("part"),
                                      label, "prediction", "proba"))
-    preds = reduce(lambda a, b: a.unionByName(b), parts).persist()
-    try:
-        met = classification_metrics(preds, label, "prediction", "proba", labels, by=["candidate", "fold", "part"])
-        # candidates x folds x 2 rows: small, so the scores are kept as a local table
-        met = df.sparkSession.createDataFrame(met.collect(), met.schema)
-    finally:
-        preds.unpersist()
+        preds = reduce(lambda a, b: a.unionByName(b), parts).persist()
+        try:
+            met = classification_metrics(preds, label, "prediction", "proba", labels, by=["candidate", "fold", "part"])
+            rows, schema = rows + met.collect(), met.schema  # candidates x 2 rows
+        finally:
+            preds.unpersist()
+    met = df.sparkSession.createDataFrame(rows, schema)
     long = met.select("candidate", "part", F.inline(F.array(*[
         F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in CV_METRICS])))
     g = long.groupBy("candidate").pivot("part", ["test", "train"]).agg(

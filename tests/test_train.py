@@ -23,3 +23,39 @@ def test_cv_scores_match_evaluator(spark):
     b = {r.candidate: (r.mean_test_f1_macro, r.rank_test_f1_macro) for r in full.collect()}
     assert all(a[c] == pytest.approx(b[c][0], abs=1e-12) for c in a)
     assert sorted(v[1] for v in b.values()) == [1, 2]
+
+
+def test_bindings_train_what_the_grid_says(monkeypatch):
+    """write_cv_results runs every candidate of the tree grid, train_boosted a member of its grid."""
+    from tabwatch.plans import q_train
+
+    class Stop(Exception):
+        pass
+
+    asked = []
+
+    def stop(*args, **kw):
+        asked.append(args)
+        raise Stop
+
+    monkeypatch.setattr(q_train, "training_frame", lambda spark, sf: None)
+    monkeypatch.setattr(q_train, "_fit_predict", stop)
+    monkeypatch.setattr(TR, "cross_validate", stop)
+    for q in (q_train.q_write_cv_results, q_train.q_train_boosted):
+        with pytest.raises(Stop):
+            q(None, SF_SMALL)
+    assert asked[0][1:3] == ("decision_tree", TR.grid_candidates("decision_tree", "fast"))
+    assert asked[1][2:] == ("boosted_trees", asked[1][3]) and asked[1][3] in TR.grid_candidates("boosted_trees", "fast")
+
+
+def test_equal_estimators_are_fitted_once_and_all_reported(spark, monkeypatch):
+    fitted = []
+    cv = TR.CrossValidator
+    monkeypatch.setattr(TR, "CrossValidator", lambda **kw: fitted.append(len(kw["estimatorParamMaps"])) or cv(**kw))
+    cands = [{"max_depth": 3, "min_samples_split": s, "min_samples_leaf": 1, "class_weight": w} for s in (2, 5) for w in (None, "balanced")]
+    _, res = TR.cross_validate(training_frame(spark, SF_SMALL), "decision_tree", cands, labels=[0.0, 1.0, 2.0], all_scores=True)
+    rows = {r.candidate: r for r in res.collect()}
+    scores = lambda r: [v for k, v in r.asDict().items() if k not in ("candidate", "params")]
+    assert fitted == [2] and sorted(rows) == [0, 1, 2, 3] and [rows[k].params for k in range(4)] == [str(c) for c in cands]
+    assert scores(rows[0]) == scores(rows[2]) and scores(rows[1]) == scores(rows[3])
+    assert {r.rank_test_f1_macro for r in rows.values()} in ({1, 3}, {1})

@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwatch.functions.columns import compare, safe_div
-from tabwatch.operators.prefix import exact_quantiles
+from tabwatch.operators.prefix import _edge_index_bsearch, _fixed_edges, exact_quantiles
+from tabwatch.session import materialize
 from tabwatch.spec import DEFAULT_ALERT_RULES, EVAL_STEP_SECONDS, LATENCY_BUCKETS, RATE_RANGE_SECONDS
 
+#: Samples of a series that one chunk of time holds, about.
+CHUNK_SAMPLES = 50_000
+
 LE_LABELS = [str(float(b)) for b in LATENCY_BUCKETS] + ["+Inf"]
 
 
@@ -196,19 +200,48 @@ def alert_for_duration(samples: DataFrame, rules=DEFAULT_ALERT_RULES, step: int
     A breach island is a run of breaching samples at consecutive evaluation steps; a
     non-breaching or missing step ends it. Firing once t - island_start >= for.
     Returns only breaching samples: (rule, series, t, value, island_start, state, severity).
+
+    Samples are cut into chunks of time of about ``CHUNK_SAMPLES`` a series (quantiles of the times;
+    equal times stay together), windows run inside a chunk, and what crosses a border, the last
+    sample and the last island's start of the chunks before, comes by a join on one row a chunk.
     """
     spark = samples.sparkSession
+    key = ["rule", "series"]
     j = samples.join(F.broadcast(rules_frame(spark, rules)), "metric")
     j = j.withColumn("_breach", F.coalesce(_condition(F.col("value"), rules), F.lit(False)))
-    j = j.withColumn("_s", epoch_seconds("t"))
-    w = Window.partitionBy("rule", "series").orderBy("_s", "t", "value")
-    prev_s, prev_b = F.lag("_s").over(w), F.lag("_breach").over(w)
-    start = F.col("_breach") & (prev_b.isNull() | ~prev_b | (F.col("_s") - prev_s > step))
-    j = j.withColumn("_start", start.cast("int"))
-    j = j.withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    b = j.where("_breach")
-    wi = Window.partitionBy("rule", "series", "_island")
-    b = b.withColumn("_first", F.min("_s").over(wi)).withColumn("island_start", F.min("t").over(wi))
+    j = materialize(j.withColumn("_s", epoch_seconds("t")))
+    most = j.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-most // CHUNK_SAMPLES))
+    if n > 1:
+        edges = j.groupBy(*key).agg(F.percentile_approx("_s", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("_edges"))
+        keyed = edges.select(*[F.col(c).alias("_e_" + c) for c in key], F.coalesce("_edges", F.array().cast("array<double>")).alias("_edges"))
+        same = [F.col(c).eqNullSafe(F.col("_e_" + c)) for c in key]  # a null series is one
+        j = j.join(_fixed_edges(keyed, n, None), same).drop(*["_e_" + c for c in key])
+        j = j.withColumn("_chunk", _edge_index_bsearch(F.col("_edges"), F.col("_s"), n - 1).cast("int")).drop("_edges")
+    else:
+        j = j.withColumn("_chunk", F.lit(0))
+    order = ["_s", "t", "value"]
+    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    over_chunks = Window.partitionBy(*key).orderBy("_chunk")  # one row a chunk
+
+    def bordered(rows: DataFrame, side: DataFrame) -> DataFrame:
+        side = side.select(*[F.col(c).alias("_b_" + c) for c in [*key, "_chunk"]], "_border")
+        return rows.join(side, [F.col(c).eqNullSafe(F.col("_b_" + c)) for c in [*key, "_chunk"]]).drop(*["_b_" + c for c in [*key, "_chunk"]])
+
+    here = F.struct("_s", "_breach")
+    last = j.groupBy(*key, "_chunk").agg(F.max_by(here, F.struct(*order)).alias("_last"))
+    j = bordered(j, last.withColumn("_border", F.lag("_last").over(over_chunks)))
+    prev = F.coalesce(F.lag(here).over(w), F.col("_border"))
+    j = j.withColumn("_prev", prev).drop("_border")
+    apart = F.coalesce(F.col("_s") - F.col("_prev._s") > step, F.lit(True))
+    starts = F.col("_breach") & (F.col("_prev").isNull() | ~F.col("_prev._breach") | apart)
+    j = j.withColumn("_start", F.when(starts, F.struct("_s", "t"))).drop("_prev")
+    own = j.groupBy(*key, "_chunk").agg(F.max("_start").alias("_own"))
+    b = bordered(j, own.withColumn("_border", F.last("_own", ignorenulls=True).over(
+        over_chunks.rowsBetween(Window.unboundedPreceding, -1))))
+    island = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    b = b.withColumn("_island", F.coalesce(island, F.col("_border"))).where("_breach")
+    b = b.withColumn("_first", F.col("_island._s")).withColumn("island_start", F.col("_island.t"))
     state = F.when(F.col("_s") - F.col("_first") >= F.col("for_seconds"), F.lit("firing")).otherwise(F.lit("pending"))
     return b.select("rule", "series", "t", "value", "island_start", state.alias("state"), "severity")
 

@@ -63,3 +63,35 @@ def test_late_samples_take_their_place(spark, tmp_path):
     assert got == {0: "pending", 15: "pending", 30: "firing", 45: "firing", 60: "firing", 75: "firing"}
     batch = J.alert_for_duration(spark.createDataFrame(rows([0, 15, 30, 45, 60, 75]), schema), [rule])
     assert {int((r.t - start).total_seconds()): r.state for r in batch.collect()} == got
+
+
+def test_islands_are_stitched_over_chunks_of_time(spark, monkeypatch):
+    """Chunks of a few samples give the states of one long window, and no window holds a whole series."""
+    import datetime
+    import random
+
+    from tabwatch.spec import AlertRule
+
+    monkeypatch.setattr(J, "CHUNK_SAMPLES", 7, raising=False)
+    rule = AlertRule("R", "m", ">", 1.0, 60, "warning")
+    start, rng = datetime.datetime(2024, 1, 1), random.Random(5)
+    rows, want = [], {}
+    for series, low in (("long", 0.02), ("mixed", 0.4), (None, 0.2)):
+        at, island, last, breached = 0, None, None, False
+        for _ in range(120):
+            at += rng.choice((5, 15, 15, 15, 40)) if low > 0.1 else 15
+            value = rng.choice((0.5, None)) if rng.random() < low else 2.0
+            rows.append(("m", series, start + datetime.timedelta(seconds=at), value))
+            if value == 2.0:
+                island = at if not breached or at - last > 15 else island
+                want[series, at] = (island, "firing" if at - island >= 60 else "pending")
+            last, breached = at, value == 2.0
+    rng.shuffle(rows)
+    states = J.alert_for_duration(spark.createDataFrame(rows, "metric string, series string, t timestamp_ntz, value double"), [rule])
+    seconds = lambda t: int((t - start).total_seconds())
+    assert {(r.series, seconds(r.t)): (seconds(r.island_start), r.state) for r in states.collect()} == want
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("_chunk" in x for x in windows)
+    empty = spark.createDataFrame([], "metric string, series string, t timestamp_ntz, value double")
+    assert J.alert_for_duration(empty, [rule]).count() == 0

@@ -101,6 +101,30 @@ def op4_tool_call_links(spark: SparkSession, sf: str) -> DataFrame:
     return link_tool_calls(from_conversations(table(spark, sf, "conversations")), SCHEMAS)
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.balltree import rank_documents
+
+    return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.common import written
+    from tabwatch.llm.repair import damage, repair_report
+
+    rows = table(spark, sf, "conversations")
+    return repair_report(rows, written(damage(rows), "repair-damaged"))
+
+
+@query
+def op13_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    from tabwatch.llm.superkmer import remove_repeats
+
+    out = remove_repeats(table(spark, sf, "documents"), n=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 _REACH_SQL = """reach(id, other) AS (
   SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
 components AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
@@ -140,3 +164,35 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
 FROM documents LEFT JOIN nodes ON nodes.id = doc_id LEFT JOIN components ON components.id = doc_id"""
 
 ORACLE["op10_mix_sources"] = MIX_SQL
+
+_LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLE["op11_ranked_search"] = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER_SQL.format("text")}, '{_TERMS_SQL}') AS w FROM documents),
+sized AS (SELECT r, doc_id, w, len(w) AS n FROM split WHERE len(w) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM sized) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, whole),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER_SQL.format("text")}, '{_TERMS_SQL}')) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, r,
+    CAST(sum(weights.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sized USING (r), whole GROUP BY ALL),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+ORACLE["op13_repeated_passages"] = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') AS w FROM documents),
+windows AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35)),
+twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM windows SEMI JOIN twice USING (s)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)"""

@@ -185,6 +185,63 @@ ranked AS (
   SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
 
+# crc32 from its rule (no such function in SQL); then a walk over each conversation's rows that keeps, for each of
+# the four states, the cheapest and among those the audit-least way
+ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT n, n AS v, 0 AS k FROM range(256) AS t(n)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hit AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) % 20 AS f FROM keyed, crcs),
+damaged AS (
+  SELECT conv_id, turn, role, text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM (
+    SELECT conv_id, turn, f, CASE f WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+      CASE f WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text FROM hit)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, E' \t\n\x0b\x0c\r') AS bare FROM damaged),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM numbered),
+lines AS (
+  SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous,
+    CASE WHEN bare = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM told),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (previous IS NOT NULL AND previous || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM lines GROUP BY conv_id),
+follow(state, c, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+front(state, letters, "at", cost, added) AS (
+  SELECT DISTINCT state, '', state, 0, CAST([] AS VARCHAR[]) FROM (VALUES (0), (1), (2), (3)) AS v(state)
+  UNION ALL SELECT state, 'I', after, 2, [CASE c WHEN 'u' THEN 'user:' ELSE 'assistant:' END] FROM follow WHERE c <> 's'),
+moves AS (
+  SELECT state, NULL AS c, letters || 'D' AS letters, "at" AS after, cost + 3 AS cost, added, '' AS as_role FROM front
+  UNION ALL SELECT l.state, f.c, letters || 'K', f.after, cost, added, 'own' FROM front l JOIN follow f ON f.state = "at"
+  UNION ALL SELECT l.state, NULL, letters || 'R', f.after, cost + 2, added, CASE f.c WHEN 'u' THEN 'user' ELSE 'assistant' END
+    FROM front l JOIN follow f ON f.state = "at" AND f.c <> 's'),
+ways AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'kept': CAST([] AS VARCHAR[])} AS way FROM counts
+  UNION ALL
+  SELECT w.conv_id, l.i, m.after, min({'cost': way.cost + m.cost + CASE WHEN as_role <> '' AND fault = 'truncated' THEN 1 ELSE 0 END,
+      'audit': way.audit || m.letters, 'kept': way.kept || m.added ||
+        CASE as_role WHEN '' THEN CAST([] AS VARCHAR[]) WHEN 'own' THEN [role || ':' || text] ELSE [as_role || ':' || text] END})
+  FROM ways w JOIN lines l ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.i = w.i + 1 JOIN moves m ON m.state = w.state
+  WHERE as_role = '' OR (fault NOT IN ('blank', 'duplicate') AND (as_role <> 'own' OR m.c = l.c))
+  GROUP BY w.conv_id, l.i, m.after),
+closing(state, cost, letters, added) AS (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (1, 4, 'II', ['user:', 'assistant:']), (2, 2, 'I', ['assistant:']),
+  (3, 0, '', [])),
+best AS (
+  SELECT w.conv_id, min({'cost': way.cost + e.cost, 'audit': way.audit || letters, 'kept': way.kept || added}) AS way
+  FROM ways w JOIN counts k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = k.n JOIN closing e USING (state) GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit,
+  sha256(coalesce(array_to_string(way.kept, E'\n'), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 ORACLE["op13_repeated_passages"] = rf"""
 WITH split AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') AS w FROM documents),

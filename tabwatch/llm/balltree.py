@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tabwatch.llm.common import prepare, utf8, written
 
-BLOCK = 8192
+BLOCK = 4096
 #: Entries of a block's vectors.
-BLOCK_ENTRIES = 1 << 20
+BLOCK_ENTRIES = 1 << 19
 LEAF = 64
 #: Items that are searched for together.
 TOGETHER = 512

@@ -127,31 +127,52 @@ def solve(codes: bytes, entry: int, leave: int) -> list[int]:
     return out
 
 
+_CHUNK = ("conv_id long, part int, seq long, codes binary, costs array<long>, ranks array<int>, rows array<struct<turn:long,role:string,"
+          "text:string,fault:int>>, entry int, leave int, last boolean")
+_ROWS = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("fault", pa.int32())]))
+_CHUNK_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), _ROWS, pa.int32(), pa.int32(), pa.bool_()]
+
+
+def _names(schema: str) -> list[str]:
+    """Names of a flat schema, or of _CHUNK."""
+    return [x.split()[0] for x in schema.replace("turn:long,role:string,text:string,fault:int", "").split(", ")]
+
+
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (conv_id, turn, role, text, fault) -> one row a chunk, with its forward vectors."""
-    part, seq, at, rows, size = TaskContext.get().partitionId(), 0, None, [], 0
-    kind = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("fault", pa.int32())]))
+    """Sorted rows (conv_id, turn, role, text, fault) -> one row a chunk, with its forward vectors. A
+    conversation that begins and ends inside the task in one chunk has its states at once."""
+    part, names = TaskContext.get().partitionId(), _names(_CHUNK)
+    seq, at, rows, size, before, out, held = 0, None, [], 0, None, [], 0
 
-    def chunk() -> pa.RecordBatch:
+    def chunk(inside: bool) -> tuple:
         codes = bytes(code_of(r["role"], r["fault"]) for r in rows)
+        if inside:
+            return at, part, seq, codes, None, None, rows, 0, cross(*forward(codes, start(0)), ENDING), True
         vectors = [forward(codes, start(s)) for s in range(4)]
-        return pa.RecordBatch.from_arrays([
-            pa.array([at], pa.int64()), pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([codes], pa.binary()),
-            pa.array([[c for v in vectors for c in v[0]]], pa.list_(pa.int64())),
-            pa.array([[r for v in vectors for r in v[1]]], pa.list_(pa.int32())), pa.array([rows], kind)],
-            names=["conv_id", "part", "seq", "codes", "costs", "ranks", "rows"])
+        return at, part, seq, codes, [c for v in vectors for c in v[0]], [r for v in vectors for r in v[1]], rows, None, None, None
 
     for b in batches:
         for r in b.to_pylist():
             conv = r.pop("conv_id")
             if rows and (conv != at or len(rows) == CHUNK or size > CHUNK_BYTES):
-                yield chunk()
-                seq, rows, size = seq + 1, [], 0
+                # before: whose chunk came last in this task (nothing yet: the conversation may have begun in another)
+                out.append(chunk(conv != at and before is not None and before[0] != at))
+                held += size
+                before, seq, rows, size = (at,), seq + 1, [], 0
+                if len(out) == 256 or held > CHUNK_BYTES:
+                    yield _batch(out, names, _CHUNK_TYPES)
+                    out, held = [], 0
             at = conv
             rows.append(r)
             size += len(r["text"])
     if rows:
-        yield chunk()
+        out.append(chunk(False))
+    yield _batch(out, names, _CHUNK_TYPES)
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,14 +197,17 @@ _EDITED = "conv_id long, part int, seq long, place int, edit string, turn long,
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with their states -> their edits, in order."""
-    names = [x.split()[0] for x in _EDITED.split(", ")]
+    names = _names(_EDITED)
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.int32(), pa.int32()]
     for b in batches:
+        out, held = [], 0
         for c in b.to_pylist():
-            out, state = [], c["entry"]
+            lead, place, state = (c["conv_id"], c["part"], c["seq"]), 0, c["entry"]
 
             def add(edit: str, turn, role: str, text: str, was, fault: int, cost: int) -> None:
-                out.append((c["conv_id"], c["part"], c["seq"], len(out), edit, turn, role, text, was, fault, cost))
+                nonlocal place, held
+                out.append((*lead, place, edit, turn, role, text, was, fault, cost))
+                place, held = place + 1, held + len(text)
 
             def insert(state: int) -> int:
                 add("I", None, ROLES[INSERTED[state]], "", None, 0, 2)
@@ -201,7 +225,10 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     add(edit, r["turn"], r["role"] if edit == "K" else ROLES[own], r["text"], r["role"], r["fault"], stays + 2 * (edit == "R"))
             while c["last"] and ENDING[state]:
                 state = insert(state)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+            if len(out) >= CHUNK or held > CHUNK_BYTES:
+                yield _batch(out, names, types)
+                out, held = [], 0
+        yield _batch(out, names, types)
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -258,13 +285,15 @@ def repair(rows: DataFrame) -> DataFrame:
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("text"), F.asc("copy")]
     found = written(faults(rows), "repair-faults")
     dealt = found.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
-    chunks = written(dealt.select("conv_id", "turn", "role", "text", "fault").mapInArrow(
-        _chunks, "conv_id long, part int, seq long, codes binary, costs array<long>, ranks array<int>, "
-                 "rows array<struct<turn:long,role:string,text:string,fault:int>>"), "repair-chunks")
-    states = chunks.select("conv_id", "part", "seq", "costs", "ranks").groupBy("conv_id").applyInPandas(
+    chunks = written(dealt.select("conv_id", "turn", "role", "text", "fault").mapInArrow(_chunks, _CHUNK), "repair-chunks")
+    kept = ["conv_id", "part", "seq", "codes", "rows"]
+    # conversations that may lie in several tasks, or in several chunks: two a task, and the long ones
+    open_ = chunks.where("entry is null")
+    states = open_.select("conv_id", "part", "seq", "costs", "ranks").groupBy("conv_id").applyInPandas(
         _meet, "conv_id long, part int, seq long, entry int, leave int, last boolean")
-    solved = chunks.drop("costs", "ranks").join(states.drop("conv_id"), ["part", "seq"])  # part and seq name a chunk
-    return solved.select("conv_id", "part", "seq", "codes", "rows", "entry", "leave", "last").mapInArrow(_edited, _EDITED)
+    met = open_.select(*kept).join(states.drop("conv_id"), ["part", "seq"])  # part and seq name a chunk
+    solved = chunks.where("entry is not null").select(*kept, "entry", "leave", "last").unionByName(met)
+    return solved.select(*kept, "entry", "leave", "last").mapInArrow(_edited, _EDITED)
 
 
 _DIGEST = "conv_id long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
@@ -272,8 +301,7 @@ _DIGEST = "conv_id long, blank long, duplicate long, truncated long, illegal lon
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edits sorted by conversation and place -> one row a conversation; texts pass by, none is held."""
-    names = [x.split()[0] for x in _DIGEST.split(", ")]
-    types = [*[pa.int64()] * 6, pa.string(), pa.string()]
+    names, types = _names(_DIGEST), [*[pa.int64()] * 6, pa.string(), pa.string()]
     at, n, illegal, cost, audit, digest, before, any_ = None, [0] * 4, 0, 0, bytearray(), hashlib.sha256(), None, False
     for b in batches:
         out = []
@@ -293,10 +321,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if edit != "D":
                 digest.update(("" if first else "\n").encode() + f"{role}:{text}".encode())
                 first = False
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), types)], names=names)
+        yield _batch(out, names, types)
     if any_:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(
-            (at, *n[1:], illegal, cost, audit.decode(), digest.hexdigest()), types)], names=names)
+        yield _batch([(at, *n[1:], illegal, cost, audit.decode(), digest.hexdigest())], names, types)
 
 
 def repair_report(rows: DataFrame, damaged: DataFrame) -> DataFrame:

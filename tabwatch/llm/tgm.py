@@ -3,17 +3,20 @@
 A document's set holds 64-bit hashes of its distinct n-grams. Documents with equal sets are one
 class. Then:
 
-1. Groups: classes with the same min-hash form a group; inside a group, classes are compared
-   through an inverted index of the group and linked ones become one group component. A large
-   group is cut into parts by the size of its sets; what a cut separates is left to step 3.
-2. Matrix: each class gives the tokens of its prefix in a global order (tokens of crowded
-   buckets of a count sketch over all documents last, then by hash); the matrix has one row for
-   each (token, group) with the range of set sizes, that is the group's token union.
-3. Bound: a pair of linked sets shares at least c(n) tokens of its prefixes, c(n) =
-   1 + n * EXTRA // 100 for the smaller size n. Two groups that share fewer tokens of their unions,
-   or whose sizes don't fit, hold no link. For the others, the one with fewer members is the
-   query: its sets are sent to the other group, which is opened: exact intersections, and the
-   pair is closed at its first link.
+1. Tokens: each class gives the tokens of its prefix in a global order (tokens of crowded buckets
+   of a count sketch over all documents last, then by hash). A pair of linked sets shares at least
+   c(n) of them, c(n) = 1 + n * EXTRA // 100 for the smaller size n; classes that share fewer with
+   all others together hold no link and are done. The sets of the rest are written once.
+2. Groups: every token has a centre, the class of smallest hash among those that hold it. A class is
+   compared with the centre that most of its tokens name; linked ones become one group, so that a
+   cluster of near copies is a group from here on and not a pair for every two of its members.
+3. Matrix: one row for each (token, group) with the range of set sizes, the group's token union.
+   Two groups that share fewer than c(n) tokens of their unions, or whose sizes don't fit, hold no
+   link. For the others, the one with fewer members is the query: its sets are sent to the other
+   group, which is opened: exact intersections, and the pair is closed at its first link.
+4. The matrix is opened twice: first every token pairs its groups with the largest of them only;
+   what links is merged and the matrix keyed anew by the merged groups; then all pairs that are
+   left within the bound are opened.
 
 Prefix lengths: with sizes n <= m and overlap >= t/(1+t) (n+m), the first n - ceil(2t/(1+t) n) +
 c(n) tokens of the smaller and m - ceil(t m) + c(m) of the larger set share at least c(n).
@@ -31,19 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import bounded_broadcast, connected_components, prepare, tasks, utf8, written
+from tabwatch.llm.common import connected_components, prepare, tasks, utf8, written
 
 #: Buckets of the count sketch (two bytes each a task, one bit each when broadcast), in slices.
 SKETCH_BITS = 21
 SLICES = 16
 EXTRA = 4
-#: Tokens of the members that one task indexes.
+#: Tokens of the members that one task indexes, and members that one task compares with a centre.
 PART_TOKENS = 4_000_000
-MOST_PARTS = 200_000
+PART_MEMBERS = 2000
 #: Bits of the filter that spares documents of no group; it only ever lets more through.
 FILTER_BITS = 23
 _U = np.uint64
-_SET = "kind int, doc_id long, n long, f1 long, f2 long, gid long, slice int, counts binary"
+_SET = "kind int, doc_id long, n long, f1 long, f2 long, t binary, slice int, counts binary"
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -72,10 +75,9 @@ def _sum(x: np.ndarray) -> int:
     return int(x.sum(dtype=np.uint64).astype(np.int64)) if len(x) else 0
 
 
-def describe(s: np.ndarray) -> tuple[int, int, int, int]:
-    """Size, two sums and min-hash of a set."""
-    low = int(_mix(s, 0x5851F42D4C957F2D).min().astype(np.int64)) if len(s) else 0
-    return len(s), _sum(_mix(s, 0x2545F4914F6CDD1D)), _sum(_mix(s, 0x369DEA0F31A53F85)), low
+def describe(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums of a set."""
+    return len(s), _sum(_mix(s, 0x2545F4914F6CDD1D)), _sum(_mix(s, 0x369DEA0F31A53F85))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -89,16 +91,19 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "doc_id", "n", "f1", "f2", "gid", "slice", "counts"]
-    types = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.binary()]
+    names = ["kind", "doc_id", "n", "f1", "f2", "t", "slice", "counts"]
+    types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for ids, sets in _sets(batches, k):
-        for s in sets:
+    for b in batches:
+        rows = []
+        for doc, text, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            s = shingle_set(text.as_buffer().to_pybytes(), k)
             np.add.at(counts, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        yield _batch([(0, doc, *describe(s), None, None) for doc, s in zip(ids, sets)], names, types)
+            rows.append((0, doc, *describe(s), t, None, None))
+        yield _batch(rows, names, types)
     if counts.any():
         for i, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)):
-            yield _batch([(1, None, 0, 0, 0, 0, i, part.tobytes())], names, types)
+            yield _batch([(1, None, 0, 0, 0, None, i, part.tobytes())], names, types)
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +144,7 @@ def _matrix(batches: Iterator[pa.RecordBatch], k: int, crowded: np.ndarray, perc
     for ids, sets in _sets(batches, k):
         tokens, cid, size, index = [], [], [], []
         for doc, s in zip(ids, sets):
-            if doc is None or not len(s) or (key := describe(s)[:3]) in seen:
+            if doc is None or not len(s) or (key := describe(s)) in seen:
                 continue
             seen.add(key)
             own, short = prefix(s, crowded, percent)
@@ -153,16 +158,16 @@ def _matrix(batches: Iterator[pa.RecordBatch], k: int, crowded: np.ndarray, perc
                 pa.array(np.concatenate(index))], names=["token", "cid", "n", "indexed"])
 
 
-def _shipped(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray, by: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents whose key (``by``: f1 or gid) is in the filter."""
-    names, types = ["n", "f1", "f2", "gid", "tokens"], [*[pa.int64()] * 4, pa.binary()]
+def _shipped(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents whose f1 is in the filter."""
+    names, types = ["n", "f1", "f2", "tokens"], [*[pa.int64()] * 3, pa.binary()]
     seen = set()
     for ids, sets in _sets(batches, k):
         rows = []
         for doc, s in zip(ids, sets):
             if doc is not None and len(s):
                 own = describe(s)
-                at = (own[by] & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
+                at = (own[1] & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
                 if bits[at >> 3] & (128 >> (at & 7)) and own not in seen:
                     seen.add(own)
                     rows.append((*own, s.tobytes()))
@@ -187,44 +192,9 @@ class _Members:
         return np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both))
 
 
-def _spanning(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect what links connect; stops as soon as every member is reached."""
-    index, reached, edges = _Members(sets), np.zeros(len(sets), bool), []
-    for start in range(len(sets)):
-        if reached[start]:
-            continue
-        reached[start], queue = True, [start]
-        while queue and not reached.all():
-            m = queue.pop()
-            for x in index.near(sets[m], percent).tolist():
-                if not reached[x]:
-                    reached[x] = True
-                    queue.append(x)
-                    edges.append((reps[x], reps[m]))
-    return edges
-
-
 _EDGE = (["a", "b"], [pa.int64(), pa.int64()])
 
 
-def _inside(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, rep, tokens) sorted by part and rep -> spanning edges of each part."""
-    at, last, reps, sets, held = None, None, [], [], 0
-    for b in batches:
-        for part, rep, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if part != at or held > 2 * PART_TOKENS:
-                if len(reps) > 1:
-                    yield _batch(_spanning(reps, sets, percent), *_EDGE)
-                at, last, reps, sets, held = part, None, [], [], 0
-            if (rep, len(raw)) != last or raw != sets[-1].tobytes():  # copies come next to each other
-                last = (rep, len(raw))
-                reps.append(rep)
-                sets.append(np.frombuffer(raw, np.uint64))
-                held += len(sets[-1])
-    if len(reps) > 1:
-        yield _batch(_spanning(reps, sets, percent), *_EDGE)
-
-
 def _opened(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, role, comp, tokens) sorted by part and role: members, then queries -> edges."""
     at, group, sets, index, closed = None, None, [], None, set()
@@ -257,40 +227,84 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id long, text string).
+def _least(n) -> F.Column:
+    """c(n): tokens that linked sets share at least, n the smaller size."""
+    return 1 + F.floor(n * EXTRA / 100)
 
-    Two documents link when 100 * intersection >= percent * union of their k-word n-gram sets.
-    Null, empty and blank texts have empty sets and link with nothing; a text of fewer than k
-    words has one n-gram. Rows with a null id have a null component and link with nothing. Rows
-    that repeat, or share an id, stay rows; rows that share an id share a component. Other
-    columns are ignored; an empty table gives no rows.
-    """
+
+def _fits(least, most, least_indexed, most_indexed, percent: int) -> F.Column:
+    """Can sets of the sizes least..most be linked with no larger ones of the sizes least_indexed..most_indexed?"""
+    return (F.col(least_indexed) <= F.col(most)) & (100 * F.col(most_indexed) >= percent * F.col(least))
+
+
+def _with_centres(shared: DataFrame, sets: DataFrame, percent: int, spark) -> DataFrame:
+    """Edges between classes and the centre that most of their tokens name, where they are linked."""
+    centres = shared.groupBy("token").agg(F.min_by(F.struct("c", "n"), F.xxhash64("c")).alias("centre"))
+    named = shared.select("token", "c", "n").join(centres, "token").where("c <> centre.c")
+    small, large = F.least("n", "centre.n"), F.greatest("n", "centre.n")
+    named = named.where(100 * small >= percent * large).groupBy("c", "n", "centre").agg(F.count("*").alias("tokens"))
+    # half of what a linked pair shares: other centres may have taken some of its tokens
+    named = named.where(2 * F.col("tokens") >= _least(F.least("n", "centre.n")))
+    pairs = written(named.groupBy("c").agg(F.max_by("centre.c", F.struct("tokens", "centre.c")).alias("centre")), "tgm-centres")
+    parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PART_MEMBERS).alias("parts"))
+    pairs = pairs.join(parts, "centre").withColumn("part", F.xxhash64("centre", F.pmod(F.xxhash64("c"), "parts")))
+    held = pairs.select("part", F.col("centre").alias("c")).distinct().join(sets, "c").select("part", F.lit(0).alias("role"), "c", "tokens")
+    asked = pairs.select("part", "c").join(sets, "c").select("part", F.lit(1).alias("role"), "c", "tokens")
+    return _compared(held.union(asked), percent, spark)
+
+
+def _compared(rows: DataFrame, percent: int, spark) -> DataFrame:
+    """Rows (part, role, c, tokens): in each part members (role 0) are compared with queries (role 1)."""
+    return rows.toDF("part", "role", "comp", "tokens").repartition(2 * tasks(spark), "part").sortWithinPartitions("part", "role", "comp").mapInArrow(
+        lambda b: _opened(b, percent), "a long, b long")
+
+
+def _matrix_of(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row for each token and group: the sizes of the sets that hold it, and of those that index it."""
+    short = F.when(F.col("indexed"), F.col("n"))
+    return written(shared.join(groups.select("c", "comp"), "c").groupBy("token", "comp").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min(short).alias("least_indexed"), F.max(short).alias("most_indexed")), "tgm-matrix")
+
+
+def _open(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, spark) -> DataFrame:
+    """Edges between the groups of ``pairs`` (x, y) that hold a link: the smaller is the query."""
+    held = groups.groupBy("comp").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / PART_TOKENS).cast("int").alias("parts"))
+    x, y = (held.select(F.col("comp").alias(c), F.col("members").alias(f"members_{c}"), F.col("parts").alias(f"parts_{c}")) for c in "xy")
+    sized = pairs.join(x, "x").join(y, "y")
+    more = F.col("members_x") >= F.col("members_y")
+    plan = written(sized.select(F.when(more, F.col("x")).otherwise(F.col("y")).alias("opened"),
+                                F.when(more, F.col("y")).otherwise(F.col("x")).alias("query"),
+                                F.when(more, F.col("parts_x")).otherwise(F.col("parts_y")).alias("parts")), "tgm-plan")
+    owned = groups.select("c", "comp").join(sets, "c")
+    parts = plan.groupBy("opened").agg(F.max("parts").alias("parts"))
+    member = owned.join(parts, F.col("comp") == F.col("opened")).select(
+        F.xxhash64("opened", F.pmod("c", "parts")).alias("part"), F.lit(0).alias("role"), "comp", "tokens")
+    asked = owned.join(plan, F.col("comp") == F.col("query")).withColumn(
+        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select(
+        F.xxhash64("opened", "p").alias("part"), F.lit(1).alias("role"), "comp", "tokens")
+    return _compared(member.union(asked), percent, spark)
+
+
+def _merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (c, n, comp) with the components of their comps along ``edges``."""
+    found = connected_components(edges)
+    out = groups.join(found.withColumnRenamed("node", "comp"), "comp", "left")
+    return written(out.select("c", "n", F.coalesce("component", "comp").alias("comp")), "tgm-groups")
+
+
+def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as (doc_id, n, c, t): size and class of their sets (c null for rows
+    without a set or an id), t the md5 of the text; and (c, n, comp) of every class: linked classes
+    have the same comp, any of their c."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    described = written(texts.mapInArrow(lambda b: _describe(b, k), _SET), "tgm-sets")
-    rows = described.where("kind = 0").select("doc_id", "n", "f1", "f2", "gid")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.min("gid").alias("gid"))
-    classes = written(classes, "tgm-classes")
-
-    # 1. inside groups
-    groups = classes.groupBy("gid").agg(F.count("*").alias("members"), F.sum("n").alias("held")).where("members > 1")
-    groups = written(groups.select("gid", F.ceil(F.col("held") / PART_TOKENS).cast("int").alias("parts")), "tgm-groups")
-    bits = _filter(groups.select(F.col("gid").alias("key")))
-    sets = texts.mapInArrow(lambda b: _shipped(b, k, bits, 3), "n long, f1 long, f2 long, gid long, tokens binary")
-    cut = bounded_broadcast(groups.where("parts > 1").withColumnRenamed("gid", "cut"), groups.where("parts > 1").count(), MOST_PARTS)
-    grouped = classes.join(groups.select("gid"), "gid", "left_semi").select("n", "f1", "f2", "rep")
-    members = sets.join(grouped, ["n", "f1", "f2"]).join(cut, F.col("gid") == F.col("cut"), "left")
-    part = F.xxhash64("gid", F.pmod("f1", F.coalesce("parts", F.lit(1))))
-    inside = written(members.select(part.alias("part"), "rep", "tokens").repartition(tasks(spark), "part")
-                     .sortWithinPartitions("part", "rep", "tokens").mapInArrow(lambda b: _inside(b, percent), "a long, b long"), "tgm-inside")
-    comps = connected_components(inside)
-    classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = written(classes.select("n", "f1", "f2", "rep", F.coalesce("component", "rep").alias("comp")), "tgm-grouped")
-
-    # 2. token-group matrix
+    described = written(texts.withColumn("t", F.unhex(F.md5("text"))).mapInArrow(lambda b: _describe(b, k), _SET), "tgm-sets")
+    cell = F.xxhash64("n", "f1", "f2")
+    rows = described.where("kind = 0").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), cell).alias("c"), "t", "f1")
+    classes = written(rows.where("c is not null").groupBy("c").agg(F.min("n").alias("n"), F.min("f1").alias("f1")), "tgm-classes")
+
+    # 1. tokens that classes share
     crowded = np.zeros(1 << SKETCH_BITS, bool)
     sketch = described.where("kind = 1").select("slice", "counts").repartition(SLICES, "slice").sortWithinPartitions("slice")
     for r in sketch.mapInArrow(_crowded, "slice int, bits binary").collect():  # SLICES rows
@@ -298,47 +312,83 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         crowded[r["slice"] * len(own):(r["slice"] + 1) * len(own)] = own
     tokens = texts.mapInArrow(lambda b: _matrix(b, k, crowded, percent), "token long, cid long, n int, indexed boolean")
     same = Window.partitionBy("token")
-    shared = written(tokens.withColumn("lo", F.min("cid").over(same)).withColumn("hi", F.max("cid").over(same))
-                     .where("lo < hi").drop("lo", "hi"), "tgm-tokens")  # tokens of one class alone are dropped
-    named = shared.distinct().join(classes.select(F.col("f1").alias("cid"), F.col("n").cast("int").alias("n"), "comp"), ["cid", "n"])
-    matrix = written(named.groupBy("token", "comp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed"),
-        F.max(F.when(F.col("indexed"), F.col("n"))).alias("most_indexed")), "tgm-matrix")
-
-    # 3. bound, then open
-    query = matrix.select("token", F.col("comp").alias("query"), "least", "most")
-    group = matrix.where("least_indexed is not null").select("token", F.col("comp").alias("opened"), "least_indexed", "most_indexed")
-    fits = (F.col("query") != F.col("opened")) & (F.col("least_indexed") <= F.col("most")) & (
-        100 * F.col("most_indexed") >= percent * F.col("least"))
-    pairs = query.join(group, "token").where(fits).groupBy("query", "opened").agg(
-        F.count("*").alias("shared"), F.min("least_indexed").alias("smallest"))
-    pairs = pairs.where(F.col("shared") >= 1 + F.floor(F.col("smallest") * EXTRA / 100))
-    pairs = written(pairs.select(F.least("query", "opened").alias("x"), F.greatest("query", "opened").alias("y")).distinct(), "tgm-pairs")
-    involved = pairs.select(F.col("x").alias("comp")).union(pairs.select(F.col("y").alias("comp"))).distinct()
-    opening = written(classes.join(involved, "comp", "left_semi"), "tgm-opening")
-    held = opening.groupBy("comp").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / PART_TOKENS).cast("int").alias("parts"))
-    x, y = (held.select(F.col("comp").alias(c), F.col("members").alias(f"members_{c}"), F.col("parts").alias(f"parts_{c}")) for c in "xy")
-    sized = pairs.join(x, "x").join(y, "y")
-    more = F.col("members_x") >= F.col("members_y")
-    plan = written(sized.select(F.when(more, F.col("x")).otherwise(F.col("y")).alias("opened"),
-                                F.when(more, F.col("y")).otherwise(F.col("x")).alias("query"),
-                                F.when(more, F.col("parts_x")).otherwise(F.col("parts_y")).alias("parts")), "tgm-plan")
-    bits2 = _filter(opening.select(F.col("f1").alias("key")))
-    sets = texts.mapInArrow(lambda b: _shipped(b, k, bits2, 1), "n long, f1 long, f2 long, gid long, tokens binary")
-    sets = sets.drop("gid").join(opening.select("n", "f1", "f2", "comp"), ["n", "f1", "f2"]).dropDuplicates(["n", "f1", "f2"])
-    sets = written(sets, "tgm-opened-sets")
-    parts = plan.groupBy("opened").agg(F.max("parts").alias("parts"))
-    member = sets.join(parts, F.col("comp") == F.col("opened")).select(
-        F.xxhash64("opened", F.pmod("f1", "parts")).alias("part"), F.lit(0).alias("role"), "comp", "tokens")
-    asked = sets.join(plan, F.col("comp") == F.col("query")).withColumn(
-        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select(
-        F.xxhash64("opened", "p").alias("part"), F.lit(1).alias("role"), "comp", "tokens")
-    across = (member.union(asked).repartition(2 * tasks(spark), "part").sortWithinPartitions("part", "role", "comp")
-              .mapInArrow(lambda b: _opened(b, percent), "a long, b long"))
-    final = connected_components(inside.union(across))
-    linked = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    # rows without a set, or without an id, are on their own
-    key = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    whole = rows.where(key).join(linked, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return whole.union(rows.where(~key).select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    several = tokens.withColumn("lo", F.min("cid").over(same)).withColumn("hi", F.max("cid").over(same)).where("lo < hi").drop("lo", "hi")
+    several = written(several, "tgm-tokens").distinct()  # tokens of one class alone are dropped
+    able = several.groupBy("cid", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _least(F.ceil(percent * F.col("n") / 100)))
+    able = written(able.join(classes.select("c", F.col("n").cast("int").alias("n"), F.col("f1").alias("cid")), ["cid", "n"])
+                   .select("cid", "n", "c"), "tgm-able")
+    shared = written(several.join(able, ["cid", "n"]).select("token", "c", "n", "indexed"), "tgm-shared")
+    bits = _filter(able.select(F.col("cid").alias("key")))
+    sets = texts.mapInArrow(lambda b: _shipped(b, k, bits), "n long, f1 long, f2 long, tokens binary").select(cell.alias("c"), "tokens")
+    sets = written(sets.join(able.select("c"), "c", "left_semi").dropDuplicates(["c"]), "tgm-shipped")
+
+    # 2. groups about centres
+    groups = able.select("c", "n", F.col("c").alias("comp"))
+    groups = _merged(groups, _with_centres(shared, sets, percent, spark))
+
+    # 3. and 4.: every group against the largest that shares a token, then all pairs that are left
+    for last in (False, True):
+        matrix = _matrix_of(shared, groups)
+        query = matrix.select("token", F.col("comp").alias("query"), "least", "most")
+        if last:
+            group = matrix.where("least_indexed is not null").select("token", F.col("comp").alias("opened"), "least_indexed", "most_indexed")
+        else:
+            members = groups.groupBy("comp").agg(F.count("*").alias("members"))
+            best = F.max_by(F.struct("comp", "least", "most"), F.struct("members", "comp"))
+            group = matrix.join(members.where("members > 1"), "comp").groupBy("token").agg(best.alias("g")).select(
+                "token", F.col("g.comp").alias("opened"), F.col("g.least").alias("least_indexed"), F.col("g.most").alias("most_indexed"))
+        fits = (F.col("query") != F.col("opened")) & (_fits("least", "most", "least_indexed", "most_indexed", percent)
+                                                      if last else (100 * F.col("most_indexed") >= percent * F.col("least")))
+        pairs = query.join(group, "token").where(fits).groupBy("query", "opened").agg(
+            F.count("*").alias("shared"), F.min(F.least("least_indexed", "least")).alias("smallest"))
+        pairs = pairs.where(F.col("shared") >= _least(F.col("smallest")))
+        pairs = written(pairs.select(F.least("query", "opened").alias("x"), F.greatest("query", "opened").alias("y")).distinct(), "tgm-pairs")
+        groups = _merged(groups, _open(pairs, groups, sets, percent, spark))
+    rest = classes.join(able.select("c"), "c", "left_anti").select("c", F.col("n").cast("int").alias("n"), F.col("c").alias("comp"))
+    return rows.drop("f1"), written(groups.union(rest), "tgm-linked")
+
+
+def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id long, text string).
+
+    Two documents link when 100 * intersection >= percent * union of their k-word n-gram sets.
+    Null, empty and blank texts have empty sets and link with nothing; a text of fewer than k
+    words has one n-gram. Rows with a null id have a null component and link with nothing. Rows
+    that repeat, or share an id, stay rows; rows that share an id share a component, also through
+    their other rows. Other columns are ignored; an empty table gives no rows.
+    """
+    rows, linked = linked_rows(docs, k, percent)
+    own = rows.where("c is not null").select("doc_id", "c").join(linked.select("c", "comp"), "c")
+    ids = written(own.select("doc_id", "comp").distinct(), "tgm-ids")
+    # an id with rows in several components joins them
+    several = ids.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a < z").select("doc_id", "a")
+    joined = connected_components(ids.join(several, "doc_id").where("a <> comp").select("a", F.col("comp").alias("b")))
+    ids = ids.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp"))
+    named = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = ids.join(named, "comp").select("doc_id", "component_id").distinct()
+    return rows.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int, percent: int, columns: list[str]) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each component of linked sets.
+
+    The one with the smallest doc_id stays (then the smallest text hash, then the smallest values of
+    ``columns``). Rows decide, not ids: rows that share an id but no component all stay, as do rows
+    without an id or without words.
+    """
+    rows, linked = linked_rows(docs, k, percent)
+    own = rows.where("c is not null").select("doc_id", "c", "t").join(linked.select("c", "comp"), "c")
+    first = own.groupBy("comp").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    stays = written(first.select("first.*"), "tgm-first")
+    gone = written(own.select("doc_id", "t").distinct().join(stays, ["doc_id", "t"], "left_anti"), "tgm-gone")
+    keyed = docs.select(*columns, F.unhex(F.md5(utf8("text"))).alias("t_"))
+    gone = gone.select(F.col("doc_id").alias("d_"), "t")
+    kept = keyed.join(gone, (F.col("doc_id") == F.col("d_")) & (F.col("t_") == F.col("t")), "left_anti")
+    # rows that repeat their id and text are copies of each other
+    again = own.groupBy("doc_id", "t").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("d_"), "t")
+    again = written(again, "tgm-again")
+    if not again.take(1):
+        return kept.select(*columns)
+    same = (F.col("doc_id") == F.col("d_")) & (F.col("t_") == F.col("t"))
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", "t_").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return kept.join(again, same, "left_anti").select(*columns).union(one.select(*columns))

@@ -82,3 +82,30 @@ def test_prefixes_of_linked_sets_share_enough_tokens():
         small, large = sorted((a, b), key=len)
         tokens, short = tgm.prefix(small, crowded, percent)
         assert len(np.intersect1d(tokens[:short], tgm.prefix(large, crowded, percent)[0])) >= tgm.extra(len(small))
+
+
+def test_shared_ids_join_components(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (9, b, "s"), (9, None, "s"), (12, c, "s"), (12, "", "s"), (4, c, "s"), (20, "", "s")]
+    got = told(tgm.jaccard_components(documents(spark, rows), 4, 85))
+    assert got == brute(rows, 4, 85)
+    assert {x.split(", ")[0]: x.split(", ")[2] for x in got} == {"(3": "3)", "(5": "3)", "(9": "3)", "(12": "4)", "(4": "4)", "(20": "20)"}
+
+
+def test_many_near_copies_meet_as_a_group(spark):
+    """200 copies of one text, each with its own edits: the last join sees groups, not pairs of copies."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    text = prose(rng, 120, words).split()
+    rows = [(k, " ".join(w if rng.random() > 0.008 else rng.choice(words) for w in text), "s") for k in range(200)]
+    docs = documents(spark, rows)
+    assert told(tgm.jaccard_components(docs, 4, 85)) == brute(rows, 4, 85)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, "quite another text"), (8, None), (8, "here are words"), (8, None), (9, a + " more"), (None, a), (5, b)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n string")
+    got = tgm.one_of_each(docs, 4, 85, ["doc_id", "text"]).collect()
+    want = [(3, a), (5, b), (7, c), (7, "quite another text"), (8, None), (8, "here are words"), (8, None), (None, a)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -15,7 +15,7 @@ from tabwatch.llm.classifier import fit, score
 from tabwatch.llm.common import remainder, written
 from tabwatch.llm.mixing import mix
 from tabwatch.llm.packing import pack_documents
-from tabwatch.llm.tgm import jaccard_components
+from tabwatch.llm.tgm import one_of_each
 from tabwatch.llm.tokens import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,21 +35,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by a Jaccard similarity of 0.8 or more of five-word sets.
+    """Keep one row of each group linked by a Jaccard similarity of 0.8 or more of five-word sets.
 
-    The one with the smallest doc_id stays; of rows that repeat its id the one with the smallest
-    (text, lang, source, n_chars). Documents with a null id, or without words, are in no group and stay.
+    The one with the smallest doc_id stays. Rows decide, not ids: unrelated rows that share an id all
+    stay. Documents with a null id, or without words, are in no group and stay.
     """
-    found = jaccard_components(docs, k=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    # an id that repeats within its own group is a copy under the same number
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if not again.take(1):
-        return kept
-    twice = kept.join(again, "doc_id", "left_semi")
-    one = twice.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
+    return one_of_each(docs, 5, 80, COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from tabwatch.llm.common import prepare, tasks, utf8, written
 from tabwatch.llm.tgm import FILTER_BITS, _filter, _mix
 
 #: Words of a minimiser (fewer for windows of fewer words).
-MINIMISER = 8
+MINIMISER = 4
 #: Windows of one super-k-mer; longer runs (a line repeated) are cut.
 MOST_WINDOWS = 128
 HOT_BITS = 16

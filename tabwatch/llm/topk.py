@@ -34,6 +34,8 @@ FIRST = 2
 BINS = 4096
 #: Queries that meet a block in one task; beyond, the block is sent to several.
 TOGETHER = 16_384
+#: Bounds (of a query and a block) that a task holds at once.
+VISITS = 1 << 21
 _POINT = "vec_id long, cell int, distance double, bin int, vector binary"
 _VISIT = "block long, query_id long, floor long, vector binary"
 _FOUND = "query_id long, vec_id long, score long"
@@ -67,10 +69,11 @@ def top_k(points: DataFrame, is_query, k: int, scale: int = 256, pivots: int = P
 
     ``points`` has vec_id (long) and embedding (array of numbers); each component becomes
     floor(scale * x). ``is_query`` is a condition on vec_id. Vectors that are null or hold null
-    or non-finite components, null ids, and vectors of another length than the most common one
-    take no part; a row that repeats (same id and vector) counts once, and rows that share the
-    query's id are its own. Ties go to the smaller vec_id. Fewer candidates than k are all
-    returned. Other columns are ignored; an empty table gives no rows.
+    or non-finite components, and null ids, take no part; vectors of different lengths have no inner
+    product, so each length is searched by itself (empty vectors score 0 with each other). Components
+    whose scaled value does not fit a long saturate there. A row that repeats (same id and vector)
+    counts once, and rows that share the query's id are its own. Ties go to the smaller vec_id. Fewer
+    candidates than k are all returned. Other columns are ignored; an empty table gives no rows.
     """
     spark = points.sparkSession
     prepare(spark)
@@ -80,12 +83,28 @@ def top_k(points: DataFrame, is_query, k: int, scale: int = 256, pivots: int = P
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"))
     whole = written(whole.distinct().withColumn("size", F.size("v")), "topk-vectors")
-    sizes = whole.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not sizes or not sizes[0]["size"]:
-        return empty
-    dim, rows = sizes[0]["size"], sizes[0]["n"]
-    whole = whole.where(F.col("size") == dim).drop("size")
+    sizes = [r["size"] for r in whole.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()]  # one row a length
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for size in sizes:
+        own = whole.where(F.col("size") == size).drop("size")
+        out = out.union(_top_k_of(own, size, is_query, k, pivots, block) if size else _empty_vectors(own, is_query, k))
+    if len(sizes) > 1:  # an id may have vectors of several lengths
+        ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        out = out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return out
+
+
+def _empty_vectors(whole: DataFrame, is_query, k: int) -> DataFrame:
+    """Vectors without components: all scores are 0, so the smallest ids are the answer."""
+    ids = [r["vec_id"] for r in whole.select("vec_id").orderBy("vec_id").limit(k + 1).collect()]
+    first = F.filter(F.array(*[F.lit(i).cast("long") for i in ids]), lambda i: i != F.col("vec_id"))
+    found = whole.where(is_query).select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(first, 1, k)).alias("rank", "vec_id"))
+    return found.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
+
+
+def _top_k_of(whole: DataFrame, dim: int, is_query, k: int, pivots: int, block: int) -> DataFrame:
+    """``top_k`` over distinct vectors (vec_id, v) of one length."""
+    spark = whole.sparkSession
     # equal vectors tie, so that only the k + 1 smallest ids of each can be in any answer
     ties = Window.partitionBy("v").orderBy("vec_id")
     kept = whole.withColumn("tie", F.row_number().over(ties)).where(F.col("tie") <= k + 1).drop("tie")
@@ -147,19 +166,18 @@ def top_k(points: DataFrame, is_query, k: int, scale: int = 256, pivots: int = P
             if not b.num_rows:
                 continue
             v = b.column(1).flatten().to_numpy().reshape(-1, dim)
-            most, middle = bounds(v.astype(np.float64))
-            order = np.lexsort((middle, -most), axis=1)[:, :FIRST]
-            first = np.zeros(most.shape, bool)
-            np.put_along_axis(first, order, True, 1)
-            if expand:
-                floor = b.column(2).to_numpy(zero_copy_only=False)
-                opened = ~first & (most >= floor.astype(np.float64)[:, None])
-            else:
-                floor, opened = np.full(len(v), np.iinfo(np.int64).min), first
+            floor = b.column(2).to_numpy(zero_copy_only=False) if expand else np.full(len(v), np.iinfo(np.int64).min)
             raw = [r.astype("<i8").tobytes() for r in v]
             ids = b.column(0).to_pylist()
-            for at in range(0, len(v), 256):
-                i, j = np.nonzero(opened[at:at + 256])
+            some = max(1, min(256, VISITS // len(cells)))  # queries against all blocks at once
+            for at in range(0, len(v), some):
+                most, middle = bounds(v[at:at + some].astype(np.float64))
+                order = np.lexsort((middle, -most), axis=1)[:, :FIRST]
+                opened = np.zeros(most.shape, bool)
+                np.put_along_axis(opened, order, True, 1)
+                if expand:
+                    opened = ~opened & (most >= floor[at:at + some].astype(np.float64)[:, None])
+                i, j = np.nonzero(opened)
                 i += at
                 if len(i):
                     yield pa.RecordBatch.from_arrays([
@@ -187,11 +205,15 @@ def top_k(points: DataFrame, is_query, k: int, scale: int = 256, pivots: int = P
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     slots = -(-queries.count() // TOGETHER) or 1
-    sent = cut.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))) if slots > 1 else cut.withColumn("slot", F.lit(0))
-
     def search(asked: DataFrame, expand: bool) -> DataFrame:
         opened = asked.repartition(tasks(spark)).mapInArrow(lambda b: visits(b, expand), _VISIT)
         opened = opened.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(slots)).cast("int"))
+        if slots > 1:  # a block goes to the slots that open it, to no other
+            opened = written(opened, "topk-opened")
+            wanted = opened.select(F.col("block").alias("wanted"), F.col("slot").alias("by")).distinct()
+            sent = cut.join(wanted, F.col("block") == F.col("wanted")).select("block", F.col("by").alias("slot"), "vec_id", "vector")
+        else:
+            sent = cut.withColumn("slot", F.lit(0))
         return opened.groupBy("block", "slot").cogroup(sent.groupBy("block", "slot")).applyInPandas(meet, _FOUND)
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -13,14 +13,12 @@ def table(spark, rows):
 
 def brute(rows, every, k):
     own = {(r[0], tuple(math.floor(256 * x) for x in r[1])) for r in rows
-           if r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1])}
-    dims = [len(v) for _, v in own]
-    dim = min(dims, key=lambda d: (-dims.count(d), d)) if dims else 0
-    own = sorted((i, v) for i, v in own if len(v) == dim)
+           if r[0] is not None and r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])}
     out = []
-    for q, x in own:
+    for q in {i for i, _ in own}:
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in own if i != q)[:k]
+            mine = [x for i, x in own if i == q]
+            best = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in own for x in mine if i != q and len(x) == len(v))[:k]
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -51,3 +49,9 @@ def test_edges(spark):
 def test_large_numbers_stay_exact(spark):
     rows = [(k, [1e6 + k, -3e5 * k]) for k in range(0, 40)]
     assert told(topk.top_k(table(spark, rows), F.col("vec_id") % 10 == 0, k=3)) == brute(rows, 10, 3)
+
+
+def test_every_length_is_searched(spark):
+    rows = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [0.5, 0.5, 1.0]), (2, [1.0, 1.0, 1.0]), (100, [3.0, 0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, []), (150, []), (5, []),
+            (100, [])]
+    assert told(topk.top_k(table(spark, rows), F.col("vec_id") % 50 == 0, k=2)) == brute(rows, 50, 2)

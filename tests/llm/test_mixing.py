@@ -64,3 +64,25 @@ def test_sql(spark):
     want = sorted(con.execute(mixing.MIX_SQL).fetchall())
     got = mixing.mix_report(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_repeated_and_null_ids_draw_one_by_one(spark):
+    words = " ".join(["w"] * 5)
+    rows = [(None, words, "a")] * 60 + [(None, f"{words} {k}", "a") for k in range(200)] + [(7, words, "b")] * 300 + [(7, f"{words} {k}", "b") for k in range(40)]
+    rows += [(1000 + k, words, "c") for k in range(1200)]
+    docs = documents(spark, rows)
+    per = mixing.mix_report(docs).groupBy("source_size").agg(F.count("*").alias("rows"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert sum(r.rows for r in per) == len(rows) and all(abs(r.taken - r.target) <= 0.12 * r.target for r in per)
+    taken = sorted(r.taken for r in mixing.mix_report(docs).collect())
+    assert taken == sorted(r.taken for r in mixing.mix_report(docs.repartition(7)).collect())
+    mixed = mixing.mix(docs)
+    assert mixed.agg(F.sum(mixing.words(F.col("text")))).first()[0] == sum(taken)
+
+
+def test_sql_of_repeated_rows(spark):
+    import pandas as pd
+    rows = [(None, "a b", "x"), (None, "a b", "x"), (1, "a b c", "y"), (1, "a b c", "y"), (1, "a", "y"), (2, None, None), (2, "", None)] * 9
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    got = mixing.mix_report(documents(spark, rows)).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(str, con.execute(mixing.MIX_SQL).fetchall())) == sorted(map(str, map(tuple, got.collect())))

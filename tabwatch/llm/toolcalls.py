@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tabwatch.llm.common import prepare, written
 
+_LONE = re.compile("[\ud800-\udfff]")
 _ORDER = "uid long, new_step long, cycle boolean"
 _KINDS = {"string": str, "array": list, "object": dict, "boolean": bool, "null": type(None)}
 
@@ -62,24 +65,36 @@ def validate(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _plain(text: str) -> str:
+    """Surrogates without a partner, which have no UTF-8, as the escapes that JSON has for them."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _plain(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def _number(text: str) -> float:
     raise ValueError(f"{text} is not JSON")
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError(f"{text} has no finite value")
+    return value
+
+
 def describe(kind: str, call_id, name, body, result, depends_on, schemas: dict) -> tuple[bool | None, list[str], str]:
     """valid, errors and canonical JSON of one record."""
     if kind == "result":
         return None, [], canonical({"content": body, "id": call_id, "type": "tool_result"})
     try:
-        arguments = json.loads(body, parse_constant=_number)
-        errors = validate(arguments, schemas[name]) if name in schemas else ["unknown tool"]
+        arguments = json.loads(body, parse_constant=_number, parse_float=_finite)
+        errors = [_plain(e) for e in validate(arguments, schemas[name])] if name in schemas else ["unknown tool"]
     except (TypeError, ValueError, RecursionError):
         arguments, errors = body, ["arguments are not JSON"]
-    return not errors, errors, canonical({"arguments": arguments, "depends_on": sorted(depends_on or []), "id": call_id,
+    return not errors, errors, canonical({"arguments": arguments, "depends_on": sorted(d for d in depends_on or () if d is not None), "id": call_id,
                                           "name": name, "result": result, "type": "tool_call"})
 
 
@@ -122,7 +137,9 @@ def link_tool_calls(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     id); of a result: "linked", "duplicate", or "orphan" (no such call). Records with a null
     conversation, id or position link with nothing. step: the place of a call in topological
     order, else the position; calls in or behind a cycle come last in their segment, by position.
-    Dependencies on ids that the conversation lacks, and of duplicates, don't order. A null kind
+    Dependencies on ids that the conversation lacks, on null, and of duplicates, don't order. Arguments
+    with numbers beyond double precision's range are not JSON; a surrogate without a partner is
+    written as its escape. A null kind
     or other kinds are left out of the tool records and not returned; other columns are ignored;
     equal rows are records of their own; an empty table gives no rows.
     """
@@ -153,7 +170,13 @@ def link_tool_calls(records: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     spans = spans.withColumn("reach", F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("segment", F.sum(F.when(F.col("reach") >= F.col("position"), 0).otherwise(1)).over(line))
     segments = spans.groupBy("conv_id", "segment").agg(F.min("position").alias("begin"), F.max("last").alias("end"))
-    inside = active.select("conv_id", "call_id", "position", "uid", "depends_on").join(segments, "conv_id").where("position between begin and end")
+    # a call's segment is the last that begins at or before it: one walk over the calls, no pairs with all segments
+    inside = active.select("conv_id", "position", F.lit(1).alias("kind"), "call_id", "uid", "depends_on", F.lit(None).cast(
+        "struct<begin:bigint,end:bigint>").alias("opened")).unionByName(
+        segments.select("conv_id", F.col("begin").alias("position"), F.lit(0).alias("kind"), F.struct("begin", "end").alias("opened")), allowMissingColumns=True)
+    walk = Window.partitionBy("conv_id").orderBy("position", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("own", F.last("opened", ignorenulls=True).over(walk)).where("kind = 1 and position <= own.end")
+    inside = inside.select("conv_id", "call_id", "position", "uid", "depends_on", F.col("own.begin").alias("segment"))
     moved = inside.groupBy("conv_id", "segment").applyInPandas(_sorted_segment, _ORDER)
     found = found.join(moved, "uid", "left")
 

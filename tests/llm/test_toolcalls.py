@@ -99,3 +99,29 @@ def test_conversations(spark):
 @pytest.mark.parametrize("empty", [True])
 def test_empty_table(spark, empty):
     assert T.link_tool_calls(records(spark, []), T.SCHEMAS).count() == 0
+
+
+def test_odd_arguments_are_told_and_do_not_crash(spark):
+    lone = '{"text":"\\ud800x","words":3,"\\udc01":1}'
+    rows = [(1, "call", "a", 0, "search", lone, [None, "b"]), (1, "call", "b", 1, "search", '{"text":1e999,"words":2}', None),
+            (1, "call", "c", 2, "search", "[" * 100_000, [None]), (1, "call", "d", 3, None, '{"n":' + "9" * 6000 + "}", ["d"])]
+    schema = "conv_id long, kind string, call_id string, position long, name string, body string, depends_on array<string>"
+    got = {r.call_id: r for r in T.link_tool_calls(spark.createDataFrame(rows, schema), T.SCHEMAS).collect()}
+    assert got["a"].message.startswith('{"arguments":{"text":"\\ud800x","words":3,"\\udc01":1},"depends_on":["b"]')
+    assert got["a"].errors == ["$.\\udc01: not allowed"] and json.loads(got["a"].message)["arguments"]["text"] == "\ud800x"
+    assert all(got[k].errors == ["arguments are not JSON"] for k in "bc") and not got["d"].valid
+    assert got["b"].step < got["a"].step and got["d"].in_cycle
+
+
+def test_segments_of_one_long_conversation(spark):
+    """Chains that begin, end and nest at many places of one conversation."""
+    import random
+    rng = random.Random(8)
+    rows = [(1, "call", f"c{k}", k // 2, "search", "{}", [f"c{k + rng.randint(-6, 6)}"] if rng.random() < 0.3 else []) for k in range(600)]
+    schema = "conv_id long, kind string, call_id string, position long, name string, body string, depends_on array<string>"
+    got = {r.call_id: r for r in T.link_tool_calls(spark.createDataFrame(rows, schema), T.SCHEMAS).collect()}
+    for _, _, call, position, _, _, needs in rows:
+        for d in needs:
+            if d in got and d != call and not got[call].in_cycle:
+                assert got[d].step <= got[call].step
+    assert sorted(r.step for r in got.values()) == sorted(k // 2 for k in range(600))

@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS
 
     At most ``most_per_class`` labelled rows of each class, those with the smallest hashes of
     doc_id, give their whole texts; the class prior is counted over all labelled rows. Null ids
-    or labels are left out; a row that repeats counts as often as it does.
+    or labels are left out. A text that repeats under one id and label counts once, and of an id with
+    very many texts those with the smallest hashes count, so that no more than ``most_per_class``
+    texts of a class are ever gathered.
     """
     prepare(docs.sparkSession)
     known = labels.where("doc_id is not null and label in (0, 1)").select(
@@ -162,7 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS
     prior = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class) for k in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "label", "text")
+    keyed = texts.join(F.broadcast(chosen[0].union(chosen[1]).distinct()), "doc_id").select("doc_id", "label", "text", F.md5("text").alias("hash"))
+    keyed = keyed.dropDuplicates(["doc_id", "label", "hash"])
+    sample = [keyed.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(most_per_class) for k in (0, 1)]
+    sample = sample[0].union(sample[1]).select("doc_id", "label", "text")
     rows = sample.mapInArrow(_features, _SAMPLE).collect()  # 2 * most_per_class rows of BUCKETS entries at most
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["buckets"])))
     seen = [sum(r["label"] == k for r in rows) for k in (0, 1)]

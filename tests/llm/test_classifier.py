@@ -48,3 +48,12 @@ def test_the_sample_is_bounded(spark):
     model = classifier.fit(docs, labels, most_per_class=10)
     rows = classifier.score(docs, model).collect()
     assert all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in rows)
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "learn", lambda examples, odds: seen.append(examples) or classifier.Model(np.zeros(classifier.BUCKETS), odds))
+    rows = [(1, f"text number {k}", "s") for k in range(300)] + [(1, "text number 1", "s")] * 50 + [(k, "other", "s") for k in range(2, 9)]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, label int")
+    classifier.fit(documents(spark, rows), labels, most_per_class=20)
+    assert [sum(label == k for label, _, _ in seen[0]) for k in (0, 1)] == [3, 20]

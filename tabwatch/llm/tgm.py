@@ -286,10 +286,12 @@ def _open(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, sp
 
 
 def _merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """``groups`` (c, n, comp) with the components of their comps along ``edges``."""
-    found = connected_components(edges)
-    out = groups.join(found.withColumnRenamed("node", "comp"), "comp", "left")
-    return written(out.select("c", "n", F.coalesce("component", "comp").alias("comp")), "tgm-groups")
+    """``groups`` (c, n, comp) where a comp takes the name of the group that it is linked with (a: the
+    centre or larger group, b). Two steps up are enough to gather a cluster; components come at the end."""
+    up = written(edges.groupBy(F.col("b").alias("comp")).agg(F.min("a").alias("up")), "tgm-up")
+    twice = up.join(up.select(F.col("comp").alias("up"), F.col("up").alias("top")), "up", "left").select("comp", F.coalesce("top", "up").alias("up"))
+    out = groups.join(twice, "comp", "left")
+    return written(out.select("c", "n", F.coalesce("up", "comp").alias("comp")), "tgm-groups")
 
 
 def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +326,8 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
 
     # 2. groups about centres
     groups = able.select("c", "n", F.col("c").alias("comp"))
-    groups = _merged(groups, _with_centres(shared, sets, percent, spark))
+    edges = written(_with_centres(shared, sets, percent, spark), "tgm-edges")
+    groups = _merged(groups, edges)
 
     # 3. and 4.: every group against the largest that shares a token, then all pairs that are left
     for last in (False, True):
@@ -343,9 +346,12 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
             F.count("*").alias("shared"), F.min(F.least("least_indexed", "least")).alias("smallest"))
         pairs = pairs.where(F.col("shared") >= _least(F.col("smallest")))
         pairs = written(pairs.select(F.least("query", "opened").alias("x"), F.greatest("query", "opened").alias("y")).distinct(), "tgm-pairs")
-        groups = _merged(groups, _open(pairs, groups, sets, percent, spark))
-    rest = classes.join(able.select("c"), "c", "left_anti").select("c", F.col("n").cast("int").alias("n"), F.col("c").alias("comp"))
-    return rows.drop("f1"), written(groups.union(rest), "tgm-linked")
+        found = written(_open(pairs, groups, sets, percent, spark), "tgm-edges")
+        edges = edges.union(found)  # a group's name is a class that earlier edges link with its members
+        groups = groups if last else _merged(groups, found)
+    whole = connected_components(edges).withColumnRenamed("node", "c")
+    linked = classes.join(whole, "c", "left").select("c", "n", F.coalesce("component", "c").alias("comp"))
+    return rows.drop("f1"), written(linked, "tgm-linked")
 
 
 def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -362,13 +368,19 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     ids = written(own.select("doc_id", "comp").distinct(), "tgm-ids")
     # an id with rows in several components joins them
     several = ids.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a < z").select("doc_id", "a")
-    joined = connected_components(ids.join(several, "doc_id").where("a <> comp").select("a", F.col("comp").alias("b")))
-    ids = ids.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp"))
+    if several.take(1):
+        ids = _joined(ids, several)
     named = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(named, "comp").select("doc_id", "component_id").distinct()
     return rows.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _joined(ids: DataFrame, several: DataFrame) -> DataFrame:
+    """``ids`` (doc_id, comp) with the components that an id of ``several`` lies in as one."""
+    joined = connected_components(ids.join(several, "doc_id").where("a <> comp").select("a", F.col("comp").alias("b")))
+    return ids.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp"))
+
+
 def one_of_each(docs: DataFrame, k: int, percent: int, columns: list[str]) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each component of linked sets.
 

@@ -38,19 +38,20 @@ def check_target(df: DataFrame, target: str, min_classes: int = 2) -> DataFrame:
 
 
 def check_split_leakage(splits: DataFrame, source: DataFrame, key, split_col: str = "split") -> DataFrame:
-    """K4: splits pairwise disjoint on the row key, and their union equals the source keys."""
+    """K4: splits pairwise disjoint on the row key, and their union equals the source keys: one shuffle."""
     key = list(key)
-    per_key = splits.groupBy(*key).agg(F.count_distinct(split_col).alias("_ns"))
-    leak = per_key.agg(F.count_if(F.col("_ns") > 1).alias("_leak"))
-    k_split = splits.select(*key).distinct()
-    k_src = source.select(*key).distinct()
-    missing = k_src.join(k_split, key, "left_anti").agg(F.count(F.lit(1)).alias("_m"))
-    extra = k_split.join(k_src, key, "left_anti").agg(F.count(F.lit(1)).alias("_x"))
-    a = _row(leak, "split_disjoint", F.col("_leak") == 0, F.col("_leak"))
-    b = missing.withColumn("_k", F.lit(1)).join(extra.withColumn("_k", F.lit(1)), "_k")
-    b = _row(b, "split_complete", (F.col("_m") == 0) & (F.col("_x") == 0),
-             F.concat(F.lit("missing="), F.col("_m").cast("string"), F.lit(",extra="), F.col("_x").cast("string")))
-    return a.unionByName(b)
+    names = [F.col(k).alias(f"_{i}") for i, k in enumerate(key)]
+    # one row a key: which splits hold it (least and greatest tell whether there are two), and does the source
+    both = splits.select(*names, F.col(split_col).cast("string").alias("_split"), F.lit(False).alias("_src")).unionByName(
+        source.select(*names, F.lit(None).cast("string").alias("_split"), F.lit(True).alias("_src")))
+    per_key = both.groupBy(*[f"_{i}" for i in range(len(key))]).agg(
+        F.min("_split").alias("_a"), F.max("_split").alias("_z"), F.bool_or("_src").alias("_in"), F.bool_or(~F.col("_src")).alias("_has"))
+    row = per_key.agg(F.count_if(F.col("_a") < F.col("_z")).alias("_leak"), F.count_if(F.col("_in") & ~F.col("_has")).alias("_m"),
+                      F.count_if(F.col("_has") & ~F.col("_in")).alias("_x"))
+    told = F.struct(F.lit("split_disjoint").alias("check"), (F.col("_leak") == 0).alias("passed"), F.col("_leak").cast("string").alias("detail"))
+    whole = F.struct(F.lit("split_complete").alias("check"), ((F.col("_m") == 0) & (F.col("_x") == 0)).alias("passed"),
+                     F.concat(F.lit("missing="), F.col("_m").cast("string"), F.lit(",extra="), F.col("_x").cast("string")).alias("detail"))
+    return row.select(F.inline(F.array(told, whole)))
 
 
 def check_prediction_domain(preds: DataFrame, predicted: str, labels, metrics: DataFrame | None = None) -> DataFrame:
@@ -78,6 +79,18 @@ def check_reproducible(a: DataFrame, b: DataFrame) -> DataFrame:
                 F.concat(F.col("_d1").cast("string"), F.lit("/"), F.col("_d2").cast("string")))
 
 
+def prediction_differences(df: DataFrame, model, others: dict, key) -> DataFrame:
+    """K7: (rows, <name>_differs...): rows whose prediction or probabilities differ between ``model`` and each
+    of ``others`` (a second fit, the reloaded model). All models score the rows in one pass."""
+    from tabwatch.operators.train import score_models
+
+    names = list(others)
+    scored = score_models(df, [model, *others.values()], list(key))
+    row = scored.groupBy(*key).agg(*[F.max(F.when(F.col("model") == i, F.struct("prediction", "proba"))).alias(f"m{i}") for i in range(len(names) + 1)])
+    return row.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(~F.col("m0").eqNullSafe(F.col(f"m{i + 1}"))).alias(f"{name}_differs") for i, name in enumerate(names)])
+
+
 def check_outputs_exist(spark, paths: dict) -> dict:
     """K5 (driver): each artefact path readable as parquet with at least the schema."""
     out = {}

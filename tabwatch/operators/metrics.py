@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwatch.functions.columns import compare, safe_div
-from tabwatch.operators.prefix import _edge_index_bsearch, _fixed_edges, exact_quantiles
+from tabwatch.operators.prefix import add_buckets, exact_quantiles, plan_buckets
 from tabwatch.session import materialize
 from tabwatch.spec import DEFAULT_ALERT_RULES, EVAL_STEP_SECONDS, LATENCY_BUCKETS, RATE_RANGE_SECONDS
 
@@ -83,10 +83,33 @@ def _per_step(log: DataFrame, aggs, by=(), step: int = EVAL_STEP_SECONDS) -> Dat
     return log.groupBy(*by, step_end("ts", step).alias("_step")).agg(*aggs)
 
 
+#: Evaluation times that one row of the grid stands for.
+GRID_PIECE = 4096
+
+
+def _on_grid(windowed: DataFrame, measures, by=(), step: int = EVAL_STEP_SECONDS) -> DataFrame:
+    """Every evaluation time of a series from its first to its last one; 0 where nothing was counted.
+
+    Without the zeros a rule would not see that a condition has ended. The grid is made in pieces
+    of ``GRID_PIECE`` times, so a long series is neither one array nor one task.
+    """
+    by = list(by)
+    ends = windowed.groupBy(*by).agg(F.min("t").alias("_a"), F.max("t").alias("_z")).where("_a is not null")
+    pieces = ends.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_z - _a) div {GRID_PIECE * step}"))))
+    begin = F.col("_a") + F.col("_b") * GRID_PIECE * step
+    pieces = pieces.select(*by, begin.alias("_from"), F.least("_z", begin + (GRID_PIECE - 1) * step).alias("_to"))
+    pieces = pieces.repartition(*by, "_from")
+    grid = pieces.select(*[F.col(c).alias("_g_" + c) for c in by], F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("_g_t"))
+    same = [F.col("_g_" + c).eqNullSafe(F.col(c)) for c in [*by, "t"]]
+    return grid.join(windowed, same, "left").select(
+        *[F.col("_g_" + c).alias(c) for c in by], F.col("_g_t").alias("t"), *[F.coalesce(m, F.lit(0)).alias(m) for m in measures])
+
+
 def request_rate(log: DataFrame, by=(), step: int = EVAL_STEP_SECONDS, range_s: int = RATE_RANGE_SECONDS) -> DataFrame:
-    """sum(rate(requests[5m])) at every 15 s evaluation time with a non-zero value."""
+    """sum(rate(requests[5m])) at every 15 s evaluation time of a series, from its first request to
+    the last window that holds one; 0 in between where no request is near."""
     ps = _per_step(log, [F.count(F.lit(1)).alias("requests")], by, step)
-    w = _windowed(ps, ["requests"], by, step, range_s)
+    w = _on_grid(materialize(_windowed(ps, ["requests"], by, step, range_s)), ["requests"], by, step)
     return w.select(*by, to_ntz(F.col("t")).alias("t"), (F.col("requests") / float(range_s)).alias("request_rate"))
 
 
@@ -100,10 +123,10 @@ def counter_increase(samples: DataFrame, series=("series",), ts: str = "t", valu
 
 def error_ratio(log: DataFrame, threshold: float = 0.05, floor_rate: float = 0.001, step: int = EVAL_STEP_SECONDS,
                 range_s: int = RATE_RANGE_SECONDS) -> DataFrame:
-    """errors/s / max(requests/s, 0.001) per evaluation time; breach when > 5 %."""
+    """errors/s / max(requests/s, 0.001) at every evaluation time of the grid (J5); breach when > 5 %."""
     ps = _per_step(log, [F.count(F.lit(1)).alias("requests"),
                          F.count_if(F.col("status_code") >= 500).alias("errors")], (), step)
-    w = _windowed(ps, ["requests", "errors"], (), step, range_s)
+    w = _on_grid(materialize(_windowed(ps, ["requests", "errors"], (), step, range_s)), ["requests", "errors"], (), step)
     req = F.col("requests") / float(range_s)
     err = F.col("errors") / float(range_s)
     ratio = err / F.greatest(req, F.lit(floor_rate))
@@ -210,35 +233,27 @@ def alert_for_duration(samples: DataFrame, rules=DEFAULT_ALERT_RULES, step: int
     j = samples.join(F.broadcast(rules_frame(spark, rules)), "metric")
     j = j.withColumn("_breach", F.coalesce(_condition(F.col("value"), rules), F.lit(False)))
     j = materialize(j.withColumn("_s", epoch_seconds("t")))
-    most = j.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    n = max(1, -(-most // CHUNK_SAMPLES))
-    if n > 1:
-        edges = j.groupBy(*key).agg(F.percentile_approx("_s", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("_edges"))
-        keyed = edges.select(*[F.col(c).alias("_e_" + c) for c in key], F.coalesce("_edges", F.array().cast("array<double>")).alias("_edges"))
-        same = [F.col(c).eqNullSafe(F.col("_e_" + c)) for c in key]  # a null series is one
-        j = j.join(_fixed_edges(keyed, n, None), same).drop(*["_e_" + c for c in key])
-        j = j.withColumn("_chunk", _edge_index_bsearch(F.col("_edges"), F.col("_s"), n - 1).cast("int")).drop("_edges")
-    else:
-        j = j.withColumn("_chunk", F.lit(0))
-    order = ["_s", "t", "value"]
-    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    plan, edges = plan_buckets(j, key, "_s", CHUNK_SAMPLES)
+    order, here = ["_s", "t", "value"], F.struct("_s", "_breach")
+    parts = key if plan is None else [*key, "_chunk"]
+    j = j if plan is None else add_buckets(j, key, "_s", plan, edges, "_chunk")
+    w = Window.partitionBy(*parts).orderBy(*order)
     over_chunks = Window.partitionBy(*key).orderBy("_chunk")  # one row a chunk
 
-    def bordered(rows: DataFrame, side: DataFrame) -> DataFrame:
-        side = side.select(*[F.col(c).alias("_b_" + c) for c in [*key, "_chunk"]], "_border")
-        return rows.join(side, [F.col(c).eqNullSafe(F.col("_b_" + c)) for c in [*key, "_chunk"]]).drop(*["_b_" + c for c in [*key, "_chunk"]])
+    def bordered(rows: DataFrame, left, border) -> DataFrame:
+        """Rows with ``border`` over what the chunks of their series ``left``; null where no series has two chunks."""
+        if plan is None:
+            return rows.withColumn("_border", F.lit(None))
+        side = rows.groupBy(*parts).agg(left.alias("_left")).withColumn("_border", border)
+        side = side.select(*[F.col(c).alias("_b_" + c) for c in parts], "_border")
+        return rows.join(side, [F.col(c).eqNullSafe(F.col("_b_" + c)) for c in parts]).drop(*["_b_" + c for c in parts])
 
-    here = F.struct("_s", "_breach")
-    last = j.groupBy(*key, "_chunk").agg(F.max_by(here, F.struct(*order)).alias("_last"))
-    j = bordered(j, last.withColumn("_border", F.lag("_last").over(over_chunks)))
-    prev = F.coalesce(F.lag(here).over(w), F.col("_border"))
-    j = j.withColumn("_prev", prev).drop("_border")
+    j = bordered(j, F.max_by(here, F.struct(*order)), F.lag("_left").over(over_chunks))
+    j = j.withColumn("_prev", F.coalesce(F.lag(here).over(w), F.col("_border"))).drop("_border")
     apart = F.coalesce(F.col("_s") - F.col("_prev._s") > step, F.lit(True))
     starts = F.col("_breach") & (F.col("_prev").isNull() | ~F.col("_prev._breach") | apart)
     j = j.withColumn("_start", F.when(starts, F.struct("_s", "t"))).drop("_prev")
-    own = j.groupBy(*key, "_chunk").agg(F.max("_start").alias("_own"))
-    b = bordered(j, own.withColumn("_border", F.last("_own", ignorenulls=True).over(
-        over_chunks.rowsBetween(Window.unboundedPreceding, -1))))
+    b = bordered(j, F.max("_start"), F.last("_left", ignorenulls=True).over(over_chunks.rowsBetween(Window.unboundedPreceding, -1)))
     island = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     b = b.withColumn("_island", F.coalesce(island, F.col("_border"))).where("_breach")
     b = b.withColumn("_first", F.col("_island._s")).withColumn("island_start", F.col("_island.t"))

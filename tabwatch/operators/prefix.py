@@ -3,8 +3,8 @@
 ``Window.partitionBy(g).orderBy(v)`` puts each group on one task. With 3 classes or 11
 features that is 3-11 tasks whatever the data size, and a hot group lands on one task.
 Here the (already aggregated) rows of each group are cut into ``buckets`` ranges by
-approximate quantile edges, per-(group, bucket) totals give each bucket's offset, and the
-running sum is taken inside (group, bucket) windows only. Equal values share a bucket, so
+approximate quantile edges (only groups whose own count is above the limit), per-(group, bucket)
+totals give each bucket's offset, and the running sum is taken inside (group, bucket) windows only. Equal values share a bucket, so
 ties stay whole and the result is exact and deterministic.
 """
 
@@ -19,15 +19,49 @@ from tabwatch.session import materialize
 
 #: Rows (one for each group and value) of a bucket.
 ROWS_PER_BUCKET = 1_000_000
+#: Most buckets of one group.
+MOST_BUCKETS = 100_000
 
 
-def bucket_count(df: DataFrame, buckets: int | None) -> int:
-    """Buckets per group: explicit, else from the counted rows of the (aggregated) frame.
+def plan_buckets(df: DataFrame, group, order: str, rows_per_bucket: int, buckets: int | None = None,
+                 max_groups: int | None = None) -> tuple[DataFrame | None, int]:
+    """(group..., _edges) for the groups that need more than one bucket, and the most edges of one.
 
-    Callers that also use the frame for totals write it first (``materialize``), so that the
-    count reads those files and not the source again.
+    A group's buckets follow from its own count, so small groups (all others) have no row and no
+    edges however many there are; the plan has at most 2 * rows / ``rows_per_bucket`` edges. None
+    if no group is that large. ``buckets`` sets the number for every group. Callers that also use
+    the frame for totals write it first (``materialize``): the counts then read those files.
     """
-    return max(1, int(buckets) if buckets is not None else math.ceil(df.count() / ROWS_PER_BUCKET))
+    group = list(group)
+    if buckets is not None:
+        if buckets <= 1:
+            return None, 0
+        large, most = df, int(buckets)
+        own = F.lit(most)
+    else:
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+        largest = sizes.agg(F.max("_size")).first()[0] or 0
+        if largest <= rows_per_bucket:
+            return None, 0
+        most = min(MOST_BUCKETS, math.ceil(largest / rows_per_bucket))
+        sizes = sizes.where(F.col("_size") > rows_per_bucket).select(*[F.col(g).alias("_p_" + g) for g in group], "_size")
+        same = [F.col(g).eqNullSafe(F.col("_p_" + g)) for g in group]
+        large = df.join(sizes, same)
+        own = F.least(F.lit(most), F.ceil(F.max("_size") / rows_per_bucket))
+    at = F.percentile_approx(order, [i / most for i in range(1, most)], max(10_000, 10 * most))
+    edges = large.groupBy(*group).agg(at.alias("_all"), own.cast("int").alias("_own"))
+    some = F.transform(F.sequence(F.lit(1), F.col("_own") - 1), lambda i: F.element_at("_all", F.greatest(
+        F.lit(1), (i * most / F.col("_own")).cast("int"))))
+    edges = edges.select(*group, some.alias("_edges"))
+    return _fixed_edges(edges, most, max_groups), most - 1
+
+
+def add_buckets(df: DataFrame, group, order: str, plan: DataFrame, most: int, name: str = "_bucket") -> DataFrame:
+    """``df`` with the bucket of each row: the edges of its group below ``order`` (0 without a plan row)."""
+    keyed = plan.select(*[F.col(g).alias("_p_" + g) for g in group], "_edges")
+    j = df.join(keyed, [F.col(g).eqNullSafe(F.col("_p_" + g)) for g in group], "left").drop(*["_p_" + g for g in group])
+    bucket = F.when(F.col("_edges").isNotNull(), _edge_index_bsearch(F.col("_edges"), F.col(order), most)).otherwise(0)
+    return j.withColumn(name, bucket.cast("int")).drop("_edges")
 
 
 def _edge_index_bsearch(edges: F.Column, value: F.Column, n_edges: int) -> F.Column:
@@ -81,25 +115,20 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
         out = running_totals(df.withColumn("_g0", F.lit(0)), ["_g0"], order, measures,
                              descending=descending, buckets=buckets, prefix=prefix, lead=lead, max_groups=1)
         return out.drop("_g0")
-    nb = bucket_count(df, buckets)
+    plan, most = plan_buckets(df, group, order, ROWS_PER_BUCKET, buckets, max_groups)
     ordc = F.col(order).desc() if descending else F.col(order).asc()
-    if nb <= 1:
+    if plan is None:
         w = Window.partitionBy(*group).orderBy(ordc)
         wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(m).over(wr).alias(prefix + m) for m in measures],
                          *[F.lead(c).over(w).alias("next_" + c) for c in lead])
 
-    probs = [i / nb for i in range(1, nb)]
-    edges = df.groupBy(*group).agg(
-        F.percentile_approx(order, probs, max(10_000, 10 * nb)).alias("_edges"))
-    b = df.join(_fixed_edges(edges, nb, max_groups), on=group, how="left")
-    bucket = _edge_index_bsearch(F.col("_edges"), F.col(order), nb - 1)
+    b = add_buckets(df, group, order, plan, most)
     if descending:
-        bucket = F.lit(nb - 1) - bucket
-    b = b.withColumn("_bucket", bucket.cast("int")).drop("_edges")
+        b = b.withColumn("_bucket", -F.col("_bucket"))
 
     # Per (group, bucket): totals -> offsets of earlier buckets, and (for lead) the first row of
-    # the next non-empty bucket. Both tables have at most #groups x nb rows.
+    # the next non-empty bucket. Both tables have a row for each bucket that holds rows.
     aggs = [F.sum(m).alias("_t_" + m) for m in measures]
     if lead:
         first = (F.max_by if descending else F.min_by)(F.struct(*[F.col(c) for c in lead]), F.col(order))
@@ -111,7 +140,8 @@ def running_totals(df: DataFrame, group, order: str, measures, *, descending: bo
     if lead:
         side_cols.append(F.lead("_first").over(wb).alias("_nextfirst"))
     side = totals.select(*group, "_bucket", *side_cols)
-    b = b.join(side, on=group + ["_bucket"], how="inner")
+    side = side.select(*[F.col(c).alias("_s_" + c) for c in group + ["_bucket"]], *[c for c in side.columns if c not in group + ["_bucket"]])
+    b = b.join(side, [F.col(c).eqNullSafe(F.col("_s_" + c)) for c in group + ["_bucket"]]).drop(*["_s_" + c for c in group + ["_bucket"]])
     wi = Window.partitionBy(*group, "_bucket").orderBy(ordc)
     wir = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = b.select("*", *[(F.col("_o_" + m) + F.sum(m).over(wir)).alias(prefix + m) for m in measures],

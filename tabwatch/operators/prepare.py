@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwatch.functions.columns import as_number, clip, hash_order, hash_unit, missing
-from tabwatch.operators.quantiles import column_quantiles
+from tabwatch.operators.quantiles import column_quantiles, filled_quartiles
+from tabwatch.session import materialize
 from tabwatch.spec import SplitConfig
 
 _TWO32 = 4294967296.0
@@ -55,13 +56,13 @@ def _largest_remainder(counts: DataFrame, label: str, cnt: str, draws, out: str)
                         .cast("long")).drop("_cont", "_fl", "_rem", "_need", "_rr")
 
 
-def split_quotas(df: DataFrame, label: str, config: SplitConfig = SplitConfig()) -> DataFrame:
+def split_quotas(df: DataFrame, label: str, config: SplitConfig = SplitConfig(), counted: str | None = None) -> DataFrame:
     """Per class: q_test and q_validation, the sizes a stratified two-step split would draw.
 
     n_test = ceil(t * n) (double arithmetic); train quotas by largest remainder, test = rest.
-    Then the same on the remainder with relative size v / (1 - t).
+    Then the same on the remainder with relative size v / (1 - t). ``counted``: ``df`` has counts.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.groupBy(label).agg((F.sum(counted) if counted else F.count(F.lit(1))).alias("_c"))
     t = float(config.test_size)
     v_rel = float(config.validation_size) / (1.0 - float(config.test_size))
     n = F.sum("_c").over(Window.partitionBy())
@@ -76,9 +77,52 @@ def split_quotas(df: DataFrame, label: str, config: SplitConfig = SplitConfig())
     return c.select(label, F.col("_c").alias("class_count"), "q_test", "q_validation")
 
 
+#: Leading hash digits (hex) that the histogram of a split counts.
+SPLIT_DIGITS = 4
+
+
+def split_cuts(df: DataFrame, label: str, key, config: SplitConfig = SplitConfig()) -> DataFrame:
+    """(label, _test, _validation): in the order (md5(seed|key), key) of a class, the last row of the test
+    split and of the validation split (null: none).
+
+    A histogram of the leading hash digits, one row for each class and prefix, tells in which prefix a
+    cut lies and how far in; only the rows of those prefixes, about 1 / 65536 of a class, are ordered.
+    """
+    key = list(key)
+    h = df.select(label, *key, hash_order(config.seed, key).alias("_h")).withColumn("_p", F.substring("_h", 1, SPLIT_DIGITS))
+    counts = materialize(h.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n")))
+    quotas = split_quotas(counts, label, config, "_n")
+    upto = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = F.array(F.struct(F.lit(0).alias("cut"), F.col("q_test").alias("rank")),
+                    F.struct(F.lit(1).alias("cut"), (F.col("q_test") + F.col("q_validation")).alias("rank")))
+    wanted = quotas.select(F.col(label).alias("_l"), F.inline(ranks)).where("rank > 0")
+    placed = counts.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(wanted), F.col(label) == F.col("_l"))
+    placed = placed.where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
+    placed = placed.select("_l", F.col("_p").alias("_q"), "cut", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_in"))
+    placed = F.broadcast(materialize(placed))  # two rows a class
+    near = h.join(placed.select("_l", "_q").distinct(), (F.col(label) == F.col("_l")) & (F.col("_p") == F.col("_q")), "left_semi")
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", *key)))
+    hit = near.join(placed, (F.col(label) == F.col("_l")) & (F.col("_p") == F.col("_q")) & (F.col("_r") == F.col("_in")))
+    at = F.struct("_h", *key)
+    return hit.groupBy(label).agg(F.max(F.when(F.col("cut") == 0, at)).alias("_test"), F.max(F.when(F.col("cut") == 1, at)).alias("_validation"))
+
+
 def stratified_split(df: DataFrame, label: str, key, config: SplitConfig = SplitConfig(),
                      split_col: str = "split", buckets: int | None = None) -> DataFrame:
-    """Add ``split`` in {train, validation, test}; disjoint, complete, stratified, seeded."""
+    """Add ``split`` in {train, validation, test}; disjoint, complete, stratified, seeded.
+
+    Rows are compared with the two cuts of their class, one row a class, so they are neither shuffled nor
+    sorted. ``buckets``: rank the rows instead (E1's way), with the same result. Rows with equal keys
+    fall on one side of a cut.
+    """
+    key = list(key)
+    if buckets is None:
+        cuts = materialize(split_cuts(df, label, key, config)).withColumnRenamed(label, "_l")
+        at = F.struct(hash_order(config.seed, key).alias("_h"), *key)
+        # every class has a cut unless both of its quotas are 0: its rows are train, those without a class are left out
+        j = df.where(F.col(label).isNotNull()).join(F.broadcast(cuts), F.col(label) == F.col("_l"), "left")
+        split = (F.when(at <= F.col("_test"), F.lit("test")).when(at <= F.col("_validation"), F.lit("validation")).otherwise(F.lit("train")))
+        return j.withColumn(split_col, split).drop("_l", "_test", "_validation")
     quotas = split_quotas(df, label, config)
     ranked = class_ranks(df, label, key, config.seed, buckets)
     j = ranked.join(quotas, on=label, how="inner")
@@ -108,14 +152,6 @@ def _numbers(features) -> dict:
     return {c: as_number(c) for c in features}
 
 
-def _known(values: dict, what: str) -> dict:
-    """``values`` of each feature; a feature without any value cannot be fitted."""
-    empty = [c for c, v in values.items() if v[0] is None]
-    if empty:
-        raise ValueError(f"no value to fit {what} of: {empty}")
-    return values
-
-
 def fit_median(df: DataFrame, features) -> DataFrame:
     """(feature, median) exact, NULL / NaN skipped; NULL for a feature without values."""
     q = column_quantiles(df, _numbers(features), [0.5])
@@ -192,22 +228,21 @@ def scale(df: DataFrame, params, features=None) -> DataFrame:
 def fit_preparation(train: DataFrame, features, multiplier: float = 1.5, scaling: str = "standard") -> DataFrame:
     """C8 fit: median -> IQR bounds on imputed train -> scaler on clipped train.
 
-    Quantiles are bracketed (no shuffle of the rows); imputation only changes the quartiles of
-    features with missing values, so only those are bracketed again. The scaler moments are taken
-    about the median in one scan. Returns the params table (feature, median, q1, q3, lower, upper,
+    Quantiles are bracketed (no shuffle of the rows); the quartiles after imputation follow from the
+    values' own order, so nothing is bracketed twice. The scaler moments are taken about the median
+    in one scan: four scans in all. Returns the params table (feature, median, q1, q3, lower, upper,
     center, scale); a feature without any value raises ValueError.
     """
     if scaling not in ("standard", "minmax", "none"):
         raise ValueError(f"unknown scaling option: {scaling!r}")
     feats = list(features)
-    q = _known(column_quantiles(train, _numbers(feats), [0.25, 0.5, 0.75]), "the preparation")
-    med = {f: v[1] for f, v in q.items()}
-    filled = {f: F.coalesce(as_number(f), F.lit(med[f])) for f in feats}
-    gaps = train.agg(*[F.count_if(as_number(f).isNull()).alias(f"g{i}") for i, f in enumerate(feats)]).first()
-    again = {f: filled[f] for i, f in enumerate(feats) if gaps[f"g{i}"]}
-    q = {f: (v[0], v[2]) for f, v in q.items()}
-    if again:
-        q.update({f: tuple(v) for f, v in column_quantiles(train, again, [0.25, 0.75]).items()})
+    found = filled_quartiles(train, _numbers(feats))
+    empty = [f for f in feats if found[f] is None]
+    if empty:
+        raise ValueError(f"no value to fit the preparation of: {empty}")
+    med = {f: found[f][0] for f in feats}
+    q = {f: found[f][1:] for f in feats}
+    filled = {f: F.coalesce(F.col(f), F.lit(med[f])) for f in feats}
     lower = {f: q1 - multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
     upper = {f: q3 + multiplier * (q3 - q1) for f, (q1, q3) in q.items()}
     aggs = [F.count("*").alias("n")]
@@ -215,7 +250,7 @@ def fit_preparation(train: DataFrame, features, multiplier: float = 1.5, scaling
         v = clip(filled[f], F.lit(lower[f]), F.lit(upper[f]))
         d = v - F.lit(med[f])  # about the median, which keeps the variance well conditioned
         aggs += [F.sum(d).alias(f"s{i}"), F.sum(d * d).alias(f"t{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    m = train.agg(*aggs).first()
+    m = train.select(*[as_number(f).alias(f) for f in feats]).agg(*aggs).first()
     m1 = {f: {"lo": m[f"lo{i}"], "hi": m[f"hi{i}"]} for i, f in enumerate(feats)}
     mean = {f: med[f] + m[f"s{i}"] / m["n"] for i, f in enumerate(feats)}
     var = {f: max(m[f"t{i}"] / m["n"] - (m[f"s{i}"] / m["n"]) ** 2, 0.0) for i, f in enumerate(feats)}

@@ -22,6 +22,11 @@ def _inline(row: DataFrame, key_name: str, items) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
+def numbers(df: DataFrame, features) -> DataFrame:
+    """The features as double, NaN as NULL: guarded once, below the aggregates that read them."""
+    return df.select(*[as_number(c).alias(c) for c in features])
+
+
 def profile_shape(df: DataFrame) -> DataFrame:
     """(rows, columns)."""
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)).cast("long"))
@@ -67,10 +72,10 @@ def describe_numeric(df: DataFrame, features) -> DataFrame:
     """D3: per feature count, mean, std (sample), min, q25, q50, q75, max."""
     aggs = []
     for i, c in enumerate(features):
-        x = as_number(c)
+        x = F.col(c)
         aggs += [F.count(x).alias(f"_c{i}"), F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
                  F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    stats = _inline(df.agg(*aggs), "feature", [
+    stats = _inline(numbers(df, features).agg(*aggs), "feature", [
         (c, {"count": F.col(f"_c{i}"), "mean": F.col(f"_m{i}"), "std": F.col(f"_s{i}"),
              "min": F.col(f"_lo{i}"), "max": F.col(f"_hi{i}")}) for i, c in enumerate(features)])
     q = df.sparkSession.createDataFrame(
@@ -82,8 +87,7 @@ def describe_numeric(df: DataFrame, features) -> DataFrame:
 
 def min_max(df: DataFrame, features) -> DataFrame:
     """(feature, min, max) from one wide pass."""
-    row = df.agg(*[x for i, c in enumerate(features) for x in (
-        F.min(as_number(c)).alias(f"_lo{i}"), F.max(as_number(c)).alias(f"_hi{i}"))])
+    row = numbers(df, features).agg(*[x for i, c in enumerate(features) for x in (F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"))])
     return _inline(row, "feature", [(c, {"min": F.col(f"_lo{i}"), "max": F.col(f"_hi{i}")})
                                     for i, c in enumerate(features)])
 
@@ -122,8 +126,8 @@ def correlation_matrix(df: DataFrame, features) -> DataFrame:
         for j, b in enumerate(feats):
             if j < i:
                 continue
-            aggs.append(_pair_corr(as_number(a), as_number(b)).alias(f"_r{i}_{j}"))
-    row = df.agg(*aggs)
+            aggs.append(_pair_corr(F.col(a), F.col(b)).alias(f"_r{i}_{j}"))
+    row = numbers(df, feats).agg(*aggs)
     for i, a in enumerate(feats):
         for j, b in enumerate(feats):
             name = f"_r{min(i, j)}_{max(i, j)}"
@@ -134,8 +138,7 @@ def correlation_matrix(df: DataFrame, features) -> DataFrame:
 
 def target_correlation(df: DataFrame, features, target: str) -> DataFrame:
     """(feature, corr) with the target, descending."""
-    row = df.agg(*[_pair_corr(as_number(c), as_number(target)).alias(f"_r{i}")
-                   for i, c in enumerate(features)])
+    row = numbers(df, dict.fromkeys([*features, target])).agg(*[_pair_corr(F.col(c), F.col(target)).alias(f"_r{i}") for i, c in enumerate(features)])
     return _inline(row, "feature", [(c, {"corr": F.col(f"_r{i}")}) for i, c in enumerate(features)]
                    ).orderBy(F.desc_nulls_last("corr"), "feature")
 
@@ -150,8 +153,8 @@ def _fences(df: DataFrame, features, multiplier: float) -> dict:
 def outlier_counts(df: DataFrame, features, multiplier: float = 1.5) -> DataFrame:
     """(feature, lower, upper, outliers, outlier_percent) descending by outliers."""
     b = _fences(df, features, multiplier)
-    row = df.agg(F.count("*").alias("rows"), *[
-        F.count_if((as_number(c) < f["lower"]) | (as_number(c) > f["upper"])).alias(f"o{i}") for i, (c, f) in enumerate(b.items())]).first()
+    row = numbers(df, b).agg(F.count("*").alias("rows"), *[
+        F.count_if((F.col(c) < f["lower"]) | (F.col(c) > f["upper"])).alias(f"o{i}") for i, (c, f) in enumerate(b.items())]).first()
     out = [(c, f["lower"], f["upper"], row[f"o{i}"], row[f"o{i}"] * 100.0 / row["rows"]) for i, (c, f) in enumerate(b.items())]
     res = df.sparkSession.createDataFrame(
         out, "feature string, lower double, upper double, outliers long, outlier_percent double")
@@ -162,10 +165,10 @@ def boxplot_stats(df: DataFrame, features, multiplier: float = 1.5) -> DataFrame
     """Quartiles, whiskers (furthest data point inside the fences) and flier count."""
     b, aggs = _fences(df, features, multiplier), [F.count("*").alias("rows")]
     for i, (c, f) in enumerate(b.items()):
-        v = as_number(c)
+        v = F.col(c)
         inside = (v >= f["lower"]) & (v <= f["upper"])
         aggs += [F.min(F.when(inside, v)).alias(f"lo{i}"), F.max(F.when(inside, v)).alias(f"hi{i}"), F.count_if(~inside).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
+    row = numbers(df, b).agg(*aggs).first()
     out = [(c, f["q1"], f["median"], f["q3"], row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"]) for i, (c, f) in enumerate(b.items())]
     return df.sparkSession.createDataFrame(
         out, "feature string, q1 double, median double, q3 double, whisker_low double, whisker_high double, "

@@ -1,48 +1,44 @@
-"""Exact quantiles of whole columns by bracketing: no sort, no shuffle of the rows.
+"""Exact order statistics of whole columns by bracketing: no sort, no shuffle of the rows.
 
-1. One scan gives counts and, from mergeable sketches, a bracket around each wanted rank.
+1. One scan gives counts and one mergeable sketch a column; the sketch brackets every wanted rank.
 2. One scan counts the rows below and inside each bracket, which proves it (a bracket that
    misses its rank is opened wider; one with more than ``MOST`` rows is bracketed again inside).
-3. One scan filters the rows inside, counts their distinct values and returns those.
+3. One scan filters the rows inside, counts their distinct values and finds the ranks among those.
 
 Every scan is a plain aggregate over the columns, the same at any size; what reaches the driver
-is at most ``MOST`` values for each column and probability.
+is one sketch a column and at most two values for each wanted place.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rank error of a sketch is 1 / ACCURACY of the rows.
-ACCURACY = 10_000
+#: Size of a sketch, and how far off its ranks are, as a share of the rows (a miss is noticed).
+SKETCH = 4096
+ERROR = 0.0015
 MOST = 100_000
 INF = float("inf")
 
 
-def _bracket_exprs(keys, x, within):
-    """Sketches at both ends of each (key, low place, high place) among all rows, or those ``within``."""
-    out = []
-    for key, lo, hi in keys:
-        rows = F.when(within(key), x(key)) if within else x(key)
-        out.append(F.percentile_approx(rows, [max(0.0, lo), min(1.0, hi)], ACCURACY).alias(f"b{len(out)}"))
-    return out
-
+def order_statistics(df: DataFrame, columns: dict[str, Column], wanted: Callable[[str, int, int], list[tuple[int, int]]]):
+    """Values at given ranks (from 0) of each column, NULL and NaN left out.
 
-def column_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of each column (NULL and NaN left out; all missing: None)."""
-    names, probs = list(columns), [float(p) for p in probs]
+    ``wanted`` is told a column's name, its values and its missing values, and gives pairs of ranks
+    (equal or next to each other). Returns {name: {rank: value}}, {name: (values, missing)}.
+    """
+    names = list(columns)
     base = df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(f"c{i}") for i, c in enumerate(columns.values())])
     x = lambda key: F.col(f"c{key[0]}")
-    error = 2.0 / ACCURACY
-    keys = [(i, p) for i in range(len(names)) for p in probs]
-    first = base.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))],
-                     *_bracket_exprs([(k, k[1] - error, k[1] + error) for k in keys], x, None)).first()
+    first = base.agg(F.count("*").alias("rows"), *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))],
+                     *[F.kll_sketch_agg_double(f"c{i}", F.lit(SKETCH)).alias(f"s{i}") for i in range(len(names))]).first()
     n = {i: first[f"n{i}"] for i in range(len(names))}
-    rank = {(i, p): (math.floor((n[i] - 1) * p), math.ceil((n[i] - 1) * p)) for i, p in keys}
-    todo = {k: _open(first[f"b{j}"], k[1], error) for j, k in enumerate(keys) if n[k[0]]}
+    sizes = {name: (n[i], first["rows"] - n[i]) for i, name in enumerate(names)}
+    keys = sorted({(i, lo, hi) for i, name in enumerate(names) if n[i] for lo, hi in wanted(name, *sizes[name])})
+    todo = _brackets(df, [(k, first[f"s{k[0]}"], k[1] / n[k[0]] - ERROR, (k[2] + 1) / n[k[0]] + ERROR) for k in keys])
     inside = lambda k, b: (x(k) >= b[0]) & (x(k) <= b[1])
     done: dict[tuple, tuple] = {}  # key -> bracket, rows below it
     proven: dict[tuple, tuple] = {}  # key -> the last bracket that held its ranks, rows below and inside, next error
@@ -53,44 +49,101 @@ def column_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[s
         todo, narrow = {}, []
         for j, (k, b) in enumerate(own):
             below, held = row[f"l{j}"], row[f"i{j}"]
-            if below > rank[k][0] or below + held <= rank[k][1]:
+            if below > k[1] or below + held <= k[2]:
                 if k not in proven:
                     todo[k] = (-INF, INF)
                     continue
                 last, below, held, wide = proven[k]  # narrowed too far: again, wider
                 proven[k] = (last, below, held, 4 * wide)
             else:
-                proven[k] = (b, below, held, error)
+                proven[k] = (b, below, held, ERROR)
             b, below, held, wide = proven[k]
             if held > MOST and b[0] < b[1] and wide < 1:
-                narrow.append((k, (rank[k][0] - below) / held - wide, (rank[k][1] + 1 - below) / held + wide))
+                narrow.append((k, (k[1] - below) / held - wide, (k[2] + 1 - below) / held + wide))
             else:
                 done[k] = (b, below)
         if narrow:
-            row = base.agg(*_bracket_exprs(narrow, x, lambda key: inside(key, proven[key][0]))).first()
-            for j, (k, _, _) in enumerate(narrow):
-                if tuple(row[f"b{j}"]) == tuple(proven[k][0]):  # nothing but ties left
+            row = base.agg(*[F.kll_sketch_agg_double(F.when(inside(k, proven[k][0]), x(k)), F.lit(SKETCH)).alias(f"s{j}")
+                             for j, (k, _, _) in enumerate(narrow)]).first()
+            for k, b in _brackets(df, [(k, row[f"s{j}"], lo, hi) for j, (k, lo, hi) in enumerate(narrow)], proven).items():
+                if b == tuple(proven[k][0]):  # nothing but ties left
                     done[k] = proven[k][:2]
                 else:
-                    todo[k] = tuple(row[f"b{j}"])
-    values: dict[tuple, list] = {k: [] for k in done}
+                    todo[k] = b
+    values: dict[str, dict[int, float]] = {name: {} for name in names}
     if done:
         own = list(done.items())
         near = base.where(_any([inside(k, b) for k, (b, _) in own]))
         found = near.select(F.inline(F.array_compact(F.array(*[
             F.when(inside(k, b), F.struct(F.lit(j).alias("key"), x(k).alias("value"))) for j, (k, (b, _)) in enumerate(own)]))))
-        for r in found.groupBy("key", "value").agg(F.count("*").alias("n")).collect():
-            values[own[r["key"]][0]].append((r["value"], r["n"]))
-    out = {name: [None] * len(probs) for name in names}
-    for (i, p), own in values.items():
-        lo, hi = (_at(sorted(own), r - done[i, p][1]) for r in rank[i, p])
-        frac = (n[i] - 1) * p - rank[i, p][0]
-        out[names[i]][probs.index(p)] = lo if lo == hi else lo + frac * (hi - lo)
+        counted = found.groupBy("key", "value").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("key").orderBy("value"))  # at most MOST values a key, or ties
+        place = F.element_at(F.array(*[F.array(F.lit(k[1] - below), F.lit(k[2] - below)) for k, (_, below) in own]), F.col("key") + 1)
+        hit = F.exists(place, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+        for r in counted.withColumn("upto", upto).where(hit).collect():
+            k, (_, below) = own[r["key"]]
+            for rank in k[1:]:
+                if r["upto"] - r["n"] <= rank - below < r["upto"]:
+                    values[names[k[0]]][rank] = r["value"]
+    return values, sizes
+
+
+def between(values: dict[int, float], place: float) -> float:
+    """The value at a place between two ranks, by linear interpolation."""
+    lo, hi = values[math.floor(place)], values[math.ceil(place)]
+    return lo if lo == hi else lo + (place - math.floor(place)) * (hi - lo)
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles of each column (NULL and NaN left out; all missing: None)."""
+    probs = [float(p) for p in probs]
+    places = lambda n: [(n - 1) * p for p in probs]
+    values, sizes = order_statistics(df, columns, lambda _, n, __: [(math.floor(x), math.ceil(x)) for x in places(n)])
+    return {name: [between(values[name], x) for x in places(n)] if n else [None] * len(probs) for name, (n, _) in sizes.items()}
+
+
+def filled_quartiles(df: DataFrame, columns: dict[str, Column]) -> dict[str, tuple | None]:
+    """(median, q1, q3) of each column, the quartiles as if its missing values held the median.
+
+    With g copies of the median merged in, the value at rank k is the middle one of the values at
+    k and k - g of the column and the median, so nothing is scanned again. No values: None.
+    """
+    def ranks(n: int, gaps: int) -> list[int]:
+        last = n + gaps - 1
+        return [r for p in (0.25, 0.75) for r in (math.floor(last * p), math.ceil(last * p))]
+
+    def wanted(_, n: int, gaps: int) -> list[tuple[int, int]]:
+        middle = (math.floor((n - 1) / 2), math.ceil((n - 1) / 2))
+        own = {k for r in ranks(n, gaps) for k in (r, r - gaps) if 0 <= k < n}
+        return [middle, *((k, k) for k in own)]
+
+    values, sizes = order_statistics(df, columns, wanted)
+    out: dict[str, tuple | None] = {}
+    for name, (n, gaps) in sizes.items():
+        if not n:
+            out[name] = None
+            continue
+        own, middle = values[name], between(values[name], (n - 1) / 2)
+        merged = {r: max(min(own.get(r, INF), middle), own.get(r - gaps, -INF)) for r in ranks(n, gaps)} if gaps else own
+        out[name] = (middle, between(merged, 0.25 * (n + gaps - 1)), between(merged, 0.75 * (n + gaps - 1)))
     return out
 
 
-def _open(bracket, place: float, error: float) -> tuple[float, float]:
-    return (-INF if place <= error else bracket[0], INF if place >= 1 - error else bracket[1])
+def _brackets(df: DataFrame, asked: list[tuple], held: dict | None = None) -> dict[tuple, tuple]:
+    """(key, sketch, low place, high place) -> key: bracket, open where a place is at an end (within
+    the bracket that ``held`` has)."""
+    if not asked:
+        return {}
+    sketches = list({id(s): s for _, s, _, _ in asked}.values())
+    at = {id(s): f"s{i}" for i, s in enumerate(sketches)}
+    one = df.sparkSession.range(1).select(*[F.lit(bytearray(s)).alias(f"s{i}") for i, s in enumerate(sketches)])
+    ends = one.select(*[F.kll_sketch_get_quantile_double(at[id(s)], F.lit(float(min(max(p, 0.0), 1.0)))).alias(f"q{2 * j + e}")
+                        for j, (_, s, *places) in enumerate(asked) for e, p in enumerate(places)]).first()
+    out = {}
+    for j, (key, _, lo, hi) in enumerate(asked):
+        least, most = held[key][0] if held else (-INF, INF)
+        out[key] = (least if lo <= 0 else ends[2 * j], most if hi >= 1 else ends[2 * j + 1])
+    return out
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -98,11 +151,3 @@ def _any(conditions: list[Column]) -> Column:
     for c in conditions[1:]:
         out = out | c
     return out
-
-
-def _at(counted: list[tuple[float, int]], rank: int) -> float:
-    for value, n in counted:
-        if rank < n:
-            return value
-        rank -= n
-    raise AssertionError("the bracket does not hold its rank")

@@ -77,8 +77,9 @@ def q_prediction_counts(spark, sf):
 
 @register("request_rate", f"""
 WITH ps AS (SELECT {_STEP} AS step, count(*) AS requests FROM {LOG_SQL} GROUP BY 1),
-ex AS (SELECT step + 15 * j AS t, requests FROM ps, range(0, 20) r(j))
-SELECT {_ts('t')} AS t, round(sum(requests) / 300.0, 6) AS request_rate FROM ex GROUP BY t""")
+ex AS (SELECT step + 15 * j AS t, requests FROM ps, range(0, 20) r(j)),
+grid AS (SELECT unnest(generate_series(min(t), max(t), 15)) AS t FROM ex)
+SELECT {_ts('t')} AS t, round(coalesce(sum(requests), 0) / 300.0, 6) AS request_rate FROM grid LEFT JOIN ex USING (t) GROUP BY t""")
 def q_request_rate(spark, sf):
     r = J.request_rate(request_log(spark, sf))
     return r.select("t", r6("request_rate").alias("request_rate"))
@@ -106,11 +107,12 @@ def q_counter_increase(spark, sf):
     return J.counter_increase(counter_samples(spark, sf))
 
 
-_ERR_SQL = f"""(SELECT {_ts('t')} AS t, sum(requests) / 300.0 AS request_rate, sum(errors) / 300.0 AS error_rate,
-  (sum(errors) / 300.0) / greatest(sum(requests) / 300.0, 0.001) AS error_ratio
-FROM (SELECT step + 15 * j AS t, requests, errors FROM
+_ERR_SQL = f"""(WITH ex AS (SELECT step + 15 * j AS t, requests, errors FROM
       (SELECT {_STEP} AS step, count(*) AS requests, count(*) FILTER (WHERE status_code >= 500) AS errors
-       FROM {LOG_SQL} GROUP BY 1), range(0, 20) r(j)) GROUP BY t)"""
+       FROM {LOG_SQL} GROUP BY 1), range(0, 20) r(j)),
+  grid AS (SELECT unnest(generate_series(min(t), max(t), 15)) AS t FROM ex),
+  w AS (SELECT t, coalesce(sum(requests), 0) / 300.0 AS requests, coalesce(sum(errors), 0) / 300.0 AS errors FROM grid LEFT JOIN ex USING (t) GROUP BY t)
+SELECT {_ts('t')} AS t, requests AS request_rate, errors AS error_rate, errors / greatest(requests, 0.001) AS error_ratio FROM w)"""
 
 
 @register("error_ratio", f"""

@@ -29,7 +29,7 @@ def test_small_columns(spark, values):
 @pytest.mark.parametrize("most", [Q.MOST, 5, 60])
 def test_brackets_are_narrowed_until_they_are_small(spark, monkeypatch, most):
     monkeypatch.setattr(Q, "MOST", most)
-    monkeypatch.setattr(Q, "ACCURACY", 50)
+    monkeypatch.setattr(Q, "SKETCH", 16)
     rng = np.random.default_rng(0)
     check(spark, rng.normal(size=4000).tolist())
     check(spark, np.concatenate([np.full(3000, 2.0), rng.normal(size=900), np.full(100, -7.0)]).tolist())

@@ -203,6 +203,38 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, scores: s
     return _one_row_join(summ.drop("n"), auc)
 
 
+def evaluate_split(pred: DataFrame, actual: str, predicted: str, scores: str, labels, names=None) -> DataFrame:
+    """The whole report of a model on a split, as (section, key, class, x, value) rows.
+
+    Sections: confusion_matrix (key actual|predicted), precision / recall / f1 / support (key: a label's
+    name, accuracy, macro avg or weighted avg), roc_curve (class, x = false-positive rate, value = true-
+    positive rate, key = threshold), roc_auc (class) and metrics (G10). ``pred`` is scored once: it is
+    written to the shared folder and every section reads that.
+    """
+    none = F.lit(None).cast("double")
+    pred = materialize(pred.select(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), F.col(scores).alias("scores")))
+
+    def rows(df: DataFrame, section, key, value, cls=none, x=none) -> DataFrame:
+        section = F.lit(section) if isinstance(section, str) else section
+        return df.select(section.alias("section"), key.cast("string").alias("key"), cls.cast("int").alias("class"),
+                         x.cast("double").alias("x"), value.cast("double").alias("value"))
+
+    cm = confusion_matrix(pred, "actual", "predicted", labels)
+    report = classification_report(pred, "actual", "predicted", labels, names)
+    parts = ("precision", "recall", "f1", "support")
+    long = report.select("row", F.inline(F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).cast("double").alias("value")) for c in parts])))
+    ovr = one_vs_rest(pred, "actual", "scores", labels)
+    roc = roc_curve(ovr, max_groups=len(labels))
+    auc = roc_auc_per_class(ovr, max_groups=len(labels))
+    met = classification_metrics(pred, "actual", "predicted", "scores", labels)
+    met = met.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c, t in met.dtypes if t == "double"])))
+    out = rows(cm, "confusion_matrix", F.concat_ws("|", "actual", "predicted"), F.col("count"))
+    out = out.unionByName(rows(long, F.col("section"), F.col("row"), F.col("value")))
+    out = out.unionByName(rows(roc, "roc_curve", F.col("threshold"), F.col("tpr"), F.col("class"), F.col("fpr")))
+    out = out.unionByName(rows(auc, "roc_auc", F.col("class"), F.col("auc"), F.col("class")))
+    return out.unionByName(rows(met, "metrics", F.col("key"), F.col("value")))
+
+
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Join two one-row frames on a constant key (both sides are single aggregate rows)."""
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -1,26 +1,27 @@
 """Model training and selection with Spark ML.
 
 Families: multinomial logistic regression, decision tree, random forest, boosted trees
-(one-vs-rest over binary GBT, since Spark GBT is binary). Cross-validation uses
-``CrossValidator`` with an explicit stratified ``foldCol`` (E1) and a macro-F1 evaluator
-computed from confusion counts (one small aggregation per fold and candidate).
+(one-vs-rest over binary GBT, since Spark GBT is binary). Cross-validation runs over an explicit
+stratified fold column (E1): a chunk of candidates is fitted on every fold, all its models score
+the rows in one pass, and one grouped evaluation gives the five scores of all.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+                                       OneVsRestModel, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.operators.evaluate import confusion_counts
+from tabwatch.operators.evaluate import classification_metrics, confusion_counts
 from tabwatch.session import materialize
 
 # Hyper-parameter grids (fixed values). None depth = unlimited (mapped to Spark's maximum 30).
@@ -58,8 +59,8 @@ def grid_candidates(family: str, size: str = "fast") -> list[dict]:
 
 def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """Class weight n / (k * n_c) joined onto every row (k = number of classes present)."""
+    df = df.drop(weight_col)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    from pyspark.sql import Window
     w = Window.partitionBy()
     weights = counts.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(weight_col))
     return df.join(weights, label, "left")
@@ -146,87 +147,137 @@ class MacroF1Evaluator(Evaluator):
 
 
 CV_METRICS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "roc_auc_ovr_weighted")
+#: Models that are fitted, scored and let go together.
+TOGETHER = 12
+SCORES = "fit int, fold int, part string, " + ", ".join(f"{m} double" for m in CV_METRICS)
+
+
+def distinct_fits(family: str, candidates: list[dict]) -> tuple[list[dict], list[int]]:
+    """Candidates that make the same estimator (an option Spark does not have) share one fit:
+    the parameters of each fit, and the fit of each candidate."""
+    first, fits, fit_of = {}, [], []
+    for c in candidates:
+        e = make_estimator(family, c, n_rows=1)
+        own = e.getClassifier() if isinstance(e, OneVsRest) else e
+        key = repr(sorted((p.name, v) for p, v in own.extractParamMap().items()))
+        if key not in first:
+            first[key] = len(fits)
+            fits.append(c)
+        fit_of.append(first[key])
+    return fits, fit_of
+
+
+def fit_one(df: DataFrame, family: str, params: dict, n_rows: int, label: str = "label", features: str = "features",
+            weight_col: str = "weight", seed: int = 42):
+    """One fitted model of a family."""
+    return make_estimator(family, params, label, features, n_rows, seed, weight_col).fit(df)
+
+
+def score_models(df: DataFrame, models: list, keep, features: str = "features") -> DataFrame:
+    """(keep..., model, prediction, proba) of every row under every model, from one pass over the rows:
+    the models are columns of one projection, then one row each."""
+    rows, cells = df, []
+    for i, m in enumerate(models):
+        members = m.models if isinstance(m, OneVsRestModel) else [m]
+        for k, member in enumerate(members):
+            own = member.copy()
+            own.setFeaturesCol(features)
+            own.setPredictionCol("")
+            own.setProbabilityCol("" if len(members) > 1 else f"_q{i}")
+            own.setRawPredictionCol(f"_r{i}_{k}" if len(members) > 1 else "")
+            rows = own.transform(rows)
+        if len(members) > 1:  # one-vs-rest: the members' sigmoids, normalised
+            sig = [1.0 / (1.0 + F.exp(-2.0 * vector_to_array(f"_r{i}_{k}")[1])) for k in range(len(members))]
+            rows = rows.withColumn(f"_s{i}", F.array(*sig))
+            total = functools.reduce(lambda a, b: a + b, [F.col(f"_s{i}")[k] for k in range(len(members))])
+            proba = F.array(*[F.col(f"_s{i}")[k] / total for k in range(len(members))])
+        else:
+            proba = vector_to_array(f"_q{i}")
+        rows = rows.withColumn(f"_p{i}", proba)
+        best = (F.array_position(f"_p{i}", F.array_max(f"_p{i}")) - 1).cast("double")  # the first of the largest
+        cells.append(F.struct(F.lit(i).alias("model"), best.alias("prediction"), F.col(f"_p{i}").alias("proba")))
+    return rows.select(*keep, F.inline(F.array(*cells)))
+
+
+def cv_scores(df: DataFrame, family: str, fits: dict[int, dict], folds: int, labels, label: str = "label", features: str = "features",
+              fold_col: str = "fold", parallelism: int = 4, seed: int = 42) -> DataFrame:
+    """(fit, fold, part, five scores) of some candidates' fits on every fold: written results, no model is kept.
+
+    A fold's fit sees its training folds only: class weights and the penalty follow from their
+    counts. All models of all folds score the rows in one pass; the scores of all are one grouped
+    evaluation by (model, part).
+    """
+    jobs, parts = [], []
+    for f in range(folds):
+        train = balanced_weights(df.where(F.col(fold_col) != f), label).persist()
+        n = train.count()
+        parts.append(train)
+        jobs += [(i, f, train, params, n) for i, params in fits.items()]
+    try:
+        with ThreadPool(parallelism) as pool:
+            models = pool.map(lambda j: fit_one(j[2], family, j[3], j[4], label, features, seed=seed), jobs)
+    finally:
+        for p in parts:
+            p.unpersist()
+    own = [fold for _, fold, _, _, _ in jobs]
+    scored = score_models(df, models, [label, fold_col], features)
+    test = F.element_at(F.array(*[F.lit(f) for f in own]), F.col("model") + 1) == F.col(fold_col)
+    scored = scored.select(F.col("model").alias("_model"), F.when(test, "test").otherwise("train").alias("part"), label, "prediction", "proba")
+    scored = scored.persist()
+    try:
+        met = classification_metrics(scored, label, "prediction", "proba", labels, by=["_model", "part"]).collect()  # two rows a model
+    finally:
+        scored.unpersist()
+    rows = [(jobs[r["_model"]][0], jobs[r["_model"]][1], r["part"], *[r[m] for m in CV_METRICS]) for r in met]
+    return df.sparkSession.createDataFrame(rows, SCORES)
+
+
+def summarise_scores(scores: DataFrame, candidates: list[dict], fit_of: list[int]) -> DataFrame:
+    """(candidate, params, mean_/std_{test,train}_<score>, rank_test_f1_macro): one row a candidate, min rank on ties."""
+    from tabwatch.operators.registry import rank_candidates
+
+    means = scores.groupBy("fit").agg(*[
+        f(F.when(F.col("part") == part, F.col(m))).alias(f"{name}_{part}_{m}")
+        for part in ("test", "train") for name, f in (("mean", F.avg), ("std", F.stddev_pop)) for m in CV_METRICS])
+    names = df_of(scores.sparkSession, [(i, str(c), k) for i, (c, k) in enumerate(zip(candidates, fit_of))], "candidate int, params string, fit int")
+    return rank_candidates(names.join(means, "fit").drop("fit"), "mean_test_f1_macro", rank_col="rank_test_f1_macro", buckets=1)
+
+
+def df_of(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def best_candidate(results: DataFrame) -> int:
+    """The first of the candidates with the highest mean macro-F1 on the test folds."""
+    return results.orderBy("rank_test_f1_macro", "candidate").first()["candidate"]
 
 
 def cross_validate(df: DataFrame, family: str, candidates: list[dict], label: str = "label",
                    features: str = "features", fold_col: str = "fold", parallelism: int = 4, seed: int = 42,
-                   weight_col: str = "weight", labels=None, all_scores: bool = False):
+                   labels=None, all_scores: bool = False):
     """CV over the candidates with the given folds (E1); refit the best mean macro-F1 on all rows.
 
-    Returns (best_model, results). results: one row per candidate with ``params``,
-    ``mean_test_f1_macro`` and ``rank_test_f1_macro`` (min rank on ties); with ``all_scores``
-    also mean / std of the five scores on the test and on the training folds, computed from the
-    per-fold sub-models in one grouped evaluation a fold.
+    Returns (best_model, results). results: one row per candidate with ``params``, ``mean_test_f1_macro``
+    and ``rank_test_f1_macro`` (min rank on ties); with ``all_scores`` mean / std of the five scores on
+    the test and on the training folds.
     """
-    # Every fold fit and every score re-reads the training frame: its plan is cut (else each sub-model's
-    # scores would carry all of it) and its rows are kept for the duration of the CV.
+    # every fit and every score reads the training frame: its plan is cut, its rows are kept meanwhile
     df = materialize(df).persist()
     try:
-        n = df.count()
-        # candidates that make the same estimator (an option Spark does not have) share one fit and its scores
-        first, ests, fit_of = {}, [], []
-        for c in candidates:
-            e = make_estimator(family, c, label, features, n, seed, weight_col)
-            own = e.getClassifier() if isinstance(e, OneVsRest) else e
-            k = first.setdefault(repr(sorted((p.name, v) for p, v in own.extractParamMap().items())), len(first))
-            fit_of.append(k)
-            if k == len(ests):
-                ests.append(e)
-        base = ests[0]
-        if isinstance(base, OneVsRest):
-            maps = [{base.classifier: e.getClassifier()} for e in ests]
-        else:
-            maps = [{base.getParam(p.name): v for p, v in e.extractParamMap().items()} for e in ests]
-        cv = CrossValidator(estimator=base, estimatorParamMaps=maps,
-                            evaluator=MacroF1Evaluator(label, "prediction"), foldCol=fold_col,
-                            parallelism=parallelism, seed=seed, collectSubModels=all_scores)
-        model = cv.fit(df)
-        spark = df.sparkSession
-        rows = [(i, str(c), k, float(model.avgMetrics[k])) for i, (c, k) in enumerate(zip(candidates, fit_of))]
-        res = spark.createDataFrame(rows, "candidate int, params string, _fit int, mean_test_f1_macro double")
-        if all_scores:
-            labels = labels if labels is not None else sorted(
-                r[0] for r in df.select(label).distinct().collect())  # the class list (small)
-            scores = cv_fold_scores(df, model.subModels, label, fold_col, labels).withColumnRenamed("candidate", "_fit")
-            res = res.drop("mean_test_f1_macro").join(scores, "_fit", "left")
-        res = res.drop("_fit")
+        folds = df.agg(F.max(fold_col)).first()[0] + 1
+        labels = labels if labels is not None else sorted(r[0] for r in df.select(label).distinct().collect())  # the class list (small)
+        fits, fit_of = distinct_fits(family, candidates)
+        rows = []
+        for at in range(0, len(fits), TOGETHER):
+            own = dict(list(enumerate(fits))[at:at + TOGETHER])
+            rows += cv_scores(df, family, own, folds, labels, label, features, fold_col, parallelism, seed).collect()
+        res = summarise_scores(df_of(df.sparkSession, rows, SCORES), candidates, fit_of)
+        if not all_scores:
+            res = res.select("candidate", "params", "mean_test_f1_macro", "rank_test_f1_macro")
+        model = fit_one(balanced_weights(df, label), family, candidates[best_candidate(res)], df.count(), label, features, seed=seed)
     finally:
         df.unpersist()
-    from tabwatch.operators.registry import rank_candidates
-    res = rank_candidates(res, "mean_test_f1_macro", rank_col="rank_test_f1_macro", buckets=1)
-    return model.bestModel, res
-
-
-def cv_fold_scores(df: DataFrame, sub_models, label: str, fold_col: str, labels) -> DataFrame:
-    """mean_/std_{test,train}_<metric> per candidate from every (fold, candidate) sub-model."""
-    from functools import reduce
-
-    from tabwatch.operators.evaluate import classification_metrics
-
-    rows, schema = [], None
-    for f, models in enumerate(sub_models):  # one fold's predictions are held at a time
-        parts = []
-        for i, m in enumerate(models):
-            # one transform per sub-model; its own fold is the test part, the others the train part
-            pred = predict_with_proba(m, df)
-            part = F.when(F.col(fold_col) == f, F.lit("test")).otherwise(F.lit("train"))
-            parts.append(pred.select(F.lit(i).alias("candidate"), F.lit(f).alias("fold"), part.alias("part"),
-                                     label, "prediction", "proba"))
-        preds = reduce(lambda a, b: a.unionByName(b), parts).persist()
-        try:
-            met = classification_metrics(preds, label, "prediction", "proba", labels, by=["candidate", "fold", "part"])
-            rows, schema = rows + met.collect(), met.schema  # candidates x 2 rows
-        finally:
-            preds.unpersist()
-    met = df.sparkSession.createDataFrame(rows, schema)
-    long = met.select("candidate", "part", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in CV_METRICS])))
-    g = long.groupBy("candidate").pivot("part", ["test", "train"]).agg(
-        *[F.avg(F.when(F.col("metric") == k, F.col("value"))).alias(f"mean_{k}") for k in CV_METRICS],
-        *[F.stddev_pop(F.when(F.col("metric") == k, F.col("value"))).alias(f"std_{k}") for k in CV_METRICS])
-    # pivot names are "<part>_<alias>": rename to sklearn-style mean_test_f1_macro etc.
-    renames = {f"{p}_{s}_{k}": f"{s}_{p}_{k}" for p in ("test", "train") for s in ("mean", "std") for k in CV_METRICS}
-    return g.withColumnsRenamed(renames)
+    return model, res
 
 
 def training_summary(name: str, f1: float, run_id: str, path: str) -> dict:

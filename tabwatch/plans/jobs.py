@@ -1,17 +1,23 @@
-"""Composed jobs: the preparation run (C11) and the daily monitoring run."""
+"""Composed jobs: the preparation run (C11), training and selection (E2-E14) and the daily monitoring run."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwatch.functions.columns import hash_order
 from tabwatch.operators import clean as B
+from tabwatch.operators import evaluate as G
 from tabwatch.operators import monitor as M
 from tabwatch.operators import prepare as P
+from tabwatch.operators import registry as R
+from tabwatch.operators import train as TR
 from tabwatch.session import materialize
 from tabwatch.sources import files as A
 from tabwatch.spec import DEFAULT_LABEL_RULES, DriftConfig, PerformanceConfig, PreparationConfig
@@ -92,3 +98,125 @@ def daily_monitoring(reference: DataFrame, events: DataFrame, features, asof, ru
     return runs.withColumn("_k", F.lit(1)).join(decision.select(
         F.col("retraining_required").alias("decision_retraining_required"),
         F.col("reason").alias("decision_reason")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+FAMILIES = ("logistic_regression", "decision_tree", "random_forest", "boosted_trees")
+CANDIDATE_SCORES = "family string, params string, " + TR.SCORES
+REPORT_ROWS = "run_id string, split string, section string, key string, class int, x double, value double"
+RUN_METRICS = "run_id string, metric string, value double"
+RUN_PARAMS = "run_id string, param string, value string"
+
+
+def run_id_of(name: str, family: str, grid: str, folds: int, seed: int) -> str:
+    """The same run has the same id, so a resumed job goes on with its own rows."""
+    return hashlib.md5(f"{name}|{family}|{grid}|{folds}|{seed}".encode()).hexdigest()
+
+
+def cross_validate_resumed(train: DataFrame, family: str, candidates: list[dict], out_dir: str, labels, folds: int, seed: int,
+                           parallelism: int, together: int) -> DataFrame:
+    """Scores of all fits of a family's candidates on every fold, in ``out_dir``/candidates.
+
+    Fits are done ``together`` at a time; each lot is appended in one write when it is scored, and a
+    job that starts again leaves out the fits that the table already holds for every fold.
+    """
+    spark = train.sparkSession
+    path = f"{out_dir}/candidates"
+    fits, _ = TR.distinct_fits(family, candidates)
+    own = lambda: A.read_if_written(spark, path, CANDIDATE_SCORES).where(F.col("family") == family)
+    seen = own().groupBy("fit").agg(F.countDistinct("fold", "part").alias("n")).where(F.col("n") == 2 * folds)
+    done = {r["fit"] for r in seen.collect()}  # at most one row a fit
+    todo = [i for i in range(len(fits)) if i not in done]
+    for at in range(0, len(todo), together):
+        lot = {i: fits[i] for i in todo[at:at + together]}
+        scores = TR.cv_scores(train, family, lot, folds, labels, parallelism=parallelism, seed=seed)
+        names = F.element_at(F.array(*[F.lit(json.dumps(p, sort_keys=True)) for p in fits]), F.col("fit") + 1)
+        (scores.select(F.lit(family).alias("family"), names.alias("params"), *scores.columns).coalesce(1)
+         .write.mode("append").parquet(path))
+    return own().dropDuplicates(["fit", "fold", "part"]).drop("family", "params")
+
+
+def train_and_select(splits: DataFrame, features, label: str, out_dir: str, created_at, grid: str = "fast", families=FAMILIES,
+                     folds: int = 3, seed: int = 42, key=("row_id",), name: str = "classifier", alias: str = "champion",
+                     parallelism: int = 8, together: int = TR.TOGETHER, split_col: str = "split") -> DataFrame:
+    """Grid search of every family on the train split, refit, evaluation on the other splits,
+    run tables, comparison, and registration of the champion.
+
+    Written under ``out_dir`` (the shared folder): data, candidates (fit, fold, part, five scores), cv_results by
+    family, models by run, run_params, run_metrics, reports (G11 of validation and test), comparison,
+    model_versions, model_aliases, training_summary. A job that is started again goes on behind the
+    last write: fits that have scores, models that have a manifest and runs that have metrics are not done
+    again, and a run is registered once. Returns the comparison: one row a family, best first, with
+    the version and alias of the champion (strictly highest validation macro-F1, the earlier family on ties).
+    """
+    spark = splits.sparkSession
+    data_schema = "split string, fold int, label double, features array<double>"
+    if not A.read_if_written(spark, f"{out_dir}/data/_done", "at string").take(1):
+        rows = TR.assemble(splits, features).select(F.col(split_col).alias("split"), F.col(label).cast("double").alias("label"),
+                                                    vector_to_array("features").alias("features"), *key)
+        train = P.stratified_folds(rows.where("split = 'train'"), "label", list(key), k=folds, seed=seed)
+        whole = train.unionByName(rows.where("split <> 'train'").withColumn("fold", F.lit(None).cast("int")))
+        whole.select("split", "fold", "label", "features").write.mode("overwrite").parquet(f"{out_dir}/data/rows")
+        spark.range(1).select(F.lit(str(created_at)).alias("at")).write.mode("overwrite").parquet(f"{out_dir}/data/_done")
+    data = spark.read.schema(data_schema).parquet(f"{out_dir}/data/rows").withColumn("features", array_to_vector("features"))
+    labels = sorted(r[0] for r in data.select("label").distinct().collect())  # the class list
+    train = data.where("split = 'train'").drop("split").persist()
+    try:
+        for family in families:
+            run = run_id_of(name, family, grid, folds, seed)
+            candidates = TR.grid_candidates(family, grid)
+            _, fit_of = TR.distinct_fits(family, candidates)
+            scores = cross_validate_resumed(train, family, candidates, out_dir, labels, folds, seed, parallelism, together)
+            results = materialize(TR.summarise_scores(scores, candidates, fit_of))
+            A.write_cv_results(results, f"{out_dir}/cv_results/family={family}")
+            if A.read_if_written(spark, f"{out_dir}/run_metrics", RUN_METRICS).where(F.col("run_id") == run).take(1):
+                continue
+            best = results.orderBy("rank_test_f1_macro", "candidate").first()
+            params = candidates[best["candidate"]]
+            model = TR.fit_one(TR.balanced_weights(train, "label"), family, params, train.count(), seed=seed)
+            A.save_model(spark, model, f"{out_dir}/models/{run}", family, params, features, labels)
+            metrics = {"best_cv_f1_macro": best["mean_test_f1_macro"]}
+            for split in ("validation", "test"):
+                scored = TR.score_models(data.where(F.col("split") == split), [model], ["label"])
+                report = G.evaluate_split(scored, "label", "prediction", "proba", labels)
+                report = report.select(F.lit(run).alias("run_id"), F.lit(split).alias("split"), *report.columns)
+                report.write.mode("overwrite").parquet(f"{out_dir}/reports/{run}-{split}")
+                own = spark.read.schema(REPORT_ROWS).parquet(f"{out_dir}/reports/{run}-{split}").where("section = 'metrics'")
+                metrics.update({f"{split}_{r['key']}": r["value"] for r in own.collect()})  # eight rows
+            facts = {"model_name": family, "grid_size": grid, "cv": folds, "random_state": seed,
+                     **{f"best_{k}": v for k, v in params.items()}, "best_params": json.dumps(params, sort_keys=True)}
+            p_rows, m_rows = R.log_run(run, facts, {k: v for k, v in metrics.items() if v is not None}, spark)
+            p_rows.coalesce(1).write.mode("append").parquet(f"{out_dir}/run_params")
+            m_rows.coalesce(1).write.mode("append").parquet(f"{out_dir}/run_metrics")  # last: the run is whole
+    finally:
+        train.unpersist()
+    return select_and_register(spark, out_dir, families, created_at, name, alias, lambda f: run_id_of(name, f, grid, folds, seed))
+
+
+COMPARED = ["best_cv_f1_macro", *[f"{s}_{m}" for s in ("validation", "test") for m in TR.CV_METRICS]]
+
+
+def select_and_register(spark: SparkSession, out_dir: str, families, created_at, name: str, alias: str, run_of) -> DataFrame:
+    """The comparison of the runs in ``out_dir``, the champion and its version and alias."""
+    runs = spark.createDataFrame([(run_of(f), f, i) for i, f in enumerate(families)], "run_id string, model_name string, position int")
+    metrics = A.read_if_written(spark, f"{out_dir}/run_metrics", RUN_METRICS).dropDuplicates(["run_id", "metric"])
+    params = A.read_if_written(spark, f"{out_dir}/run_params", RUN_PARAMS).where("param = 'best_params'").dropDuplicates(["run_id"])
+    table = materialize(R.model_comparison(metrics, COMPARED, runs).join(params.select("run_id", F.col("value").alias("best_params")), "run_id"))
+    table.orderBy(F.desc("validation_f1_macro"), "position").write.mode("overwrite").parquet(f"{out_dir}/comparison")
+    champion = R.select_champion(table.withColumn("name", F.lit(name)), "name", "validation_f1_macro", "position").first()
+    versions = A.read_if_written(spark, f"{out_dir}/model_versions", "name string, version long, run_id string, created_at timestamp_ntz")
+    own = versions.where((F.col("name") == name) & (F.col("run_id") == champion["run_id"]))
+    if not own.take(1):
+        R.register_version(versions, name, champion["run_id"], created_at).coalesce(1).write.mode("append").parquet(f"{out_dir}/model_versions")
+        versions = spark.read.schema(versions.schema).parquet(f"{out_dir}/model_versions")
+        own = versions.where((F.col("name") == name) & (F.col("run_id") == champion["run_id"]))
+    aliases = A.read_if_written(spark, f"{out_dir}/model_aliases", "name string, alias string, version long, set_at timestamp_ntz")
+    now = R.resolve_model(versions, aliases, alias).where((F.col("name") == name) & (F.col("source") == "alias"))
+    if not now.join(own, ["name", "version"], "left_semi").take(1):
+        R.set_alias(own, alias, created_at).coalesce(1).write.mode("append").parquet(f"{out_dir}/model_aliases")
+        aliases = spark.read.schema(aliases.schema).parquet(f"{out_dir}/model_aliases")
+        now = R.resolve_model(versions, aliases, alias).where((F.col("name") == name) & (F.col("source") == "alias"))
+    summary = TR.training_summary(champion["model_name"], champion["validation_f1_macro"], champion["run_id"], f"{out_dir}/models/{champion['run_id']}")
+    A.write_report(spark.createDataFrame([tuple(summary.values())], "best_model_name string, best_validation_f1_macro double, "
+                                                                    "best_run_id string, model_path string"), f"{out_dir}/training_summary")
+    held = now.join(versions, ["name", "version"]).select("run_id", "version", F.lit(alias).alias("alias"))
+    return table.join(held, "run_id", "left").select("model_name", *COMPARED, "best_params", "run_id", "version", "alias")

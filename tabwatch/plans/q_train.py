@@ -15,7 +15,7 @@ from tabwatch.operators import registry as R
 from tabwatch.operators import score as S
 from tabwatch.operators import train as TR
 from tabwatch.plans.catalog import LI_FEATURES, LI_KEY, TRAIN_CUT, lineitem_frame, r6, register, table
-from tabwatch.session import scratch_path
+from tabwatch.session import materialize, scratch_path
 from tabwatch.sources import files as A
 
 
@@ -138,20 +138,44 @@ def q_persist_fitted(spark, sf):
 
 @register("evaluate_split")
 def q_evaluate_split(spark, sf):
-    """One cached transform, then confusion matrix + report + ROC + metrics, as long rows."""
+    """Confusion matrix, report, ROC points, AUC and metrics of a model on the fold it has not seen."""
     df = training_frame(spark, sf)
     model = TR.make_estimator("logistic_regression", {"C": 1.0, "class_weight": None}, n_rows=df.count()).fit(
         df.where(F.col("fold") != 0))
-    pred = TR.predict_with_proba(model, df.where(F.col("fold") == 0)).select("label", "prediction", "proba").cache()
-    labels = [0.0, 1.0, 2.0]
-    cm = G.confusion_matrix(pred, "label", "prediction", [0, 1, 2]).select(
-        F.lit("confusion_matrix").alias("section"), F.concat_ws("|", "actual", "predicted").alias("key"),
-        F.col("count").cast("double").alias("value"))
-    rep = G.classification_report(pred, "label", "prediction", [0, 1, 2]).select(
-        F.lit("classification_report").alias("section"), F.col("row").alias("key"), F.col("f1").alias("value"))
-    auc = G.roc_auc_per_class(G.one_vs_rest(pred, "label", "proba", labels)).select(
-        F.lit("roc_auc").alias("section"), F.col("class").cast("string").alias("key"), F.col("auc").alias("value"))
-    met = G.classification_metrics(pred, "label", "prediction", "proba", labels)
-    met_l = met.select(F.lit("metrics").alias("section"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c, t in met.dtypes if t == "double"])))
-    return cm.unionByName(rep).unionByName(auc).unionByName(met_l).select("section", "key", r6("value").alias("value"))
+    pred = TR.score_models(df.where(F.col("fold") == 0), [model], ["label"])
+    out = G.evaluate_split(pred, "label", "prediction", "proba", [0.0, 1.0, 2.0], {0: "low", 1: "medium", 2: "high"})
+    return out.select("section", "key", "class", r6("x").alias("x"), r6("value").alias("value"))
+
+
+STORED = {"logistic_regression": {"C": 1.0, "class_weight": "balanced"}, "decision_tree": {"max_depth": 5, "min_samples_leaf": 2},
+          "random_forest": {"n_estimators": 20, "max_depth": 5}, "boosted_trees": {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1}}
+
+
+@register("check_reproducible_models", " UNION ALL ".join(
+    f"SELECT '{f}' AS family, count(*) AS rows, CAST(0 AS BIGINT) AS refit_differs, CAST(0 AS BIGINT) AS reloaded_differs FROM embeddings"
+    for f in STORED))
+def q_check_reproducible_models(spark, sf):
+    """For every family, rows whose prediction differs after a second fit with the same seed, or
+    after saving and loading the model."""
+    from tabwatch.operators.checks import prediction_differences
+    df = materialize(training_frame(spark, sf).select("vec_id", "features", "label", "weight"))
+    n, out = df.count(), None
+    for family, params in STORED.items():
+        model = TR.fit_one(df, family, params, n)
+        path = scratch_path(spark, f"stored-{family}")
+        A.save_model(spark, model, path, family, params, ["embedding"], [0, 1, 2])
+        others = {"refit": TR.fit_one(df, family, params, n), "reloaded": A.load_model(spark, path)[0]}
+        row = prediction_differences(df, model, others, ["vec_id"]).select(F.lit(family).alias("family"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("train_and_select")
+def q_train_and_select(spark, sf):
+    """The composed job on the embeddings (three classes), logistic regression and trees on the
+    whole fast grid; the comparison with the champion's version and alias."""
+    from tabwatch.plans.jobs import train_and_select
+    lab = F.when(F.col("label") <= 2, 0.0).when(F.col("label") <= 5, 1.0).otherwise(2.0)
+    splits = P.stratified_split(table(spark, sf, "embeddings").select("vec_id", "embedding", lab.alias("label")), "label", ["vec_id"])
+    got = train_and_select(splits, ["embedding"], "label", scratch_path(spark, "training"), "2024-01-31 00:00:00", key=["vec_id"])
+    return got.select("model_name", *[r6(c).alias(c) for c, t in got.dtypes if t == "double"], "best_params", "run_id", "version", "alias")

@@ -7,6 +7,7 @@ idempotent per batch when the caller supplies deterministic ids.
 
 from __future__ import annotations
 
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,6 +196,39 @@ def load_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+MODEL_MANIFEST = "family string, class string, params string, features array<string>, labels array<double>, format int"
+
+
+def save_model(spark: SparkSession, model, path: str, family: str, params: dict, features, labels) -> None:
+    """A fitted model of any family and its manifest row, which names the class that loads it."""
+    model.write().overwrite().save(f"{path}/model")
+    row = (family, type(model).__name__, json.dumps(params, sort_keys=True), list(features), [float(x) for x in labels], 1)
+    # the manifest is written last: a model without one was not saved whole
+    spark.createDataFrame([row], MODEL_MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def load_model(spark: SparkSession, path: str):
+    """(model, manifest as a dict), the loader picked by the manifest's class."""
+    from pyspark.ml import classification
+
+    row = spark.read.schema(MODEL_MANIFEST).json(f"{path}/manifest").first().asDict()
+    if row["format"] != 1 or not row["class"].endswith("Model"):
+        raise ValueError(f"unknown model manifest: {row}")
+    return getattr(classification, row["class"]).load(f"{path}/model"), {**row, "params": json.loads(row["params"])}
+
+
+def read_if_written(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A Parquet table, or no rows where nothing has been written yet."""
+    try:
+        df = spark.read.schema(schema).parquet(path)
+        df.limit(1).collect()
+        return df
+    except Exception as exc:  # noqa: BLE001  (Spark raises AnalysisException for a missing path)
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def write_cv_results(results: DataFrame, path: str, rank_col: str = "rank_test_f1_macro") -> None:
     """A10: CV results sorted by rank (range-partitioned sort, no single-task ordering)."""
     results.orderBy(rank_col).write.mode("overwrite").parquet(path)

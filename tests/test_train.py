@@ -1,10 +1,14 @@
-"""Training and CV: grouped per-fold scores agree with CrossValidator's own macro-F1."""
+"""Training, cross-validation, the model store and the composed training job."""
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from tabwatch.operators import train as TR
+from tabwatch.operators.prepare import stratified_split
 from tabwatch.plans.q_train import training_frame
+from tabwatch.sources import files as A
 
 
 def test_grid_sizes():
@@ -14,15 +18,98 @@ def test_grid_sizes():
 
 
 def test_cv_scores_match_evaluator(spark):
+    """The grouped scores of all models agree with one evaluation a model, on folds with their own weights."""
     df = training_frame(spark, SF_SMALL)
     cands = [{"C": 0.1, "class_weight": None}, {"C": 10.0, "class_weight": "balanced"}]
+    _, full = TR.cross_validate(df, "logistic_regression", cands, parallelism=2, labels=[0.0, 1.0, 2.0], all_scores=True)
     _, plain = TR.cross_validate(df, "logistic_regression", cands, parallelism=2)
-    _, full = TR.cross_validate(df, "logistic_regression", cands, parallelism=2, labels=[0.0, 1.0, 2.0],
-                                all_scores=True)
-    a = {r.candidate: r.mean_test_f1_macro for r in plain.collect()}
-    b = {r.candidate: (r.mean_test_f1_macro, r.rank_test_f1_macro) for r in full.collect()}
-    assert all(a[c] == pytest.approx(b[c][0], abs=1e-12) for c in a)
-    assert sorted(v[1] for v in b.values()) == [1, 2]
+    want = []
+    for c in cands:
+        scores = []
+        for f in range(3):
+            train = TR.balanced_weights(df.where(F.col("fold") != f), "label")
+            model = TR.make_estimator("logistic_regression", c, n_rows=train.count()).fit(train)
+            scores.append(TR.MacroF1Evaluator().evaluate(model.transform(df.where(F.col("fold") == f))))
+        want.append(sum(scores) / 3)
+    for res in (full, plain):
+        got = {r.candidate: r for r in res.collect()}
+        assert [got[i].mean_test_f1_macro for i in range(2)] == pytest.approx(want, abs=1e-12)
+        assert sorted(r.rank_test_f1_macro for r in got.values()) == [1, 2]
+
+
+@pytest.mark.parametrize("family,params", [("decision_tree", {"max_depth": 3}), ("random_forest", {"n_estimators": 5, "max_depth": 3}),
+                                           ("boosted_trees", {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.1})])
+def test_models_score_as_one_projection_as_they_do_alone(spark, family, params):
+    df = training_frame(spark, SF_SMALL)
+    model = TR.fit_one(df, family, params, df.count())
+    both = TR.score_models(df, [model, model], ["vec_id"]).collect()
+    alone = {r.vec_id: r for r in TR.predict_with_proba(model, df).collect()}
+    assert len(both) == 2 * len(alone) and {r.model for r in both} == {0, 1}
+    for r in both:
+        assert r.prediction == alone[r.vec_id].prediction and r.proba == pytest.approx(alone[r.vec_id].proba)
+
+
+def test_any_family_is_saved_and_loaded(spark, tmp_path):
+    df = training_frame(spark, SF_SMALL)
+    for family, params in {"logistic_regression": {"C": 1.0}, "decision_tree": {"max_depth": 3}, "random_forest": {"n_estimators": 3, "max_depth": 3},
+                           "boosted_trees": {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.1}}.items():
+        model = TR.fit_one(df, family, params, df.count())
+        A.save_model(spark, model, f"{tmp_path}/{family}", family, params, ["embedding"], [0, 1, 2])
+        again, manifest = A.load_model(spark, f"{tmp_path}/{family}")
+        assert manifest["params"] == params and manifest["labels"] == [0.0, 1.0, 2.0] and type(again) is type(model)
+        a, b = (sorted(map(str, TR.score_models(df, [m], ["vec_id"]).collect())) for m in (model, again))
+        assert a == b
+
+
+SMALL_GRID = {"logistic_regression": {"C": [0.1, 10.0]}, "decision_tree": {"max_depth": [2, 4], "min_samples_split": [2, 5]},
+              "random_forest": {"n_estimators": [3], "max_depth": [2, 3]}, "boosted_trees": {"n_estimators": [2], "max_depth": [2], "learning_rate": [0.1]}}
+
+
+def test_training_job_resumes_and_selects(spark, tmp_path, monkeypatch):
+    """Stopped after two lots, started again: nothing is fitted twice, every table is there, one champion."""
+    from tabwatch.plans import jobs as J
+
+    monkeypatch.setitem(TR.PARAM_GRIDS, "tiny", SMALL_GRID)
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "embedding", F.when(F.col("label") <= 4, 0.0).otherwise(1.0).alias("label"))
+    splits = stratified_split(e, "label", ["vec_id"])
+    out = str(tmp_path / "run")
+    run = lambda: J.train_and_select(splits, ["embedding"], "label", out, "2024-01-01 00:00:00", grid="tiny", key=["vec_id"], together=1)
+    scored, cv_scores = [], TR.cv_scores
+
+    def stopping(df, family, fits, *args, **kw):
+        if len(scored) == 3:
+            raise KeyboardInterrupt
+        scored.append((family, *fits))
+        return cv_scores(df, family, fits, *args, **kw)
+
+    monkeypatch.setattr(TR, "cv_scores", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    first, scored[:] = list(scored), []
+    monkeypatch.setattr(TR, "cv_scores", lambda df, family, fits, *a, **kw: scored.append((family, *fits)) or cv_scores(df, family, fits, *a, **kw))
+    got = {r.model_name: r for r in run().collect()}
+    fits = [("logistic_regression", 0), ("logistic_regression", 1), ("decision_tree", 0), ("decision_tree", 1), ("random_forest", 0),
+            ("random_forest", 1), ("boosted_trees", 0)]
+    assert first + scored == fits
+    assert set(got) == set(J.FAMILIES) and [r.alias for r in got.values()].count("champion") == 1
+    best = max(r.validation_f1_macro for r in got.values())
+    champion = next(r for r in got.values() if r.alias)
+    assert champion.validation_f1_macro == best and champion.version == 1
+    assert champion.model_name == next(f for f in J.FAMILIES if got[f].validation_f1_macro == best)
+    cv = spark.read.parquet(f"{out}/cv_results").groupBy("family").count().collect()
+    assert {r.family: r["count"] for r in cv} == {"logistic_regression": 2, "decision_tree": 4, "random_forest": 2, "boosted_trees": 1}
+    # the written tables tell the same as the comparison
+    metrics = {(r.run_id, r.metric): r.value for r in spark.read.parquet(f"{out}/run_metrics").collect()}
+    for r in got.values():
+        assert metrics[r.run_id, "test_accuracy"] == r.test_accuracy and metrics[r.run_id, "best_cv_f1_macro"] == r.best_cv_f1_macro
+        test = stratified_split(e, "label", ["vec_id"]).where("split = 'test'")
+        model, _ = A.load_model(spark, f"{out}/models/{r.run_id}")
+        pred = TR.score_models(TR.assemble(test, ["embedding"]), [model], ["label"])
+        assert pred.where("label = prediction").count() / pred.count() == pytest.approx(r.test_accuracy)
+    # a third run does nothing new and registers nothing twice
+    scored[:] = []
+    again = {r.model_name: r for r in run().collect()}
+    assert again == got and scored == [] and spark.read.parquet(f"{out}/model_versions").count() == 1
 
 
 def test_bindings_train_what_the_grid_says(monkeypatch):
@@ -49,9 +136,8 @@ def test_bindings_train_what_the_grid_says(monkeypatch):
 
 
 def test_equal_estimators_are_fitted_once_and_all_reported(spark, monkeypatch):
-    fitted = []
-    cv = TR.CrossValidator
-    monkeypatch.setattr(TR, "CrossValidator", lambda **kw: fitted.append(len(kw["estimatorParamMaps"])) or cv(**kw))
+    fitted, cv = [], TR.cv_scores
+    monkeypatch.setattr(TR, "cv_scores", lambda df, family, fits, *args: fitted.append(len(fits)) or cv(df, family, fits, *args))
     cands = [{"max_depth": 3, "min_samples_split": s, "min_samples_leaf": 1, "class_weight": w} for s in (2, 5) for w in (None, "balanced")]
     _, res = TR.cross_validate(training_frame(spark, SF_SMALL), "decision_tree", cands, labels=[0.0, 1.0, 2.0], all_scores=True)
     rows = {r.candidate: r for r in res.collect()}

@@ -6,7 +6,8 @@ class. Then:
 1. Tokens: each class gives the tokens of its prefix in a global order (tokens of crowded buckets
    of a count sketch over all documents last, then by hash). A pair of linked sets shares at least
    c(n) of them, c(n) = 1 + n * EXTRA // 100 for the smaller size n; classes that share fewer with
-   all others together hold no link and are done. The sets of the rest are written once.
+   all others together hold no link and are done. Sets are computed from the texts once and written;
+   only those of classes in a pair within the bound are read again and travel.
 2. Groups: every token has a centre, the class of smallest hash among those that hold it. A class is
    compared with the centre that most of its tokens name; linked ones become one group, so that a
    cluster of near copies is a group from here on and not a pair for every two of its members.
@@ -46,7 +47,9 @@ PART_MEMBERS = 2000
 #: Bits of the filter that spares documents of no group; it only ever lets more through.
 FILTER_BITS = 23
 _U = np.uint64
-_SET = "kind int, doc_id long, n long, f1 long, f2 long, t binary, slice int, counts binary"
+_SET = "kind int, doc_id long, n long, f1 long, f2 long, t binary, slice int, packed binary"
+#: Sets that a task remembers having written.
+REMEMBERED = 1 << 19
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -80,26 +83,28 @@ def describe(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), _sum(_mix(s, 0x2545F4914F6CDD1D)), _sum(_mix(s, 0x369DEA0F31A53F85))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for b in batches:
-        yield b.column(0).to_pylist(), [shingle_set(x.as_buffer().to_pybytes(), k) for x in b.column(1)]
-
-
 def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "doc_id", "n", "f1", "f2", "t", "slice", "counts"]
+    names = ["kind", "doc_id", "n", "f1", "f2", "t", "slice", "packed"]
     types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    seen: set[tuple] = set()  # copies in a task are written once
     for b in batches:
         rows = []
         for doc, text, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             s = shingle_set(text.as_buffer().to_pybytes(), k)
             np.add.at(counts, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            rows.append((0, doc, *describe(s), t, None, None))
+            own = describe(s)
+            rows.append((0, doc, *own, t, None, None))
+            if doc is not None and len(s) and own not in seen:
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.add(own)
+                rows.append((2, None, *own, None, None, s.tobytes()))
         yield _batch(rows, names, types)
     if counts.any():
         for i, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)):
@@ -139,18 +144,15 @@ def prefix(s: np.ndarray, crowded: np.ndarray, percent: int) -> tuple[np.ndarray
     return np.concatenate([s[~late], s[late]])[:probe], index
 
 
-def _matrix(batches: Iterator[pa.RecordBatch], k: int, crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    seen = set()  # of this task: copies give the same rows
-    for ids, sets in _sets(batches, k):
+def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (n, f1, f2, packed) -> their prefix tokens."""
+    for b in batches:
         tokens, cid, size, index = [], [], [], []
-        for doc, s in zip(ids, sets):
-            if doc is None or not len(s) or (key := describe(s)) in seen:
-                continue
-            seen.add(key)
-            own, short = prefix(s, crowded, percent)
+        for n, f1, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
+            own, short = prefix(np.frombuffer(raw.as_buffer(), np.uint64), crowded, percent)
             tokens.append(own)
-            cid.append(np.full(len(own), key[1], np.int64))
-            size.append(np.full(len(own), len(s), np.int32))
+            cid.append(np.full(len(own), f1, np.int64))
+            size.append(np.full(len(own), n, np.int32))
             index.append(np.arange(len(own)) < short)
         if tokens:
             yield pa.RecordBatch.from_arrays([
@@ -158,20 +160,19 @@ def _matrix(batches: Iterator[pa.RecordBatch], k: int, crowded: np.ndarray, perc
                 pa.array(np.concatenate(index))], names=["token", "cid", "n", "indexed"])
 
 
-def _shipped(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents whose f1 is in the filter."""
-    names, types = ["n", "f1", "f2", "tokens"], [*[pa.int64()] * 3, pa.binary()]
-    seen = set()
-    for ids, sets in _sets(batches, k):
-        rows = []
-        for doc, s in zip(ids, sets):
-            if doc is not None and len(s):
-                own = describe(s)
-                at = (own[1] & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
-                if bits[at >> 3] & (128 >> (at & 7)) and own not in seen:
-                    seen.add(own)
-                    rows.append((*own, s.tobytes()))
-        yield _batch(rows, names, types)
+def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (c, tokens) whose c is in the filter."""
+    for b in batches:
+        lead = b.column(0).to_numpy().view(np.uint64) >> _U(64 - FILTER_BITS)
+        yield b.filter(pa.array((bits[(lead >> _U(3)).astype(np.int64)] & (128 >> (lead & _U(7)).astype(np.int64))) > 0))
+
+
+def _sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, tokens) of the classes ``wanted`` (c), written: a filter spares the shuffle of the others."""
+    wanted = written(wanted.distinct(), "tgm-wanted")
+    bits = _filter(wanted.select(F.col("c").alias("key")))
+    near = sets.mapInArrow(lambda b: _let_through(b, bits), "c long, tokens binary")
+    return written(near.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "tgm-shipped")
 
 
 class _Members:
@@ -248,6 +249,7 @@ def _with_centres(shared: DataFrame, sets: DataFrame, percent: int, spark) -> Da
     pairs = written(named.groupBy("c").agg(F.max_by("centre.c", F.struct("tokens", "centre.c")).alias("centre")), "tgm-centres")
     parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PART_MEMBERS).alias("parts"))
     pairs = pairs.join(parts, "centre").withColumn("part", F.xxhash64("centre", F.pmod(F.xxhash64("c"), "parts")))
+    sets = _sets_of(sets, pairs.select("c").union(pairs.select("centre")))
     held = pairs.select("part", F.col("centre").alias("c")).distinct().join(sets, "c").select("part", F.lit(0).alias("role"), "c", "tokens")
     asked = pairs.select("part", "c").join(sets, "c").select("part", F.lit(1).alias("role"), "c", "tokens")
     return _compared(held.union(asked), percent, spark)
@@ -275,7 +277,9 @@ def _open(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, sp
     plan = written(sized.select(F.when(more, F.col("x")).otherwise(F.col("y")).alias("opened"),
                                 F.when(more, F.col("y")).otherwise(F.col("x")).alias("query"),
                                 F.when(more, F.col("parts_x")).otherwise(F.col("parts_y")).alias("parts")), "tgm-plan")
-    owned = groups.select("c", "comp").join(sets, "c")
+    involved = pairs.select(F.col("x").alias("comp")).union(pairs.select(F.col("y").alias("comp"))).distinct()
+    owned = groups.select("c", "comp").join(involved, "comp", "left_semi")
+    owned = owned.join(_sets_of(sets, owned.select("c")), "c")
     parts = plan.groupBy("opened").agg(F.max("parts").alias("parts"))
     member = owned.join(parts, F.col("comp") == F.col("opened")).select(
         F.xxhash64("opened", F.pmod("c", "parts")).alias("part"), F.lit(0).alias("role"), "comp", "tokens")
@@ -308,11 +312,12 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
 
     # 1. tokens that classes share
     crowded = np.zeros(1 << SKETCH_BITS, bool)
-    sketch = described.where("kind = 1").select("slice", "counts").repartition(SLICES, "slice").sortWithinPartitions("slice")
+    sketch = described.where("kind = 1").select("slice", "packed").repartition(SLICES, "slice").sortWithinPartitions("slice")
     for r in sketch.mapInArrow(_crowded, "slice int, bits binary").collect():  # SLICES rows
         own = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
         crowded[r["slice"] * len(own):(r["slice"] + 1) * len(own)] = own
-    tokens = texts.mapInArrow(lambda b: _matrix(b, k, crowded, percent), "token long, cid long, n int, indexed boolean")
+    packed = described.where("kind = 2").select("n", "f1", "f2", "packed")
+    tokens = packed.mapInArrow(lambda b: _matrix(b, crowded, percent), "token long, cid long, n int, indexed boolean")
     same = Window.partitionBy("token")
     several = tokens.withColumn("lo", F.min("cid").over(same)).withColumn("hi", F.max("cid").over(same)).where("lo < hi").drop("lo", "hi")
     several = written(several, "tgm-tokens").distinct()  # tokens of one class alone are dropped
@@ -320,9 +325,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     able = written(able.join(classes.select("c", F.col("n").cast("int").alias("n"), F.col("f1").alias("cid")), ["cid", "n"])
                    .select("cid", "n", "c"), "tgm-able")
     shared = written(several.join(able, ["cid", "n"]).select("token", "c", "n", "indexed"), "tgm-shared")
-    bits = _filter(able.select(F.col("cid").alias("key")))
-    sets = texts.mapInArrow(lambda b: _shipped(b, k, bits), "n long, f1 long, f2 long, tokens binary").select(cell.alias("c"), "tokens")
-    sets = written(sets.join(able.select("c"), "c", "left_semi").dropDuplicates(["c"]), "tgm-shipped")
+    sets = packed.select(cell.alias("c"), F.col("packed").alias("tokens"))
 
     # 2. groups about centres
     groups = able.select("c", "n", F.col("c").alias("comp"))

@@ -14,6 +14,7 @@ from tabwatch.plans.catalog import LI_FEATURES, LI_KEY, ORACLE, lineitem_frame,
 from tabwatch.plans.q_metrics import LOG_SQL
 from tabwatch.plans.q_score import ATTACHED_SQL
 from tabwatch.session import scratch_path
+from tabwatch.sources import files as A
 from tabwatch.streaming import streams as ST
 
 
@@ -43,6 +44,27 @@ def q_score_stream(spark, sf):
     return _sink(spark, out, "score").drop("scored_at", "ingestion_lag_ms")
 
 
+@register("score_stream_events")
+def q_score_stream_events(spark, sf):
+    """H2 into A7: lineitem scored as a stream of small batches and kept as prediction events, each once."""
+    from tabwatch.plans.q_train import _scoring_model
+    li, params, model = _scoring_model(spark, sf)
+    path = scratch_path(spark, "score-events-in")
+    raw = lineitem_frame(spark, sf).select(*LI_KEY, *LI_FEATURES, "l_shipdate")
+    raw.write.option("maxRecordsPerFile", 2_000_000).parquet(path)
+    src = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 16).parquet(path)
+    src = src.withColumn("payload", F.to_json(F.struct(*LI_FEATURES)))
+    scored = S.score_batch(src, model, params, LI_FEATURES, model_name="classifier", model_version="1", keep=[*LI_KEY, "l_shipdate", "payload"])
+    events = ST.score_stream(scored, lambda df: df, created_at="l_shipdate").select(
+        S.deterministic_id(*LI_KEY).alias("prediction_id"), F.col("l_shipdate").alias("created_at"), F.concat_ws("-", *LI_KEY).alias("request_id"),
+        "model_name", "model_version", F.col("predicted_class").cast("string").alias("predicted_class"), F.col("payload").alias("features"),
+        F.to_json("probabilities").alias("probabilities"), F.col("ingestion_lag_ms").alias("latency_ms"))
+    out = scratch_path(spark, "stream-events")
+    ST.write_prediction_events(events, out, scratch_path(spark, "stream-events-ckpt"))
+    columns = [c for c in A.PREDICTION_EVENTS_SCHEMA.names if c != "latency_ms"]  # the time of scoring is not the data's
+    return spark.read.schema(A.PREDICTION_EVENTS_SCHEMA).parquet(out).select(*columns)
+
+
 @register("attach_feedback_stream", f"SELECT * FROM {ATTACHED_SQL}")
 def q_attach_feedback_stream(spark, sf):
     from tabwatch.plans.q_score import feedback, predictions

@@ -54,6 +54,27 @@ def score_stream(stream: DataFrame, score_fn, created_at: str = "created_at") ->
         "ingestion_lag_ms", (F.unix_micros(F.col("scored_at")) - F.unix_micros(F.col(created_at).cast("timestamp"))) / 1000.0)
 
 
+def write_prediction_events(scored: DataFrame, path: str, checkpoint: str, timeout_s: int | None = None) -> None:
+    """H2 into A7: a scored stream as prediction events (14 columns), every event once.
+
+    Each micro-batch overwrites its own folder, named by its batch id, which a restarted query
+    gives again to the same input: a batch that was written but not yet committed is replaced.
+    """
+    from tabwatch.sources.files import to_prediction_events
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        to_prediction_events(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    q = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        if q.awaitTermination(timeout_s) is False:
+            raise TimeoutError(f"stream to {path} did not finish in {timeout_s}s")
+    finally:
+        q.stop()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def attach_feedback_stream(predictions: DataFrame, feedback: DataFrame, bound: str = "30 days",
                            delay: str = "1 day", id_col: str = "prediction_id", created_at: str = "created_at",
                            at: str = "feedback_at") -> DataFrame:

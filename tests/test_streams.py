@@ -1,11 +1,14 @@
 """Batch equals stream (availableNow) for the alert state machine and windowed metrics."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tabwatch.operators import metrics as J
 from tabwatch.plans.q_metrics import alert_samples, request_log
-from tabwatch.plans.q_streams import q_alert_state_stream, q_request_metrics_stream
+from tabwatch.plans.q_streams import q_alert_state_stream, q_request_metrics_stream, q_score_stream_events
+from tabwatch.sources import files as A
+from tabwatch.streaming import streams as ST
 
 
 def test_alert_stream_equals_batch(spark):
@@ -95,3 +98,51 @@ def test_islands_are_stitched_over_chunks_of_time(spark, monkeypatch):
     assert windows and all("_chunk" in x for x in windows)
     empty = spark.createDataFrame([], "metric string, series string, t timestamp_ntz, value double")
     assert J.alert_for_duration(empty, [rule]).count() == 0
+
+
+def test_prediction_events_of_a_killed_stream_come_once(spark, tmp_path, monkeypatch):
+    """The writer dies after its second batch is written and before it is committed; the restart repeats it."""
+    for i in range(4):
+        spark.range(i * 10, i * 10 + 10).select(F.col("id").cast("string").alias("prediction_id"), F.lit("m").alias("model_name"),
+                                                F.lit("1").alias("predicted_class"), F.lit("{}").alias("features"),
+                                                F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    src = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    plain, seen = A.to_prediction_events, []
+
+    class Dies:
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+        @property
+        def write(self):
+            return self
+
+        def mode(self, m):
+            return self
+
+        def parquet(self, path):
+            self.df.write.mode("overwrite").parquet(path)
+            seen.append(path)
+            if len(seen) == 2:
+                raise KeyError("killed")
+
+    monkeypatch.setattr(A, "to_prediction_events", lambda df: Dies(plain(df)))
+    with pytest.raises(Exception):
+        ST.write_prediction_events(src(), f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    assert len(seen) == 2
+    ST.write_prediction_events(src(), f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    got = [r.prediction_id for r in spark.read.schema(A.PREDICTION_EVENTS_SCHEMA).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=int) == [str(i) for i in range(40)] and seen[2] == seen[1]
+
+
+def test_stream_events_are_one_a_row(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    got = q_score_stream_events(spark, SF_SMALL)
+    assert got.columns == [c for c in A.PREDICTION_EVENTS_SCHEMA.names if c != "latency_ms"] and len(got.columns) == 13
+    assert got.count() == got.select("prediction_id").distinct().count() == li.count()
+    assert got.where("predicted_class is null or features is null or created_at is null").count() == 0
+

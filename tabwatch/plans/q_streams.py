@@ -56,7 +56,7 @@ def q_score_stream_events(spark, sf):
     src = src.withColumn("payload", F.to_json(F.struct(*LI_FEATURES)))
     scored = S.score_batch(src, model, params, LI_FEATURES, model_name="classifier", model_version="1", keep=[*LI_KEY, "l_shipdate", "payload"])
     events = ST.score_stream(scored, lambda df: df, created_at="l_shipdate").select(
-        S.deterministic_id(*LI_KEY).alias("prediction_id"), F.col("l_shipdate").alias("created_at"), F.concat_ws("-", *LI_KEY).alias("request_id"),
+        S.deterministic_id(*LI_KEY, "l_shipdate", "payload").alias("prediction_id"), F.col("l_shipdate").alias("created_at"), F.concat_ws("-", *LI_KEY).alias("request_id"),
         "model_name", "model_version", F.col("predicted_class").cast("string").alias("predicted_class"), F.col("payload").alias("features"),
         F.to_json("probabilities").alias("probabilities"), F.col("ingestion_lag_ms").alias("latency_ms"))
     out = scratch_path(spark, "stream-events")

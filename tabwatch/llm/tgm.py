@@ -167,14 +167,6 @@ def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterato
         yield b.filter(pa.array((bits[(lead >> _U(3)).astype(np.int64)] & (128 >> (lead & _U(7)).astype(np.int64))) > 0))
 
 
-def _sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, tokens) of the classes ``wanted`` (c), written: a filter spares the shuffle of the others."""
-    wanted = written(wanted.distinct(), "tgm-wanted")
-    bits = _filter(wanted.select(F.col("c").alias("key")))
-    near = sets.mapInArrow(lambda b: _let_through(b, bits), "c long, tokens binary")
-    return written(near.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "tgm-shipped")
-
-
 class _Members:
     """An inverted index of some sets."""
 
@@ -249,15 +241,20 @@ def _with_centres(shared: DataFrame, sets: DataFrame, percent: int, spark) -> Da
     pairs = written(named.groupBy("c").agg(F.max_by("centre.c", F.struct("tokens", "centre.c")).alias("centre")), "tgm-centres")
     parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PART_MEMBERS).alias("parts"))
     pairs = pairs.join(parts, "centre").withColumn("part", F.xxhash64("centre", F.pmod(F.xxhash64("c"), "parts")))
-    sets = _sets_of(sets, pairs.select("c").union(pairs.select("centre")))
-    held = pairs.select("part", F.col("centre").alias("c")).distinct().join(sets, "c").select("part", F.lit(0).alias("role"), "c", "tokens")
-    asked = pairs.select("part", "c").join(sets, "c").select("part", F.lit(1).alias("role"), "c", "tokens")
-    return _compared(held.union(asked), percent, spark)
-
-
-def _compared(rows: DataFrame, percent: int, spark) -> DataFrame:
-    """Rows (part, role, c, tokens): in each part members (role 0) are compared with queries (role 1)."""
-    return rows.toDF("part", "role", "comp", "tokens").repartition(2 * tasks(spark), "part").sortWithinPartitions("part", "role", "comp").mapInArrow(
+    held = pairs.select("part", F.col("centre").alias("c")).distinct().select("part", F.lit(0).alias("role"), F.col("c").alias("comp"), "c")
+    asked = pairs.select("part", F.lit(1).alias("role"), F.col("c").alias("comp"), "c")
+    return _compared(held.union(asked), sets, percent, spark)
+
+
+def _compared(routes: DataFrame, sets: DataFrame, percent: int, spark) -> DataFrame:
+    """Routes (part, role, comp, c): in each part the sets of members (role 0) are compared with those of
+    queries (role 1). A filter spares the shuffle of sets that no route names; a set that travels is
+    shuffled twice, to its class and to its parts."""
+    routes = written(routes, "tgm-routes")
+    bits = _filter(routes.select(F.col("c").alias("key")))
+    near = sets.mapInArrow(lambda b: _let_through(b, bits), "c long, tokens binary").dropDuplicates(["c"])
+    rows = routes.join(near, "c").select("part", "role", "comp", "tokens")
+    return rows.repartition(2 * tasks(spark), "part").sortWithinPartitions("part", "role", "comp").mapInArrow(
         lambda b: _opened(b, percent), "a long, b long")
 
 
@@ -277,16 +274,13 @@ def _open(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, sp
     plan = written(sized.select(F.when(more, F.col("x")).otherwise(F.col("y")).alias("opened"),
                                 F.when(more, F.col("y")).otherwise(F.col("x")).alias("query"),
                                 F.when(more, F.col("parts_x")).otherwise(F.col("parts_y")).alias("parts")), "tgm-plan")
-    involved = pairs.select(F.col("x").alias("comp")).union(pairs.select(F.col("y").alias("comp"))).distinct()
-    owned = groups.select("c", "comp").join(involved, "comp", "left_semi")
-    owned = owned.join(_sets_of(sets, owned.select("c")), "c")
     parts = plan.groupBy("opened").agg(F.max("parts").alias("parts"))
-    member = owned.join(parts, F.col("comp") == F.col("opened")).select(
-        F.xxhash64("opened", F.pmod("c", "parts")).alias("part"), F.lit(0).alias("role"), "comp", "tokens")
-    asked = owned.join(plan, F.col("comp") == F.col("query")).withColumn(
+    member = groups.join(parts, F.col("comp") == F.col("opened")).select(
+        F.xxhash64("opened", F.pmod("c", "parts")).alias("part"), F.lit(0).alias("role"), "comp", "c")
+    asked = groups.join(plan, F.col("comp") == F.col("query")).withColumn(
         "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select(
-        F.xxhash64("opened", "p").alias("part"), F.lit(1).alias("role"), "comp", "tokens")
-    return _compared(member.union(asked), percent, spark)
+        F.xxhash64("opened", "p").alias("part"), F.lit(1).alias("role"), "comp", "c")
+    return _compared(member.union(asked), sets, percent, spark)
 
 
 def _merged(groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -74,6 +74,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss; never localCheckpoint)."""
+    """Cut lineage with a table written to the shared folder and read back (survives executor loss).
+
+    The rows are computed once, where ``checkpoint()`` computes them twice; it still serves frames that
+    Parquet cannot hold (columns without a type, or of one name).
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if len({c.lower() for c in df.columns}) < len(df.columns) or "void" in df.schema.simpleString():
+        return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

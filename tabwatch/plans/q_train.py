@@ -177,5 +177,7 @@ def q_train_and_select(spark, sf):
     from tabwatch.plans.jobs import train_and_select
     lab = F.when(F.col("label") <= 2, 0.0).when(F.col("label") <= 5, 1.0).otherwise(2.0)
     splits = P.stratified_split(table(spark, sf, "embeddings").select("vec_id", "embedding", lab.alias("label")), "label", ["vec_id"])
-    got = train_and_select(splits, ["embedding"], "label", scratch_path(spark, "training"), "2024-01-31 00:00:00", key=["vec_id"])
+    # forests and boosted trees are left to the caller: see README for what their grids cost
+    got = train_and_select(splits, ["embedding"], "label", scratch_path(spark, "training"), "2024-01-31 00:00:00", key=["vec_id"],
+                           families=("logistic_regression", "decision_tree"))
     return got.select("model_name", *[r6(c).alias(c) for c, t in got.dtypes if t == "double"], "best_params", "run_id", "version", "alias")

@@ -145,19 +145,19 @@ def prefix(s: np.ndarray, crowded: np.ndarray, percent: int) -> tuple[np.ndarray
 
 
 def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (n, f1, f2, packed) -> their prefix tokens."""
+    """Rows (c, n, packed) -> their prefix tokens."""
     for b in batches:
-        tokens, cid, size, index = [], [], [], []
-        for n, f1, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
+        tokens, cell, size, index = [], [], [], []
+        for c, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             own, short = prefix(np.frombuffer(raw.as_buffer(), np.uint64), crowded, percent)
             tokens.append(own)
-            cid.append(np.full(len(own), f1, np.int64))
+            cell.append(np.full(len(own), c, np.int64))
             size.append(np.full(len(own), n, np.int32))
             index.append(np.arange(len(own)) < short)
         if tokens:
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cid)), pa.array(np.concatenate(size)),
-                pa.array(np.concatenate(index))], names=["token", "cid", "n", "indexed"])
+                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cell)), pa.array(np.concatenate(size)),
+                pa.array(np.concatenate(index))], names=["token", "c", "n", "indexed"])
 
 
 def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -301,8 +301,8 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     described = written(texts.withColumn("t", F.unhex(F.md5("text"))).mapInArrow(lambda b: _describe(b, k), _SET), "tgm-sets")
     cell = F.xxhash64("n", "f1", "f2")
-    rows = described.where("kind = 0").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), cell).alias("c"), "t", "f1")
-    classes = written(rows.where("c is not null").groupBy("c").agg(F.min("n").alias("n"), F.min("f1").alias("f1")), "tgm-classes")
+    rows = described.where("kind = 0").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), cell).alias("c"), "t")
+    classes = written(rows.where("c is not null").groupBy("c").agg(F.min("n").alias("n")), "tgm-classes")
 
     # 1. tokens that classes share
     crowded = np.zeros(1 << SKETCH_BITS, bool)
@@ -310,19 +310,17 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     for r in sketch.mapInArrow(_crowded, "slice int, bits binary").collect():  # SLICES rows
         own = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
         crowded[r["slice"] * len(own):(r["slice"] + 1) * len(own)] = own
-    packed = described.where("kind = 2").select("n", "f1", "f2", "packed")
-    tokens = packed.mapInArrow(lambda b: _matrix(b, crowded, percent), "token long, cid long, n int, indexed boolean")
-    same = Window.partitionBy("token")
-    several = tokens.withColumn("lo", F.min("cid").over(same)).withColumn("hi", F.max("cid").over(same)).where("lo < hi").drop("lo", "hi")
-    several = written(several, "tgm-tokens").distinct()  # tokens of one class alone are dropped
-    able = several.groupBy("cid", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _least(F.ceil(percent * F.col("n") / 100)))
-    able = written(able.join(classes.select("c", F.col("n").cast("int").alias("n"), F.col("f1").alias("cid")), ["cid", "n"])
-                   .select("cid", "n", "c"), "tgm-able")
-    shared = written(several.join(able, ["cid", "n"]).select("token", "c", "n", "indexed"), "tgm-shared")
-    sets = packed.select(cell.alias("c"), F.col("packed").alias("tokens"))
+    packed = described.where("kind = 2").select(cell.alias("c"), "n", "packed")
+    tokens = packed.mapInArrow(lambda b: _matrix(b, crowded, percent), "token long, c long, n int, indexed boolean")
+    same, whole = Window.partitionBy("token"), Window.partitionBy("c")
+    # tokens of one class alone are dropped; copies from several tasks fall away where their token lies
+    several = tokens.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo < hi")
+    held = several.drop("lo", "hi").distinct().withColumn("held", F.count("*").over(whole))
+    shared = written(held.where(F.col("held") >= _least(F.ceil(percent * F.col("n") / 100))).drop("held"), "tgm-shared")
+    sets = packed.select("c", F.col("packed").alias("tokens"))
 
     # 2. groups about centres
-    groups = able.select("c", "n", F.col("c").alias("comp"))
+    groups = written(shared.select("c", "n", F.col("c").alias("comp")).distinct(), "tgm-able")
     edges = written(_with_centres(shared, sets, percent, spark), "tgm-edges")
     groups = _merged(groups, edges)
 
@@ -348,7 +346,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
         groups = groups if last else _merged(groups, found)
     whole = connected_components(edges).withColumnRenamed("node", "c")
     linked = classes.join(whole, "c", "left").select("c", "n", F.coalesce("component", "c").alias("comp"))
-    return rows.drop("f1"), written(linked, "tgm-linked")
+    return rows, written(linked, "tgm-linked")
 
 
 def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -48,6 +48,8 @@ PART_MEMBERS = 2000
 FILTER_BITS = 23
 _U = np.uint64
 _SET = "kind int, doc_id long, n long, f1 long, f2 long, t binary, slice int, packed binary"
+#: Hashes in a batch that leaves a worker (one set more at most).
+BATCH_HASHES = 1 << 19
 #: Sets that a task remembers having written.
 REMEMBERED = 1 << 19
 
@@ -94,8 +96,11 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     seen: set[tuple] = set()  # copies in a task are written once
     for b in batches:
-        rows = []
+        rows, held = [], 0
         for doc, text, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            if held > BATCH_HASHES:
+                yield _batch(rows, names, types)
+                rows, held = [], 0
             s = shingle_set(text.as_buffer().to_pybytes(), k)
             np.add.at(counts, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
             own = describe(s)
@@ -105,6 +110,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                     seen.clear()
                 seen.add(own)
                 rows.append((2, None, *own, None, None, s.tobytes()))
+                held += len(s)
         yield _batch(rows, names, types)
     if counts.any():
         for i, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)):
@@ -146,18 +152,25 @@ def prefix(s: np.ndarray, crowded: np.ndarray, percent: int) -> tuple[np.ndarray
 
 def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (c, n, packed) -> their prefix tokens."""
+    def batch(sets: list[tuple]) -> pa.RecordBatch:
+        each = [len(own) for own, *_ in sets]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([own for own, *_ in sets]).view(np.int64)),
+            pa.array(np.repeat(np.array([c for _, c, _, _ in sets], np.int64), each)),
+            pa.array(np.repeat(np.array([n for _, _, n, _ in sets], np.int32), each)),
+            pa.array(np.concatenate([np.arange(len(own)) < short for own, _, _, short in sets]))], names=["token", "c", "n", "indexed"])
+
     for b in batches:
-        tokens, cell, size, index = [], [], [], []
+        sets, held = [], 0
         for c, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             own, short = prefix(np.frombuffer(raw.as_buffer(), np.uint64), crowded, percent)
-            tokens.append(own)
-            cell.append(np.full(len(own), c, np.int64))
-            size.append(np.full(len(own), n, np.int32))
-            index.append(np.arange(len(own)) < short)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cell)), pa.array(np.concatenate(size)),
-                pa.array(np.concatenate(index))], names=["token", "c", "n", "indexed"])
+            sets.append((own, c, n, short))
+            held += len(own)
+            if held > BATCH_HASHES:
+                yield batch(sets)
+                sets, held = [], 0
+        if sets:
+            yield batch(sets)
 
 
 def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:

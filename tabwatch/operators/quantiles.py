@@ -1,9 +1,10 @@
 """Exact order statistics of whole columns by bracketing: no sort, no shuffle of the rows.
 
 1. One scan gives counts and one mergeable sketch a column; the sketch brackets every wanted rank.
-2. One scan counts the rows below and inside each bracket, which proves it (a bracket that
-   misses its rank is opened wider; one with more than ``MOST`` rows is bracketed again inside).
-3. One scan filters the rows inside, counts their distinct values and finds the ranks among those.
+2. One scan counts the rows below, inside and at both ends of each bracket, which proves it (a bracket
+   that misses its rank is opened wider; one with more than ``MOST`` rows is bracketed again inside).
+   A rank among the rows that equal an end has its value; columns of few values end here.
+3. For the ranks left, one scan filters the rows inside, counts their distinct values and finds the ranks among those.
 
 Every scan is a plain aggregate over the columns, the same at any size; what reaches the driver
 is one sketch a column and at most two values for each wanted place.
@@ -41,11 +42,13 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], wanted: Callable
     todo = _brackets(df, [(k, first[f"s{k[0]}"], k[1] / n[k[0]] - ERROR, (k[2] + 1) / n[k[0]] + ERROR) for k in keys])
     inside = lambda k, b: (x(k) >= b[0]) & (x(k) <= b[1])
     done: dict[tuple, tuple] = {}  # key -> bracket, rows below it
+    values: dict[str, dict[int, float]] = {name: {} for name in names}
     proven: dict[tuple, tuple] = {}  # key -> the last bracket that held its ranks, rows below and inside, next error
     while todo:
         own = list(todo.items())
         row = base.agg(*[F.count_if(x(k) < b[0]).alias(f"l{j}") for j, (k, b) in enumerate(own)],
-                       *[F.count_if(inside(k, b)).alias(f"i{j}") for j, (k, b) in enumerate(own)]).first()
+                       *[F.count_if(inside(k, b)).alias(f"i{j}") for j, (k, b) in enumerate(own)],
+                       *[F.count_if(x(k) == b[e]).alias(f"e{2 * j + e}") for j, (k, b) in enumerate(own) for e in (0, 1)]).first()
         todo, narrow = {}, []
         for j, (k, b) in enumerate(own):
             below, held = row[f"l{j}"], row[f"i{j}"]
@@ -57,6 +60,10 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], wanted: Callable
                 proven[k] = (last, below, held, 4 * wide)
             else:
                 proven[k] = (b, below, held, ERROR)
+                ends = [b[0] if r < below + row[f"e{2 * j}"] else b[1] if r >= below + held - row[f"e{2 * j + 1}"] else None for r in k[1:]]
+                if None not in ends:
+                    values[names[k[0]]].update((r, v + 0.0) for r, v in zip(k[1:], ends))  # 0.0 for -0.0, as grouping gives it
+                    continue
             b, below, held, wide = proven[k]
             if held > MOST and b[0] < b[1] and wide < 1:
                 narrow.append((k, (k[1] - below) / held - wide, (k[2] + 1 - below) / held + wide))
@@ -70,7 +77,6 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], wanted: Callable
                     done[k] = proven[k][:2]
                 else:
                     todo[k] = b
-    values: dict[str, dict[int, float]] = {name: {} for name in names}
     if done:
         own = list(done.items())
         near = base.where(_any([inside(k, b) for k, (b, _) in own]))

@@ -101,3 +101,21 @@ def test_a_feature_without_values_is_named(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, NAN)], "a double, b double")
     with pytest.raises(ValueError, match="b"):
         P.fit_preparation(df, ["a", "b"])
+
+
+def test_few_values_are_settled_by_counts_alone(spark, monkeypatch):
+    """Ranks among rows that equal an end of their bracket take no scan of the rows inside; others do, with the same values."""
+    collected, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: collected.append(df.columns) or collect(df))
+    monkeypatch.setattr(Q, "MOST", 50)
+    df = spark.range(4000).select((F.col("id") % 5).cast("double").alias("few"), (-F.col("id") % 2).cast("double").alias("two"),
+                                  F.when(F.col("id") % 3 > 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("zero"),
+                                  (F.col("id") * 7919 % 4001).cast("double").alias("many"))
+    rows, probs = df.toPandas(), [0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0]
+    collected.clear()
+    got = Q.column_quantiles(df, {c: F.col(c) for c in ("few", "two", "zero")}, probs)
+    assert collected and not any("upto" in columns for columns in collected) and all(str(v) == "0.0" for v in got["zero"])
+    got.update(Q.column_quantiles(df, {"many": F.col("many")}, probs))
+    assert any("upto" in columns for columns in collected)
+    for c in df.columns:
+        assert got[c] == pytest.approx(list(np.quantile(rows[c], probs))), c

@@ -51,9 +51,10 @@ def drop_invalid_targets(df: DataFrame, cols) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
-def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    """Exact duplicates over all columns (NULLs equal); keeps one row per group."""
-    return df.dropDuplicates()
+def drop_exact_duplicates(df: DataFrame, copies: str | None = None) -> DataFrame:
+    """Exact duplicates over all columns (NULLs equal); keeps one row per group, with the size of
+    the group in the column ``copies`` if one is named."""
+    return df.dropDuplicates() if copies is None else df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:

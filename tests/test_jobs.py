@@ -31,3 +31,19 @@ def test_run_preparation(spark):
     assert all(abs(means[c]) < 0.5 for c in params)      # standardised on train (after clipping)
     sections = {r.section for r in res.report.collect()}
     assert {"deduplication", "null_counts", "label_distribution_full", "shape_rows"} <= sections
+
+
+def test_run_preparation_reads_its_sources_once(spark, monkeypatch, tmp_path):
+    """The deduplication and its report share one grouping of the sources; copies and null cells count."""
+    from tabwatch.operators import clean as B
+
+    lines = ["Order Key;Quantity;Extended Price;Discount;Tax;Line Number"] + [f"{k};{k % 9};{k * 3};0.1;{'' if k % 4 else 0.2};{1 + k % 7}" for k in range(60)]
+    path = tmp_path / "raw.csv"
+    path.write_text("\n".join(lines + lines[1:11]) + "\n")
+    made, grouped = [], B.drop_exact_duplicates
+    monkeypatch.setattr(B, "drop_exact_duplicates", lambda df, **kw: made.append(kw) or grouped(df, **kw))
+    res = run_preparation(spark, [(str(path), "a")], RAW, FEATS, "Line Number", str(tmp_path / "out"))
+    told = {(r.section, r.key): r.value for r in res.report.collect()}
+    assert [told["deduplication", k] for k in ("rows_before_deduplication", "rows_after_deduplication", "duplicates_removed")] == [70.0, 60.0, 10.0]
+    assert told["null_counts", "tax"] == 45.0 and ("null_counts", "_copies") not in told
+    assert made == [{"copies": "_copies"}] and res.prepared.count() == 60

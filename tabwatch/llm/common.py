@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +45,21 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def gives_back(step: Callable) -> Callable:
+    """``step`` (batches to batches in a worker), after which freed memory goes back to the system: workers
+    are kept for later tasks, and what the allocators hold would stay with the executor."""
+    @functools.wraps(step)
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        yield from step(*args)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+
+    return run
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import prepare, tasks, utf8, written
+from tabwatch.llm.common import gives_back, prepare, tasks, utf8, written
 
 MU = 8.0
 #: Contexts are told apart by all 64 bits of the hash.
@@ -47,6 +47,8 @@ CLASSES = 1 << 64
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 30_000
 SHARD_TOKENS = 2_000_000
+#: Pairs that a shard looks up at once.
+FOUND = 1 << 18
 #: One row in SAMPLED is looked at for hot words; a hot word has more than this share of them.
 SAMPLED = 64
 HOT_SHARE = 1 / 500
@@ -112,15 +114,19 @@ class Trie:
     @classmethod
     def build(cls, context: np.ndarray, successor: np.ndarray, log10: np.ndarray, words: int) -> "Trie":
         """From distinct pairs sorted by (context, successor); successors are below ``words``."""
-        own, first = np.unique(context, return_index=True)
-        rank = np.repeat(np.arange(len(own)), np.diff(np.append(first, len(context))))
-        levels = [EliasFano.encode(x.astype(np.uint64)) for x in (
-            own, np.append(first, len(context)), rank * words + successor)]  # one sequence for all contexts
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        first = np.flatnonzero(new)
+        key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+        key *= words
+        key += successor
+        levels = [EliasFano.encode(x.astype(np.uint64, copy=False)) for x in (
+            context[first], np.append(first, len(context)), key.view(np.uint64))]  # one sequence for all contexts
         codes = np.clip(np.round((log10 / LEAST) * CODES), 0, CODES).astype("<u2").tobytes()
         parts = [p for x in levels for p in x[2:]] + [codes]
         head = np.array([*map(len, parts), *[v for x in levels for v in x[:2]]], "<i8")
         with tempfile.TemporaryFile() as file:  # of this task alone, and gone with it
-            file.write(head.tobytes() + b"".join(parts))
+            file.writelines([head.tobytes(), *parts])
             file.flush()
             return cls(file, words)
 
@@ -173,6 +179,7 @@ def _rows(columns: list, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+@gives_back
 def _totals(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, its distinct words) of each chunk, and (-1, training tokens and hot counts) of a task."""
     own = np.zeros(1 + len(hot), np.int64)
@@ -194,6 +201,7 @@ def _totals(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> I
     yield _rows([[-1], [own.astype("<i8").tobytes()]], names, types)
 
 
+@gives_back
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by part -> the number of distinct words of each part, and (with part -1) the added counts."""
     names, types = ["distinct", "counts"], [pa.int64(), pa.binary()]
@@ -221,6 +229,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+@gives_back
 def _hot_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, held, lengths, found in _chunks(batches):
         words, n = np.unique(found, return_counts=True)
@@ -229,6 +238,7 @@ def _hot_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ["word", "n", "all"], [pa.int64(), pa.int64(), pa.bool_()])
 
 
+@gives_back
 def _sent(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(shard, chunk, packed occurrences), and (-1, chunk, ids and held) for each chunk.
 
@@ -238,25 +248,28 @@ def _sent(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> It
     names, types = ["shard", "chunk", "packed", "doc_ids"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     for k, (ids, held, lengths, found) in enumerate(_chunks(batches)):
         chunk = TaskContext.get().partitionId() * (1 << 24) + k
-        doc = np.repeat(np.arange(len(ids)), lengths)
-        before = np.empty_like(found)
-        before[1:] = found[:-1]
-        before[np.cumsum(lengths) - lengths] = END
-        context = before
-        shard = (found >> _U(40)) % _U(shards)
-        spread = np.isin(found, hot)
+        doc = np.repeat(np.arange(len(ids), dtype=np.uint16), lengths)
+        context = np.empty_like(found)
+        context[1:] = found[:-1]
+        context[np.cumsum(lengths) - lengths] = END
+        shard = ((found >> _U(40)) % _U(shards)).astype(np.int32)
+        spread = np.flatnonzero(np.isin(found, hot))
         shard[spread] = ((found[spread] + context[spread] * _U(0xBF58476D1CE4E5B9)) >> _U(32)) % _U(shards)
-        shard = shard.astype(np.int64)
         yield _rows([[-1], [chunk], [(held.astype("u1").tobytes() + lengths.astype("<i8").tobytes())], [ids]], names, types)
-        order = np.lexsort((doc, context, found, shard))
-        shard, found, context, doc = shard[order], found[order], context[order], doc[order]
+        order = np.lexsort((context, found, shard))  # stable: documents stay in order
+        shard = shard[order]
+        found = found[order]
+        context = context[order]
+        doc = doc[order]
+        del order, spread
         new_word = np.append(True, (found[1:] != found[:-1]) | (shard[1:] != shard[:-1]))
         new_pair = new_word | np.append(True, context[1:] != context[:-1])
         new_doc = new_pair | np.append(True, doc[1:] != doc[:-1])
-        at = np.flatnonzero(new_doc)
-        times = np.diff(np.append(at, len(doc)))
-        new_word, new_pair, shard, found, context, doc = (x[at] for x in (new_word, new_pair, shard, found, context, doc))
-        doc = doc | np.where(held[doc], 1 << 15, 0)
+        times = np.diff(np.append(np.flatnonzero(new_doc), len(doc))).astype("<u4")
+        new_word, new_pair, shard, doc = new_word[new_doc], new_pair[new_doc], shard[new_doc], doc[new_doc]
+        found = found[new_doc]
+        context = context[new_doc]
+        doc |= np.where(held[doc], 1 << 15, 0).astype(np.uint16)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         for s, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             if lo == hi:
@@ -289,42 +302,70 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
 
 def _shard_scores(chunks: list[int], packed: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, known: float) -> Iterator[tuple]:
     """(chunk, documents, known tokens, sum of log10(c + 1), log10 of the numerators of P less log10(c + MU))."""
-    parts = [_unpack(x) for x in packed]
-    hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    pairs_of = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    contexts, context = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-    word = np.repeat(at, pairs_of)  # of each pair
-    del at, pairs_of
-    pair_count = np.concatenate([np.add.reduceat(np.where(p[4] < 1 << 15, p[5], 0), np.cumsum(p[3], dtype=np.int64) - p[3]) for p in parts])
+    words, pairs, contexts, counts = [], [], [], []
+    for raw in packed:  # occurrences are unpacked a chunk at a time, here and below
+        own, pairs_of, before, docs, d, times = _unpack(raw)
+        words.append(own)
+        pairs.append(pairs_of)
+        contexts.append(before)
+        counts.append(np.add.reduceat(np.where(d < 1 << 15, times, 0), np.cumsum(docs, dtype=np.int64) - docs))
+    del own, pairs_of, before, docs, d, times
+    hashes = np.unique(np.concatenate(words))
+    word = np.concatenate([np.repeat(np.searchsorted(hashes, own).astype(np.int32), n) for own, n in zip(words, pairs)])  # of each pair
+    pair_count = np.concatenate(counts)
+    own_contexts = np.unique(np.concatenate(contexts))
+    context = np.concatenate([np.searchsorted(own_contexts, x).astype(np.int32) for x in contexts])
+    del words, pairs, contexts, counts
     count = np.bincount(word, weights=pair_count, minlength=len(hashes))
     place = np.minimum(np.searchsorted(hot, hashes), max(0, len(hot) - 1))
     is_hot = hot[place] == hashes if len(hot) else np.zeros(len(hashes), bool)
     if len(hot):
         count = np.where(is_hot, hot_counts[place], count)
     one = (count + 1) / known
-    key = context * len(hashes) + word
-    seen, back = np.unique(key[pair_count > 0], return_inverse=True)
-    both = np.bincount(back, weights=pair_count[pair_count > 0], minlength=len(seen))
-    k, w = np.divmod(seen, len(hashes))
-    top = float(np.log10(max(1.0, (both + MU * one[w]).max(initial=0))))  # codes stand for logarithms up to 0
-    trie = Trie.build(contexts[k], w, np.log10(both + MU * one[w]) - top, len(hashes))
-    value = trie.find(contexts[context], word) + top
-    del trie, key, seen, back, both, k, w, context, contexts
-    unseen = np.isnan(value)
+    trie, top = _trie(own_contexts, context, word, pair_count, one)
+    del pair_count
+    value = np.empty(len(word))
+    for lo in range(0, len(word), FOUND):
+        own = slice(lo, lo + FOUND)
+        value[own] = trie.find(own_contexts[context[own]], word[own])
+    del trie, context, own_contexts
+    value += top
+    unseen = np.flatnonzero(np.isnan(value))
     value[unseen] = np.log10(MU * one[word[unseen]])
     value -= np.log10(count + MU)[word]  # stands for the context's: see above
     base, is_known = np.log10(count + 1), count > 0
     pair = 0
-    for chunk, p in zip(chunks, parts):
-        own = slice(pair, pair + len(p[3]))
+    for chunk, raw in zip(chunks, packed):
+        *_, each, d, n = _unpack(raw)
+        own = slice(pair, pair + len(each))
         pair = own.stop
-        of = np.repeat(np.arange(own.start, own.stop), p[3])
-        d, n = p[4] & 0x7FFF, p[5]
-        docs, d = np.unique(d, return_inverse=True)
+        of = np.repeat(np.arange(own.start, own.stop), each)
+        docs, d = np.unique(d & 0x7FFF, return_inverse=True)
         add = lambda x: np.bincount(d, weights=n * x, minlength=len(docs))  # noqa: E731,B023
         yield chunk, docs, add(is_known[word[of]]), add(base[word[of]]), add(value[of])
 
 
+def _trie(contexts: np.ndarray, context: np.ndarray, word: np.ndarray, pair_count: np.ndarray, one: np.ndarray) -> tuple[Trie, float]:
+    """The trie of the pairs that were seen in training, and what its codes leave out of the logarithms."""
+    key = context[pair_count > 0].astype(np.int64)
+    key *= len(one)
+    key += word[pair_count > 0]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    both = np.add.reduceat(pair_count[pair_count > 0][order], first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+    key = key[first]
+    del order, new, first
+    value = (key % len(one)).astype(np.int32)
+    key //= len(one)
+    both = both + MU * one[value]
+    top = float(np.log10(max(1.0, both.max(initial=0))))  # codes stand for logarithms up to 0
+    return Trie.build(contexts[key], value, np.log10(both) - top, len(one)), top
+
+
+@gives_back
 def _shards(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_counts: np.ndarray, known: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (shard, chunk) -> sums of each (shard, chunk); rows of shard -1 pass through."""
     names = ["chunk", "sums", "packed", "doc_ids"]
@@ -351,6 +392,7 @@ def _shards(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_counts: np.n
         yield from done()
 
 
+@gives_back
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by chunk, its documents first -> one row a document."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"]

@@ -98,3 +98,29 @@ def test_edges(spark):
     check(spark, [(1, "only held out", "s", True)])
     empty = spark.createDataFrame([], "doc_id long, text string, held_out boolean")
     assert eftrie.score_texts(empty).count() == 0
+
+
+def test_a_chunk_and_a_shard_stay_small(monkeypatch):
+    """Peak of numpy's memory per token of a chunk, and per occurrence of a shard (before: 163 and 177 bytes, now 102 and 61)."""
+    import tracemalloc
+
+    class Context:
+        get = staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())
+
+    def peak(rows):
+        tracemalloc.start()
+        try:
+            return [*rows()], tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    monkeypatch.setattr(eftrie, "TaskContext", Context)
+    n, hot = 400_000, np.array([], np.uint64)
+    found = (np.random.default_rng(1).integers(1, 60_000, n).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    one = list(range(n // 400)), np.arange(n // 400) % 7 == 2, np.full(n // 400, 400), found
+    monkeypatch.setattr(eftrie, "_chunks", lambda batches: iter([one]))
+    _, most = peak(lambda: (None for _ in eftrie._sent([], 20, hot)))
+    assert most < 130 * n
+    packed = [r["packed"][0].as_py() for r in eftrie._sent([], 1, hot) if r["shard"][0].as_py() == 0] * 2
+    _, most = peak(lambda: (None for _ in eftrie._shard_scores([0, 1], packed, hot, np.array([], np.int64), 1e8)))
+    assert most < 100 * 2 * n

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import prepare, utf8
+from tabwatch.llm.common import give_back, prepare, utf8
 
 BUCKETS = 1 << 17
 DIM = 16
@@ -188,5 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         words = _Words(shared.value.weights)
         for batch in batches:
             yield pd.Series(scores([bytes(x) for x in batch], shared.value, words))
+        del words
+        give_back()
 
     return docs.withColumn("score", scored(utf8("text")))

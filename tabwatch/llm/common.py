@@ -48,16 +48,21 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers are kept for later tasks, and what the allocators
+    hold would stay with the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def gives_back(step: Callable) -> Callable:
-    """``step`` (batches to batches in a worker), after which freed memory goes back to the system: workers
-    are kept for later tasks, and what the allocators hold would stay with the executor."""
+    """``step`` (batches to batches in a worker), after which freed memory goes back."""
     @functools.wraps(step)
     def run(*args) -> Iterator[pa.RecordBatch]:
         yield from step(*args)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return run
 

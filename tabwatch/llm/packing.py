@@ -18,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import bounded_broadcast, prepare, utf8, written
+from tabwatch.llm.common import bounded_broadcast, gives_back, prepare, utf8, written
 from tabwatch.llm.tokens import encoder
 
 #: Rows of one length that are ranked together in a task.
 RANKED = 200_000
+#: Texts that are encoded at once.
+ENCODED = 500
 #: Rows of the offsets table (24 bytes each) up to which it is broadcast.
 MOST_OFFSETS = 200_000
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,11 +71,12 @@ def best_fit_plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int
     return slots
 
 
+@gives_back
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: bytes) -> Iterator[pa.RecordBatch]:
     enc, uid = encoder(path), TaskContext.get().partitionId() << 40
     types = [("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
              ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    for batch in batches:
+    for batch in (b.slice(at, ENCODED) for b in batches for at in range(0, b.num_rows, ENCODED)):
         out = []
         for doc, found in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1))):
             ids = memoryview(found.tobytes() + end)

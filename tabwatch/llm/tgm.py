@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwatch.llm.common import connected_components, prepare, tasks, utf8, written
+from tabwatch.llm.common import connected_components, gives_back, prepare, tasks, utf8, written
 
 #: Buckets of the count sketch (two bytes each a task, one bit each when broadcast), in slices.
 SKETCH_BITS = 21
@@ -90,6 +90,7 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+@gives_back
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     names = ["kind", "doc_id", "n", "f1", "f2", "t", "slice", "packed"]
     types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
@@ -117,6 +118,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield _batch([(1, None, 0, 0, 0, None, i, part.tobytes())], names, types)
 
 
+@gives_back
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bits of the buckets far above the mean of their slice; rows come sorted by slice."""
     at, total = None, None
@@ -150,6 +152,7 @@ def prefix(s: np.ndarray, crowded: np.ndarray, percent: int) -> tuple[np.ndarray
     return np.concatenate([s[~late], s[late]])[:probe], index
 
 
+@gives_back
 def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (c, n, packed) -> their prefix tokens."""
     def batch(sets: list[tuple]) -> pa.RecordBatch:
@@ -173,6 +176,7 @@ def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int
             yield batch(sets)
 
 
+@gives_back
 def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (c, tokens) whose c is in the filter."""
     for b in batches:
@@ -185,9 +189,11 @@ class _Members:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        tokens = np.concatenate(sets)
         order = np.argsort(tokens, kind="stable")
-        self.tokens, self.owner = tokens[order], owner[order]
+        self.tokens = tokens[order]
+        del tokens
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
 
     def near(self, s: np.ndarray, percent: int) -> np.ndarray:
         """Which members are linked with ``s``."""
@@ -201,6 +207,7 @@ class _Members:
 _EDGE = (["a", "b"], [pa.int64(), pa.int64()])
 
 
+@gives_back
 def _opened(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, role, comp, tokens) sorted by part and role: members, then queries -> edges."""
     at, group, sets, index, closed = None, None, [], None, set()
@@ -213,9 +220,10 @@ def _opened(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 group = comp
                 sets.append(np.frombuffer(raw, np.uint64))
                 continue
-            if comp in closed or not sets:
+            if comp in closed or not (sets or index):
                 continue
-            index = index or _Members(sets)
+            if index is None:  # which holds all that the sets hold
+                index, sets = _Members(sets), []
             if len(index.near(np.frombuffer(raw, np.uint64), percent)):
                 closed.add(comp)
                 edges.append((group, comp))

@@ -63,3 +63,30 @@ def test_documents_are_packed_whole(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert packing.pack_documents(documents(spark, []), FILE, 64, 0).count() == 0
+
+
+def test_few_texts_are_encoded_at_once(monkeypatch):
+    """A large batch is encoded in slices, and gives the pieces that its rows give one by one."""
+    import pyarrow as pa
+
+    sizes, real = [], packing.encoder
+
+    class Seen:
+        def __init__(self, path):
+            self.own = real(path)
+
+        def batch(self, texts):
+            sizes.append(len(texts))
+            return self.own.batch(texts)
+
+    class Context:
+        get = staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})())
+
+    monkeypatch.setattr(packing, "encoder", Seen)
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    texts = [f"text number {k} of the batch " * (k % 9) for k in range(1300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], names=["doc_id", "text"])
+    rows = lambda batches: pa.Table.from_batches(packing._pieces(iter(batches), vocabulary("word_bpe_49k.json"), 20, b"\0\0\0\0")).to_pylist()
+    whole = rows([batch])
+    assert max(sizes) <= 500 and sum(sizes) == 1300
+    assert whole == rows([batch.slice(k, 1) for k in range(1300)])

@@ -109,3 +109,19 @@ def test_one_row_of_each_component_stays(spark):
     got = tgm.one_of_each(docs, 4, 85, ["doc_id", "text"]).collect()
     want = [(3, a), (5, b), (7, c), (7, "quite another text"), (8, None), (8, "here are words"), (8, None), (None, a)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_an_index_of_members_stays_small():
+    """Peak of numpy's memory per token of an index of sets (before: 40 bytes, now 24)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64)) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        index = tgm._Members(sets)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 36 * sum(map(len, sets))
+    assert index.near(sets[7], 85).tolist() == [7]

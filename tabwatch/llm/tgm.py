@@ -6,8 +6,10 @@ class. Then:
 1. Tokens: each class gives the tokens of its prefix in a global order (tokens of crowded buckets
    of a count sketch over all documents last, then by hash). A pair of linked sets shares at least
    c(n) of them, c(n) = 1 + n * EXTRA // 100 for the smaller size n; classes that share fewer with
-   all others together hold no link and are done. Sets are computed from the texts once and written;
-   only those of classes in a pair within the bound are read again and travel.
+   all others together hold no link and are done. The sets of the others alone are written, one a
+   class; their tokens are counted exactly, and the prefixes taken anew with the tokens of more than
+   HEAVY classes after all others (before the crowded ones), so that a passage that many texts share
+   does not pair them. Any order that is the same for all sets is right.
 2. Groups: every token has a centre, the class of smallest hash among those that hold it. A class is
    compared with the centre that most of its tokens name; linked ones become one group, so that a
    cluster of near copies is a group from here on and not a pair for every two of its members.
@@ -27,6 +29,7 @@ Sets are equal if their sizes and two 64-bit sums over them are; n-grams if thei
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +50,10 @@ PART_MEMBERS = 2000
 #: Bits of the filter that spares documents of no group; it only ever lets more through.
 FILTER_BITS = 23
 _U = np.uint64
-_SET = "kind int, doc_id long, n long, f1 long, f2 long, t binary, slice int, packed binary"
+_SET = "kind int, doc_id long, n long, c long, t binary, slice int, packed binary"
+_TOKENS = "token long, c long, n int, indexed boolean"
+#: Classes that may hold a token before it is moved to the end of the order.
+HEAVY = 8
 #: Hashes in a batch that leaves a worker (one set more at most).
 BATCH_HASHES = 1 << 19
 #: Sets that a task remembers having written.
@@ -85,6 +91,11 @@ def describe(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), _sum(_mix(s, 0x2545F4914F6CDD1D)), _sum(_mix(s, 0x369DEA0F31A53F85))
 
 
+def class_of(own: tuple[int, int, int]) -> int:
+    """The class of a set, from its description."""
+    return int.from_bytes(xxhash.xxh3_64_digest(struct.pack("<3q", *own)), "little", signed=True)
+
+
 def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -92,30 +103,54 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 @gives_back
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "doc_id", "n", "f1", "f2", "t", "slice", "packed"]
-    types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int32(), pa.binary()]
+    names = ["kind", "doc_id", "n", "c", "t", "slice", "packed"]
+    types = [pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.int32(), pa.binary()]
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    seen: set[tuple] = set()  # copies in a task are written once
     for b in batches:
-        rows, held = [], 0
+        rows = []
         for doc, text, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-            if held > BATCH_HASHES:
-                yield _batch(rows, names, types)
-                rows, held = [], 0
             s = shingle_set(text.as_buffer().to_pybytes(), k)
             np.add.at(counts, (s >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            own = describe(s)
-            rows.append((0, doc, *own, t, None, None))
-            if doc is not None and len(s) and own not in seen:
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                seen.add(own)
-                rows.append((2, None, *own, None, None, s.tobytes()))
-                held += len(s)
+            rows.append((0, doc, len(s), class_of(describe(s)) if doc is not None and len(s) else None, t, None, None))
         yield _batch(rows, names, types)
     if counts.any():
         for i, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), SLICES)):
-            yield _batch([(1, None, 0, 0, 0, None, i, part.tobytes())], names, types)
+            yield _batch([(1, None, 0, None, None, i, part.tobytes())], names, types)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Rows (text) -> lists of (c, set), bounded; copies in a task come once."""
+    seen: set[int] = set()
+    for b in batches:
+        sets, held = [], 0
+        for text in b.column(0):
+            s = shingle_set(text.as_buffer().to_pybytes(), k)
+            c = class_of(describe(s))
+            if not len(s) or c in seen:
+                continue
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.add(c)
+            sets.append((c, s))
+            held += len(s)
+            if held > BATCH_HASHES:
+                yield sets
+                sets, held = [], 0
+        if sets:
+            yield sets
+
+
+@gives_back
+def _packed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for sets in _sets(batches, k):
+        yield _batch([(c, len(s), s.tobytes()) for c, s in sets], ["c", "n", "packed"], [pa.int64(), pa.int64(), pa.binary()])
+
+
+@gives_back
+def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.as_buffer(), np.int64))], names=["key"])
 
 
 @gives_back
@@ -142,46 +177,60 @@ def extra(n: int) -> int:
     return 1 + n * EXTRA // 100
 
 
-def prefix(s: np.ndarray, crowded: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The tokens of the (longer) probing prefix in the global order, and how many of them the
-    indexing prefix has."""
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (unsigned) are in a bitmap over leading bits."""
+    lead = keys >> _U(64 - FILTER_BITS)
+    return (bits[(lead >> _U(3)).astype(np.int64)] & (128 >> (lead & _U(7)).astype(np.int64))) > 0
+
+
+def prefix(s: np.ndarray, crowded: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The tokens of the (longer) probing prefix in the global order (those in the bitmap ``heavy``
+    and then the crowded ones last), and how many of them the indexing prefix has."""
     n = len(s)
     late = crowded[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
     probe = min(n, n + (-percent * n // 100) + extra(n))
     index = min(n, n + (-2 * percent * n // (100 + percent)) + extra(n))
-    return np.concatenate([s[~late], s[late]])[:probe], index
+    often = _marked(heavy, s) & ~late if heavy is not None else np.zeros(n, bool)
+    return np.concatenate([s[~late & ~often], s[often], s[late]])[:probe], index
+
+
+def _prefixes(sets: list[tuple[int, np.ndarray]], crowded: np.ndarray, percent: int, heavy: np.ndarray | None) -> pa.RecordBatch:
+    cut = [prefix(s, crowded, percent, heavy) for _, s in sets]
+    each = [len(own) for own, _ in cut]
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([own for own, _ in cut]).view(np.int64)),
+        pa.array(np.repeat(np.array([c for c, _ in sets], np.int64), each)),
+        pa.array(np.repeat(np.array([len(s) for _, s in sets], np.int32), each)),
+        pa.array(np.concatenate([np.arange(len(own)) < short for own, short in cut]))], names=["token", "c", "n", "indexed"])
 
 
 @gives_back
-def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (c, n, packed) -> their prefix tokens."""
-    def batch(sets: list[tuple]) -> pa.RecordBatch:
-        each = [len(own) for own, *_ in sets]
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([own for own, *_ in sets]).view(np.int64)),
-            pa.array(np.repeat(np.array([c for _, c, _, _ in sets], np.int64), each)),
-            pa.array(np.repeat(np.array([n for _, _, n, _ in sets], np.int32), each)),
-            pa.array(np.concatenate([np.arange(len(own)) < short for own, _, _, short in sets]))], names=["token", "c", "n", "indexed"])
+def _first_tokens(batches: Iterator[pa.RecordBatch], k: int, crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (text) -> the prefix tokens of their sets."""
+    for sets in _sets(batches, k):
+        yield _prefixes(sets, crowded, percent, None)
+
 
+@gives_back
+def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (c, packed) -> their prefix tokens."""
     for b in batches:
         sets, held = [], 0
-        for c, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            own, short = prefix(np.frombuffer(raw.as_buffer(), np.uint64), crowded, percent)
-            sets.append((own, c, n, short))
-            held += len(own)
+        for c, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            sets.append((c, np.frombuffer(raw.as_buffer(), np.uint64)))
+            held += len(sets[-1][1])
             if held > BATCH_HASHES:
-                yield batch(sets)
+                yield _prefixes(sets, crowded, percent, heavy)
                 sets, held = [], 0
         if sets:
-            yield batch(sets)
+            yield _prefixes(sets, crowded, percent, heavy)
 
 
 @gives_back
 def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (c, tokens) whose c is in the filter."""
+    """Rows whose first column, a hash, is in the filter."""
     for b in batches:
-        lead = b.column(0).to_numpy().view(np.uint64) >> _U(64 - FILTER_BITS)
-        yield b.filter(pa.array((bits[(lead >> _U(3)).astype(np.int64)] & (128 >> (lead & _U(7)).astype(np.int64))) > 0))
+        yield b.filter(pa.array(_marked(bits, b.column(0).to_numpy().view(np.uint64))))
 
 
 class _Members:
@@ -236,7 +285,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
     lead = f"shiftrightunsigned(key, {64 - FILTER_BITS})"
     words = keys.select(F.expr(f"cast(shiftright({lead}, 3) as int)").alias("byte"),
                         F.expr(f"shiftright(128, cast({lead} & 7 as int))").alias("bit"))
-    for r in words.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+    for r in words.groupBy("byte").agg(F.bit_or("bit").alias("bits")).coalesce(4).toLocalIterator():  # a job a partition
         bits[r["byte"]] = r["bits"]
     return bits
 
@@ -251,6 +300,12 @@ def _fits(least, most, least_indexed, most_indexed, percent: int) -> F.Column:
     return (F.col(least_indexed) <= F.col(most)) & (100 * F.col(most_indexed) >= percent * F.col(least))
 
 
+def _several(tokens: DataFrame) -> DataFrame:
+    """``tokens`` (token, c, ...) without those of one class alone."""
+    same = Window.partitionBy("token")
+    return tokens.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo < hi").drop("lo", "hi")
+
+
 def _with_centres(shared: DataFrame, sets: DataFrame, percent: int, spark) -> DataFrame:
     """Edges between classes and the centre that most of their tokens name, where they are linked."""
     centres = shared.groupBy("token").agg(F.min_by(F.struct("c", "n"), F.xxhash64("c")).alias("centre"))
@@ -269,11 +324,10 @@ def _with_centres(shared: DataFrame, sets: DataFrame, percent: int, spark) -> Da
 
 def _compared(routes: DataFrame, sets: DataFrame, percent: int, spark) -> DataFrame:
     """Routes (part, role, comp, c): in each part the sets of members (role 0) are compared with those of
-    queries (role 1). A filter spares the shuffle of sets that no route names; a set that travels is
-    shuffled twice, to its class and to its parts."""
+    queries (role 1). A filter spares the shuffle of sets that no route names."""
     routes = written(routes, "tgm-routes")
     bits = _filter(routes.select(F.col("c").alias("key")))
-    near = sets.mapInArrow(lambda b: _let_through(b, bits), "c long, tokens binary").dropDuplicates(["c"])
+    near = sets.mapInArrow(lambda b: _let_through(b, bits), "c long, tokens binary")
     rows = routes.join(near, "c").select("part", "role", "comp", "tokens")
     return rows.repartition(2 * tasks(spark), "part").sortWithinPartitions("part", "role", "comp").mapInArrow(
         lambda b: _opened(b, percent), "a long, b long")
@@ -320,28 +374,37 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    described = written(texts.withColumn("t", F.unhex(F.md5("text"))).mapInArrow(lambda b: _describe(b, k), _SET), "tgm-sets")
-    cell = F.xxhash64("n", "f1", "f2")
-    rows = described.where("kind = 0").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), cell).alias("c"), "t")
+    described = written(texts.withColumn("t", F.unhex(F.md5("text"))).mapInArrow(lambda b: _describe(b, k), _SET), "tgm-rows")
+    rows = described.where("kind = 0").select("doc_id", "n", "c", "t")
     classes = written(rows.where("c is not null").groupBy("c").agg(F.min("n").alias("n")), "tgm-classes")
 
-    # 1. tokens that classes share
+    # 1. tokens that classes share, in prefixes by the sketch: which classes may hold a link
     crowded = np.zeros(1 << SKETCH_BITS, bool)
     sketch = described.where("kind = 1").select("slice", "packed").repartition(SLICES, "slice").sortWithinPartitions("slice")
     for r in sketch.mapInArrow(_crowded, "slice int, bits binary").collect():  # SLICES rows
         own = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
         crowded[r["slice"] * len(own):(r["slice"] + 1) * len(own)] = own
-    packed = described.where("kind = 2").select(cell.alias("c"), "n", "packed")
-    tokens = packed.mapInArrow(lambda b: _matrix(b, crowded, percent), "token long, c long, n int, indexed boolean")
-    same, whole = Window.partitionBy("token"), Window.partitionBy("c")
-    # tokens of one class alone are dropped; copies from several tasks fall away where their token lies
-    several = tokens.withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).where("lo < hi")
-    held = several.drop("lo", "hi").distinct().withColumn("held", F.count("*").over(whole))
+    first = texts.where("doc_id is not null").select("text").mapInArrow(lambda b: _first_tokens(b, k, crowded, percent), _TOKENS)
+    # copies from several tasks fall away where their token lies
+    held = _several(first).select("token", "c", "n").distinct().groupBy("c", "n").agg(F.count("*").alias("held"))
+    able = written(held.where(F.col("held") >= _least(F.ceil(percent * F.col("n") / 100))).select("c"), "tgm-able")
+    # one set of each, from a text of each
+    one = rows.join(able, "c").groupBy("c").agg(F.min("t").alias("t"))
+    bits = _filter(one.select(F.xxhash64("t").alias("key")))
+    near = texts.where("doc_id is not null").select(F.xxhash64(F.unhex(F.md5("text"))).alias("key"), "text").mapInArrow(
+        lambda b: _let_through(b, bits), "key long, text binary")
+    sets = near.select("text").mapInArrow(lambda b: _packed(b, k), "c long, n long, packed binary")
+    sets = written(sets.join(able, "c", "left_semi").dropDuplicates(["c"]), "tgm-sets")
+    # prefixes anew, by the exact number of classes that hold a token
+    often = sets.select("packed").mapInArrow(_all_tokens, "key long").groupBy("key").agg(F.count("*").alias("classes"))
+    heavy = _filter(often.where(F.col("classes") > HEAVY))
+    tokens = _several(sets.select("c", "packed").mapInArrow(lambda b: _matrix(b, crowded, percent, heavy), _TOKENS))
+    held = tokens.withColumn("held", F.count("*").over(Window.partitionBy("c")))
     shared = written(held.where(F.col("held") >= _least(F.ceil(percent * F.col("n") / 100))).drop("held"), "tgm-shared")
-    sets = packed.select("c", F.col("packed").alias("tokens"))
+    sets = sets.select("c", F.col("packed").alias("tokens"))
 
     # 2. groups about centres
-    groups = written(shared.select("c", "n", F.col("c").alias("comp")).distinct(), "tgm-able")
+    groups = written(shared.select("c", "n", F.col("c").alias("comp")).distinct(), "tgm-groups")
     edges = written(_with_centres(shared, sets, percent, spark), "tgm-edges")
     groups = _merged(groups, edges)
 

@@ -125,3 +125,16 @@ def test_an_index_of_members_stays_small():
         tracemalloc.stop()
     assert most < 36 * sum(map(len, sets))
     assert index.near(sets[7], 85).tolist() == [7]
+
+
+def test_a_passage_of_many_texts_pairs_none_of_them(spark, monkeypatch):
+    """Each twelve of 60 unrelated texts share a passage: its tokens come last in the prefixes, so the joins
+    on tokens see none of it (before: every two of the twelve)."""
+    rng = random.Random(6)
+    passage = lambda d: [f"p{d // 12}x{k}" for k in range(60)]
+    rows = [(d, " ".join([f"w{d}x{k}" for k in range(60)] + passage(d) + [f"v{d // 2}x{k}" for k in range(30)]), "s") for d in range(60)]
+    rows += [(100 + d, rows[d][1] + " end" * rng.randint(1, 2), "s") for d in range(5)]
+    seen, write = {}, tgm.written
+    monkeypatch.setattr(tgm, "written", lambda df, name: seen.setdefault(name, []).append(write(df, name)) or seen[name][-1])
+    assert told(tgm.jaccard_components(documents(spark, rows), 4, 85)) == brute(rows, 4, 85)
+    assert [df.groupBy("token").count().where("count > 2").count() for df in seen["tgm-matrix"]] == [0, 0]

@@ -146,3 +146,24 @@ def test_stream_events_are_one_a_row(spark):
     assert got.count() == got.select("prediction_id").distinct().count() == li.count()
     assert got.where("predicted_class is null or features is null or created_at is null").count() == 0
 
+
+
+def test_feedback_beyond_the_state_is_dealt_over_streams(spark, monkeypatch, tmp_path):
+    """With room for 40 rows of state, 150 rows go through several streams and give what one gives
+    (before: one stream, whose state held every row)."""
+    import datetime
+
+    from tabwatch.plans import q_streams
+
+    day = datetime.datetime(1995, 1, 1)
+    orders = [(k if k != 7 else None, day + datetime.timedelta(days=k), k) for k in range(50)] + [(3, day, 1), (None, day, 2)]
+    items = [(k % 60 if k % 17 else None, k % 5, day + datetime.timedelta(days=k % 90), "A", "F", k, k) for k in range(100)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp_ntz, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_returnflag string, l_linestatus string, "
+                          "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    one = sorted(map(str, q_streams.q_attach_feedback_stream(spark, str(tmp_path)).collect()))
+    streams, attach = [], q_streams.ST.attach_feedback_stream
+    monkeypatch.setattr(q_streams.ST, "attach_feedback_stream", lambda *a, **k: streams.append(a) or attach(*a, **k))
+    monkeypatch.setattr(q_streams, "STATE_ROWS", 40, raising=False)
+    assert sorted(map(str, q_streams.q_attach_feedback_stream(spark, str(tmp_path)).collect())) == one
+    assert len(one) == 52 and len(streams) == 4

@@ -119,7 +119,7 @@ class Encoder:
         own = pa.array([whole[k] for k in fast], pa.large_string())
         cut = pc.utf8_split_whitespace(pc.utf8_lower(own)) if self.lower else pc.split_pattern(own, " ")
         ends, coded = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
-        at, strings = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at, strings = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = [self.chunks[x] for x in strings]
         if not self.lower:  # the first chunk of a text has no space before it
             at = at.copy()

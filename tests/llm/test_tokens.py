@@ -27,3 +27,20 @@ def test_boundaries_count_the_ids_before():
         at, before = enc.boundaries(text)
         for p, n in zip(at.tolist(), before.tolist()):
             assert len(enc.library.encode(text[:p], add_special_tokens=False).ids) == n
+
+
+def test_each_distinct_string_of_a_batch_is_asked_for_once(monkeypatch):
+    """The strings that Arrow tells apart reach the cache as Python strings, each once, in any alphabet."""
+    enc = encoder(vocabulary("byte_bpe_50k.json"))
+    texts = ["", "a", "naïve café naïve", "two two words", "tab\there", "été 12 été"]
+    asked = []
+
+    class Seen(dict):
+        def __missing__(self, x):
+            asked.append(x)
+            return enc._chunk(x)
+
+    monkeypatch.setattr(enc, "chunks", Seen())
+    got = enc.batch(pa.array([t.encode() for t in texts], pa.binary()))
+    assert [x.tolist() for x in got] == [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(type(x) is str for x in asked) and "naïve" in asked

@@ -8,8 +8,8 @@ class. Then:
    c(n) of them, c(n) = 1 + n * EXTRA // 100 for the smaller size n; classes that share fewer with
    all others together hold no link and are done. The sets of the others alone are written, one a
    class; their tokens are counted exactly, and the prefixes taken anew with the tokens of more than
-   HEAVY classes after all others (before the crowded ones), so that a passage that many texts share
-   does not pair them. Any order that is the same for all sets is right.
+   HEAVY classes after all others, in steps (before the crowded ones), so that a passage that many
+   texts share does not pair them. Any order that is the same for all sets is right.
 2. Groups: every token has a centre, the class of smallest hash among those that hold it. A class is
    compared with the centre that most of its tokens name; linked ones become one group, so that a
    cluster of near copies is a group from here on and not a pair for every two of its members.
@@ -19,7 +19,9 @@ class. Then:
    group, which is opened: exact intersections, and the pair is closed at its first link.
 4. The matrix is opened twice: first every token pairs its groups with the largest of them only;
    what links is merged and the matrix keyed anew by the merged groups; then all pairs that are
-   left within the bound are opened.
+   left are opened. The last matrix has the prefixes for one shared token alone (c = 1): a variant
+   of a text that isn't linked with it holds as many tokens beside the text's as it indexes, so
+   that many variants, each just too far from the text, don't pair each other over the text's tokens.
 
 Prefix lengths: with sizes n <= m and overlap >= t/(1+t) (n+m), the first n - ceil(2t/(1+t) n) +
 c(n) tokens of the smaller and m - ceil(t m) + c(m) of the larger set share at least c(n).
@@ -51,9 +53,9 @@ PART_MEMBERS = 2000
 FILTER_BITS = 23
 _U = np.uint64
 _SET = "kind int, doc_id long, n long, c long, t binary, slice int, packed binary"
-_TOKENS = "token long, c long, n int, indexed boolean"
-#: Classes that may hold a token before it is moved to the end of the order.
-HEAVY = 8
+_TOKENS = "token long, c long, n int, indexed boolean, first int"
+#: Classes that may hold a token before it is moved towards the end of the order, step by step.
+HEAVY = (8, 64, 512, 4096)
 #: Hashes in a batch that leaves a worker (one set more at most).
 BATCH_HASHES = 1 << 19
 #: Sets that a task remembers having written.
@@ -141,8 +143,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int,
 
 
 @gives_back
-def _packed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for sets in _sets(batches, k):
+def _packed(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) whose key is in the filter -> their sets, in one worker: a second one a task would
+    stay with the executor, and later steps would fill it too."""
+    for sets in _sets((b.select(["text"]) for b in _through(batches, bits)), k):
         yield _batch([(c, len(s), s.tobytes()) for c, s in sets], ["c", "n", "packed"], [pa.int64(), pa.int64(), pa.binary()])
 
 
@@ -177,42 +181,51 @@ def extra(n: int) -> int:
     return 1 + n * EXTRA // 100
 
 
+def lengths(n: int, percent: int, c: int) -> tuple[int, int]:
+    """Tokens of the probing and of the indexing prefix of a set of n, so that linked sets share c of them."""
+    return min(n, n + (-percent * n // 100) + c), min(n, n + (-2 * percent * n // (100 + percent)) + c)
+
+
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys (unsigned) are in a bitmap over leading bits."""
     lead = keys >> _U(64 - FILTER_BITS)
     return (bits[(lead >> _U(3)).astype(np.int64)] & (128 >> (lead & _U(7)).astype(np.int64))) > 0
 
 
-def prefix(s: np.ndarray, crowded: np.ndarray, percent: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """The tokens of the (longer) probing prefix in the global order (those in the bitmap ``heavy``
-    and then the crowded ones last), and how many of them the indexing prefix has."""
+def prefix(s: np.ndarray, crowded: np.ndarray, percent: int, heavy: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, int]:
+    """The tokens of the (longer) probing prefix in the global order (those in more of the bitmaps
+    ``heavy`` later, the crowded ones last), and how many of them the indexing prefix has."""
     n = len(s)
     late = crowded[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-    probe = min(n, n + (-percent * n // 100) + extra(n))
-    index = min(n, n + (-2 * percent * n // (100 + percent)) + extra(n))
-    often = _marked(heavy, s) & ~late if heavy is not None else np.zeros(n, bool)
-    return np.concatenate([s[~late & ~often], s[often], s[late]])[:probe], index
+    probe, index = lengths(n, percent, extra(n))
+    place = np.where(late, len(heavy) + 1, sum((_marked(bits, s).astype(np.int8) for bits in heavy), np.zeros(n, np.int8)))
+    return s[np.argsort(place, kind="stable")[:probe]], index
 
 
-def _prefixes(sets: list[tuple[int, np.ndarray]], crowded: np.ndarray, percent: int, heavy: np.ndarray | None) -> pa.RecordBatch:
+def _prefixes(sets: list[tuple[int, np.ndarray]], crowded: np.ndarray, percent: int, heavy: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Prefix tokens; indexed: in the indexing prefix for c(n) shared tokens; first: 1 in the probing, 2 also in
+    the indexing prefix for one shared token, 0 in neither."""
     cut = [prefix(s, crowded, percent, heavy) for _, s in sets]
     each = [len(own) for own, _ in cut]
+    one = [lengths(len(s), percent, 1) for _, s in sets]
+    first = [(np.arange(n) < probe).astype(np.int32) + (np.arange(n) < index) for n, (probe, index) in zip(each, one)]
     return pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([own for own, _ in cut]).view(np.int64)),
         pa.array(np.repeat(np.array([c for c, _ in sets], np.int64), each)),
         pa.array(np.repeat(np.array([len(s) for _, s in sets], np.int32), each)),
-        pa.array(np.concatenate([np.arange(len(own)) < short for own, short in cut]))], names=["token", "c", "n", "indexed"])
+        pa.array(np.concatenate([np.arange(len(own)) < short for own, short in cut])),
+        pa.array(np.concatenate(first))], names=["token", "c", "n", "indexed", "first"])
 
 
 @gives_back
 def _first_tokens(batches: Iterator[pa.RecordBatch], k: int, crowded: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (text) -> the prefix tokens of their sets."""
     for sets in _sets(batches, k):
-        yield _prefixes(sets, crowded, percent, None)
+        yield _prefixes(sets, crowded, percent, ())
 
 
 @gives_back
-def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int, heavy: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     """Rows (c, packed) -> their prefix tokens."""
     for b in batches:
         sets, held = [], 0
@@ -226,13 +239,17 @@ def _matrix(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, percent: int
             yield _prefixes(sets, crowded, percent, heavy)
 
 
-@gives_back
-def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows whose first column, a hash, is in the filter."""
     for b in batches:
         yield b.filter(pa.array(_marked(bits, b.column(0).to_numpy().view(np.uint64))))
 
 
+@gives_back
+def _let_through(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from _through(batches, bits)
+
+
 class _Members:
     """An inverted index of some sets."""
 
@@ -334,7 +351,7 @@ def _compared(routes: DataFrame, sets: DataFrame, percent: int, spark) -> DataFr
 
 
 def _matrix_of(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row for each token and group: the sizes of the sets that hold it, and of those that index it."""
+    """One row for each token and group: the sizes of the sets that hold it, and of those that index it (``indexed``)."""
     short = F.when(F.col("indexed"), F.col("n"))
     return written(shared.join(groups.select("c", "comp"), "c").groupBy("token", "comp").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min(short).alias("least_indexed"), F.max(short).alias("most_indexed")), "tgm-matrix")
@@ -391,13 +408,13 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     # one set of each, from a text of each
     one = rows.join(able, "c").groupBy("c").agg(F.min("t").alias("t"))
     bits = _filter(one.select(F.xxhash64("t").alias("key")))
-    near = texts.where("doc_id is not null").select(F.xxhash64(F.unhex(F.md5("text"))).alias("key"), "text").mapInArrow(
-        lambda b: _let_through(b, bits), "key long, text binary")
-    sets = near.select("text").mapInArrow(lambda b: _packed(b, k), "c long, n long, packed binary")
+    near = texts.where("doc_id is not null").select(F.xxhash64(F.unhex(F.md5("text"))).alias("key"), "text")
+    sets = near.mapInArrow(lambda b: _packed(b, k, bits), "c long, n long, packed binary")
     sets = written(sets.join(able, "c", "left_semi").dropDuplicates(["c"]), "tgm-sets")
     # prefixes anew, by the exact number of classes that hold a token
     often = sets.select("packed").mapInArrow(_all_tokens, "key long").groupBy("key").agg(F.count("*").alias("classes"))
-    heavy = _filter(often.where(F.col("classes") > HEAVY))
+    often = written(often.where(F.col("classes") > HEAVY[0]), "tgm-heavy")
+    heavy = tuple(_filter(often.where(F.col("classes") > many)) for many in HEAVY)
     tokens = _several(sets.select("c", "packed").mapInArrow(lambda b: _matrix(b, crowded, percent, heavy), _TOKENS))
     held = tokens.withColumn("held", F.count("*").over(Window.partitionBy("c")))
     shared = written(held.where(F.col("held") >= _least(F.ceil(percent * F.col("n") / 100))).drop("held"), "tgm-shared")
@@ -410,7 +427,9 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
 
     # 3. and 4.: every group against the largest that shares a token, then all pairs that are left
     for last in (False, True):
-        matrix = _matrix_of(shared, groups)
+        # one token is enough at the end: what isn't linked with the text that it varies has so many tokens of
+        # its own that it indexes no other, so that such variants don't pair each other
+        matrix = _matrix_of(shared.where("first > 0").withColumn("indexed", F.col("first") == 2) if last else shared, groups)
         query = matrix.select("token", F.col("comp").alias("query"), "least", "most")
         if last:
             group = matrix.where("least_indexed is not null").select("token", F.col("comp").alias("opened"), "least_indexed", "most_indexed")
@@ -423,7 +442,7 @@ def linked_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
                                                       if last else (100 * F.col("most_indexed") >= percent * F.col("least")))
         pairs = query.join(group, "token").where(fits).groupBy("query", "opened").agg(
             F.count("*").alias("shared"), F.min(F.least("least_indexed", "least")).alias("smallest"))
-        pairs = pairs.where(F.col("shared") >= _least(F.col("smallest")))
+        pairs = pairs if last else pairs.where(F.col("shared") >= _least(F.col("smallest")))
         pairs = written(pairs.select(F.least("query", "opened").alias("x"), F.greatest("query", "opened").alias("y")).distinct(), "tgm-pairs")
         found = written(_open(pairs, groups, sets, percent, spark), "tgm-edges")
         edges = edges.union(found)  # a group's name is a class that earlier edges link with its members

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import documents, edge_rows, prose
 from tabwatch.llm import tgm
@@ -138,3 +139,42 @@ def test_a_passage_of_many_texts_pairs_none_of_them(spark, monkeypatch):
     monkeypatch.setattr(tgm, "written", lambda df, name: seen.setdefault(name, []).append(write(df, name)) or seen[name][-1])
     assert told(tgm.jaccard_components(documents(spark, rows), 4, 85)) == brute(rows, 4, 85)
     assert [df.groupBy("token").count().where("count > 2").count() for df in seen["tgm-matrix"]] == [0, 0]
+
+
+@pytest.mark.parametrize("vocabulary", [5000, 100])
+def test_variants_of_a_text_do_not_pair_each_other(spark, monkeypatch, vocabulary):
+    """200 texts with three or four words of one text changed, too many to be linked with it: the joins on
+    tokens don't pair every two of them (before: 200 times 200 rows for each of five tokens at the end)."""
+    rng = random.Random(11)
+    text = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(text), "s")]
+    for d in range(1, 201):
+        own = list(text)
+        for at in rng.sample(range(4, 146, 5), rng.choice([3, 4])):
+            own[at] = f"v{rng.randrange(vocabulary)}"
+        rows.append((d, " ".join(own), "s"))
+    rows += [(300 + d, rows[d][1] + " end", "s") for d in range(1, 6)]
+    seen, write = {}, tgm.written
+    monkeypatch.setattr(tgm, "written", lambda df, name: seen.setdefault(name, []).append(write(df, name)) or seen[name][-1])
+    assert told(tgm.jaccard_components(documents(spark, rows), 4, 85)) == brute(rows, 4, 85)
+    held = seen["tgm-matrix"][-1].groupBy("token").agg(F.count("*").alias("all"), F.count("least_indexed").alias("indexed"))
+    assert held.agg(F.sum(F.col("all") * F.col("indexed"))).first()[0] < 40 * len(rows)
+    assert seen["tgm-pairs"][-1].count() < 10 * len(rows)
+
+
+def test_the_one_token_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(4)
+    crowded = np.zeros(1 << tgm.SKETCH_BITS, bool)
+    crowded[rng.integers(0, len(crowded), len(crowded) // 3)] = True
+    heavy = tuple(rng.integers(0, 256, 1 << (tgm.FILTER_BITS - 3), np.uint8) for _ in tgm.HEAVY)
+    for _ in range(300):
+        percent, n = int(rng.choice([50, 80, 85])), int(rng.integers(1, 300))
+        small = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        large = np.unique(np.concatenate([small[int(rng.integers(0, 1 + n // 12)):], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 4))).astype(np.uint64)]))
+        both = len(np.intersect1d(small, large))
+        if 100 * both < percent * (len(small) + len(large) - both):
+            continue
+        small, large = sorted((small, large), key=len)
+        rows = [tgm._prefixes([(1, s)], crowded, percent, heavy).to_pydict() for s in (small, large)]
+        own = [{t for t, first in zip(r["token"], r["first"]) if first >= least} for r, least in zip(rows, (2, 1))]
+        assert own[0] & own[1]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwatch.llm.common import bounded_broadcast, gives_back, prepare, utf8, written
-from tabwatch.llm.tokens import encoder
+from tabwatch.llm.tokens import encoder, forget
 
 #: Rows of one length that are ranked together in a task.
 RANKED = 200_000
@@ -86,6 +86,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: bytes)
                 uid += 1
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), types)], schema=pa.schema(types))
+    forget(path)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:

@@ -77,12 +77,21 @@ class Encoder:
         self.pieces = _Kept(self._piece)  # what the pattern matches
         self.chunks = _Kept(self._chunk)  # what stands between spaces
 
+    def forget(self) -> None:
+        """Drop all kept strings: a worker lives on after its task and other steps need the memory."""
+        for kept in (self.pieces, self.chunks):
+            kept.clear()
+            kept.older = {}
+
     def _piece(self, piece: str) -> bytes:
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
         return array("I", [t.id for t in found]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk if self.lower else " " + chunk)))
+        if self.lower:  # a piece is a chunk too: each string is kept once
+            parts = self.pattern.findall(chunk)
+            return self._piece(chunk) if len(parts) == 1 and parts[0] == chunk else b"".join(map(self.chunks.__getitem__, parts))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + chunk)))
 
     def plain(self, text: str) -> bool:
         return (self.pattern is not None and not any(s in text for s in self.special)
@@ -159,6 +168,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Drop what this worker's encoder of a file has kept."""
+    if path in _encoders:
+        _encoders[path].forget()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer file on this machine."""
     import public_tokenizers

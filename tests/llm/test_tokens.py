@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from helpers import EDGE_TEXTS
-from tabwatch.llm.tokens import encoder, vocabulary
+from tabwatch.llm.tokens import Encoder, encoder, vocabulary
 
 ALPHABET = "ab'sStT re ve09 ²½  \n\n\t\r!?-_éÉß’“—€İ́<|endoftext|>x日🙂\x0b\x1c\u0085"
 
@@ -44,3 +44,13 @@ def test_each_distinct_string_of_a_batch_is_asked_for_once(monkeypatch):
     got = enc.batch(pa.array([t.encode() for t in texts], pa.binary()))
     assert [x.tolist() for x in got] == [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert all(type(x) is str for x in asked) and "naïve" in asked
+
+
+def test_a_word_is_kept_once_and_forgotten():
+    """Of the lower-casing vocabulary: what stands alone and next to a comma is one entry (before: in both caches)."""
+    enc = Encoder(vocabulary("word_bpe_49k.json"))
+    own = enc.batch(pa.array([b"Some words, and some other words"], pa.binary()))[0].tolist()
+    assert own == enc.library.encode("Some words, and some other words", add_special_tokens=False).ids
+    assert sorted(enc.chunks) == sorted(["some", "words,", "words", ",", "and", "other"]) and not enc.pieces
+    enc.forget()
+    assert not enc.chunks and not enc.chunks.older

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -58,6 +60,26 @@ def test_all_links_are_counted(spark, monkeypatch, kind):
     assert told(vecjoin.range_join(table(spark, rows, kind), 0.9)) == sorted(map(str, brute(rows, 0.9)))
 
 
+def test_vectors_are_written_a_few_times_however_many_blocks_they_meet(spark, monkeypatch):
+    """In 32 dimensions the pivots part little: blocks meet most others, and none is copied for it."""
+    for name, value in (("CELL", 20), ("HOMES", 16), ("STREAMED", 32)):
+        monkeypatch.setattr(vecjoin, name, value)
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return sum(os.path.getsize(os.path.join(d, f)) for top in folders for d, _, names in os.walk(top) for f in names if f.endswith(".data"))
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(800, 32)), near(rng, 60, 32, 2), rng.normal(size=32) + rng.normal(size=(60, 32)) * 0.01])
+    rows = [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32).astype(float))]
+    rng.shuffle(rows)
+    before = shuffled()
+    got = told(vecjoin.range_join(table(spark, rows, "float"), 0.9))
+    sent = shuffled() - before
+    assert got == sorted(map(str, brute(rows, 0.9)))
+    assert sent < 8 * len(rows) * (32 * 4 + 4 * 8)  # vectors with two key halves, id and number
+
+
 def test_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []),
             (8, [2.0, 0.1]), (8, [2.0, 0.1]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [-1.0, 0.0]), (11, [1e-300, 1e-302]), (12, [1e200, 1e198]), (1, [0.0, 1.0])]
